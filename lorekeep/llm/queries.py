@@ -4,10 +4,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lorekeep.llm import exact_dedup, gif, language, mixing, quality, token_count, url_rules
+from lorekeep.llm import exact_dedup, gif, language, mixing, near_dup, packing, quality, sharding, token_count, url_rules
 
 
-def _tokenizer(name: str) -> str:
+def tokenizer(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
@@ -26,13 +26,25 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_count.count_tokens(_read(spark, sf_dir, "documents"), _tokenizer("piece_bpe_32k.model"))
+    return token_count.count_tokens(_read(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
 
 
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(_read(spark, sf_dir, "documents"))
 
 
+def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.link(spark, _read(spark, sf_dir, "documents"), shingle=3, percent=90)
+
+
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(spark, _read(spark, sf_dir, "documents"))
+
+
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(spark, _read(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.dedup(spark, _read(spark, sf_dir, "documents"))
 
@@ -45,7 +57,10 @@ def op10_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gif.digests(_read(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality, op2_mixing, op3_token_counts, op4_language, op8_exact_dedup, op9_url_filter, op10_gif)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (op1_quality, op2_mixing, op3_token_counts, op4_language, op5_ngram_join, op6_sharding, op7_packing, op8_exact_dedup, op9_url_filter, op10_gif)
+}
 
 SQL: dict[str, str] = {
     "op8_exact_dedup": """
