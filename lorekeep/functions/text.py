@@ -41,10 +41,29 @@ def stem(c) -> Column:
     return F.when(n <= 2, w).when(w.endswith("sses"), cut(w, 2)).when(w.endswith("ies"), F.when(n > 4, F.concat(cut(w, 3), F.lit("i"))).otherwise(cut(w, 1))).when(w.endswith("ss"), w).otherwise(ended)
 
 
+#: The stem rules as rewrites of a whole text of space-ended words; a mark after a word keeps later rules off it.
+_REWRITES = (
+    (r"(?<= )(\S{1,2})(?= )", "$1\x01"),
+    (r"sses(?= )", "ss\x01"),
+    (r"(?<=\S\S)ies(?= )", "i\x01"),
+    (r"ies(?= )", "ie\x01"),
+    (r"ss(?= )", "ss\x01"),
+    (r"(?<=\S\S[^su\s])s(?= )", ""),
+    (r"(?<=\S)([^lsz\s])\1ing(?= )", "$1\x01"),
+    (r"(?<=\S{3})ing(?= )", "\x01"),
+    (r"(?<=\S)([^lsz\s])\1ed(?= )", "$1"),
+    (r"(?<=\S{3})ed(?= )", ""),
+    ("\x01", ""),
+)
+
+
 def tokens(c) -> Column:
-    """Ordered stems without stop words."""
-    kept = F.filter(raw_words(c), lambda w: ~w.isin(*S.STOPWORDS))
-    return F.transform(kept, stem)
+    """Ordered stems without stop words: a few passes over the text, not a lambda for each word."""
+    out = F.concat(F.lit(" "), F.regexp_replace(F.lower(F.coalesce(col(c), F.lit(""))), r"[^\p{L}\p{N}]+", " "), F.lit(" "))
+    out = F.regexp_replace(out, rf"(?<= )(?:{'|'.join(S.STOPWORDS)})(?= )", "")
+    for pattern, by in _REWRITES:
+        out = F.regexp_replace(out, pattern, by)
+    return F.filter(F.split(out, " +"), lambda w: w != "")
 
 
 def field_tokens(fields: list[tuple[str, int]] | None = None) -> Column:
@@ -121,7 +140,7 @@ def describe(c) -> Column:
 def truncate(c, limit: int = S.BODY_MAX) -> Column:
     """Cut at the last line end before the limit, with a marker."""
     head = F.substring(col(c), 1, limit)
-    cut = F.regexp_replace(head, r"\n[^\n]*$", "")
+    cut = F.regexp_replace(head, r"\n[^\n]*\z", "")
     cut = F.when(cut == "", head).otherwise(cut)
     text = F.coalesce(col(c), F.lit(""))
     return F.when(F.length(text) <= limit, text).otherwise(F.concat(F.regexp_replace(cut, r"(?U)\s+$", ""), F.lit(S.TRUNCATED)))

@@ -90,6 +90,10 @@ def bm25(tf: Column, dl: Column, avgdl: Column, idf: Column) -> Column:
     return idf * (tf * (S.BM25_K1 + 1)) / (tf + S.BM25_K1 * (1 - S.BM25_B + S.BM25_B * dl / avgdl))
 
 
+def _count_of(stream: Column, term: str) -> Column:
+    return F.size(F.filter(stream, lambda t: t == term))
+
+
 def score(concepts: DataFrame, query: str | Query, fields=S.FIELD_WEIGHTS, bundle: str | None = None) -> DataFrame:
     """[bundle,] id, score of every match, unordered: one scan, one row a document and no shuffle but for the statistics.
 
@@ -101,24 +105,27 @@ def score(concepts: DataFrame, query: str | Query, fields=S.FIELD_WEIGHTS, bundl
     wanted = q.wanted
     if not wanted:
         return concepts.select(*by, "id", F.lit(0.0).alias("score")).limit(0)
-    stream = concepts.select(*by, "id", X.field_tokens(list(fields)).alias("stream"))
-    counts = [F.size(F.filter("stream", lambda t, w=w: t == w)).alias(f"tf{i}") for i, w in enumerate(wanted)]
-    phrase = [X.contains_phrase(F.col("stream"), p) for p in q.phrases]
-    keep = F.lit(True)
-    for p in phrase:
-        keep &= p
-    for t in q.excluded:
-        keep &= ~F.array_contains("stream", t)
-    rows = stream.select(*by, "id", F.size("stream").alias("dl"), *counts, keep.alias("keep"))
+
+    def measured(stream: Column) -> Column:
+        keep, hit = F.lit(True), F.lit(False)
+        for p in q.phrases:
+            keep &= X.contains_phrase(stream, p)
+        for t in q.excluded:
+            keep &= ~F.array_contains(stream, t)
+        for w in wanted:
+            hit |= F.array_contains(stream, w)
+        return F.struct(F.size(stream).alias("dl"), *[_count_of(stream, w).alias(f"tf{i}") for i, w in enumerate(wanted)], (keep & hit).alias("match"))
+
+    # bound to a lambda's variable, so that the stream is made once however often it is looked at
+    rows = concepts.select(*by, "id", F.transform(F.array(X.field_tokens(list(fields))), measured)[0].alias("m")).select(*by, "id", "m.*")
     stats = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"), *[F.sum((F.col(f"tf{i}") > 0).cast("long")).alias(f"df{i}") for i in range(len(wanted))])
     joined = rows.join(F.broadcast(stats), by) if by else rows.crossJoin(F.broadcast(stats))
-    total, hit = F.lit(0.0), F.lit(False)
+    total = F.lit(0.0)
     for i in range(len(wanted)):
         tf, df = F.col(f"tf{i}"), F.col(f"df{i}")
         idf = F.log(1 + (F.col("n") - df + 0.5) / (df + 0.5))
         total = total + F.when(tf > 0, bm25(tf, F.col("dl"), F.col("avgdl"), idf)).otherwise(0.0)
-        hit |= tf > 0
-    return joined.filter(F.col("keep") & hit).select(*by, "id", total.alias("score"))
+    return joined.select(*by, "id", F.when(F.col("match"), total).alias("score")).filter("score is not null")
 
 
 def score_with_index(index: tuple[DataFrame, DataFrame, DataFrame], terms: DataFrame) -> DataFrame:
