@@ -1,15 +1,19 @@
 """Exact n-gram Jaccard join by signature trees, with components instead of pairs.
 
-Method. A document is the set of 64-bit hashes of its word shingles. Documents of nearly equal
-size that can reach the threshold differ in at most d shingles; the hash range is cut into more than
-d segments, so two such sets agree on a whole segment, and hashes of (size class, segment, content)
-bring them into one block. In a block a signature tree is built: leaves are documents with a bitmap
-of their shingles, inner nodes hold the OR of the bitmaps below and the range of sizes, and the tree is
-traversed against itself, dropping pairs of nodes whose largest possible overlap is too small. What is
-left is checked on the whole sets, unless the two are already known to be connected.
-
-Skew. Equal sets are one representative. A bucket of any size leaves one row per batch of its documents
-(the rest become star edges where they are). Blocks over TILE documents are cut into tiles that share
+Method. A document is the set of 64-bit hashes of its word shingles, put in one order for all documents:
+shingles that repeat often come last, the rest by hash. Sets that reach the threshold share one of their first
+n - ceil(threshold * n) + 1, so documents meet in blocks by those. In a block a signature tree is built:
+leaves are documents with a bitmap of their shingles, inner nodes hold the OR of the bitmaps below and the
+range of sizes, and the tree is traversed against itself, dropping pairs of nodes whose largest possible
+overlap is too small. What is left is checked on the whole sets, unless the two are already known to be connected.
+
+The order only decides how many candidates there are, never which links are found: repeats are counted over all
+documents, batch by batch, and the FREQUENT most frequent shingles are sent to all tasks (8 bytes each).
+Before blocks are formed, pairs from small buckets are held against bitmaps of 2 to 4 bits a shingle: the
+largest overlap these allow must reach the threshold, so that passages many documents share don't join blocks.
+
+Skew. Equal sets are one representative. Of a bucket over FEW documents a batch sends one row
+(the rest become star edges where they are, as does a bucket over FEW in all). Blocks over TILE documents are cut into tiles that share
 a few pivots; after linking inside tiles only tiles of different components meet, so a group of
 copies that is connected costs as much as its tiles. No pair of documents is dropped for its number.
 
@@ -19,9 +23,7 @@ doc_id are one vertex; a null doc_id is linked only through an equal set. Column
 Two different shingles share a hash with probability 2^-64; two sets a digest with 2^-128.
 """
 
-import bisect
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -30,9 +32,9 @@ from pyspark.sql import functions as F
 
 from lorekeep.llm.common import Workspace, components, small
 
-TILE, TILE_SHINGLES, PIVOTS, FAN = 256, 4_000_000, 8, 4
-#: Segments beyond d + 1, so that a few empty ones do no harm.
-SPARE = 2
+TILE, TILE_SHINGLES, PIVOTS, FAN, FEW = 256, 4_000_000, 8, 4, 48
+#: A shingle is frequent if batches of REPEATS shingles in which it is there LOCAL times or more hold it OFTEN times in all.
+LOCAL, OFTEN, REPEATS, FREQUENT = 3, 24, 2_000_000, 1_000_000
 #: Bytes hashed at once; signatures sorted at once; signatures of one part of the exchange.
 BLOCK, FLUSH, PART = 1 << 20, 1_000_000, 4_000_000
 
@@ -91,80 +93,116 @@ def shingle_set(text: bytes | None, shingle: int) -> np.ndarray:
         return np.unique(total)
 
 
-@lru_cache
-def classes(percent: int, size: int) -> tuple[list[int], list[int]]:
-    """Least sizes of the size classes up to one beyond `size`, and the segments of each class with its next; 0: nothing but equal sets links."""
-    low = [1, 2]
-    while low[-2] <= size:
-        low.append(max(low[-1] + 1, (low[-1] - 1) * 100 // percent + 1))
-    low.append(max(low[-1] + 1, (low[-1] - 1) * 100 // percent + 1))
-    cuts = []
-    for i in range(len(low) - 2):
-        a = low[i + 1] - 1
-        d = (a + min(low[i + 2] - 1, a * 100 // percent)) * (100 - percent) // (100 + percent)
-        cuts.append(d + 1 + SPARE if d else 0)
-    return low, cuts
-
-
-@lru_cache(4096)
-def _bounds(k: int) -> np.ndarray:
-    return np.array([(j << 64) // k for j in range(1, k)], _U)
-
-
-def signatures(found: np.ndarray, percent: int) -> np.ndarray:
-    """At least one is common to any two different sets that reach the threshold."""
-    if not len(found):
-        return found
-    low, cuts = classes(percent, 1 << len(found).bit_length())
-    own = bisect.bisect_right(low, len(found)) - 1
-    out = []
-    with np.errstate(over="ignore"):
-        sums = np.concatenate([np.zeros(1, _U), np.cumsum(mixed(found ^ _STEP[50]))])
-        for level in (own - 1, own):
-            k = cuts[level] if level >= 0 else 0
-            if not k:
-                continue
-            at = np.concatenate([[0], np.searchsorted(found, _bounds(k)), [len(found)]])
-            content = sums[at[1:]] - sums[at[:-1]]
-            marked = mixed(mixed(content + np.arange(k).astype(_U) * _STEP[51]) + _U(level + 1) * _STEP[52])
-            full = at[1:] > at[:-1]
-            out.append(marked if int(k - full.sum()) > SPARE else marked[full])
-    return np.concatenate(out) if out else np.zeros(0, _U)
+def signatures(found: np.ndarray, percent: int, frequent: np.ndarray) -> np.ndarray:
+    """The first shingles in the common order; any two sets that reach the threshold have one of them in common."""
+    n = len(found)
+    take = n + percent * n // -100 + 1
+    if not n or not len(frequent):
+        return found[: take if n else 0]
+    often = frequent[np.minimum(np.searchsorted(frequent, found), len(frequent) - 1)] == found
+    return np.concatenate([found[~often], found[often]])[:take]
+
+
+def repeated(documents: DataFrame, shingle: int) -> np.ndarray:
+    """The sorted hashes of frequent shingles."""
+
+    def run(batches):
+        def counts(sets):
+            values, n = np.unique(np.concatenate(sets), return_counts=True)
+            keep = n >= LOCAL
+            return pa.RecordBatch.from_arrays([pa.array(_signed(values[keep])), pa.array(n[keep])], ["h", "n"])
+
+        sets, held = [], 0
+        for batch in batches:
+            for text in batch.column(0).cast(pa.binary()):
+                sets.append(shingle_set(text.as_py(), shingle))
+                held += len(sets[-1])
+                if held >= REPEATS:
+                    yield counts(sets)
+                    sets, held = [], 0
+        if sets:
+            yield counts(sets)
+
+    counted = documents.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    top = counted.filter(F.col("n") >= OFTEN).orderBy(F.desc("n"), "h").limit(FREQUENT).select("h").toPandas()
+    return np.sort(top["h"].to_numpy(np.int64).view(_U))
+
+
+def bitmap(found: np.ndarray) -> bytes:
+    """A power of two of bits, 2 to 4 for each shingle; the top bits of a hash choose its bit."""
+    width = max(6, int(2 * len(found) - 1).bit_length())
+    out = np.zeros(1 << width, bool)
+    out[(found >> _U(64 - width)).astype(np.int64)] = True
+    return np.packbits(out).tobytes()
+
+
+def overlap_allows(a: bytes, b: bytes, na: int, nb: int, percent: int) -> bool:
+    """Whether sets of these sizes and bitmaps may reach the threshold. The wider bitmap is folded to the other's width."""
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    while len(x) != len(y):
+        wide = x if len(x) > len(y) else y
+        wide = np.packbits(np.unpackbits(wide).reshape(-1, 2).any(1))
+        x, y = (wide, y) if len(x) > len(y) else (x, wide)
+    spill = min(na - int(np.bitwise_count(x).sum()), nb - int(np.bitwise_count(y).sum()))
+    most = min(na, nb, int(np.bitwise_count(x & y).sum()) + spill)
+    return most * (100 + percent) >= percent * (na + nb)
 
 
 def _signed(x) -> np.ndarray:
     return np.asarray(x, _U).view(np.int64)
 
 
-def describe(documents: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """doc_id, n (size of the set), d1 and d2 (its digest), sigs (its signatures)."""
+def describe(documents: DataFrame, shingle: int, percent: int, frequent: np.ndarray) -> DataFrame:
+    """doc_id, n (size of the set), d1 and d2 (its digest), sigs (its signatures), bits (its bitmap)."""
+
+    sent = documents.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches):
+        often = sent.value
         for batch in batches:
             texts = batch.column(1).cast(pa.binary())
-            n, d1, d2, sigs = [], [], [], []
+            n, d1, d2, sigs, bits = [], [], [], [], []
             for text in texts:
                 found = shingle_set(text.as_py(), shingle)
                 n.append(len(found))
                 with np.errstate(over="ignore"):
                     d1.append(mixed(found ^ _STEP[60]).sum(dtype=_U))
                     d2.append(mixed(found ^ _STEP[61]).sum(dtype=_U))
-                sigs.append(signatures(found, percent).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(_signed(d1)), pa.array(_signed(d2)), pa.array(sigs, pa.binary())], ["doc_id", "n", "d1", "d2", "sigs"])
+                sigs.append(signatures(found, percent, often).tobytes())
+                bits.append(bitmap(found))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(_signed(d1)), pa.array(_signed(d2)), pa.array(sigs, pa.binary()), pa.array(bits, pa.binary())], ["doc_id", "n", "d1", "d2", "sigs", "bits"])
 
     slim = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return slim.mapInArrow(run, "doc_id long, n long, d1 long, d2 long, sigs binary")
+    return slim.mapInArrow(run, "doc_id long, n long, d1 long, d2 long, sigs binary, bits binary")
 
 
-def _star(sigs: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Of equal signatures: the signature and its least document, and edges from that to the others."""
+def _meet(sigs: np.ndarray, docs: np.ndarray, forward: bool) -> tuple[np.ndarray, ...]:
+    """Of documents with equal signatures: (signatures and documents to send on, star edges of large buckets, pairs of small ones).
+
+    With forward, small buckets are sent on whole and large ones as their least document; pairs are left to the receiver.
+    """
     order = np.lexsort((docs, sigs))
     sigs, docs = sigs[order], docs[order]
-    first = np.concatenate([[True], sigs[1:] != sigs[:-1]]) if len(sigs) else np.zeros(0, bool)
-    hub = docs[first][np.cumsum(first) - 1] if len(sigs) else docs
-    other = ~first & (hub != docs)
-    edges = np.unique(np.stack([hub[other], docs[other]], 1), axis=0) if other.any() else np.zeros((0, 2), np.int64)
-    return sigs[first], docs[first], edges
+    none = np.zeros((0, 2), np.int64)
+    if not len(sigs):
+        return sigs, docs, none, none
+    new = np.concatenate([[True], (sigs[1:] != sigs[:-1]) | (docs[1:] != docs[:-1])])
+    sigs, docs = sigs[new], docs[new]
+    first = np.concatenate([[True], sigs[1:] != sigs[:-1]])
+    start = np.flatnonzero(first)
+    size = np.diff(np.append(start, len(sigs)))
+    large = np.repeat(size > FEW, size)
+    hub = np.repeat(docs[start], size)
+    star = np.unique(np.stack([hub, docs], 1)[large & ~first], axis=0) if large.any() else none
+    if forward:
+        kept = ~large | first
+        return sigs[kept], docs[kept], star, none
+    pairs = [none]
+    for m in np.unique(size[(size > 1) & (size <= FEW)]).tolist():
+        rows = docs[start[size == m][:, None] + np.arange(m)]
+        i, j = np.triu_indices(m, 1)
+        pairs.append(np.unique(np.stack([rows[:, i].ravel(), rows[:, j].ravel()], 1), axis=0))
+    return sigs, docs, star, np.unique(np.concatenate(pairs), axis=0)
 
 
 _PACK = "part long, sigs binary, docs binary, ends binary"
@@ -175,7 +213,7 @@ def pack(described: DataFrame, parts: int) -> DataFrame:
     names = [c.split()[0] for c in _PACK.split(", ")]
 
     def flush(sigs, docs) -> pa.RecordBatch:
-        s, d, edges = _star(np.concatenate(sigs), np.concatenate(docs))
+        s, d, edges, _ = _meet(np.concatenate(sigs), np.concatenate(docs), True)
         part = (s >> _U(32)) * _U(parts) >> _U(32)
         cut = np.concatenate([[0], np.flatnonzero(part[1:] != part[:-1]) + 1, [len(s)]]) if len(s) else np.zeros(1, int)
         rows = [(int(part[a]), s[a:b].tobytes(), d[a:b].tobytes(), b"") for a, b in zip(cut[:-1], cut[1:], strict=True)]
@@ -213,23 +251,45 @@ def _runs(batches, key: int = 0) -> Iterator[list[tuple]]:
         yield held
 
 
-def _pairs(edges: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(edges[:, 0])), pa.array(np.ascontiguousarray(edges[:, 1]))], ["a", "b"])
+def _pairs(edges: np.ndarray, *more) -> pa.RecordBatch:
+    columns = [pa.array(np.ascontiguousarray(edges[:, 0])), pa.array(np.ascontiguousarray(edges[:, 1])), *more]
+    return pa.RecordBatch.from_arrays(columns, ["a", "b", "sure"][: len(columns)])
 
 
 def shared(packed: DataFrame, partitions: int) -> DataFrame:
-    """Edges (a, b) that connect all documents with an equal signature."""
+    """(a, b, sure): pairs of documents with an equal signature; of large buckets, edges that connect them all, marked sure."""
 
     def run(batches):
         for rows in _runs(batches):
             sigs = np.frombuffer(b"".join(r[1] for r in rows), _U)
             docs = np.frombuffer(b"".join(r[2] for r in rows), np.int64)
             ends = np.frombuffer(b"".join(r[3] for r in rows), np.int64).reshape(-1, 2)
-            edges = np.unique(np.concatenate([_star(sigs, docs)[2], ends]), axis=0)
-            if len(edges):
-                yield _pairs(edges)
+            _, _, star, pairs = _meet(sigs, docs, False)
+            for edges, sure in ((np.unique(np.concatenate([star, ends]), axis=0), True), (pairs, False)):
+                for k in range(0, len(edges), 100_000):
+                    part = edges[k : k + 100_000]
+                    yield _pairs(part, pa.array(np.full(len(part), sure)))
+
+    return packed.repartition(partitions, "part").sortWithinPartitions("part").mapInArrow(run, "a long, b long, sure boolean")
+
+
+def plausible(pairs: DataFrame, described: DataFrame, percent: int) -> DataFrame:
+    """Pairs whose bitmaps allow the overlap, and the sure ones. described: one row a document at least."""
+
+    def run(batches):
+        for batch in batches:
+            a, b, na, nb = (c.to_numpy() for c in batch.columns[:4])
+            x, y = batch.column(4).to_pylist(), batch.column(5).to_pylist()
+            keep = np.array([overlap_allows(*r, percent) for r in zip(x, y, na.tolist(), nb.tolist(), strict=True)], bool)
+            if keep.any():
+                yield _pairs(np.stack([a[keep], b[keep]], 1))
 
-    return packed.repartition(partitions, "part").sortWithinPartitions("part").mapInArrow(run, "a long, b long")
+    maps = described.select("doc_id", "n", "bits")
+    left = maps.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("bits").alias("xa"))
+    right = maps.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("xb"))
+    sized = (F.col("na") * 100 >= F.col("nb") * percent) & (F.col("nb") * 100 >= F.col("na") * percent)
+    full = pairs.filter("not sure").select("a", "b").join(left, "a").join(right, "b").filter(sized)
+    return full.select("a", "b", "na", "nb", "xa", "xb").mapInArrow(run, "a long, b long").union(pairs.filter("sure").select("a", "b"))
 
 
 class Tree:
@@ -358,7 +418,7 @@ def link(spark: SparkSession, documents: DataFrame, shingle: int = 5, percent: i
     """doc_id, n_shingles, component_id of every document; links are 100 * intersection >= percent * union."""
     ws = Workspace(spark, "near-dup")
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    all_sets = ws.keep(describe(documents, shingle, percent), "sets")
+    all_sets = ws.keep(describe(documents, shingle, percent, repeated(documents, shingle)), "sets")
     equal = all_sets.filter("n > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("c")).filter("c > 1 and rep is not null")
     equal = small(ws.keep(equal.drop("c"), "equal"))
     named = all_sets.join(equal, ["d1", "d2"], "left")
@@ -366,7 +426,8 @@ def link(spark: SparkSession, documents: DataFrame, shingle: int = 5, percent: i
     total = own.agg(F.sum(F.octet_length("sigs"))).first()[0] or 0
     parts = max(2 * partitions, total // 8 // PART + 1)
     packed = pack(own, parts)
-    edges = ws.keep(shared(packed, parts), "shared")
+    pairs = ws.keep(shared(packed, parts).groupBy("a", "b").agg(F.max("sure").alias("sure")), "shared")
+    edges = ws.keep(plausible(pairs, own, percent), "edges")
     blocks = components(edges, ws, "blocks")
     members = ws.keep(_members(all_sets, blocks), "members")
     wide = F.ceil(F.greatest(F.count(F.lit(1)) / TILE, F.sum("n") / TILE_SHINGLES)).cast("long")
