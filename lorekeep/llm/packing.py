@@ -53,7 +53,7 @@ class Encoder(dict):
             self.clear()
         found = self.old.get(word)
         if found is None:
-            letters = word if word.isascii() else "".join(map(self.letters.__getitem__, word.encode()))
+            letters = word if word.isascii() and word.isprintable() else "".join(map(self.letters.__getitem__, word.encode()))
             found = b"".join(t.id.to_bytes(4, "little") for t in self.model.tokenize(letters))
         self[word] = found
         return found
