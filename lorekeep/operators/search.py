@@ -68,10 +68,9 @@ def parse_query(text: str) -> Query:
 
 def postings(concepts: DataFrame, fields=S.FIELD_WEIGHTS, keys: tuple[str, ...] = ("id",)) -> DataFrame:
     """keys, token, tf: weighted counts of each document's stems. Stop words go before stemming."""
-    parts = F.array(*[F.struct(X.raw_words(F.array_join("tags", " ") if n == "tags" else n).alias("words"), F.lit(w).alias("weight")) for n, w in fields])
-    each = concepts.select(*keys, F.explode(parts).alias("p")).select(*keys, "p.weight", F.explode("p.words").alias("word"))
-    kept = each.filter(~F.col("word").isin(*S.STOPWORDS))
-    return kept.select(*keys, X.stem("word").alias("token"), "weight").groupBy(*keys, "token").agg(F.sum("weight").alias("tf"))
+    parts = F.array(*[F.struct(X.tokens(F.array_join("tags", " ") if n == "tags" else n).alias("tokens"), F.lit(w).alias("weight")) for n, w in fields])
+    each = concepts.select(*keys, F.explode(parts).alias("p")).select(*keys, "p.weight", F.explode("p.tokens").alias("token"))
+    return each.groupBy(*keys, "token").agg(F.sum("weight").alias("tf"))
 
 
 def build_index(concepts: DataFrame, fields=S.FIELD_WEIGHTS, bundle: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
