@@ -2,7 +2,7 @@
 
 Each stage takes (spark, docs, sf_dir) and all rows that its predecessor kept; run() writes what it returns
 as Parquet in the shared folder and reads that for the next. All but the last return the columns of documents.
-Rows whose doc_id is null pass the two duplicate stages unless an equal text with an id stays.
+A row without a doc_id goes where an equal text with one stays; near copies of it aren't looked for.
 """
 
 from collections.abc import Callable
@@ -21,19 +21,16 @@ def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go."""
-    scored = quality.classify(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    ws = Workspace(spark, "stage-quality")
-    return _without(docs, ws.keep(scored.filter("predicted = 0").select("doc_id"), "rejected"))
+    return quality.keep(docs, quality.fit(quality.samples(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))))
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the row with the largest doc_id stays; of its repeats, one."""
     ws = Workspace(spark, "stage-exact")
-    found = ws.keep(exact_dedup.dedup(spark, docs).select("doc_id", "keep_id", "kept"), "judged")
-    left = _without(docs, found.filter("doc_id <> keep_id"))
-    repeated = small(found.filter("doc_id = keep_id and not kept").select("doc_id").distinct())
-    once = left.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return left.join(repeated, "doc_id", "left_anti").unionByName(once)
+    found = exact_dedup.dedup(spark, docs).filter("group_size > 1").select(F.col("text_sha256").alias("_sha"), F.col("keep_id").alias("_keep"), F.lit(True).alias("_more")).distinct()
+    named = docs.withColumn("_sha", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)).join(small(ws.keep(found, "groups")), "_sha", "left")
+    alone = named.filter("_more is null").select(*docs.columns)
+    return alone.unionByName(named.filter("_more and doc_id <=> _keep").dropDuplicates(["_sha"]).select(*docs.columns))
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

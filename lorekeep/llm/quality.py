@@ -146,5 +146,18 @@ def score(documents: DataFrame, model: dict) -> DataFrame:
     return slim.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
 
 
+def keep(documents: DataFrame, model: dict) -> DataFrame:
+    """The documents, with all their columns, whose score is at least 0.5."""
+    at = documents.columns.index("text")
+
+    def run(batches):
+        for batch in batches:
+            texts = batch.column(at).cast(pa.binary()).to_pylist()
+            features = np.array([pool(model, t or b"") for t in texts], np.float32).reshape(len(texts), 2 * FILTERS)
+            yield batch.filter(pa.array(head(model, features).astype(np.float64) >= 0.5))
+
+    return documents.mapInArrow(run, documents.schema)
+
+
 def classify(documents: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
     return score(documents, fit(samples(documents, labels, rows)))
