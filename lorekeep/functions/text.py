@@ -14,6 +14,11 @@ def col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value, f) -> Column:
+    """f of the value, which is made once: the planner would repeat a plain expression wherever it is named."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def strip(c) -> Column:
     """Unicode-wide trim."""
     return F.regexp_replace(col(c), r"(?U)^\s+|\s+$", "")
@@ -105,9 +110,11 @@ def source_digest(source, title, text) -> Column:
 
 
 def title_similarity(a, b) -> Column:
-    x, y = F.array_distinct(tokens(a)), F.array_distinct(tokens(b))
-    both = F.size(F.array_intersect(x, y))
-    return F.when((F.size(x) == 0) | (F.size(y) == 0), F.lit(0.0)).otherwise(both / (F.size(x) + F.size(y) - both))
+    def of(pair):
+        both = F.size(F.array_intersect(pair["x"], pair["y"]))
+        return F.when((F.size(pair["x"]) == 0) | (F.size(pair["y"]) == 0), F.lit(0.0)).otherwise(both / (F.size(pair["x"]) + F.size(pair["y"]) - both))
+
+    return let(F.struct(F.array_distinct(tokens(a)).alias("x"), F.array_distinct(tokens(b)).alias("y")), of)
 
 
 def cosine(a, b) -> Column:
@@ -129,12 +136,19 @@ def describe(c) -> Column:
     flat = F.regexp_replace(flat, r"\[([^\]]*)\]\([^)]*\)", "$1")
     flat = F.regexp_replace(flat, r"`|\*\*|__", "")
     flat = strip(F.regexp_replace(flat, r"^[#>*\-+ ]+", ""))
-    first = strip(F.regexp_extract(flat, r"[^.!?]+[.!?]+", 0))
-    best = F.when(F.length(first) < S.SENTENCE_MIN, flat).otherwise(first)
-    head = F.substring(best, 1, S.DESCRIPTION_MAX)
-    cut = F.regexp_replace(F.regexp_replace(head, r" [^ ]*$", ""), r"[,;:]+$", "")
-    cut = F.when(cut == "", strip(head)).otherwise(cut)
-    return F.when(flat == "", F.lit(S.NO_TEXT)).when(F.length(best) <= S.DESCRIPTION_MAX, best).otherwise(F.concat(cut, F.lit("…")))
+
+    def shorten(best):
+        head = F.substring(best, 1, S.DESCRIPTION_MAX)
+        cut = F.regexp_replace(F.regexp_replace(head, r" [^ ]*$", ""), r"[,;:]+$", "")
+        longer = let(cut, lambda c: F.concat(F.when(c == "", strip(head)).otherwise(c), F.lit("…")))
+        return F.when(F.length(best) <= S.DESCRIPTION_MAX, best).otherwise(longer)
+
+    def of(text):
+        first = strip(F.regexp_extract(text, r"[^.!?]+[.!?]+", 0))
+        best = let(first, lambda x: F.when(F.length(x) < S.SENTENCE_MIN, text).otherwise(x))
+        return F.when(text == "", F.lit(S.NO_TEXT)).otherwise(let(best, shorten))
+
+    return let(flat, of)
 
 
 def truncate(c, limit: int = S.BODY_MAX) -> Column:

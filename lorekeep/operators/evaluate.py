@@ -31,20 +31,17 @@ def faithfulness(answer, context_tokens):
     said = X.sentences(answer)
 
     def supported(s):
-        t = F.array_distinct(X.tokens(s))
-        return (F.size(t) > 0) & (F.size(F.array_intersect(t, context_tokens)) >= S.SENTENCE_SUPPORT * F.size(t))
+        return X.let(F.array_distinct(X.tokens(s)), lambda t: (F.size(t) > 0) & (F.size(F.array_intersect(t, context_tokens)) >= S.SENTENCE_SUPPORT * F.size(t)))
 
     return F.when(F.size(said) == 0, F.lit(0.0)).otherwise(F.size(F.filter(said, supported)) / F.size(said))
 
 
 def answer_relevancy(question, answer):
-    q = F.array_distinct(X.tokens(question))
-    return F.when(F.size(q) == 0, F.lit(0.0)).otherwise(F.size(F.array_intersect(q, X.tokens(answer))) / F.size(q))
+    return X.let(F.array_distinct(X.tokens(question)), lambda q: F.when(F.size(q) == 0, F.lit(0.0)).otherwise(F.size(F.array_intersect(q, X.tokens(answer))) / F.size(q)))
 
 
 def reference_support(expected, context_tokens):
-    e = F.array_distinct(X.tokens(expected))
-    return F.when(F.size(e) == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(e, context_tokens)) / F.size(e))
+    return X.let(F.array_distinct(X.tokens(expected)), lambda e: F.when(F.size(e) == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(e, context_tokens)) / F.size(e)))
 
 
 def evaluate(golden: DataFrame, concepts: DataFrame, index, top_k: int = 5, thresholds: dict | None = None) -> DataFrame:
