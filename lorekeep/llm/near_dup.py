@@ -7,13 +7,14 @@ leaves are documents with a bitmap of their shingles, inner nodes hold the OR of
 range of sizes, and the tree is traversed against itself, dropping pairs of nodes whose largest possible
 overlap is too small. What is left is checked on the whole sets, unless the two are already known to be connected.
 
-The order only decides how many candidates there are, never which links are found: repeats are counted over all
-documents, batch by batch, and the FREQUENT most frequent shingles are sent to all tasks (8 bytes each).
+The order only decides how many candidates there are, never which links are found. Repeats are counted over all
+documents, batch by batch; then shingles that still gather more than FEW documents are moved to the end as well,
+in up to ROUNDS rounds; the FREQUENT most frequent ones are sent to all tasks (8 bytes each).
 Before blocks are formed, pairs from small buckets are held against bitmaps of 2 to 4 bits a shingle: the
 largest overlap these allow must reach the threshold, so that passages many documents share don't join blocks.
 
-Skew. Equal sets are one representative. Of a bucket over FEW documents a batch sends one row
-(the rest become star edges where they are, as does a bucket over FEW in all). Blocks over TILE documents are cut into tiles that share
+Skew. Equal sets are one representative. Of a bucket over FEW documents a batch sends FEW + 1
+(all become star edges where they are, as does a bucket over FEW in all). Blocks over TILE documents are cut into tiles that share
 a few pivots; after linking inside tiles only tiles of different components meet, so a group of
 copies that is connected costs as much as its tiles. No pair of documents is dropped for its number.
 
@@ -34,7 +35,7 @@ from lorekeep.llm.common import Workspace, components, small
 
 TILE, TILE_SHINGLES, PIVOTS, FAN, FEW = 256, 4_000_000, 8, 4, 48
 #: A shingle is frequent if batches of REPEATS shingles in which it is there LOCAL times or more hold it OFTEN times in all.
-LOCAL, OFTEN, REPEATS, FREQUENT = 3, 24, 2_000_000, 1_000_000
+LOCAL, OFTEN, REPEATS, FREQUENT, ROUNDS = 3, 24, 2_000_000, 1_000_000, 2
 #: Bytes hashed at once; signatures sorted at once; signatures of one part of the exchange.
 BLOCK, FLUSH, PART = 1 << 20, 1_000_000, 4_000_000
 
@@ -179,7 +180,7 @@ def describe(documents: DataFrame, shingle: int, percent: int, frequent: np.ndar
 def _meet(sigs: np.ndarray, docs: np.ndarray, forward: bool) -> tuple[np.ndarray, ...]:
     """Of documents with equal signatures: (signatures and documents to send on, star edges of large buckets, pairs of small ones).
 
-    With forward, small buckets are sent on whole and large ones as their least document; pairs are left to the receiver.
+    With forward, small buckets are sent on whole and of large ones FEW + 1 documents; pairs are left to the receiver.
     """
     order = np.lexsort((docs, sigs))
     sigs, docs = sigs[order], docs[order]
@@ -195,7 +196,7 @@ def _meet(sigs: np.ndarray, docs: np.ndarray, forward: bool) -> tuple[np.ndarray
     hub = np.repeat(docs[start], size)
     star = np.unique(np.stack([hub, docs], 1)[large & ~first], axis=0) if large.any() else none
     if forward:
-        kept = ~large | first
+        kept = ~large | (np.arange(len(sigs)) - np.repeat(start, size) <= FEW)  # enough to show that it is large
         return sigs[kept], docs[kept], star, none
     pairs = [none]
     for m in np.unique(size[(size > 1) & (size <= FEW)]).tolist():
@@ -273,6 +274,23 @@ def shared(packed: DataFrame, partitions: int) -> DataFrame:
     return packed.repartition(partitions, "part").sortWithinPartitions("part").mapInArrow(run, "a long, b long, sure boolean")
 
 
+def crowded(packed: DataFrame, partitions: int, known: np.ndarray) -> np.ndarray:
+    """Signatures of large buckets that aren't among the known ones, the largest FREQUENT of them."""
+
+    def run(batches):
+        for rows in _runs(batches):
+            sigs, docs = np.frombuffer(b"".join(r[1] for r in rows), _U), np.frombuffer(b"".join(r[2] for r in rows), np.int64)
+            pairs = np.unique(np.stack([sigs, docs.view(_U)], 1), axis=0)
+            values, n = np.unique(pairs[:, 0], return_counts=True)
+            keep = n > FEW
+            if keep.any():
+                yield pa.RecordBatch.from_arrays([pa.array(_signed(values[keep])), pa.array(n[keep])], ["h", "n"])
+
+    found = packed.repartition(partitions, "part").sortWithinPartitions("part").mapInArrow(run, "h long, n long")
+    top = found.orderBy(F.desc("n"), "h").limit(FREQUENT).select("h").toPandas()
+    return np.setdiff1d(top["h"].to_numpy(np.int64).view(_U), known)
+
+
 def plausible(pairs: DataFrame, described: DataFrame, percent: int) -> DataFrame:
     """Pairs whose bitmaps allow the overlap, and the sure ones. described: one row a document at least."""
 
@@ -418,14 +436,22 @@ def link(spark: SparkSession, documents: DataFrame, shingle: int = 5, percent: i
     """doc_id, n_shingles, component_id of every document; links are 100 * intersection >= percent * union."""
     ws = Workspace(spark, "near-dup")
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    all_sets = ws.keep(describe(documents, shingle, percent, repeated(documents, shingle)), "sets")
-    equal = all_sets.filter("n > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("c")).filter("c > 1 and rep is not null")
-    equal = small(ws.keep(equal.drop("c"), "equal"))
-    named = all_sets.join(equal, ["d1", "d2"], "left")
-    own = named.filter("doc_id is not null and n > 0 and (rep is null or rep = doc_id)")
-    total = own.agg(F.sum(F.octet_length("sigs"))).first()[0] or 0
-    parts = max(2 * partitions, total // 8 // PART + 1)
-    packed = pack(own, parts)
+    frequent = repeated(documents, shingle)
+    for k in range(ROUNDS + 1):
+        all_sets = ws.keep(describe(documents, shingle, percent, frequent), f"sets{k}")
+        equal = all_sets.filter("n > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("c")).filter("c > 1 and rep is not null")
+        equal = small(ws.keep(equal.drop("c"), f"equal{k}"))
+        named = all_sets.join(equal, ["d1", "d2"], "left")
+        own = named.filter("doc_id is not null and n > 0 and (rep is null or rep = doc_id)")
+        total = own.agg(F.sum(F.octet_length("sigs"))).first()[0] or 0
+        parts = max(2 * partitions, total // 8 // PART + 1)
+        packed = pack(own, parts)
+        more = crowded(packed, parts, frequent) if k < ROUNDS else frequent[:0]
+        if not len(more):
+            break
+        frequent = np.union1d(frequent, more)[: 2 * FREQUENT]
+        ws.drop(f"sets{k}")
+        ws.drop(f"equal{k}")
     pairs = ws.keep(shared(packed, parts).groupBy("a", "b").agg(F.max("sure").alias("sure")), "shared")
     edges = ws.keep(plausible(pairs, own, percent), "edges")
     blocks = components(edges, ws, "blocks")
