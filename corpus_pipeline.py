@@ -41,9 +41,14 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix reads them, a copy read in part whole, in the order of their training positions."""
-    read = mixing.copies(mixing.mix(spark, docs)).select("doc_id", "position")
-    placed = docs.join(read, "doc_id")
+    """Documents as often as the mix reads them, a copy read in part whole, in the order of their training positions.
+
+    Ids may be null or repeated, so rows are written with a key of their own, which the mix carries.
+    """
+    ws = Workspace(spark, "stage-mixing")
+    rows = ws.keep(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    read = mixing.copies(mixing.mix(spark, rows, carry=("_row",)), carry=("_row",)).select("_row", "position")
+    placed = rows.join(read, "_row")
     return placed.repartitionByRange("position", "doc_id").sortWithinPartitions("position", "doc_id").select(*docs.columns)
 
 

@@ -50,10 +50,10 @@ def moment(share, start, end):
     return F.when(s + root == 0, F.lit(0.0)).otherwise((s + e) * a / (s + root))
 
 
-def mix(spark: SparkSession, documents: DataFrame, schedules=SCHEDULES, epochs: int = EPOCHS) -> DataFrame:
-    """doc_id, size, source_size, target, taken, position of each document, range-sorted by position."""
+def mix(spark: SparkSession, documents: DataFrame, schedules=SCHEDULES, epochs: int = EPOCHS, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, size, source_size, target, taken, position of each document, range-sorted by position; columns to carry come first."""
     ws = Workspace(spark, "mix")
-    sizes = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text").cast("string")).alias("size"))
+    sizes = documents.select(*carry, F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text").cast("string")).alias("size"))
     sizes = ws.keep(sizes, "sizes")
     goal = ws.keep(targets(sizes, schedules, epochs), "targets")
     placed = prefix_sum(sizes, ["source"], ["doc_id", "size"], "size", "before")
@@ -64,15 +64,15 @@ def mix(spark: SparkSession, documents: DataFrame, schedules=SCHEDULES, epochs:
     rows = placed.join(goal, F.col("source").eqNullSafe(F.col("_s")), "inner").withColumn("demand", demand).withColumn("full", whole)
     rows = rows.withColumn("taken", (F.col("full") * F.col("size") + edge).cast("long"))
     rows = rows.withColumn("position", F.when(F.col("taken") > 0, moment(F.col("before") / F.col("demand"), F.col("w_start"), F.col("w_end"))))
-    out = rows.select("doc_id", "size", "source", "source_size", "target", "taken", "position", "before", "demand", "w_start", "w_end")
+    out = rows.select(*carry, "doc_id", "size", "source", "source_size", "target", "taken", "position", "before", "demand", "w_start", "w_end")
     return out.repartitionByRange("position", "doc_id").sortWithinPartitions("position", "doc_id")
 
 
-def copies(mixed: DataFrame) -> DataFrame:
-    """One row for each time a document is read: doc_id, copy, words (below size on the target's edge), position of that copy."""
+def copies(mixed: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row for each time a document is read: doc_id, copy, words (below size on the target's edge), position of that copy; columns to carry come first."""
     many = F.when(F.col("taken") > 0, F.ceil(F.col("taken") / F.col("size"))).otherwise(0).cast("int")
     each = mixed.filter("taken > 0").select("*", F.explode(F.sequence(F.lit(0), many - 1)).alias("copy"))
     spent = (F.col("before") + F.col("copy") * F.col("source_size")) / F.col("demand")
     return each.select(
-        "doc_id", "size", "copy", F.least(F.col("size"), F.col("taken") - F.col("copy") * F.col("size")).alias("words"), moment(spent, F.col("w_start"), F.col("w_end")).alias("position")
+        *carry, "doc_id", "size", "copy", F.least(F.col("size"), F.col("taken") - F.col("copy") * F.col("size")).alias("words"), moment(spent, F.col("w_start"), F.col("w_end")).alias("position")
     )
