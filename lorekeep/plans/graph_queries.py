@@ -239,9 +239,8 @@ def agg_11_stub_gate(spark, sf_dir):
 
 @query(f"WITH {SECTIONS}, w AS (SELECT doc_id, section_no, lead(section_no) OVER o AS nxt, lag(section_no) OVER o AS prv FROM s WINDOW o AS (PARTITION BY doc_id ORDER BY section_no)) SELECT doc_id, section_no, nxt AS target_no, 'next' AS why FROM w WHERE nxt IS NOT NULL UNION ALL SELECT doc_id, section_no, prv, 'previous' FROM w WHERE prv IS NOT NULL")
 def jn_13_see_also(spark, sf_dir):
-    """Neighbouring sections; titles are emptied, so that none is mentioned."""
-    s = sections.sections(pages(spark, sf_dir)).withColumn("title", F.lit(""))
-    return sections.see_also(s).select("doc_id", F.col("section_no").cast("long").alias("section_no"), F.col("target_no").cast("long").alias("target_no"), "why")
+    """Sections that the text mentions by their titles, and neighbouring ones."""
+    return sections.see_also(sections.sections(pages(spark, sf_dir))).select("doc_id", F.col("section_no").cast("long").alias("section_no"), F.col("target_no").cast("long").alias("target_no"), "why")
 
 
 @query("WITH r AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k FROM documents) SELECT doc_id, source || CASE WHEN k + 1 = 1 THEN '' ELSE '-' || (k + 1) END AS id FROM r")

@@ -3,7 +3,8 @@
 import random
 import re
 
-from lorekeep.operators import entity
+from lorekeep.operators import entity, sections
+from lorekeep.plans import graph_queries
 
 
 def test_backlinks_have_no_longest_title(spark):
@@ -27,3 +28,37 @@ def test_backlinks_have_no_longest_title(spark):
     got = [(r.source, r.target) for r in entity.backlinks(c).collect()]
     assert len(got) == len(set(got)) and set(got) == want
     assert {("b14", "t14"), ("in-title", "t11"), ("t9", "same")} <= want and ("linked", "t10") not in want
+
+
+def brute_see_also(rows):
+    """(doc_id, section_no, pos, target_no, why) of rows (doc_id, section_no, title, text), as the reference links siblings."""
+    out = set()
+    for doc in {r[0] for r in rows}:
+        mine = sorted(r[1:] for r in rows if r[0] == doc)
+        for i, (no, _, text) in enumerate(mine):
+            links = [(n, "mentioned") for n, t, _ in mine if n != no and len((t or "").strip()) >= 4 and re.search(r"(?<!\w)" + re.escape(t.strip()) + r"(?!\w)", text or "", re.I)]
+            links += [(mine[k][0], why) for k, why in ((i + 1, "next"), (i - 1, "previous")) if 0 <= k < len(mine)]
+            first: dict = {}
+            for n, why in links:
+                first.setdefault(n, why)
+            out |= {(doc, no, k + 1, n, why) for k, (n, why) in enumerate(list(first.items())[:8])}
+    return out
+
+
+def test_see_also_mentions(spark):
+    """Mentions before neighbours and at most eight, word ends, case, signs in titles, spaces around them, short titles."""
+    titles = ["Alpha beta", "gamma+", " Delta ", "abc", r"end\E(x", "Épée", "Theta", "Iota", "Kappa", "Lambda", "Sigma", "Omega"]
+    texts = [" and ".join(titles), "alphabeta, ALPHA BETA", "gamma+ gamma", "deltas", r"a end\E(x, delta", "épée abc", "kappa_ theta1", "Iota", None, "", "xlambda", "Sigma."]
+    rows = [(1, k, t, x) for k, (t, x) in enumerate(zip(titles, texts, strict=True))] + [(2, 0, "Alone", "alone, Theta"), (3, 0, "Same", "Same"), (3, 4, "Same", "same")]
+    got = [tuple(r) for r in sections.see_also(spark.createDataFrame(rows, "doc_id long, section_no int, title string, text string")).collect()]
+    assert len(got) == len(set(got)) and set(got) == brute_see_also(rows)
+    assert sum(r[:2] == (1, 0) for r in got) == 8 and any(r[4] == "mentioned" for r in got)
+
+
+def test_see_also_query_keeps_titles(spark, tmp_path):
+    text = "Top line\nThe gate\nsee rule of law here\nAnd rule of law\nthe gate again, # The gate\n"
+    spark.createDataFrame([(1, text)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    s = sections.sections(graph_queries.pages(spark, str(tmp_path))).select("doc_id", "section_no", "title", "text").collect()
+    got = {tuple(r) for r in graph_queries.jn_13_see_also(spark, str(tmp_path)).collect()}
+    want = {(d, n, t, why) for d, n, _, t, why in brute_see_also([tuple(r) for r in s])}
+    assert got == want and any(r[3] == "mentioned" for r in got)
