@@ -30,7 +30,7 @@ def fn_29_id_targets(spark, sf_dir):
 
 @query(f"WITH {corpus.SQL}, {tokens_sql('concepts', 'id', FIELDS)} SELECT id, token, CAST(sum(weight) AS BIGINT) AS tf FROM toks WHERE token IN ('thanedble', 'anea', 'en', 'doc') GROUP BY id, token")
 def agg_01_term_frequency(spark, sf_dir):
-    return search.postings(corpus.concepts(spark, sf_dir)).filter(F.col("token").isin("thanedble", "anea", "en", "doc")).select("id", "token", F.col("tf").cast("long").alias("tf"))
+    return search.postings(corpus.concepts(spark, sf_dir)).select("id", "token", F.col("tf").cast("long").alias("tf"))
 
 
 LOG = "# Log\n\n## 2026-02-01\n\n* **Update**: second\n* not an entry\n* **Creation**: first\n\n## 2026-01-15\n\n* **Deprecation**: old: one\n"

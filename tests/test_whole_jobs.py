@@ -2,9 +2,10 @@
 
 import random
 import re
+from collections import Counter
 
 from lorekeep.operators import entity, sections
-from lorekeep.plans import graph_queries
+from lorekeep.plans import fixture_queries, graph_queries
 
 
 def test_backlinks_have_no_longest_title(spark):
@@ -62,3 +63,17 @@ def test_see_also_query_keeps_titles(spark, tmp_path):
     got = {tuple(r) for r in graph_queries.jn_13_see_also(spark, str(tmp_path)).collect()}
     want = {(d, n, t, why) for d, n, _, t, why in brute_see_also([tuple(r) for r in s])}
     assert got == want and any(r[3] == "mentioned" for r in got)
+
+
+def test_term_frequencies_of_all_terms(spark, tmp_path):
+    """Ids and titles count three times, tags twice, bodies once; no term is left out."""
+    texts = {1: "zebra quartz\nzebra onyx", 2: "onyx", 3: "", 4: None}
+    spark.createDataFrame([(k, t, "xx", "src1") for k, t in texts.items()], "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, 1)], "doc_id long, quality int").write.parquet(str(tmp_path / "labels.parquet"))
+    want = Counter()
+    for k, t in texts.items():
+        for part, weight in ((f"doc {k}", 3), ((t or "").split("\n")[0], 3), ("xx", 2), (t or "", 1)):
+            for w in part.split():
+                want[f"doc-{k}", w] += weight
+    got = [tuple(r) for r in fixture_queries.agg_01_term_frequency(spark, str(tmp_path)).collect()]
+    assert {(i, w): n for i, w, n in got} == dict(want) and len(got) == len(want)
