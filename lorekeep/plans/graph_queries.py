@@ -321,9 +321,9 @@ def jn_18_bundle_diff(spark, sf_dir):
 
 @query("SELECT source AS bundle_id, row_number() OVER (PARTITION BY source ORDER BY lower(t), id) AS pos, '* [' || t || '](' || id || '.md)' AS line FROM (SELECT source, 'doc-' || doc_id AS id, CASE WHEN doc_id % 3 = 0 THEN 'doc-' || doc_id ELSE upper(lang) || ' ' || doc_id END AS t FROM documents) WHERE source = 'src1'")
 def snk_04_index_page(spark, sf_dir):
-    d = read(spark, sf_dir, "documents").filter("source = 'src1'")
-    c = d.select(F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("id"), F.when(F.col("doc_id") % 3 != 0, F.concat(F.upper("lang"), F.lit(" "), F.col("doc_id").cast("string"))).alias("title"), F.lit("").alias("description"))
-    return governance.index_page(c).select(F.lit("src1").alias("bundle_id"), "pos", "line")
+    d = read(spark, sf_dir, "documents")
+    c = d.select(F.col("source").alias("bundle_id"), F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("id"), F.when(F.col("doc_id") % 3 != 0, F.concat(F.upper("lang"), F.lit(" "), F.col("doc_id").cast("string"))).alias("title"), F.lit("").alias("description"))
+    return governance.index_page(c, by=("bundle_id",)).select("bundle_id", "pos", "line")
 
 
 @query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")

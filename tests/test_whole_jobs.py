@@ -4,7 +4,7 @@ import random
 import re
 from collections import Counter
 
-from lorekeep.operators import entity, sections
+from lorekeep.operators import entity, governance, sections
 from lorekeep.plans import fixture_queries, graph_queries
 
 
@@ -77,3 +77,23 @@ def test_term_frequencies_of_all_terms(spark, tmp_path):
                 want[f"doc-{k}", w] += weight
     got = [tuple(r) for r in fixture_queries.agg_01_term_frequency(spark, str(tmp_path)).collect()]
     assert {(i, w): n for i, w, n in got} == dict(want) and len(got) == len(want)
+
+
+def test_index_pages_of_all_bundles(spark, tmp_path, monkeypatch):
+    """A hot bundle over many ranges, small ones, a null one, equal titles, no bundle at all and no rows."""
+    monkeypatch.setattr(governance, "RANGES", 9)
+    rng = random.Random(2)
+    rows = [(rng.choice(["hot"] * 8 + ["b", None]), f"x/d{k}", rng.choice(["Same", "same", "Title", None, " ", f"T{k % 50}"]), rng.choice(["", "said"])) for k in range(400)] + [("one", "x/only", "Only", None)]
+    c = spark.createDataFrame(rows, "bundle_id string, id string, title string, description string")
+
+    def brute(rows):
+        shown = [((t if (t or "").strip() else i.split("/")[-1]), i, d) for _, i, t, d in rows]
+        return [(k + 1, i, f"* [{t}]({i}.md)" + (f" - {d}" if d else "")) for k, (t, i, d) in enumerate(sorted(shown, key=lambda r: (r[0].lower(), r[1])))]
+
+    want = {(b, *r) for b in {r[0] for r in rows} for r in brute([r for r in rows if r[0] == b])}
+    assert {tuple(r) for r in governance.index_page(c, by=("bundle_id",)).collect()} == want and len(want) == len(rows)
+    assert sorted(tuple(r) for r in governance.index_page(c).collect()) == brute(rows)
+    assert governance.index_page(c.limit(0), by=("bundle_id",)).count() == 0 and governance.index_page(c.limit(0)).count() == 0
+    spark.createDataFrame([(k, "", "en", f"src{k % 3}") for k in range(9)], "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {(r.bundle_id, r.pos) for r in graph_queries.snk_04_index_page(spark, str(tmp_path)).collect()}
+    assert got == {(f"src{k}", p) for k in range(3) for p in (1, 2, 3)}
