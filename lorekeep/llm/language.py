@@ -15,14 +15,15 @@ import re
 from collections import Counter, defaultdict
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lorekeep.llm.common import sample_key
 
 LETTERS = re.compile(r"[^\W\d_]+")
-#: The fit reads about this many documents of each language, chosen by a hash of the id, and keeps words seen twice or more, at most WORDS of them.
-TRAIN_DOCS, WORDS, LONGEST, CACHE = 800, 40_000, 5, 400_000
+#: The fit reads about this many documents of each language, chosen by a hash of the id, and keeps the WORDS most
+#: frequent words of each; words seen once only among the first SINGLES, for languages of little text.
+TRAIN_DOCS, WORDS, SINGLES, LONGEST, CACHE = 800, 40_000, 1000, 5, 400_000
 
 
 class Model:
@@ -87,11 +88,11 @@ def train(documents: DataFrame, docs: int = TRAIN_DOCS) -> Model:
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
     taken = able.join(F.broadcast(share), "lang").filter(place < F.col("share"))
     words = taken.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0))).alias("word"))
-    counted = words.groupBy("lang", "word").count().filter("count >= 2")
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("count"), "word"))
+    counted = words.groupBy("lang", "word").count().withColumn("rank", rank).filter((F.col("rank") <= WORDS) & ((F.col("count") >= 2) | (F.col("rank") <= SINGLES)))
     counts: dict[str, Counter] = defaultdict(Counter)
-    for lang, word, n in counted.orderBy(F.desc("count"), "lang", "word").limit(WORDS * 8).collect():
-        if len(counts[lang]) < WORDS:
-            counts[lang][word] = n
+    for lang, word, n in counted.select("lang", "word", "count").orderBy(F.desc("count"), "lang", "word").collect():
+        counts[lang][word] = n
     return Model(counts)
 
 
