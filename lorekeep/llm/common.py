@@ -1,8 +1,6 @@
 """Helpers the training-data operators share: shared storage, bounded broadcasts, prefix sums, components."""
 
-import tempfile
 import uuid
-from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -24,12 +22,12 @@ class Workspace:
     """Tables that an operator writes to cut lineage, in the folder spark.checkpoint.dir names.
 
     The folder is shared by the driver and all executors, so a lost executor costs only its running
-    tasks. Where the setting is absent (tests, a laptop) a folder of the driver is used.
+    tasks. Where the setting is absent (tests, a laptop) the warehouse is used, which they share too.
     Everything is deleted when the session ends, or earlier by drop().
     """
 
     def __init__(self, spark: SparkSession, name: str):
-        root = spark.conf.get("spark.checkpoint.dir", None) or self._own_root()
+        root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
         self.spark, self.root = spark, f"{root.rstrip('/')}/lorekeep/{name}-{uuid.uuid4().hex}"
         jvm = spark._jvm
         self._path = jvm.org.apache.hadoop.fs.Path
@@ -37,11 +35,6 @@ class Workspace:
         self._fs.mkdirs(self._path(self.root))
         self._fs.deleteOnExit(self._path(self.root))
 
-    @staticmethod
-    @cache
-    def _own_root() -> str:
-        return tempfile.mkdtemp(prefix="lorekeep-")
-
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 

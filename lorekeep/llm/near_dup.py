@@ -1,17 +1,18 @@
 """Exact n-gram Jaccard join by signature trees, with components instead of pairs.
 
-Method. A document is the set of 64-bit hashes of its word shingles, put in one order for all documents:
-shingles that repeat often come last, the rest by hash. Sets that reach the threshold share one of their first
-n - ceil(threshold * n) + 1, so documents meet in blocks by those. In a block a signature tree is built:
-leaves are documents with a bitmap of their shingles, inner nodes hold the OR of the bitmaps below and the
+Method. A document is the set of 64-bit hashes of its word shingles. In a block of candidates a signature tree is
+built: leaves are documents with a bitmap of their shingles, inner nodes hold the OR of the bitmaps below and the
 range of sizes, and the tree is traversed against itself, dropping pairs of nodes whose largest possible
 overlap is too small. What is left is checked on the whole sets, unless the two are already known to be connected.
+A tree over a whole corpus would prune nothing, its upper bitmaps being full, so blocks come first.
 
-The order only decides how many candidates there are, never which links are found. Repeats are counted over all
-documents, batch by batch; then shingles that still gather more than FEW documents are moved to the end as well,
-in up to ROUNDS rounds; the FREQUENT most frequent ones are sent to all tasks (8 bytes each).
-Before blocks are formed, pairs from small buckets are held against bitmaps of 2 to 4 bits a shingle: the
-largest overlap these allow must reach the threshold, so that passages many documents share don't join blocks.
+Blocks. All sets are put in one order, rare shingles first; sets that reach the threshold share one of their first
+n - ceil(threshold * n) + 1. The order: hashes below a cut (SPREAD times the share that may differ), by the number of
+documents that have them; then the others by hash. Numbers of documents are counted exactly, by hash, for the hashes below the cut;
+one that a batch holds HOT times counts as the most frequent without being counted. A shingle of one document only takes its place in the
+order and meets nothing, so documents that merely share passages meet nowhere. Documents that meet are held
+against each other's size, the places of the shingle in both orders, and 512 parity bits of each set, whose Hamming
+distance is at most the number of shingles in which two sets differ. The order decides only how many candidates there are, never which links are found.
 
 Skew. Equal sets are one representative. Of a bucket over FEW documents a batch sends FEW + 1
 (all become star edges where they are, as does a bucket over FEW in all). Blocks over TILE documents are cut into tiles that share
@@ -20,11 +21,12 @@ copies that is connected costs as much as its tiles. No pair of documents is dro
 
 Defined cases. Null or empty texts, or texts of white space, have the empty set and link with nothing
 (component_id is their own id). A text with fewer words than a shingle is one shingle. Rows that share a
-doc_id are one vertex; a null doc_id is linked only through an equal set. Columns besides doc_id and text are ignored.
+doc_id are one vertex, with the links of each; a null doc_id is linked only through an equal set. Columns besides doc_id and text are ignored.
 Two different shingles share a hash with probability 2^-64; two sets a digest with 2^-128.
 """
 
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -33,18 +35,22 @@ from pyspark.sql import functions as F
 
 from lorekeep.llm.common import Workspace, components, small
 
-TILE, TILE_SHINGLES, PIVOTS, FAN, FEW = 256, 4_000_000, 8, 4, 48
-#: A shingle is frequent if batches of REPEATS shingles in which it is there LOCAL times or more hold it OFTEN times in all.
-LOCAL, OFTEN, REPEATS, FREQUENT, ROUNDS = 3, 24, 2_000_000, 1_000_000, 2
-#: Bytes hashed at once; signatures sorted at once; signatures of one part of the exchange.
-BLOCK, FLUSH, PART = 1 << 20, 1_000_000, 4_000_000
+TILE, TILE_SHINGLES, PIVOTS, FAN, FEW = 256, 4_000_000, 8, 4, 32
+#: Hashes are counted up to SPREAD times the share of a set that may differ; of HOT in a batch only the hash is sent.
+SPREAD, HOT = 2.5, 64
+#: Bytes and rows hashed at once; shingles sent at once; entries of one part of an exchange.
+BLOCK, ROWS, FLUSH, PART = 1 << 20, 1024, 1_000_000, 2_000_000
+#: Levels of the order: by the logarithm of the number of documents, hot hashes, hashes that aren't counted.
+TOP, LAST = 250, 255
 
 _U = np.uint64
 _RNG = np.random.default_rng(20240229)
 _BYTE = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64) * _U(2) + _U(1)
+_BYTE[65:91] = _BYTE[97:123]  # A-Z count as a-z
 _STEP = [_U(int(x) | 1) for x in _RNG.integers(1, 1 << 63, 64, dtype=np.uint64)]
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
+_RADIX = int(_STEP[0])
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -54,141 +60,325 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(33))
 
 
+@cache
+def _powers(inverse: bool) -> np.ndarray:
+    """Powers 0..BLOCK of the radix modulo 2^64, or of its inverse."""
+    step = pow(_RADIX, -1, 1 << 64) if inverse else _RADIX
+    return np.cumprod(np.concatenate([[_U(1)], np.full(BLOCK, step, _U)]), dtype=_U)
+
+
+def _spans(data: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and polynomial of each word of data; words end at cuts too."""
+    word = ~_SPACE[data]
+    first, last = word.copy(), word.copy()
+    first[1:] &= ~word[:-1]
+    last[:-1] &= ~word[1:]
+    cuts = cuts[(cuts > 0) & (cuts < len(data))]
+    first[cuts], last[cuts - 1] = word[cuts], word[cuts - 1]
+    starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
+    upto = np.zeros(len(data) + 1, _U)
+    np.cumsum(_BYTE[data] * _powers(False)[: len(data)], out=upto[1:])
+    return starts, ends, (upto[ends] - upto[starts]) * _powers(True)[starts]
+
+
 def word_hashes(data: bytes) -> np.ndarray:
-    """Hashes of the words of data, whose A-Z count as a-z. Long data is taken in blocks cut at white space."""
-    parts, at = [], 0
-    while at < len(data):
-        stop = min(len(data), at + BLOCK)
-        while stop < len(data) and not _SPACE[data[stop]]:
-            stop += 1
-        parts.append(_hashes(np.frombuffer(data[at:stop].lower(), np.uint8)))
-        at = stop
+    """Hashes of the words of data, whose A-Z count as a-z. Long data is taken in blocks; a word may span any number of them."""
+    parts, held, length = [], 0, 0
+    view = np.frombuffer(data, np.uint8)
+    for at in range(0, len(view), BLOCK):
+        block = view[at : at + BLOCK]
+        starts, ends, values = _spans(block, np.zeros(0, np.int64))
+        sizes = (ends - starts).astype(_U)
+        if length:  # the last block ended inside a word
+            if len(starts) and starts[0] == 0:
+                values[0] = _U((held + pow(_RADIX, length, 1 << 64) * int(values[0])) % (1 << 64))
+                sizes[0] += _U(length)
+            else:
+                parts.append(_finish(np.array([held], _U), np.array([length], _U)))
+        length = 0
+        if len(ends) and ends[-1] == len(block):
+            held, length = int(values[-1]), int(sizes[-1])
+            values, sizes = values[:-1], sizes[:-1]
+        parts.append(_finish(values, sizes))
+    if length:
+        parts.append(_finish(np.array([held], _U), np.array([length], _U)))
     return np.concatenate(parts) if parts else np.zeros(0, _U)
 
 
-def _hashes(data: np.ndarray) -> np.ndarray:
-    inside = np.concatenate([[False], ~_SPACE[data], [False]])
-    edges = np.flatnonzero(inside[1:] != inside[:-1])
-    starts, lengths = edges[::2], edges[1::2] - edges[::2]
-    if not len(starts):
-        return np.zeros(0, _U)
-    first = np.cumsum(lengths) - lengths
-    place = np.arange(int(lengths.sum())) - np.repeat(first, lengths)
-    with np.errstate(over="ignore"):
-        power = np.cumprod(np.concatenate([[_U(1)], np.full(int(lengths.max()) - 1, _STEP[0])]).astype(_U))
-        value = _BYTE[data[inside[1:-1]]] * power[place]
-        return mixed(np.add.reduceat(value, first) + lengths.astype(_U) * _STEP[1])
+def _finish(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    return mixed(values + sizes * _STEP[1])
+
+
+def _shingled(words: np.ndarray, take: int) -> np.ndarray:
+    """Hashes of every run of take words."""
+    n = len(words) - take + 1
+    total = np.full(n, _STEP[40 + take % 20] * _U(take))
+    for k in range(take):
+        total += words[k : n + k] * _STEP[2 + k % 32]
+    return mixed(total)
 
 
 def shingle_set(text: bytes | None, shingle: int) -> np.ndarray:
     """The sorted distinct shingle hashes of a text."""
-    words = word_hashes(text or b"")
-    if not len(words):
-        return words
-    take = min(shingle, len(words))
     with np.errstate(over="ignore"):
-        total = np.full(len(words) - take + 1, _STEP[40 + take % 20] * _U(take))
-        for k in range(take):
-            total = total + words[k : len(words) - take + 1 + k] * _STEP[2 + k % 32]
-            total = mixed(total)
-        return np.unique(total)
-
+        words = word_hashes(b"" if text is None else text)
+        return np.unique(_shingled(words, min(shingle, len(words)))) if len(words) else words
+
+
+def shingle_sets(texts: pa.Array, shingle: int) -> Iterator[list[np.ndarray]]:
+    """shingle_set of each text, in lists of at most ROWS texts and about BLOCK bytes."""
+    if not len(texts):
+        return
+    texts = texts.cast(pa.binary()).fill_null(b"")
+    ends = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    raw = texts.buffers()[2]
+    data = np.frombuffer(raw, np.uint8) if raw is not None and raw.size else np.zeros(0, np.uint8)
+    row = 0
+    while row < len(texts):
+        stop = min(row + ROWS, int(np.searchsorted(ends, ends[row] + BLOCK, "right")) - 1)
+        if stop <= row:
+            yield [shingle_set(data[ends[row] : ends[row + 1]], shingle)]
+            row += 1
+        else:
+            yield _chunk(data[ends[row] : ends[stop]], ends[row : stop + 1] - ends[row], shingle)
+            row = stop
+
+
+def _chunk(data: np.ndarray, bounds: np.ndarray, shingle: int) -> list[np.ndarray]:
+    sets = [np.zeros(0, _U)] * (len(bounds) - 1)
+    with np.errstate(over="ignore"):
+        starts, ends, values = _spans(data, bounds)
+        if not len(starts):
+            return sets
+        words = _finish(values, (ends - starts).astype(_U))
+        at = np.searchsorted(starts, bounds)  # words before each document
+        count = np.diff(at)
+        if len(words) >= shingle:
+            runs = _shingled(words, shingle)
+            for i in np.flatnonzero(count >= shingle).tolist():
+                found = np.sort(runs[at[i] : at[i + 1] - shingle + 1])
+                sets[i] = found if len(found) < 2 else found[np.concatenate([[True], found[1:] != found[:-1]])]
+        for take in range(1, shingle):
+            for i in np.flatnonzero(count == take).tolist():
+                sets[i] = _shingled(words[at[i] : at[i + 1]], take)
+    return sets
+
+
+def _sums(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Sums modulo 2^64 of consecutive runs of values."""
+    upto = np.zeros(len(values) + 1, _U)
+    np.cumsum(values, out=upto[1:])
+    ends = np.cumsum(sizes)
+    return upto[ends] - upto[ends - sizes]
+
+
+def parities(sets: list[np.ndarray]) -> np.ndarray:
+    """512 bits a set, as rows of 64 bytes: whether an odd number of its hashes fall on a bit."""
+    sizes = np.array([len(s) for s in sets])
+    where = np.repeat(np.arange(len(sets)) * 512, sizes) + (np.concatenate(sets) >> _U(55)).astype(np.int64)
+    return np.packbits((np.bincount(where, minlength=512 * len(sets)) & 1).astype(bool).reshape(-1, 512), axis=1)
+
+
+def may_link(x: np.ndarray, y: np.ndarray, nx: np.ndarray, ny: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sets of these parities and sizes may reach the threshold."""
+    apart = np.bitwise_count(x.view(_U).reshape(-1, 8) ^ y.view(_U).reshape(-1, 8)).sum(1, dtype=np.int64)
+    return apart * (100 + percent) <= (100 - percent) * (nx + ny)
 
-def signatures(found: np.ndarray, percent: int, frequent: np.ndarray) -> np.ndarray:
-    """The first shingles in the common order; any two sets that reach the threshold have one of them in common."""
-    n = len(found)
-    take = n + percent * n // -100 + 1
-    if not n or not len(frequent):
-        return found[: take if n else 0]
-    often = frequent[np.minimum(np.searchsorted(frequent, found), len(frequent) - 1)] == found
-    return np.concatenate([found[~often], found[often]])[:take]
 
+def _signed(x) -> np.ndarray:
+    return np.asarray(x, _U).view(np.int64)
 
-def repeated(documents: DataFrame, shingle: int) -> np.ndarray:
-    """The sorted hashes of frequent shingles."""
 
-    def run(batches):
-        def counts(sets):
-            values, n = np.unique(np.concatenate(sets), return_counts=True)
-            keep = n >= LOCAL
-            return pa.RecordBatch.from_arrays([pa.array(_signed(values[keep])), pa.array(n[keep])], ["h", "n"])
+def _part(x: np.ndarray, parts: int) -> np.ndarray:
+    """A part for each 64-bit value."""
+    with np.errstate(over="ignore"):
+        return ((mixed(x.view(_U)) >> _U(32)) * _U(parts) >> _U(32)).astype(np.int64)
 
-        sets, held = [], 0
-        for batch in batches:
-            for text in batch.column(0).cast(pa.binary()):
-                sets.append(shingle_set(text.as_py(), shingle))
-                held += len(sets[-1])
-                if held >= REPEATS:
-                    yield counts(sets)
-                    sets, held = [], 0
-        if sets:
-            yield counts(sets)
-
-    counted = documents.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-    top = counted.filter(F.col("n") >= OFTEN).orderBy(F.desc("n"), "h").limit(FREQUENT).select("h").toPandas()
-    return np.sort(top["h"].to_numpy(np.int64).view(_U))
-
-
-def bitmap(found: np.ndarray) -> bytes:
-    """A power of two of bits, 2 to 4 for each shingle; the top bits of a hash choose its bit."""
-    width = max(6, int(2 * len(found) - 1).bit_length())
-    out = np.zeros(1 << width, bool)
-    out[(found >> _U(64 - width)).astype(np.int64)] = True
-    return np.packbits(out).tobytes()
-
-
-def overlap_allows(a: bytes, b: bytes, na: int, nb: int, percent: int) -> bool:
-    """Whether sets of these sizes and bitmaps may reach the threshold. The wider bitmap is folded to the other's width."""
-    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
-    while len(x) != len(y):
-        wide = x if len(x) > len(y) else y
-        wide = np.packbits(np.unpackbits(wide).reshape(-1, 2).any(1))
-        x, y = (wide, y) if len(x) > len(y) else (x, wide)
-    spill = min(na - int(np.bitwise_count(x).sum()), nb - int(np.bitwise_count(y).sum()))
-    most = min(na, nb, int(np.bitwise_count(x & y).sum()) + spill)
-    return most * (100 + percent) >= percent * (na + nb)
 
+def _facts(sets: list[np.ndarray], ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Size, two digests, and a key made of id and digests, of each set."""
+    sizes = np.array([len(s) for s in sets])
+    found = np.concatenate(sets)
+    with np.errstate(over="ignore"):
+        d1, d2 = (_sums(mixed(found ^ _STEP[k]), sizes) for k in (60, 61))
+        return sizes, d1, d2, mixed(mixed(d1 + ids.view(_U) * _STEP[62]) ^ d2)
 
-def _signed(x) -> np.ndarray:
-    return np.asarray(x, _U).view(np.int64)
 
+def _ids(column: pa.Array) -> np.ndarray:
+    return column.fill_null(0).to_numpy().astype(np.int64)
 
-def describe(documents: DataFrame, shingle: int, percent: int, frequent: np.ndarray) -> DataFrame:
-    """doc_id, n (size of the set), d1 and d2 (its digest), sigs (its signatures), bits (its bitmap)."""
 
-    sent = documents.sparkSession.sparkContext.broadcast(frequent)
+def describe(documents: DataFrame, shingle: int) -> DataFrame:
+    """doc_id, n (size of the set), d1 and d2 (its digest), key (of id and digest), parity."""
+    names = ["doc_id", "n", "d1", "d2", "key", "parity"]
 
     def run(batches):
-        often = sent.value
         for batch in batches:
-            texts = batch.column(1).cast(pa.binary())
-            n, d1, d2, sigs, bits = [], [], [], [], []
-            for text in texts:
-                found = shingle_set(text.as_py(), shingle)
-                n.append(len(found))
-                with np.errstate(over="ignore"):
-                    d1.append(mixed(found ^ _STEP[60]).sum(dtype=_U))
-                    d2.append(mixed(found ^ _STEP[61]).sum(dtype=_U))
-                sigs.append(signatures(found, percent, often).tobytes())
-                bits.append(bitmap(found))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(_signed(d1)), pa.array(_signed(d2)), pa.array(sigs, pa.binary()), pa.array(bits, pa.binary())], ["doc_id", "n", "d1", "d2", "sigs", "bits"])
+            row = 0
+            for sets in shingle_sets(batch.column(1), shingle):
+                column = batch.column(0).slice(row, len(sets))
+                row += len(sets)
+                n, d1, d2, key = _facts(sets, _ids(column))
+                bits = parities(sets)
+                parity = pa.Array.from_buffers(pa.binary(), len(sets), [None, pa.py_buffer(np.arange(0, 64 * len(sets) + 1, 64, dtype=np.int32)), pa.py_buffer(bits.tobytes())])
+                yield pa.RecordBatch.from_arrays([column, pa.array(n, pa.int64()), *(pa.array(_signed(x)) for x in (d1, d2, key)), parity], names)
 
     slim = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return slim.mapInArrow(run, "doc_id long, n long, d1 long, d2 long, sigs binary, bits binary")
+    return slim.mapInArrow(run, "doc_id long, n long, d1 long, d2 long, key long, parity binary")
+
+
+#: Rows of the exchanges. Kinds: shingles to count; hot hashes; documents (nodes, sizes, counted shingles); places in the order (levels).
+_SENT = "part long, kind int, a binary, b binary, c binary"
+_COUNT, _MARK, _DOC, _PLACE = range(4)
+
+
+def _batch(rows: list[tuple], columns: str) -> pa.RecordBatch:
+    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
+    names = [c.split() for c in columns.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kinds[t]) for i, (_, t) in enumerate(names)], [n for n, _ in names])
+
+
+def _dealt(part: np.ndarray, *columns: np.ndarray) -> Iterator[tuple]:
+    """(part, its rows of each column) of every part there is."""
+    order = np.argsort(part, kind="stable")
+    part, columns = part[order], [c[order] for c in columns]
+    cut = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1], [True]])) if len(part) else np.zeros(1, int)
+    for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+        yield (int(part[a]), *(c[a:b] for c in columns))
+
+
+def _placed(nodes: np.ndarray, hashes: np.ndarray, levels: np.ndarray, parts: int) -> list[tuple]:
+    return [(p, _PLACE, h.tobytes(), d.tobytes(), v.tobytes()) for p, h, d, v in _dealt(_part(nodes, parts), hashes, nodes, levels)]
+
+
+def send(texts: DataFrame, shingle: int, percent: int, parts: int) -> DataFrame:
+    """What documents (doc_id, twin, text) send to be counted and placed. Documents of a doubled id (twin) go by their key."""
+    cut = _U(min((1 << 64) - 1, int(SPREAD * (100 - percent) / 100 * (1 << 64))))
+    below = lambda s: int(np.searchsorted(s, cut))
+
+    def flush(sets: list[np.ndarray], nodes: np.ndarray) -> pa.RecordBatch:
+        size, low = np.array([len(s) for s in sets]), np.array([below(s) for s in sets])
+        first = size + percent * size // -100 + 1
+        rows = [(p, _DOC, d.tobytes(), n.tobytes(), c.tobytes()) for p, d, n, c in _dealt(_part(nodes, parts), nodes, size, low)]
+        late = [s[k : max(k, t)] for s, k, t in zip(sets, low.tolist(), first.tolist(), strict=True)]
+        hashes, owner = np.concatenate(late), np.repeat(nodes, [len(x) for x in late])
+        rows += _placed(owner, hashes, np.full(len(hashes), LAST, np.uint8), parts)
+        hashes, owner = np.concatenate([s[:k] for s, k in zip(sets, low.tolist(), strict=True)]), np.repeat(nodes, low)
+        order = np.argsort(hashes)
+        hashes, owner = hashes[order], owner[order]
+        start = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]])) if len(hashes) else np.zeros(0, int)
+        times = np.diff(np.append(start, len(hashes)))
+        rows += [(p, _MARK, h.tobytes(), b"", b"") for p, h in _dealt(_part(hashes[start[times >= HOT]], parts), hashes[start[times >= HOT]])]
+        hot = np.repeat(times >= HOT, times)
+        rows += _placed(owner[hot], hashes[hot], np.full(int(hot.sum()), TOP, np.uint8), parts)
+        for p, h, d in _dealt(_part(hashes[~hot], parts), hashes[~hot], owner[~hot]):
+            who, index = np.unique(d, return_inverse=True)
+            rows.append((p, _COUNT, h.tobytes(), who.tobytes(), index.astype(np.uint16 if len(who) <= 1 << 16 else np.uint32).tobytes()))
+        return _batch(rows, _SENT)
+
+    def run(batches):
+        held, nodes, n = [], [], 0
+        for batch in batches:
+            row = 0
+            for sets in shingle_sets(batch.column(2), shingle):
+                ids, twin = _ids(batch.column(0).slice(row, len(sets))), batch.column(1).slice(row, len(sets)).to_numpy(zero_copy_only=False).astype(bool)
+                row += len(sets)
+                node = np.where(twin, _signed(_facts(sets, ids)[3]), ids) if twin.any() else ids
+                there = [i for i, s in enumerate(sets) if len(s)]
+                held += [sets[i] for i in there]
+                nodes.append(node[there])
+                n += sum(len(s) for s in sets)
+                if n >= FLUSH:
+                    yield flush(held, np.concatenate(nodes))
+                    held, nodes, n = [], [], 0
+        if held:
+            yield flush(held, np.concatenate(nodes))
+
+    return texts.select("doc_id", "twin", "text").mapInArrow(run, _SENT)
+
+
+def _runs(batches) -> Iterator[list[tuple]]:
+    """Rows of batches sorted by their first column, by runs of it."""
+    held: list[tuple] = []
+    for batch in batches:
+        for row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            if held and held[0][0] != row[0]:
+                yield held
+                held = []
+            held.append(row)
+    if held:
+        yield held
+
+
+def _join(parts, kind) -> np.ndarray:
+    return np.frombuffer(b"".join(parts), kind)
+
+
+def _by_part(sent: DataFrame, parts: int) -> DataFrame:
+    return sent.repartition(parts, "part").sortWithinPartitions("part")
 
 
-def _meet(sigs: np.ndarray, docs: np.ndarray, forward: bool) -> tuple[np.ndarray, ...]:
-    """Of documents with equal signatures: (signatures and documents to send on, star edges of large buckets, pairs of small ones).
+def levels(sent: DataFrame, parts: int) -> DataFrame:
+    """The places of shingles that more than one document has, instead of those that were to be counted."""
+
+    def run(batches):
+        for rows in _runs(batches):
+            on = [r for r in rows if r[1] in (_DOC, _PLACE)]
+            for k in range(0, len(on), 512):
+                yield _batch(on[k : k + 512], _SENT)
+            some = [r for r in rows if r[1] == _COUNT]
+            if not some:
+                continue
+            hashes = _join([r[2] for r in some], _U)
+            nodes = np.concatenate([(who := _join([r[3]], np.int64))[_join([r[4]], np.uint16 if len(who) <= 1 << 16 else np.uint32)] for r in some])
+            order = np.argsort(hashes)
+            hashes, nodes = hashes[order], nodes[order]
+            first = np.concatenate([[True], hashes[1:] != hashes[:-1]])
+            start = np.flatnonzero(first)
+            times = np.diff(np.append(start, len(hashes)))
+            level = np.minimum(TOP - 1, 8 * np.log2(times)).astype(np.uint8)
+            level[np.isin(hashes[start], _join([r[2] for r in rows if r[1] == _MARK], _U))] = TOP
+            each = np.repeat(level, times)
+            more = each > 0
+            if more.any():
+                yield _batch(_placed(nodes[more], hashes[more], each[more], parts), _SENT)
+
+    return _by_part(sent, parts).mapInArrow(run, _SENT)
+
+
+#: Signatures of an exchange: hashes, nodes, (size, place) of each; or star edges.
+_PACK = "part long, sigs binary, docs binary, facts binary, ends binary"
+
+
+def first_places(nodes: np.ndarray, size: np.ndarray, counted: np.ndarray, hashes: np.ndarray, owner: np.ndarray, level: np.ndarray, percent: int) -> tuple[np.ndarray, ...]:
+    """(hash, node, size, place) of the shared shingles among the first of each node. nodes, size, counted: a row a node; the others a row a place."""
+    nodes, one = np.unique(nodes, return_index=True)
+    size, counted = size[one], counted[one]
+    order = np.lexsort((hashes, level, owner))
+    hashes, owner, level = hashes[order], owner[order], level[order]
+    if len(hashes):
+        new = np.concatenate([[True], (owner[1:] != owner[:-1]) | (hashes[1:] != hashes[:-1])])
+        hashes, owner, level = hashes[new], owner[new], level[new]
+    at = np.searchsorted(nodes, owner)
+    shared = np.bincount(at[level < LAST], minlength=len(nodes))
+    start = np.searchsorted(owner, nodes)
+    place = np.arange(len(owner)) - start[at] + (counted - shared)[at]
+    keep = place < (size + percent * size // -100 + 1)[at]
+    return hashes[keep], owner[keep], size[at[keep]], place[keep]
+
+
+def _meet(sigs: np.ndarray, docs: np.ndarray, facts: np.ndarray, percent: int, forward: bool) -> tuple[np.ndarray, ...]:
+    """Of documents with equal signatures: (signatures, documents and facts to send on, star edges of large buckets, pairs of small ones).
 
     With forward, small buckets are sent on whole and of large ones FEW + 1 documents; pairs are left to the receiver.
     """
     order = np.lexsort((docs, sigs))
-    sigs, docs = sigs[order], docs[order]
+    sigs, docs, facts = sigs[order], docs[order], facts[order]
     none = np.zeros((0, 2), np.int64)
     if not len(sigs):
-        return sigs, docs, none, none
+        return sigs, docs, facts, none, none
     new = np.concatenate([[True], (sigs[1:] != sigs[:-1]) | (docs[1:] != docs[:-1])])
-    sigs, docs = sigs[new], docs[new]
+    sigs, docs, facts = sigs[new], docs[new], facts[new]
     first = np.concatenate([[True], sigs[1:] != sigs[:-1]])
     start = np.flatnonzero(first)
     size = np.diff(np.append(start, len(sigs)))
@@ -197,59 +387,35 @@ def _meet(sigs: np.ndarray, docs: np.ndarray, forward: bool) -> tuple[np.ndarray
     star = np.unique(np.stack([hub, docs], 1)[large & ~first], axis=0) if large.any() else none
     if forward:
         kept = ~large | (np.arange(len(sigs)) - np.repeat(start, size) <= FEW)  # enough to show that it is large
-        return sigs[kept], docs[kept], star, none
+        return sigs[kept], docs[kept], facts[kept], star, none
     pairs = [none]
     for m in np.unique(size[(size > 1) & (size <= FEW)]).tolist():
-        rows = docs[start[size == m][:, None] + np.arange(m)]
+        rows = start[size == m][:, None] + np.arange(m)
         i, j = np.triu_indices(m, 1)
-        pairs.append(np.unique(np.stack([rows[:, i].ravel(), rows[:, j].ravel()], 1), axis=0))
-    return sigs, docs, star, np.unique(np.concatenate(pairs), axis=0)
-
-
-_PACK = "part long, sigs binary, docs binary, ends binary"
+        i, j = rows[:, i].ravel(), rows[:, j].ravel()
+        (ni, pi), (nj, pj) = facts[i].T, facts[j].T
+        # where two sets meet first, all places before are shingles of one of them only
+        able = ((pi + pj) * (100 + percent) <= (100 - percent) * (ni + nj)) & (100 * ni >= percent * nj) & (100 * nj >= percent * ni)
+        pairs.append(np.stack([docs[i[able]], docs[j[able]]], 1))
+    return sigs, docs, facts, star, np.unique(np.concatenate(pairs), axis=0)
 
 
-def pack(described: DataFrame, parts: int) -> DataFrame:
-    """Signatures of a batch of documents, sorted, dealt by range over parts; star edges of equal ones go along."""
-    names = [c.split()[0] for c in _PACK.split(", ")]
-
-    def flush(sigs, docs) -> pa.RecordBatch:
-        s, d, edges, _ = _meet(np.concatenate(sigs), np.concatenate(docs), True)
-        part = (s >> _U(32)) * _U(parts) >> _U(32)
-        cut = np.concatenate([[0], np.flatnonzero(part[1:] != part[:-1]) + 1, [len(s)]]) if len(s) else np.zeros(1, int)
-        rows = [(int(part[a]), s[a:b].tobytes(), d[a:b].tobytes(), b"") for a, b in zip(cut[:-1], cut[1:], strict=True)]
-        for k in range(0, len(edges), 4096):
-            rows.append((int(edges[k, 0] + edges[k, 1]) % parts, b"", b"", edges[k : k + 4096].tobytes()))
-        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.binary(), pa.binary(), pa.binary()))], names)
+def place(levelled: DataFrame, percent: int, parts: int) -> DataFrame:
+    """Signatures of documents by part; star edges of equal ones go along."""
 
     def run(batches):
-        sigs, docs, held = [], [], 0
-        for batch in batches:
-            for doc, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                found = np.frombuffer(raw.as_buffer(), _U) if raw.is_valid and len(raw.as_buffer()) else np.zeros(0, _U)
-                sigs.append(found)
-                docs.append(np.full(len(found), doc, np.int64))
-                held += len(found)
-                if held >= FLUSH:
-                    yield flush(sigs, docs)
-                    sigs, docs, held = [], [], 0
-        if held:
-            yield flush(sigs, docs)
-
-    return described.select("doc_id", "sigs").mapInArrow(run, _PACK)
+        for rows in _runs(batches):
+            some, at = [r for r in rows if r[1] == _DOC], [r for r in rows if r[1] == _PLACE]
+            nodes, size, counted = (_join([r[k] for r in some], np.int64) for k in (2, 3, 4))
+            sigs, docs, n, where = first_places(nodes, size, counted, _join([r[2] for r in at], _U), _join([r[3] for r in at], np.int64), _join([r[4] for r in at], np.uint8), percent)
+            sigs, docs, facts, star, _ = _meet(sigs, docs, np.stack([n, where], 1).astype(np.int64), percent, True)
+            out = [(p, s.tobytes(), d.tobytes(), f.astype(np.uint32).tobytes(), b"") for p, s, d, f in _dealt(_part(sigs, parts), sigs, docs, facts)]
+            for k in range(0, len(star), 4096):
+                out.append((int(star[k, 0] + star[k, 1]) % parts, b"", b"", b"", star[k : k + 4096].tobytes()))
+            for k in range(0, len(out), 512):
+                yield _batch(out[k : k + 512], _PACK)
 
-
-def _runs(batches, key: int = 0) -> Iterator[list[tuple]]:
-    """Rows of sorted batches, by runs of equal values in column `key`."""
-    held: list[tuple] = []
-    for batch in batches:
-        for row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-            if held and held[0][key] != row[key]:
-                yield held
-                held = []
-            held.append(row)
-    if held:
-        yield held
+    return _by_part(levelled, parts).mapInArrow(run, _PACK)
 
 
 def _pairs(edges: np.ndarray, *more) -> pa.RecordBatch:
@@ -257,56 +423,35 @@ def _pairs(edges: np.ndarray, *more) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(columns, ["a", "b", "sure"][: len(columns)])
 
 
-def shared(packed: DataFrame, partitions: int) -> DataFrame:
-    """(a, b, sure): pairs of documents with an equal signature; of large buckets, edges that connect them all, marked sure."""
+def meeting(packed: DataFrame, percent: int, parts: int) -> DataFrame:
+    """(a, b, sure): pairs of documents that meet and may link; of large buckets, edges that connect them all, marked sure."""
 
     def run(batches):
         for rows in _runs(batches):
-            sigs = np.frombuffer(b"".join(r[1] for r in rows), _U)
-            docs = np.frombuffer(b"".join(r[2] for r in rows), np.int64)
-            ends = np.frombuffer(b"".join(r[3] for r in rows), np.int64).reshape(-1, 2)
-            _, _, star, pairs = _meet(sigs, docs, False)
+            facts, ends = _join([r[3] for r in rows], np.uint32).reshape(-1, 2).astype(np.int64), _join([r[4] for r in rows], np.int64).reshape(-1, 2)
+            _, _, _, star, pairs = _meet(_join([r[1] for r in rows], _U), _join([r[2] for r in rows], np.int64), facts, percent, False)
             for edges, sure in ((np.unique(np.concatenate([star, ends]), axis=0), True), (pairs, False)):
                 for k in range(0, len(edges), 100_000):
                     part = edges[k : k + 100_000]
                     yield _pairs(part, pa.array(np.full(len(part), sure)))
 
-    return packed.repartition(partitions, "part").sortWithinPartitions("part").mapInArrow(run, "a long, b long, sure boolean")
+    return _by_part(packed, parts).mapInArrow(run, "a long, b long, sure boolean")
 
 
-def crowded(packed: DataFrame, partitions: int, known: np.ndarray) -> np.ndarray:
-    """Signatures of large buckets that aren't among the known ones, the largest FREQUENT of them."""
-
-    def run(batches):
-        for rows in _runs(batches):
-            sigs, docs = np.frombuffer(b"".join(r[1] for r in rows), _U), np.frombuffer(b"".join(r[2] for r in rows), np.int64)
-            pairs = np.unique(np.stack([sigs, docs.view(_U)], 1), axis=0)
-            values, n = np.unique(pairs[:, 0], return_counts=True)
-            keep = n > FEW
-            if keep.any():
-                yield pa.RecordBatch.from_arrays([pa.array(_signed(values[keep])), pa.array(n[keep])], ["h", "n"])
-
-    found = packed.repartition(partitions, "part").sortWithinPartitions("part").mapInArrow(run, "h long, n long")
-    top = found.orderBy(F.desc("n"), "h").limit(FREQUENT).select("h").toPandas()
-    return np.setdiff1d(top["h"].to_numpy(np.int64).view(_U), known)
-
-
-def plausible(pairs: DataFrame, described: DataFrame, percent: int) -> DataFrame:
-    """Pairs whose bitmaps allow the overlap, and the sure ones. described: one row a document at least."""
+def plausible(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """Pairs whose parities allow a link, and the sure ones. nodes: node, n, parity."""
 
     def run(batches):
         for batch in batches:
             a, b, na, nb = (c.to_numpy() for c in batch.columns[:4])
-            x, y = batch.column(4).to_pylist(), batch.column(5).to_pylist()
-            keep = np.array([overlap_allows(*r, percent) for r in zip(x, y, na.tolist(), nb.tolist(), strict=True)], bool)
+            x, y = (_join(batch.column(k).to_pylist(), np.uint8) for k in (4, 5))
+            keep = may_link(x, y, na, nb, percent)
             if keep.any():
                 yield _pairs(np.stack([a[keep], b[keep]], 1))
 
-    maps = described.select("doc_id", "n", "bits")
-    left = maps.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("bits").alias("xa"))
-    right = maps.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("xb"))
-    sized = (F.col("na") * 100 >= F.col("nb") * percent) & (F.col("nb") * 100 >= F.col("na") * percent)
-    full = pairs.filter("not sure").select("a", "b").join(left, "a").join(right, "b").filter(sized)
+    left = nodes.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("parity").alias("xa"))
+    right = nodes.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("parity").alias("xb"))
+    full = pairs.filter("not sure").select("a", "b").join(left, "a").join(right, "b")
     return full.select("a", "b", "na", "nb", "xa", "xb").mapInArrow(run, "a long, b long").union(pairs.filter("sure").select("a", "b"))
 
 
@@ -387,41 +532,57 @@ def linked(ids: list[int], labels: list[int], sets: list[np.ndarray], percent: i
     return edges
 
 
-def _sets(documents: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
-    """wanted (unit, node, label) with the sets of its documents."""
+def link_units(texts: DataFrame, wanted: DataFrame, shingle: int, percent: int, partitions: int) -> DataFrame:
+    """Forest edges inside each unit of wanted (unit array<long>, node, label, doc_id). texts: doc_id, twin, text."""
 
-    def run(batches):
+    def sets(batches):
+        """(unit, node, label, set) of each row."""
         for batch in batches:
-            sets = [shingle_set(t.as_py(), shingle).tobytes() for t in batch.column(3).cast(pa.binary())]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(sets, pa.binary())], ["unit", "node", "label", "found"])
-
-    text = documents.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("string").alias("text"))
-    return text.join(wanted, "node").select("unit", "node", "label", "text").mapInArrow(run, "unit array<long>, node long, label long, found binary")
+            units, nodes, labels, ids = (c.to_numpy() for c in batch.columns[:4])
+            row = 0
+            for found in shingle_sets(batch.column(5), shingle):
+                these = slice(row, row + len(found))
+                row += len(found)
+                twin = batch.column(4).to_numpy(zero_copy_only=False).astype(bool)[these]
+                mine = np.where(twin, _signed(_facts(found, ids[these])[3]), ids[these]) == nodes[these]
+                for k in np.flatnonzero(mine).tolist():
+                    yield int(units[these][k]), int(nodes[these][k]), int(labels[these][k]), found[k]
 
+    def run(batches):
+        held: list[tuple] = []
 
-def link_units(documents: DataFrame, wanted: DataFrame, shingle: int, percent: int, partitions: int) -> DataFrame:
-    """Forest edges inside each unit of wanted (unit array<long>, node, label)."""
+        def edges():
+            one = {r[1]: r for r in held}  # rows repeated under one id are one
+            return linked(list(one), [r[2] for r in one.values()], [r[3] for r in one.values()], percent)
 
-    def run(batches):
-        for rows in _runs(batches):
-            sets = [np.frombuffer(r[3], _U) for r in rows]
-            edges = linked([r[1] for r in rows], [r[2] for r in rows], sets, percent)
-            if edges:
-                yield _pairs(np.array(edges, np.int64))
+        out: list[tuple[int, int]] = []
+        for row in sets(batches):
+            if held and held[0][0] != row[0]:
+                out += edges()
+                held = []
+                if len(out) > 10_000:
+                    yield _pairs(np.array(out, np.int64))
+                    out = []
+            held.append(row)
+        out += edges() if held else []
+        if out:
+            yield _pairs(np.array(out, np.int64))
 
-    each = _sets(documents, wanted, shingle).select(F.explode("unit").alias("unit"), "node", "label", "found")
+    each = texts.join(wanted, "doc_id").select(F.explode("unit").alias("unit"), "node", "label", "doc_id", "twin", "text")
     return each.repartition(partitions, "unit").sortWithinPartitions("unit", "node").mapInArrow(run, "a long, b long")
 
 
 def _second_round(members: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """Units for pairs of tiles of a block that hold different components: (unit, node, label). members: block, node, n of large blocks."""
+    """Units for pairs of tiles of a block that hold different components: (unit, node, label, doc_id). members: block, node, doc_id, n of large blocks."""
     rows = members.join(small(labels.select("node", F.col("comp").alias("label"))), "node", "left").withColumn("label", F.coalesce("label", "node"))
-    per = rows.groupBy("block", "label").agg(F.count(F.lit(1)).alias("c"))
-    many = per.groupBy("block").agg(F.count(F.lit(1)).alias("labels"), F.sum(F.when(F.col("c") < TILE, F.col("c")).otherwise(0)).alias("rest"))
-    rows = rows.join(small(many.filter("labels > 1")), "block").join(small(per), ["block", "label"])
-    alone = F.col("c") >= TILE
-    ordinal = lambda c, n: F.pmod(F.xxhash64(c, F.lit(7)), F.ceil(n / TILE))
-    rows = rows.withColumn("owner", F.when(alone, F.col("label"))).withColumn("tile", F.when(alone, ordinal("node", F.col("c"))).otherwise(ordinal("label", F.col("rest"))))
+    per = rows.groupBy("block", "label").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("s"))
+    per = per.withColumn("w", F.ceil(F.greatest(F.col("c") / TILE, F.col("s") / TILE_SHINGLES)))
+    light = lambda c: F.sum(F.when(F.col("w") <= 1, F.col(c)).otherwise(0))
+    many = per.groupBy("block").agg(F.count(F.lit(1)).alias("labels"), F.ceil(F.greatest(light("c") / TILE, light("s") / TILE_SHINGLES, F.lit(1))).alias("rest"))
+    rows = rows.join(small(many.filter("labels > 1")), "block").join(small(per.select("block", "label", "w")), ["block", "label"])
+    alone = F.col("w") > 1
+    ordinal = lambda c, n: F.pmod(F.xxhash64(c, F.lit(7)), n)
+    rows = rows.withColumn("owner", F.when(alone, F.col("label"))).withColumn("tile", F.when(alone, ordinal("node", F.col("w"))).otherwise(ordinal("label", F.col("rest"))))
     rows = rows.withColumn("tile", F.xxhash64("block", F.coalesce("owner", F.lit(-1)), F.col("owner").isNull(), "tile"))
     tiles = rows.groupBy("block", "tile").agg(F.first("owner").alias("owner"), F.min("n").alias("lo"), F.max("n").alias("hi"))
     x, y = tiles.alias("x"), tiles.alias("y")
@@ -429,53 +590,51 @@ def _second_round(members: DataFrame, labels: DataFrame, percent: int) -> DataFr
     meet &= (F.col("x.hi") * 100 >= F.col("y.lo") * percent) & (F.col("y.hi") * 100 >= F.col("x.lo") * percent)
     pairs = x.join(y, meet).select(F.col("x.block").alias("block"), F.xxhash64("x.block", "x.tile", "y.tile").alias("unit"), F.array_distinct(F.array("x.tile", "y.tile")).alias("both"))
     units = pairs.select("block", "unit", F.explode("both").alias("tile"))
-    return rows.join(small(units), ["block", "tile"]).groupBy("node", "label").agg(F.collect_set("unit").alias("unit")).select("unit", "node", "label")
+    return rows.join(small(units), ["block", "tile"]).groupBy("node", "label", "doc_id").agg(F.collect_set("unit").alias("unit")).select("unit", "node", "label", "doc_id")
 
 
 def link(spark: SparkSession, documents: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id of every document; links are 100 * intersection >= percent * union."""
     ws = Workspace(spark, "near-dup")
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    frequent = repeated(documents, shingle)
-    for k in range(ROUNDS + 1):
-        all_sets = ws.keep(describe(documents, shingle, percent, frequent), f"sets{k}")
-        equal = all_sets.filter("n > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("c")).filter("c > 1 and rep is not null")
-        equal = small(ws.keep(equal.drop("c"), f"equal{k}"))
-        named = all_sets.join(equal, ["d1", "d2"], "left")
-        own = named.filter("doc_id is not null and n > 0 and (rep is null or rep = doc_id)")
-        total = own.agg(F.sum(F.octet_length("sigs"))).first()[0] or 0
-        parts = max(2 * partitions, total // 8 // PART + 1)
-        packed = pack(own, parts)
-        more = crowded(packed, parts, frequent) if k < ROUNDS else frequent[:0]
-        if not len(more):
-            break
-        frequent = np.union1d(frequent, more)[: 2 * FREQUENT]
-        ws.drop(f"sets{k}")
-        ws.drop(f"equal{k}")
-    pairs = ws.keep(shared(packed, parts).groupBy("a", "b").agg(F.max("sure").alias("sure")), "shared")
-    edges = ws.keep(plausible(pairs, own, percent), "edges")
-    blocks = components(edges, ws, "blocks")
-    members = ws.keep(_members(all_sets, blocks), "members")
+    all_sets = ws.keep(describe(documents, shingle), "sets")
+    equal = all_sets.filter("n > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("c")).filter("c > 1 and rep is not null")
+    named = all_sets.join(small(ws.keep(equal.drop("c"), "equal")), ["d1", "d2"], "left")
+    able = named.filter("doc_id is not null and n > 0")
+    # rows an id has, and those of them that stand for their set; only ids to leave out, or that more than one row has, are told to the texts
+    ids = able.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"), F.count(F.when(F.expr("rep is null or rep = doc_id"), 1)).alias("own"))
+    told = small(ws.keep(ids.filter("own = 0 or rows > 1").select("doc_id", F.expr("own = 0").alias("out"), F.expr("rows > 1").alias("twin")), "told"))
+    with_told = lambda df: df.join(told, "doc_id", "left").filter("out is null or not out").withColumn("twin", F.coalesce("twin", F.lit(False)))
+    nodes = with_told(able).select("doc_id", F.when(F.col("twin"), F.col("key")).otherwise(F.col("doc_id")).alias("node"), "twin", "n", "parity")
+    nodes = ws.keep(nodes.filter("not twin").union(nodes.filter("twin").dropDuplicates(["node"])), "nodes")
+    texts = with_told(documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id is not null and text is not null"))
+    total = nodes.agg(F.sum("n")).first()[0] or 0
+    parts = max(2 * partitions, int(total * min(1, SPREAD * (100 - percent) / 100)) // PART + 1)
+    met = meeting(place(levels(send(texts, shingle, percent, parts), parts), percent, parts), percent, parts)
+    pairs = ws.keep(met.groupBy("a", "b").agg(F.max("sure").alias("sure")), "met")
+    edges = ws.keep(plausible(pairs, nodes, percent), "edges")
+    blocks = components(edges, ws, "blocks").withColumnRenamed("comp", "block")
+    members = ws.keep(nodes.select("node", "doc_id", "n").join(small(blocks), "node"), "members")
     wide = F.ceil(F.greatest(F.count(F.lit(1)) / TILE, F.sum("n") / TILE_SHINGLES)).cast("long")
     tiles = ws.keep(members.groupBy("block").agg(wide.alias("tiles"), F.count(F.lit(1)).alias("c")), "tiles")
     placed = members.join(small(tiles), "block")
     pivot = (F.col("tiles") > 1) & (F.pmod(F.xxhash64("node", F.lit(3)), F.ceil(F.col("c") / PIVOTS)) == 0)
     tile = lambda t: F.when(F.col("tiles") == 1, F.col("block")).otherwise(F.xxhash64("block", t))
     unit = F.when(pivot, F.transform(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1), tile)).otherwise(F.array(tile(F.pmod(F.xxhash64("node"), F.col("tiles")))))
-    wanted = small(ws.keep(placed.select(unit.alias("unit"), "node", F.col("node").alias("label")), "units"))
-    links = ws.keep(link_units(documents, wanted, shingle, percent, parts), "links")
-    large = placed.filter("tiles > 1").select("block", "node", "n")
+    wanted = small(ws.keep(placed.select(unit.alias("unit"), "node", F.col("node").alias("label"), "doc_id"), "units"))
+    links = ws.keep(link_units(texts, wanted, shingle, percent, parts), "links")
+    large = placed.filter("tiles > 1").select("block", "node", "doc_id", "n")
     if large.limit(1).count():
         labels = components(links, ws, "tiles")
         again = ws.keep(_second_round(large, labels, percent), "again")
         if again.limit(1).count():
-            links = links.union(ws.keep(link_units(documents, small(again), shingle, percent, parts), "links2"))
+            links = links.union(ws.keep(link_units(texts, small(again), shingle, percent, parts), "links2"))
+    twins = nodes.filter("twin").select("node", F.col("doc_id").alias("id"))
+    if twins.limit(1).count():  # an id on several sets has the links of each
+        twins = small(twins)
+        for end in ("a", "b"):
+            links = links.join(twins.withColumnRenamed("node", end), end, "left").withColumn(end, F.coalesce("id", end)).drop("id").select("a", "b")
+        links = links.union(able.filter("rep <> doc_id").join(small(ids.filter("rows > 1 and own > 0").select("doc_id")), "doc_id").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")))
     found = small(components(links, ws, "found").withColumnRenamed("node", "rep2"))
     out = named.withColumn("rep2", F.coalesce("rep", "doc_id")).join(found, "rep2", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("comp", "rep2").alias("component_id"))
-
-
-def _members(described: DataFrame, blocks: DataFrame) -> DataFrame:
-    """node, block, n: one row a node; rows that share an id count with the largest set."""
-    small_blocks = small(blocks.select(F.col("node").alias("doc_id"), F.col("comp").alias("block")))
-    return described.select("doc_id", "n").join(small_blocks, "doc_id").groupBy(F.col("doc_id").alias("node"), "block").agg(F.max("n").alias("n"))

@@ -134,6 +134,18 @@ def test_near_duplicates(spark, docs, empty, monkeypatch, shingle, percent, tile
         assert near_dup.link(spark, empty, shingle, percent).count() == 0
 
 
+@pytest.mark.parametrize("hot", [64, 2])
+def test_near_duplicates_of_repeated_ids(spark, monkeypatch, hot):
+    """Rows of one id are one vertex with the links of each text; hot shingles aren't counted and lose nothing."""
+    monkeypatch.setattr(near_dup, "HOT", hot)
+    text = [" ".join(f"t{k}x{i}" for i in range(40)) for k in range(6)]
+    near = lambda k: text[k] + " more"
+    rows = [(10, text[0]), (10, text[1]), (10, text[1]), (11, near(0)), (12, near(1)), (13, text[2]), (14, near(2)), (14, text[3]), (15, text[3]), (16, text[4]), (16, None), (17, near(4)), (18, text[5]), (None, near(5)), (3, near(1))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    want = {10: 3, 11: 3, 12: 3, 3: 3, 13: 13, 14: 13, 15: 13, 16: 16, 17: 16, 18: 18, None: None}
+    assert Counter((r.doc_id, r.component_id) for r in near_dup.link(spark, docs, 3, 80).collect()) == Counter((i, 16 if i == 16 else want[i]) for i, _ in rows)
+
+
 def test_sharding(spark, docs, empty):
     got = sharding.shard(spark, docs, 4).collect()
     assert Counter((r.doc_id, r.size, r.text_crc32) for r in got) == Counter((r[0], len((r[1] or "").encode()) + 1, zlib.crc32((r[1] or "").encode())) for r in ROWS)

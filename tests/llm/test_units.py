@@ -6,6 +6,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from lorekeep.llm import gif, language, near_dup, packing, quality, sharding, token_count
@@ -108,16 +109,27 @@ def test_shingles_and_bitmaps():
     for k, percent in ((3, 90), (5, 80), (2, 50)):
         sets, hashed = [words(t, k) for t in texts], [near_dup.shingle_set(t.encode(), k) for t in texts]
         assert [len(s) for s in sets] == [len(h) for h in hashed]
+        nodes, size = np.arange(len(texts)), np.array([len(h) for h in hashed])
         seen = Counter(h for s in hashed for h in s.tolist())
-        often = np.sort(np.array([h for h, n in seen.items() if n > 2], np.uint64))
-        for frequent in (often, often[:0]):
-            first = [set(near_dup.signatures(h, percent, frequent).tolist()) for h in hashed]
+        for cut in (1 << 64, 1 << 63, 0):  # hashes below it are counted, of the others the first ones are sent as they are
+            counted = np.array([sum(int(x) < cut for x in h) for h in hashed])
+            rows = [(x, i, min(seen[x], 9) if x < cut else near_dup.LAST) for i, h in enumerate(hashed) for x in h.tolist() if x >= cut or seen[x] > 1]
+            sigs, owner, _, place = near_dup.first_places(nodes, size, counted, np.array([r[0] for r in rows], np.uint64), np.array([r[1] for r in rows]), np.array([r[2] for r in rows], np.uint8), percent)
+            first = [dict(zip(sigs[owner == i].tolist(), place[owner == i].tolist(), strict=True)) for i in nodes]
+            bits = near_dup.parities(hashed)
             for i in range(len(texts)):
                 for j in range(i):
                     if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j]):
-                        assert first[i] & first[j]
-                        assert near_dup.overlap_allows(near_dup.bitmap(hashed[i]), near_dup.bitmap(hashed[j]), len(sets[i]), len(sets[j]), percent)
+                        both = first[i].keys() & first[j].keys()
+                        assert both and min(first[i][x] + first[j][x] for x in both) <= len(sets[i] ^ sets[j])
+                        assert near_dup.may_link(bits[i], bits[j], size[i : i + 1], size[j : j + 1], percent).all()
     assert len(near_dup.word_hashes(b"a " * 3_000_000)) == 3_000_000
+    odd = [None, "", " ", "A b", "a B c d e f", "x" * (2 * near_dup.BLOCK + 5) + " y", " ".join(["w1"] * 900_000), "é\u00a0b c\td\x0be"] + texts + ["one"] * 3000
+    for k in (1, 3, 5):
+        got = [s for part in near_dup.shingle_sets(pa.array(odd).slice(1), k) for s in part]
+        assert all(np.array_equal(s, near_dup.shingle_set((t or "").encode(), k)) for s, t in zip(got, odd[1:], strict=True))
+    long = ("z" * (near_dup.BLOCK - 1) + " end").encode()
+    assert near_dup.word_hashes(long)[1] == near_dup.word_hashes(b"END")[0] and near_dup.word_hashes(b"x" + long)[1] == near_dup.word_hashes(b"end")[0]
 
 
 def test_trees_find_all_components():
