@@ -54,7 +54,14 @@ def mix(spark: SparkSession, documents: DataFrame, schedules=SCHEDULES, epochs:
     """doc_id, size, source_size, target, taken, position of each document, range-sorted by position; columns to carry come first."""
     ws = Workspace(spark, "mix")
     sizes = documents.select(*carry, F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text").cast("string")).alias("size"))
-    sizes = ws.keep(sizes, "sizes")
+    rows = mix_sizes(spark, ws.keep(sizes, "sizes"), schedules, epochs, carry)
+    return rows.repartitionByRange("position", "doc_id").sortWithinPartitions("position", "doc_id")
+
+
+def mix_sizes(spark: SparkSession, sizes: DataFrame, schedules=SCHEDULES, epochs: int = EPOCHS, carry: tuple[str, ...] = ()) -> DataFrame:
+    """What mix() returns, in no order, for written rows of doc_id, source and size."""
+    ws = Workspace(spark, "mix-sizes")
+    sizes = sizes.select(*carry, F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), "size")
     goal = ws.keep(targets(sizes, schedules, epochs), "targets")
     placed = prefix_sum(sizes, ["source"], ["doc_id", "size"], "size", "before")
     goal = small(goal.withColumnRenamed("source", "_s"))
@@ -64,8 +71,7 @@ def mix(spark: SparkSession, documents: DataFrame, schedules=SCHEDULES, epochs:
     rows = placed.join(goal, F.col("source").eqNullSafe(F.col("_s")), "inner").withColumn("demand", demand).withColumn("full", whole)
     rows = rows.withColumn("taken", (F.col("full") * F.col("size") + edge).cast("long"))
     rows = rows.withColumn("position", F.when(F.col("taken") > 0, moment(F.col("before") / F.col("demand"), F.col("w_start"), F.col("w_end"))))
-    out = rows.select(*carry, "doc_id", "size", "source", "source_size", "target", "taken", "position", "before", "demand", "w_start", "w_end")
-    return out.repartitionByRange("position", "doc_id").sortWithinPartitions("position", "doc_id")
+    return rows.select(*carry, "doc_id", "size", "source", "source_size", "target", "taken", "position", "before", "demand", "w_start", "w_end")
 
 
 def copies(mixed: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
