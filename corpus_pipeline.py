@@ -43,12 +43,20 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix reads them, a copy read in part whole, in the order of their training positions.
 
-    Ids may be null or repeated, so rows are written with a key of their own, which the mix carries.
+    Ids may be null or repeated, so a row's key is 128 bits of hash of all its columns. The mix carries the key and
+    gives back positions, which are joined to the rows where they are, and texts move once, to their place
+    in the order. Rows alike in all columns share a key: they are told apart by their number, and one is kept to stand for all.
     """
     ws = Workspace(spark, "stage-mixing")
-    rows = ws.keep(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
-    read = mixing.copies(mixing.mix(spark, rows, carry=("_row",)), carry=("_row",)).select("_row", "position")
-    placed = rows.join(read, "_row")
+    keyed = docs.withColumns({"_row1": F.xxhash64(*docs.columns), "_row2": F.xxhash64(F.lit(1), *docs.columns)})
+    slim = ws.keep(keyed.select("_row1", "_row2", "doc_id", "source", mixing.word_count(F.col("text")).alias("size")), "slim")
+    read = mixing.copies(mixing.mix_sizes(spark, slim, carry=("_row1", "_row2")), carry=("_row1", "_row2")).select("_row1", "_row2", "position")
+    read = ws.keep(read, "read")
+    again = ws.keep(slim.groupBy("_row1", "_row2").count().filter("count > 1").select("_row1", "_row2"), "again")
+    if again.limit(1).count():
+        alike = keyed.join(small(again), ["_row1", "_row2"], "left_semi").dropDuplicates(["_row1", "_row2"])
+        keyed = keyed.join(small(again), ["_row1", "_row2"], "left_anti").unionByName(alike)
+    placed = keyed.join(small(read), ["_row1", "_row2"])
     return placed.repartitionByRange("position", "doc_id").sortWithinPartitions("position", "doc_id").select(*docs.columns)
 
 
