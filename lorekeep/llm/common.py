@@ -1,12 +1,10 @@
-"""Helpers the training-data operators share: shared storage, bounded broadcasts, prefix sums, components."""
+"""Helpers the training-data operators share: held-out rows, prefix sums; work tables come from the library."""
 
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: A side of a join is broadcast only when a count shows that it has at most this many rows.
-BROADCAST_ROWS = 400_000
+from lorekeep.work import Workspace, components, small  # noqa: F401  the operators take these from here
+
 #: Hash buckets of prefix_sum() for each group.
 BUCKETS = 1024
 #: What counts as a word everywhere in this subpackage (bytes 9-13 and 32 separate words).
@@ -18,40 +16,6 @@ def sample_key(column="doc_id"):
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % 3
 
 
-class Workspace:
-    """Tables that an operator writes to cut lineage, in the folder spark.checkpoint.dir names.
-
-    The folder is shared by the driver and all executors, so a lost executor costs only its running
-    tasks. Where the setting is absent (tests, a laptop) the warehouse is used, which they share too.
-    Everything is deleted when the session ends, or earlier by drop().
-    """
-
-    def __init__(self, spark: SparkSession, name: str):
-        root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-        self.spark, self.root = spark, f"{root.rstrip('/')}/lorekeep/{name}-{uuid.uuid4().hex}"
-        jvm = spark._jvm
-        self._path = jvm.org.apache.hadoop.fs.Path
-        self._fs = self._path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
-        self._fs.mkdirs(self._path(self.root))
-        self._fs.deleteOnExit(self._path(self.root))
-
-    def path(self, name: str) -> str:
-        return f"{self.root}/{name}"
-
-    def keep(self, df: DataFrame, name: str) -> DataFrame:
-        """Write df and return what reads it back."""
-        df.write.mode("overwrite").parquet(self.path(name))
-        return self.spark.read.schema(df.schema).parquet(self.path(name))
-
-    def drop(self, name: str) -> None:
-        self._fs.delete(self._path(self.path(name)), True)
-
-
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if a count proves it small; else df, for a shuffled join that AQE splits."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
-
-
 def prefix_sum(df: DataFrame, group: list[str], order: list[str], value: str, out: str, buckets: int = BUCKETS) -> DataFrame:
     """Add column out: the sum of value over the rows before this one in its group, in a hashed order.
 
@@ -69,44 +33,3 @@ def prefix_sum(df: DataFrame, group: list[str], order: list[str], value: str, ou
     match = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
     joined = rows.join(sums, match, "inner")
     return joined.withColumn(out, F.col("_in") + F.col("_before")).drop("_h", "_b", "_in", "_before", *[f"_k{i}" for i in range(len(keys))])
-
-
-def components(edges: DataFrame, ws: Workspace, name: str) -> DataFrame:
-    """(node, comp): the smallest node reachable from each node of edges (a, b).
-
-    Each round moves every node to its first neighbour in an order that changes from round to round
-    (ids first, then hashes), rewrites the edges and drops loops, so long chains shrink by a constant
-    factor a round as stars do. A hub with any number of edges is one partially aggregated minimum;
-    the joins are plain inner joins, whose skewed keys AQE splits.
-    """
-    parents: list[DataFrame] = []
-    live = ws.keep(edges.select("a", "b").filter("a <> b").distinct(), f"{name}-e0")
-    while live.limit(1).count():
-        k = len(parents)
-
-        def place(c):
-            return F.struct((F.lit(0) if k == 0 else F.xxhash64(c, F.lit(k))).cast("long").alias("h"), F.col(c).alias("n"))  # noqa: B023
-
-        both = live.union(live.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        near = both.groupBy("a").agg(F.min(place("b")).alias("m")).select("a", F.least("m", place("a"))["n"].alias("p"))
-        hook = ws.keep(near, f"{name}-p{k}")
-        parents.append(hook)
-        to = small(hook)
-        moved = (
-            live.join(to.select("a", F.col("p").alias("pa")), "a")
-            .join(to.select(F.col("a").alias("b"), F.col("p").alias("pb")), "b")
-            .filter("pa <> pb")
-            .select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b"))
-            .distinct()
-        )
-        live = ws.keep(moved, f"{name}-e{k + 1}")
-        ws.drop(f"{name}-e{k}")
-    if not parents:
-        return live.select(F.col("a").alias("node"), F.col("b").alias("comp"))
-    label = parents[-1].select(F.col("a").alias("node"), F.col("p").alias("top"))
-    for k in range(len(parents) - 2, -1, -1):
-        up = small(label.select(F.col("node").alias("p"), "top"))
-        label = parents[k].join(up, "p", "left").select(F.col("a").alias("node"), F.coalesce("top", "p").alias("top"))
-    label = ws.keep(label, f"{name}-l")
-    least = small(label.groupBy("top").agg(F.min("node").alias("comp")))
-    return ws.keep(label.join(least, "top").select("node", "comp"), f"{name}-c")
