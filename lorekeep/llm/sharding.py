@@ -5,8 +5,10 @@ the text's size, the least doc_id of its rows, and hashes of source and language
 node is split on its widest coordinate at a weighted quantile, so that the halves get the bytes
 their leaves are to hold, until a leaf is one shard. A quantile is found by radix: four passes of
 partially aggregated sums over 12 bits of the key, of which a node's 4096 sums reach the driver.
-Groups heavier than 1/64 of a shard (at most 64 a shard) are dealt first, largest to the emptiest shard, and the
-leaves' targets are lowered by them, so copies stay together and shards still come out even.
+Points of over 1/COARSE of a shard (at most COARSE a shard) are known to the driver: each goes to the side of the quantile
+that its coordinate says, or to the other where its own is full, and the lighter points are split at the quantile that
+fills what these leave. Groups of over 1/HEAVY of a shard, which no cut can make even, are dealt before the tree,
+largest to the emptiest shard, and the leaves' targets are lowered by them. Copies stay together.
 
 Defined cases. A null text has size 1 and crc 0, like an empty one, and is in its group. Null ids, sources and
 languages are points at 0. Repeated rows are documents of their own in their group's shard. One group over
@@ -20,7 +22,7 @@ from pyspark.sql import functions as F
 
 from lorekeep.llm.common import Workspace, prefix_sum
 
-SHARDS, HEAVY, DIGITS, BITS = 16, 64, 4, 12
+SHARDS, HEAVY, COARSE, DIGITS, BITS = 16, 4, 64, 4, 12
 AXES = ("ax_size", "ax_id", "ax_source", "ax_lang")
 
 
@@ -65,12 +67,15 @@ def even_targets(weights: list[int], total: float, shards: int) -> tuple[list[in
 
 
 def assign(spark: SparkSession, groups: DataFrame, shards: int, ws: Workspace) -> tuple[DataFrame, DataFrame]:
-    """digest and shard of the light points, and of the heavy ones (a bounded table)."""
+    """digest and shard of the light points, and of the others (a bounded table)."""
     total = groups.agg(F.sum("weight")).first()[0] or 0
-    heavy = groups.filter(F.col("weight") * (HEAVY * shards) > total).select("digest", "weight").orderBy(F.desc("weight"), "digest").limit(HEAVY * shards).collect()
+    over = lambda n: F.col("weight") * (n * shards) > total
+    heavy = groups.filter(over(HEAVY)).select("digest", "weight").orderBy(F.desc("weight"), "digest").limit(HEAVY * shards).collect()
     where, target = even_targets([r.weight for r in heavy], total, shards)
-    fixed = spark.createDataFrame([(r.digest, s) for r, s in zip(heavy, where, strict=True)], "digest binary, shard int")
-    light = groups.join(F.broadcast(fixed.select("digest")), "digest", "left_anti").withColumn("node", F.lit(0))
+    fixed = {bytes(r.digest): s for r, s in zip(heavy, where, strict=True)}
+    chosen = groups.filter(over(COARSE) & ~over(HEAVY)).select("digest", "weight", *AXES, *[key(x).alias(f"key_{x}") for x in AXES])
+    coarse = [r.asDict() | {"node": 0} for r in chosen.orderBy(F.desc("weight"), "digest").limit(COARSE * shards).collect()]
+    light = groups.filter(~over(COARSE)).withColumn("node", F.lit(0))
     nodes, leaf = {0: (0, shards)}, {}
     for depth in range(shards.bit_length()):
         leaf |= {n: a for n, (a, b) in nodes.items() if b - a == 1}
@@ -79,13 +84,19 @@ def assign(spark: SparkSession, groups: DataFrame, shards: int, ws: Workspace) -
             break
         light = ws.keep(light, f"level{depth}")
         spans = [F.max(x).alias(f"hi_{x}") for x in AXES] + [F.min(x).alias(f"lo_{x}") for x in AXES]
-        seen = light.filter(F.col("node").isin(list(nodes))).groupBy("node").agg(*spans, F.sum("weight").alias("w")).collect()
-        axis = {r.node: max(AXES, key=lambda x, r=r: (r[f"hi_{x}"] - r[f"lo_{x}"], x)) for r in seen}
-        want = {}
-        for r in seen:
-            a, b = nodes[r.node]
+        seen = {r.node: r.asDict() for r in light.filter(F.col("node").isin(list(nodes))).groupBy("node").agg(*spans, F.sum("weight").alias("w")).collect()}
+        axis, want, room = {}, {}, {}
+        for n, (a, b) in nodes.items():
+            own = [c for c in coarse if c["node"] == n]
+            lights = [seen[n]] if n in seen else []
+            if not own and not lights:
+                continue
+            extent = lambda x, own=own, lights=lights: max([c[x] for c in own] + [r[f"hi_{x}"] for r in lights]) - min([c[x] for c in own] + [r[f"lo_{x}"] for r in lights])
+            axis[n] = max(AXES, key=lambda x, extent=extent: (extent(x), x))
+            weight = sum(c["weight"] for c in own) + sum(r["w"] for r in lights)
             all_, left = sum(target[a:b]), sum(target[a : (a + b) // 2])
-            want[r.node] = r.w * (left / all_ if all_ else 0.5)
+            want[n] = weight * (left / all_ if all_ else 0.5)
+            room[n] = [want[n], weight - want[n]]
         chosen = dict.fromkeys(axis, 0)
         pick = lambda values: reduce(lambda e, kv: e.when(F.col("node") == kv[0], kv[1]), values.items(), F.when(F.lit(False), F.lit(0).cast("long")))
         keyed = light.select("node", "weight", pick({n: key(x) for n, x in axis.items()}).alias("key"))
@@ -96,6 +107,9 @@ def assign(spark: SparkSession, groups: DataFrame, shards: int, ws: Workspace) -
             held: dict[int, list] = {n: [] for n in axis}
             for r in bins.collect():
                 held[r.node].append((r.digit, r.w))
+            if digit == 0:
+                for n in axis:
+                    want[n] = max(0.0, want[n] - _sides([c for c in coarse if c["node"] == n], axis[n], held[n], want[n], room[n]))
             for n, found in held.items():
                 found.sort()
                 at = 0
@@ -107,10 +121,37 @@ def assign(spark: SparkSession, groups: DataFrame, shards: int, ws: Workspace) -
                 chosen[n] = chosen[n] << BITS | at if digit < DIGITS - 1 else (chosen[n] << BITS) + at
         side = {n: F.when(key(axis[n]) < chosen[n], 2 * n + 1).otherwise(2 * n + 2) for n in axis}
         light = light.withColumn("node", reduce(lambda e, kv: e.when(F.col("node") == kv[0], kv[1]), side.items(), F.when(F.lit(False), F.lit(0))).otherwise(F.col("node")))
+        for c in coarse:
+            c["node"] = c.pop("to", c["node"])
         nodes = {c: r for n, (a, b) in nodes.items() for c, r in ((2 * n + 1, (a, (a + b) // 2)), (2 * n + 2, ((a + b) // 2, b)))}
     leaf |= {n: a for n, (a, b) in nodes.items() if b - a == 1}
     shard = reduce(lambda e, kv: e.when(F.col("node") == kv[0], F.lit(kv[1])), leaf.items(), F.when(F.lit(False), F.lit(0)))
-    return light.select("digest", shard.alias("shard")), fixed
+    fixed |= {bytes(c["digest"]): leaf[c["node"]] for c in coarse}
+    return light.select("digest", shard.alias("shard")), spark.createDataFrame(list(fixed.items()), "digest binary, shard int")
+
+
+def _sides(own: list[dict], axis: str, cells: list[tuple[int, int]], want: float, room: list[float]) -> int:
+    """Give each coarse point of a node the side (`to`) that its coordinate says, while there is room; returns the weight of the left ones.
+
+    cells: the light points' weights by the first digit of their key. room: what either side takes.
+    """
+    shift = BITS * (DIGITS - 1)
+    every = sorted([*cells, *((c[f"key_{axis}"] >> shift, c["weight"]) for c in own)])
+    cut, upto = 0, 0
+    for cell, weight in every:
+        cut, upto = cell, upto + weight
+        if upto >= want:
+            break
+    room, left = list(room), 0
+    for c in sorted(own, key=lambda c: (-c["weight"], c["digest"])):
+        cell = c[f"key_{axis}"] >> shift
+        side = int(cell > cut) if cell != cut else int(room[1] > room[0])
+        if c["weight"] > room[side] and room[1 - side] > room[side]:
+            side = 1 - side
+        room[side] -= c["weight"]
+        left += c["weight"] * (1 - side)
+        c["to"] = 2 * c["node"] + 1 + side
+    return left
 
 
 def shard(spark: SparkSession, documents: DataFrame, shards: int = SHARDS) -> DataFrame:
