@@ -19,9 +19,9 @@ from lorekeep.llm.common import sample_key
 
 DIM, FILTERS, HIDDEN = 6, 32, 16
 GROUP, SPAN, BLOCK = 4, 64, 1 << 16
-#: The fit reads at most this many labelled rows, and of each at most PARTS pieces of PART bytes spread over its text.
-TRAIN_ROWS, PARTS, PART = 3000, 4, 512
-EPOCHS, BATCH, RATE, SEED = 12, 64, 0.01, 11
+#: The fit reads at most this many labelled rows, whole. It takes at most PIECE spans at a time.
+TRAIN_ROWS, PIECE = 3000, 2048
+EPOCHS, BATCH, RATE, SEED = 8, 64, 0.01, 11
 
 
 def pool(model: dict, data: bytes) -> np.ndarray:
@@ -49,8 +49,40 @@ def head(model: dict, features: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(hidden @ model["o"] + model["ob"], -30, 30)))
 
 
+def _cells(data: bytes) -> np.ndarray:
+    """Groups of GROUP bytes, padded."""
+    groups = max(2, -(-len(data) // GROUP))
+    out = np.full(groups * GROUP, 256, np.int16)
+    out[: len(data)] = np.frombuffer(data, np.uint8)
+    return out.reshape(groups, GROUP)
+
+
+def _span_pieces(groups: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of texts of so many groups laid end to end: the first group of each span, its chunks, and its text."""
+    chunks = groups - 1
+    spans = -(-chunks // SPAN)
+    text = np.repeat(np.arange(len(groups)), spans)
+    inside = (np.arange(len(text)) - np.repeat(np.cumsum(spans) - spans, spans)) * SPAN
+    return np.repeat(np.cumsum(groups) - groups, spans) + inside, np.minimum(SPAN, chunks[text] - inside), text
+
+
+def _best(model: dict, cells: np.ndarray, first: np.ndarray, live: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The filters' maxima in each span, without bias, and the chunks that give them."""
+    best, where = np.empty((len(first), FILTERS), np.float32), np.empty((len(first), FILTERS), np.int64)
+    for k in range(0, len(first), PIECE):
+        s = slice(k, k + PIECE)
+        at = first[s][:, None] + np.minimum(np.arange(SPAN + 1), live[s][:, None])
+        e = model["emb"][cells[at]].reshape(*at.shape, GROUP * DIM)
+        z = e[:, :-1] @ model["w0"]
+        z += e[:, 1:] @ model["w1"]
+        z[np.arange(SPAN)[None] >= live[s][:, None]] = -1e9
+        top = z.argmax(1)
+        best[s], where[s] = np.take_along_axis(z, top[:, None], 1)[:, 0], first[s][:, None] + top
+    return best, where
+
+
 def fit(samples: list[tuple[bytes, int]], seed: int = SEED) -> dict:
-    """Adam on the log loss. samples: bytes of at most PARTS * PART each, and labels."""
+    """Adam on the log loss. samples: whole texts and labels. Gradients touch only the chunks that give a span's maxima."""
     rng = np.random.default_rng(seed)
     model = {
         "emb": rng.normal(0, 0.5, (257, DIM)), "w0": rng.normal(0, 0.2, (GROUP * DIM, FILTERS)), "w1": rng.normal(0, 0.2, (GROUP * DIM, FILTERS)), "b": np.zeros(FILTERS),
@@ -61,30 +93,21 @@ def fit(samples: list[tuple[bytes, int]], seed: int = SEED) -> dict:
     if not samples:
         model["o"][:] = 0
         return model
-    wide = PARTS * PART
-    x = np.full((len(samples), wide), 256, np.int16)
-    for i, (data, _) in enumerate(samples):
-        x[i, : len(data)] = np.frombuffer(data, np.uint8)
     y = np.array([label for _, label in samples], np.float32)
-    chunks = np.maximum(1, -(-np.array([len(d) for d, _ in samples]) // GROUP) - 1)
     moved, squared, step = {k: np.zeros_like(v) for k, v in model.items()}, {k: np.zeros_like(v) for k, v in model.items()}, 0
-    all_spans = wide // GROUP // SPAN
     for _ in range(EPOCHS):
         for batch in np.array_split(rng.permutation(len(y)), max(1, len(y) // BATCH)):
             step += 1
-            ids, n, live = x[batch], len(batch), chunks[batch]
-            e = model["emb"][ids].reshape(n, wide // GROUP, GROUP * DIM)
-            z = np.full((n, all_spans * SPAN, FILTERS), -1e9, np.float32)
-            z[:, :-1] = e[:, :-1] @ model["w0"] + e[:, 1:] @ model["w1"]
-            z[np.arange(all_spans * SPAN)[None] >= live[:, None]] = -1e9
-            z = z.reshape(n, all_spans, SPAN, FILTERS)
-            at = z.argmax(2)
-            best = np.take_along_axis(z, at[:, :, None], 2)[:, :, 0] + model["b"]
-            there = (np.arange(all_spans)[None] * SPAN < live[:, None])[:, :, None]
-            act = np.where(there, np.maximum(best, 0), 0)
-            count = there.sum(1)
-            peak = act.argmax(1)
-            features = np.concatenate([act.sum(1) / count, act.max(1)], 1)
+            own = [_cells(samples[i][0]) for i in batch.tolist()]
+            cells, n = np.concatenate(own), len(own)
+            first, live, text = _span_pieces(np.array([len(x) for x in own]))
+            best, where = _best(model, cells, first, live)
+            best += model["b"]
+            act = np.maximum(best, 0)
+            starts = np.searchsorted(text, np.arange(n))
+            count = np.bincount(text, minlength=n)[:, None]
+            peaks = np.maximum.reduceat(act, starts)
+            features = np.concatenate([np.add.reduceat(act, starts) / count, peaks], 1)
             pre = features @ model["h"] + model["hb"]
             hidden = np.maximum(pre, 0)
             p = 1 / (1 + np.exp(-np.clip(hidden @ model["o"] + model["ob"], -30, 30)))
@@ -93,21 +116,22 @@ def fit(samples: list[tuple[bytes, int]], seed: int = SEED) -> dict:
             dh = d[:, None] * model["o"] * (pre > 0)
             grad |= {"h": features.T @ dh, "hb": dh.sum(0)}
             df = dh @ model["h"].T
-            da = np.repeat((df[:, :FILTERS] / count)[:, None], all_spans, 1)
-            np.put_along_axis(da, peak[:, None], np.take_along_axis(da, peak[:, None], 1) + df[:, None, FILTERS:], 1)
-            da = np.where(there & (best > 0), da, 0)
-            grad["b"] = da.sum((0, 1))
-            where = at + (np.arange(all_spans) * SPAN)[None, :, None]
-            where = np.minimum(where, wide // GROUP - 2)
-            row = np.arange(n)[:, None, None]
-            e0, e1 = e[row, where], e[row, where + 1]
-            grad["w0"], grad["w1"] = np.einsum("bsfd,bsf->df", e0, da), np.einsum("bsfd,bsf->df", e1, da)
-            de = np.concatenate([da[..., None] * model["w0"].T, da[..., None] * model["w1"].T], -1).reshape(-1, 2 * GROUP, DIM)
-            cells = ids.reshape(n, wide // GROUP, GROUP)
-            hit = np.concatenate([cells[row, where], cells[row, where + 1]], -1).ravel()
-            de = de.reshape(-1, DIM)
-            grad["emb"] = np.stack([np.bincount(hit, de[:, k], 257) for k in range(DIM)], 1)
-            grad["emb"][256] = 0
+            is_peak = act == peaks[text]  # of equal peaks each takes its share
+            shares = np.add.reduceat(is_peak.astype(np.float32), starts)
+            da = (df[:, :FILTERS] / count)[text] + is_peak * (df[:, FILTERS:] / shares)[text]
+            da = np.where(best > 0, da, 0).astype(np.float32)
+            grad["b"] = da.sum(0)
+            grad |= {"w0": np.zeros_like(model["w0"]), "w1": np.zeros_like(model["w1"])}
+            emb = np.zeros((257, DIM))
+            for k in range(0, len(first), PIECE):
+                at, g = where[k : k + PIECE], da[k : k + PIECE]
+                for name, c in (("w0", cells[at]), ("w1", cells[at + 1])):
+                    e = model["emb"][c].reshape(*at.shape, GROUP * DIM)
+                    grad[name] += np.einsum("sfd,sf->df", e, g)
+                    de = (g[..., None] * model[name].T).reshape(-1, DIM)
+                    emb += np.stack([np.bincount(c.ravel(), de[:, i], 257) for i in range(DIM)], 1)
+            emb[256] = 0
+            grad["emb"] = emb
             for k, g in grad.items():
                 moved[k] = 0.9 * moved[k] + 0.1 * g
                 squared[k] = 0.999 * squared[k] + 0.001 * g * g
@@ -124,12 +148,8 @@ def samples(documents: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) ->
         .limit(rows)
         .groupBy("doc_id").agg(F.min("quality").alias("quality"))
     )
-    raw = F.coalesce("text", F.lit("")).cast("binary")
-    size = F.octet_length(raw)
-    parts = [F.substring(raw, (F.floor((size - PART) * i / (PARTS - 1)) + 1).cast("int"), F.lit(PART)) for i in range(PARTS)]
-    piece = F.when(size <= PARTS * PART, raw).otherwise(F.concat(*parts))
-    found = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", piece.alias("piece"))
-    return [(bytes(r.piece), r.quality) for r in found.orderBy("doc_id", "piece").limit(rows).collect()]
+    found = documents.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("raw")).join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", "raw")
+    return [(bytes(r.raw), r.quality) for r in found.orderBy("doc_id", "raw").limit(rows).collect()]
 
 
 def score(documents: DataFrame, model: dict) -> DataFrame:
