@@ -5,6 +5,8 @@ n-grams (5 to 1 characters, with word ends marked) of those words. A known word
 frequency in each language; an unseen word by its n-grams of the greatest length of which at least
 half are known, else of the next shorter length. The evidence of all words of the whole text is added.
 
+Letters are those of Unicode category L: numerals such as a half, a superscript two or a Roman eight aren't.
+
 Defined cases. Null text, or text without a letter: `und`, score 0. Rows of training data with null
 lang or null text are left out. With no training rows each text is `und`. Ties go to the language first in
 code-point order. Repeated rows get equal results; other columns are ignored, whatever their names.
@@ -13,17 +15,23 @@ code-point order. Repeated rows get equal results; other columns are ignored, wh
 import math
 import re
 from collections import Counter, defaultdict
+from itertools import groupby
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lorekeep.llm.common import sample_key
 
-LETTERS = re.compile(r"[^\W\d_]+")
-#: The fit reads about this many documents of each language, chosen by a hash of the id, and keeps the WORDS most
-#: frequent words of each; words seen once only among the first SINGLES, for languages of little text.
-TRAIN_DOCS, WORDS, SINGLES, LONGEST, CACHE = 800, 40_000, 1000, 5, 400_000
+#: Letters and numerals; pieces() keeps the letters.
+WORDLIKE = re.compile(r"[^\W\d_]+")
+#: The fit reads about this many documents of each language, chosen by a hash of the id, and all words of them.
+TRAIN_DOCS, LONGEST, CACHE = 500, 5, 400_000
+
+
+def pieces(word: str) -> list[str]:
+    """The runs of letters in a word of letters and numerals."""
+    return [word] if word.isalpha() else ["".join(run) for letters, run in groupby(word, str.isalpha) if letters]
 
 
 class Model:
@@ -64,21 +72,24 @@ class Model:
         return (0.0,) * len(self.langs)
 
     def predict(self, text: str | None, seen: dict) -> tuple[str, float]:
-        """seen: evidence of earlier words, kept by the caller and emptied when full."""
-        words = LETTERS.findall((text or "").lower())
-        if not words or not self.langs:
+        """seen: evidence of earlier words (empty for words without a letter), kept by the caller and emptied when full."""
+        if not self.langs:
             return "und", 0.0
-        total = [0.0] * len(self.langs)
-        for word, count in Counter(words).items():
+        total, read = [0.0] * len(self.langs), 0
+        for word, count in Counter(WORDLIKE.findall((text or "").lower())).items():
             got = seen.get(word)
             if got is None:
                 if len(seen) >= CACHE:
                     seen.clear()
-                got = seen[word] = self.evidence(word)
+                got = seen[word] = tuple(map(sum, zip(*map(self.evidence, pieces(word)), strict=True)))
+            if got:
+                read += count
             for i, x in enumerate(got):
                 total[i] += count * x
+        if not read:
+            return "und", 0.0
         best = max(range(len(total)), key=lambda i: (total[i], -i))
-        scale = min(1.0, 20 / len(words))
+        scale = min(1.0, 20 / read)
         return self.langs[best], 1 / sum(math.exp(max(-700.0, (x - total[best]) * scale)) for x in total)
 
 
@@ -88,10 +99,8 @@ def train(documents: DataFrame, docs: int = TRAIN_DOCS) -> Model:
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
     taken = able.join(F.broadcast(share), "lang").filter(place < F.col("share"))
     words = taken.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0))).alias("word"))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("count"), "word"))
-    counted = words.groupBy("lang", "word").count().withColumn("rank", rank).filter((F.col("rank") <= WORDS) & ((F.col("count") >= 2) | (F.col("rank") <= SINGLES)))
     counts: dict[str, Counter] = defaultdict(Counter)
-    for lang, word, n in counted.select("lang", "word", "count").orderBy(F.desc("count"), "lang", "word").collect():
+    for lang, word, n in words.groupBy("lang", "word").count().toLocalIterator():  # as many as the sample has words
         counts[lang][word] = n
     return Model(counts)
 
