@@ -2,7 +2,7 @@
 
 Method. Texts are encoded, ended by one id 0, and cut where longer than a sequence. Only the histogram of
 piece lengths (at most `limit` numbers) reaches the driver. There, from the longest length down, what a piece
-leaves free is looked up among the lengths, the sums of two and the sums of three lengths, and a
+leaves free is looked up among the lengths and in an index of the sums of two and of three lengths, and a
 combination that fills it exactly is used as often as its lengths are there; the rest is placed best fit, longest
 first. The plan says for each length which ranks go to which sequences; pieces get their rank among
 those of their length by a bucketed prefix sum, so one length may hold any share of the pieces.
@@ -86,32 +86,52 @@ def pieces(documents: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:
     return slim.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
-def _combination(left: dict[int, int], order: list[int], gap: int) -> list[int] | None:
-    """One, two or three lengths that are there often enough and sum to gap; larger ones first."""
-
-    def there(*lengths: int) -> bool:
-        return all(left.get(x, 0) >= lengths.count(x) for x in set(lengths))
-
-    if left.get(gap):
-        return [gap]
-    able = [x for x in order if x < gap and left[x]]
-    for a in able:
-        if 2 * a < gap:
-            break
-        if there(a, gap - a):
-            return [a, gap - a]
-    for a in able:
-        if 3 * a < gap:
-            break
-        rest = gap - a
-        for b in able:
-            if b > a or b >= rest:
-                continue
-            if 2 * b < rest:
-                break
-            if there(a, b, rest - b):
-                return [a, b, rest - b]
-    return None
+class Sums:
+    """The sums of one, two and three lengths that are there often enough, found by sum.
+
+    For each sum the index holds the larger part at which a pair or a triple was last found. Lengths only
+    run out, so what lies above that part stays impossible, and a sum is walked through once in all.
+    """
+
+    def __init__(self, left: dict[int, int], limit: int):
+        self.left = left
+        self.pairs, self.triples = list(range(limit + 1)), list(range(limit + 1))
+
+    def _there(self, *lengths: int) -> bool:
+        return all(self.left.get(x, 0) >= lengths.count(x) for x in lengths)
+
+    def pair(self, total: int) -> list[int] | None:
+        """The pair with the longest part."""
+        a = min(self.pairs[total], total - 1)
+        while 2 * a >= total and a > 0 and not self._there(a, total - a):
+            a -= 1
+        self.pairs[total] = a
+        return [a, total - a] if 2 * a >= total and a > 0 else None
+
+    def triple(self, total: int) -> list[int] | None:
+        """The triple with the longest part."""
+        a = min(self.triples[total], total - 2)
+        while 3 * a >= total and a > 0:
+            if self.left.get(a) and (found := self._rest(a, total - a)):
+                self.triples[total] = a
+                return [a, *found]
+            a -= 1
+        self.triples[total] = a
+        return None
+
+    def _rest(self, a: int, total: int) -> list[int] | None:
+        """A pair of this sum, of parts up to a, that is there beside a."""
+        found = self.pair(total)
+        if found is None:
+            return None
+        for b in range(min(a, found[0]), (total - 1) // 2, -1):  # the indexed pair, or one below it
+            if self._there(a, b, total - b):
+                return [b, total - b]
+        return None
+
+    def filling(self, gap: int) -> list[int] | None:
+        """One, two or three lengths that fill the gap exactly."""
+        return [gap] if self.left.get(gap) else self.pair(gap) or self.triple(gap)
 
 
 def plan(counts: dict[int, int], limit: int = LIMIT) -> list[tuple[int, list[int]]]:
@@ -120,13 +140,14 @@ def plan(counts: dict[int, int], limit: int = LIMIT) -> list[tuple[int, list[int
     order = sorted(left, reverse=True)
     out: list[tuple[int, list[int]]] = []
     rest: dict[int, int] = {}
+    sums = Sums(left, limit)
     for x in order:
         while left[x]:
             if x == limit:
                 found = []
             else:
                 left[x] -= 1
-                found = _combination(left, order, limit - x)
+                found = sums.filling(limit - x)
                 left[x] += 1
             if found is None:
                 rest[x], left[x] = left[x], 0
@@ -183,5 +204,5 @@ def pack(spark: SparkSession, documents: DataFrame, path: str, limit: int = LIMI
     table = spark.createDataFrame(places(plan(counts, limit)), "plan_length long, from_rank long, to_rank long, sequence long, offset long")
     ranked = prefix_sum(cut.withColumn("one", F.lit(1).cast("long")), ["length"], ["doc_id", "piece", "ids_crc32"], "one", "rank")
     match = (F.col("length") == F.col("plan_length")) & (F.col("rank") >= F.col("from_rank")) & (F.col("rank") < F.col("to_rank"))
-    joined = ranked.join(F.broadcast(table), match)
+    joined = ranked.join(F.broadcast(table), match)  # bounded by the number of lengths, not by the pieces
     return joined.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("sequence") + F.col("rank") - F.col("from_rank")).alias("sequence_id"), "offset")
