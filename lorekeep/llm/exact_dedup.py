@@ -1,12 +1,17 @@
 """Exact deduplication against a persistent digest index, bucketed and sorted by digest.
 
-Method. Texts are equal when their SHA-256 is. The index is a table of one row a digest, bucketed and
-sorted by digest, so that a sort-merge join reads it without a shuffle or a sort. New digests are those
-that a sort-merge anti-join finds missing; they are appended in the same buckets.
+Method. Texts are equal when their SHA-256 is. The index is a table bucketed and sorted by digest, so that a
+sort-merge join reads it without a shuffle or a sort. Documents come in batches; a batch's digests that a sort-merge
+anti-join finds missing are appended as new, the others as more of a known group, in the same
+buckets. A group's facts are the maximum and the sum over its rows, which lie in one bucket.
+
+Skew. A batch is aggregated before it is shuffled, so a text adds one row a batch however often it is there. When rows get their
+group's facts, groups of over 1 / HOT of all rows (HOT of them at most) are broadcast, and the rest is joined.
 
 Defined cases. A null text counts as empty. The largest doc_id of equal texts stays; a null id stays only
 where no id is set. Rows repeated with that same id: one of them stays. Columns besides doc_id and text
-are ignored, whatever their names. An empty table gives an empty result and appends nothing.
+are ignored, whatever their names. An empty table gives an empty result and appends nothing. Against an index that
+holds earlier batches keep_id and group_size are those of all batches.
 """
 
 import uuid
@@ -14,39 +19,51 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lorekeep.llm.common import Workspace
+from lorekeep.llm.common import Workspace, small
 
 #: Buckets of an index; a bucket of 10^12 digests' index holds some 10^9 of them at 1024. Small indexes take fewer.
 BUCKETS = 32
+#: Batches that a table is taken in, by a hash of the id; groups that may be hot.
+BATCHES, HOT = 2, 64
 
 
 class DigestIndex:
-    """digest (binary), keep_id and group_size of the batch that brought it."""
-
-    SCHEMA = "digest binary, keep_id long, group_size long"
+    """Rows of digest (binary), keep_id, group_size (of one batch) and fresh (whether that batch brought the digest)."""
 
     def __init__(self, spark: SparkSession, path: str, name: str | None = None, buckets: int = BUCKETS):
         self.spark, self.path, self.buckets = spark, path, buckets
         self.name = name or f"digest_index_{uuid.uuid4().hex}"
         if not spark.catalog.tableExists(self.name):
-            spark.sql(f"CREATE TABLE {self.name} (digest BINARY, keep_id BIGINT, group_size BIGINT) USING parquet CLUSTERED BY (digest) SORTED BY (digest) INTO {buckets} BUCKETS LOCATION '{path}'")
+            spark.sql(f"CREATE TABLE {self.name} (digest BINARY, keep_id BIGINT, group_size BIGINT, fresh BOOLEAN) USING parquet CLUSTERED BY (digest) SORTED BY (digest) INTO {buckets} BUCKETS LOCATION '{path}'")
 
     def table(self) -> DataFrame:
-        return self.spark.table(self.name)
+        """Each digest once, with the facts of the batch that brought it."""
+        return self.spark.table(self.name).filter("fresh").drop("fresh")
+
+    def facts(self) -> DataFrame:
+        """digest, keep_id, group_size over all batches."""
+        return self.spark.table(self.name).groupBy("digest").agg(F.max("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"))
 
     def fresh(self, groups: DataFrame) -> DataFrame:
         """Rows of groups whose digest the index lacks."""
         return groups.join(self.table().select("digest").hint("merge"), "digest", "left_anti")
 
-    def append(self, groups: DataFrame) -> None:
+    def append(self, groups: DataFrame) -> DataFrame:
+        """Add a batch's groups in one write; returns those that are new."""
+        ws = Workspace(self.spark, "digest-batch")
+        groups = ws.keep(groups.select("digest", F.col("keep_id").cast("long").alias("keep_id"), F.col("group_size").cast("long").alias("group_size")), "groups")
+        new = ws.keep(self.fresh(groups), "new")
+        more = groups.join(self.table().select("digest").hint("merge"), "digest", "left_semi")
         (
-            groups.select("digest", F.col("keep_id").cast("long").alias("keep_id"), F.col("group_size").cast("long").alias("group_size"))
+            new.withColumn("fresh", F.lit(True)).union(more.withColumn("fresh", F.lit(False)))
             .repartition(self.buckets, "digest").sortWithinPartitions("digest")
             .write.mode("append").format("parquet").bucketBy(self.buckets, "digest").sortBy("digest").option("path", self.path).saveAsTable(self.name)
         )
         self.spark.catalog.refreshTable(self.name)
+        return new
 
     def drop(self) -> None:
+        """Forget the table; its files stay where they are."""
         self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
 
 
@@ -61,25 +78,41 @@ def groups(digested: DataFrame) -> DataFrame:
 
 
 def add_batch(index: DigestIndex, documents: DataFrame) -> DataFrame:
-    """Append the batch's new digests; its documents that stay: doc_id, digest. What the index had already goes."""
-    ws = Workspace(index.spark, "dedup-batch")
-    new = ws.keep(index.fresh(groups(digests(documents))), "new")
-    index.append(new)
+    """Add a batch to the index; its documents that stay: doc_id, digest. What the index had already goes."""
+    new = index.append(groups(digests(documents)))
     return judged(digests(documents), new).filter("kept").select("doc_id", "digest")
 
 
-def judged(digested: DataFrame, index: DataFrame) -> DataFrame:
-    """Every row of digested that the index has, with its group's fate."""
-    again = Window.partitionBy("digest", "doc_id").orderBy("doc_id")
-    rows = digested.withColumn("_again", F.row_number().over(again))
-    joined = rows.join(index.hint("merge"), "digest")
-    return joined.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("_again") == 1)).drop("_again")
+def _first(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """kept of rows repeated under one id only for one of them. ids: the ids that repeat."""
+    marked = rows.join(small(ids.select(F.col("doc_id").alias("_id"), F.lit(True).alias("_more"))), F.col("doc_id").eqNullSafe(F.col("_id")), "left").drop("_id")
+    again = F.row_number().over(Window.partitionBy("digest").orderBy("doc_id"))
+    one = marked.filter("_more and kept").withColumn("kept", again == 1)
+    return marked.filter("_more is null or not kept").unionByName(one).drop("_more")
+
+
+def judged(digested: DataFrame, facts: DataFrame) -> DataFrame:
+    """Every row of digested that facts has, with its group's fate."""
+    total = facts.agg(F.sum("group_size")).first()[0] or 0
+    hot = F.broadcast(facts.filter(F.col("group_size") * HOT > total).limit(HOT).withColumnsRenamed({"keep_id": "_keep", "group_size": "_size"}))  # no more than HOT groups can be that large
+    rows = digested.join(hot, "digest", "left")
+    rest = rows.filter("_size is null").drop("_keep", "_size").join(facts.hint("merge"), "digest")
+    joined = rows.filter("_size is not null").select("digest", "doc_id", F.col("_keep").alias("keep_id"), F.col("_size").alias("group_size")).unionByName(rest)
+    joined = joined.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("keep_id")))
+    repeated = digested.groupBy("doc_id").count().filter("count > 1")
+    return _first(joined, repeated) if repeated.limit(1).count() else joined
 
 
 def dedup(spark: SparkSession, documents: DataFrame, index: DigestIndex | None = None) -> DataFrame:
-    """One row a document: doc_id, keep_id, group_size, kept, text_sha256. Without an index, one is built for this table."""
+    """One row a document: doc_id, keep_id, group_size, kept, text_sha256. Without an index, one is built for this table and forgotten afterwards."""
     ws = Workspace(spark, "dedup")
+    own = index is None
     index = index or DigestIndex(spark, ws.path("index"))
     digested = digests(documents)
-    index.append(index.fresh(groups(digested)))
-    return judged(digested, index.table()).select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
+    for k in range(BATCHES):
+        index.append(groups(digested.filter(F.pmod(F.xxhash64("doc_id"), F.lit(BATCHES)) == k)))
+    facts = ws.keep(index.facts(), "facts")
+    if own:
+        index.drop()
+        ws.drop("index")
+    return judged(digested, facts).select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
