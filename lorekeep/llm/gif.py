@@ -7,13 +7,15 @@ interlaced rows, deferred clear codes, disposal 1 to 3 and transparent samples,
 samples and the composed canvas. A colour histogram of 8 bands a channel is stored for each frame.
 
 Defined cases. Null text counts as empty; an empty payload becomes 192 spaces. Very long texts become many frames,
-coded one at a time. Equal texts give equal bytes. A broken file raises ValueError in decode(); frames() gives it no rows and the error's text.
+coded and read back one at a time. Equal texts give equal bytes. A broken file raises ValueError in decode(), where the fault is; frames() gives
+the frames before it and one row with the error's text.
 Columns besides doc_id and text are ignored; repeated rows and null ids are kept row by row.
 """
 
 import hashlib
 import struct
 import zlib
+from collections.abc import Iterable, Iterator
 from itertools import chain
 
 import numpy as np
@@ -22,6 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 WIDTH, ROWS, DELAY, UNIT, BANDS = 64, 96, 10, 192, 8
+#: Frames sent at once by frames().
+FLUSH = 32
 CLEAR, END, FULL = 256, 257, 4096
 
 
@@ -87,6 +91,8 @@ def _codes(padded: np.ndarray, offsets: np.ndarray, width) -> np.ndarray:
 
 def lzw_decode(data: bytes, bits: int, wanted: int) -> bytes:
     """Up to `wanted` samples. Codes after a full table keep 12 bits until a clear code comes."""
+    if not 2 <= bits <= 8:
+        raise ValueError(f"code size {bits}")
     clear, size = 1 << bits, len(data) * 8
     padded = np.frombuffer(data + b"\0\0\0\0", np.uint8).astype(np.int32)
     widths, before = SCHEDULES[bits]
@@ -109,6 +115,8 @@ def lzw_decode(data: bytes, bits: int, wanted: int) -> bytes:
         for code in codes[:stop].tolist():
             known = len(table)
             if last is None:
+                if code >= clear:
+                    raise ValueError("a code before its entry")
                 last = table[code]
             elif code < known:
                 entry = table[code]
@@ -157,17 +165,17 @@ def _blocks(data: bytes, at: int) -> tuple[bytes, int]:
     return b"".join(parts), at + 1
 
 
-def decode(data: bytes) -> list[dict]:
-    """Frames in order: start and delay in hundredths of a second, left, top, samples (indices), disposal and canvas (height x width x 4, after drawing)."""
+def decode(data: bytes) -> Iterator[dict]:
+    """Frames in order, one at a time: start and delay in hundredths of a second, left, top, samples (indices), disposal and canvas (height x width x 4, after drawing; it changes with the next frame)."""
     if data[:6] not in (b"GIF87a", b"GIF89a"):
         raise ValueError("not a GIF")
     try:
-        return _decode(data)
-    except (IndexError, struct.error) as e:
+        yield from _decode(data)
+    except (IndexError, struct.error, MemoryError) as e:
         raise ValueError("cut short") from e
 
 
-def _decode(data: bytes) -> list[dict]:
+def _decode(data: bytes) -> Iterator[dict]:
     wide, high, flags, _, _ = struct.unpack_from("<HHBBB", data, 6)
     at = 13
     common = np.zeros((0, 3), np.uint8)
@@ -176,7 +184,7 @@ def _decode(data: bytes) -> list[dict]:
         common = np.frombuffer(data, np.uint8, 3 * n, at).reshape(n, 3)
         at += 3 * n
     canvas = np.zeros((high, wide, 4), np.uint8)
-    frames, start = [], 0
+    start = 0
     delay, disposal, clear = 0, 0, None
     while data[at] != 0x3B:
         kind = data[at]
@@ -217,14 +225,13 @@ def _decode(data: bytes) -> list[dict]:
             region[..., :3], region[..., 3] = table[seen], 255
         else:
             region[shown] = np.concatenate([table[seen[shown]], np.full((int(shown.sum()), 1), 255, np.uint8)], 1)
-        frames.append({"start": start, "delay": delay, "left": left, "top": top, "disposal": disposal, "samples": samples, "canvas": canvas.copy()})
+        yield {"start": start, "delay": delay, "left": left, "top": top, "disposal": disposal, "samples": samples, "canvas": canvas}
         start += delay
         if disposal == 2:
             canvas[top : top + h, left : left + w] = 0
         elif disposal == 3:
             canvas = kept
         delay, disposal, clear = 0, 0, None
-    return frames
 
 
 def histogram(canvas: np.ndarray, bands: int = BANDS) -> list[int]:
@@ -240,19 +247,28 @@ def pad(raw: bytes, unit: int = UNIT) -> bytes:
     return raw + b" " * (-len(raw) % unit or (0 if raw else unit))
 
 
-def read_back(frames: list[dict]) -> bytes:
-    """The payload as the composed canvases show it: each frame's own rectangle, red channel."""
-    return b"".join(f["canvas"][f["top"] : f["top"] + f["samples"].shape[0], f["left"] : f["left"] + f["samples"].shape[1], 0].tobytes() for f in frames)
+def shown(frame: dict) -> bytes:
+    """What the composed canvas shows in the frame's own rectangle, red channel."""
+    high, wide = frame["samples"].shape
+    return frame["canvas"][frame["top"] : frame["top"] + high, frame["left"] : frame["left"] + wide, 0].tobytes()
+
+
+def read_back(frames: Iterable[dict]) -> bytes:
+    """The payload as the frames show it."""
+    return b"".join(map(shown, frames))
 
 
 def describe(raw: bytes) -> tuple:
-    payload = pad(raw)
-    media = encode(payload)
-    frames = decode(media)
-    back = read_back(frames)
-    hist = np.sum([histogram(f["canvas"][: f["samples"].shape[0]])[:BANDS] for f in frames], 0)
-    feature = f"frames={len(frames)};centiseconds={frames[-1]['start'] + frames[-1]['delay']};grey={','.join(map(str, hist))}"
-    return len(raw), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(media), hashlib.sha256(media).hexdigest(), feature
+    """The digest columns of a text; the stored form is read back frame by frame."""
+    media = encode(pad(raw))
+    digest, back, tail, count, end, hist = hashlib.sha256(), 0, b"", 0, 0, np.zeros(BANDS, np.int64)
+    for f in decode(media):
+        part = shown(f)
+        digest.update(part)
+        back, tail, count, end = back + len(part), (tail + part)[-16:], count + 1, f["start"] + f["delay"]
+        hist += histogram(f["canvas"][: f["samples"].shape[0]])[:BANDS]
+    feature = f"frames={count};centiseconds={end};grey={','.join(map(str, hist.tolist()))}"
+    return len(raw), back, digest.hexdigest(), zlib.crc32(tail), len(media), hashlib.sha256(media).hexdigest(), feature
 
 
 COLUMNS = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
@@ -284,23 +300,32 @@ def store(documents: DataFrame) -> DataFrame:
 
 
 def frames(media: DataFrame) -> DataFrame:
-    """One row a frame of each file of media (doc_id, media): times, geometry, disposal, canvas as RGBA bytes, histograms; a broken file has one row with its error."""
+    """One row a frame of each file of media (doc_id, media): times, geometry, disposal, canvas as RGBA bytes, histograms; a broken file has a row with its error after the frames before the fault."""
     shape = "doc_id long, frame int, start_cs int, delay_cs int, width int, height int, disposal int, rgba binary, red array<long>, green array<long>, blue array<long>, error string"
 
+    names = [c.split()[0] for c in shape.split(", ")]
+    kinds = [pa.int64(), *[pa.int32()] * 6, pa.binary(), *[pa.list_(pa.int64())] * 3, pa.string()]
+
+    def batch_of(rows):
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names)
+
     def run(batches):
         for batch in batches:
             for doc, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                rows, error, k = [], None, -1
                 try:
-                    found, error = decode(data or b""), None
+                    for k, f in enumerate(decode(data or b"")):
+                        h = histogram(f["canvas"])
+                        rows.append((doc, k, f["start"], f["delay"], f["samples"].shape[1], f["samples"].shape[0], f["disposal"], f["canvas"].tobytes(), h[:BANDS], h[BANDS : 2 * BANDS], h[2 * BANDS :], None))
+                        if len(rows) >= FLUSH:
+                            yield batch_of(rows)
+                            rows = []
+                    error = "no frame" if k < 0 else None
                 except ValueError as e:
-                    found, error = [], str(e)
-                rows = []
-                for k, f in enumerate(found):
-                    h = histogram(f["canvas"])
-                    rows.append((doc, k, f["start"], f["delay"], f["samples"].shape[1], f["samples"].shape[0], f["disposal"], f["canvas"].tobytes(), h[:BANDS], h[BANDS : 2 * BANDS], h[2 * BANDS :], None))
-                rows = rows or [(doc, *[None] * 10, error or "no frame")]
-                names = [c.split()[0] for c in shape.split(", ")]
-                kinds = [pa.int64(), *[pa.int32()] * 6, pa.binary(), *[pa.list_(pa.int64())] * 3, pa.string()]
-                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names)
+                    error = str(e)
+                if error:
+                    rows.append((doc, *[None] * 10, error))
+                if rows:
+                    yield batch_of(rows)
 
     return media.select("doc_id", "media").mapInArrow(run, shape)
