@@ -2,8 +2,8 @@
 
 Method. Each source has a weight that changes linearly with training time from start to end; its
 integral over time is the source's share. Shares of all words are filled up to `epochs` times what a
-source has, the excess going to the others by weight (a water level, found in closed form by prefix
-sums over sources ordered by cap / weight). A source's documents stand in a hashed order; the words
+source has, the excess going to the others by weight (a water level, raised until no source is over its
+cap; sources are numbered in sorted ranges, so there may be any number of them). A source's documents stand in a hashed order; the words
 before a document are its cumulative demand, and inverting the integral of the schedule at that demand gives
 the training time at which the document is read. Documents are range-sorted by that position.
 
@@ -12,7 +12,7 @@ source of its own, last in order. Repeated rows are documents of their own. A so
 target 0. Empty tables give empty results. A document on the edge of its source's target is taken in part.
 """
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lorekeep.llm.common import WORD, Workspace, prefix_sum, small
@@ -27,20 +27,39 @@ def word_count(text):
     return F.when(text.isNull(), 0).otherwise(F.regexp_count(text, F.lit(WORD))).cast("long")
 
 
+def _numbered(sources: DataFrame, ws: Workspace) -> DataFrame:
+    """sources with rank, from 0 in code-point order, null last: sorted in ranges, to whose own numbers those before them are added."""
+    order = F.col("source").asc_nulls_last()
+    ranged = sources.repartitionByRange(order).sortWithinPartitions(order).withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1))
+    ranged = ws.keep(ranged, "ranged")
+    before, start = [], 0
+    for part, n in sorted((r["_part"], r["count"]) for r in ranged.groupBy("_part").count().collect()):  # a row a partition
+        before.append((part, start))
+        start += n
+    before = sources.sparkSession.createDataFrame(before, "_part int, _before long")
+    return ranged.join(F.broadcast(before), "_part").withColumn("rank", F.col("_before") + F.col("_at")).drop("_part", "_at", "_before")
+
+
 def targets(sizes: DataFrame, schedules=SCHEDULES, epochs: int = EPOCHS) -> DataFrame:
-    """source, source_size, w_start, w_end, target. sizes: source and size of each document. One row a source from here on."""
-    per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
-    rank = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
-    turn = F.pmod(rank, F.lit(len(schedules)))
+    """source, source_size, w_start, w_end, target. sizes: source and size of each document.
+
+    The water level is what is left for the sources that aren't full, by their weights; sources it would fill
+    over their caps are full, and the level rises until there are none. A round is one sum over sources.
+    """
+    ws = Workspace(sizes.sparkSession, "targets")
+    per = _numbered(ws.keep(sizes.groupBy("source").agg(F.sum("size").alias("source_size")), "sources"), ws)
+    turn = F.pmod(F.col("rank"), F.lit(len(schedules))).cast("int")
     pick = lambda i: F.element_at(F.array(*[F.lit(float(s[i])) for s in schedules]), turn + 1)
     per = per.select("source", "source_size", pick(0).alias("w_start"), pick(1).alias("w_end"))
-    per = per.withColumn("w", (F.col("w_start") + F.col("w_end")) / 2).withColumn("cap", (F.col("source_size") * epochs).cast("double"))
-    order = Window.orderBy((F.col("cap") / F.col("w")).asc(), F.col("source").asc_nulls_last())
-    upto, rest, whole = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(0, Window.unboundedFollowing), Window.partitionBy()
-    level = (F.sum("source_size").over(whole) - F.coalesce(F.sum("cap").over(upto), F.lit(0.0))) / F.sum("w").over(rest)
-    per = per.withColumn("_level", level)
-    per = per.withColumn("_open", F.max(F.when(F.col("_level") * F.col("w") <= F.col("cap"), F.col("_level"))).over(whole))
-    return per.select("source", "source_size", "w_start", "w_end", F.least(F.col("cap"), F.coalesce(F.col("_open") * F.col("w"), F.col("cap"))).alias("target"))
+    per = ws.keep(per.withColumn("w", (F.col("w_start") + F.col("w_end")) / 2).withColumn("cap", (F.col("source_size") * epochs).cast("double")), "weighed")
+    level, closed = 0.0, -1
+    while True:  # the sums are of whole numbers, so they are the same in any order
+        full = F.col("cap") < F.lit(level) * F.col("w")
+        total, caps, weights, n = per.agg(F.sum("source_size"), F.sum(F.when(full, F.col("cap"))), F.sum(F.when(~full, F.col("w"))), F.count_if(full)).first()
+        if n == closed:
+            break
+        closed, level = n, (float(total or 0) - (caps or 0.0)) / weights if weights else level
+    return per.select("source", "source_size", "w_start", "w_end", F.least(F.col("cap"), F.lit(level) * F.col("w")).alias("target"))
 
 
 def moment(share, start, end):
