@@ -90,8 +90,21 @@ class Counts(dict):
         return sum(map(self.__getitem__, CHUNK.findall(SPACE + text.replace(" ", SPACE))))
 
 
+#: Text that a normaliser, a user-defined piece or another treatment of spaces would change.
+PROBE = " ﬁ ① Ａ\u3000é e\u0301\t\n  <s></s><unk> <0x41> \u200b▁▁x İ½ 𠮷 "
+
+
+def checked(path: str) -> None:
+    """Raise ValueError for a vocabulary whose library does more than merge."""
+    from sentencepiece import SentencePieceProcessor
+
+    if Counts(Merger(path)).text(PROBE) != len(SentencePieceProcessor(model_file=path).encode(PROBE)):
+        raise ValueError(f"{path} normalises texts or has pieces of its own; counts would differ")
+
+
 def count_tokens(documents: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit of each document. path: the vocabulary's file on every machine."""
+    checked(path)
 
     def run(batches):
         counts = Counts(Merger(path))

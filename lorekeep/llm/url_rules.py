@@ -28,7 +28,8 @@ def path_of(url):
 
 
 def rule_table(spark: SparkSession, rules=RULES) -> DataFrame:
-    return spark.createDataFrame(list(rules), "verdict string, host string, path string")
+    made = F.array(*[F.struct(F.lit(v).alias("verdict"), F.lit(h).alias("host"), F.lit(p).alias("path")) for v, h, p in rules])
+    return spark.range(1).select(F.explode(made).alias("r")).select("r.*")
 
 
 def keyed(rules: DataFrame) -> DataFrame:

@@ -156,10 +156,23 @@ def test_sharding(spark, docs, empty):
         place[r.text_crc32, r.size].add(r.shard)
     assert all(sorted(s) == list(range(len(s))) for s in slots.values()) and all(len(p) == 1 for p in place.values())
     rest = [n for s, n in load.items() if s not in place[zlib.crc32(ROWS[-1][1].encode()), 100_001]]  # the long one fills a shard
+    assert len(rest) == 3
     assert max(rest) - min(rest) <= 2_500
     assert sharding.shard(spark, empty, 4).count() == 0
 
 
+def test_sharding_is_even_through_the_tree(spark):
+    """Of 900 texts some are a tenth of a shard: all go through the tree, and shards differ by less than one of them."""
+    rng = random.Random(5)
+    rows = [(i, "x" * rng.choice([10, 200, 900, 12_000]) + str(i), rng.choice(["de", "en"]), rng.choice("abc")) for i in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    groups = sharding.points(sharding.measured(docs))
+    total = groups.agg(F.sum("weight")).first()[0]
+    assert groups.agg(F.max("weight")).first()[0] * sharding.HEAVY * 8 < total * 2
+    load = [r["sum(size)"] for r in sharding.shard(spark, docs, 8).groupBy("shard").sum("size").collect()]
+    assert len(load) == 8 and max(load) - min(load) < 0.04 * total / 8
+
+
 def test_packing(spark, docs, empty):
     path = tokenizers.path("word_bpe_49k.json")
     encoder = packing.Encoder(path)
@@ -183,8 +196,12 @@ def test_packing(spark, docs, empty):
     assert packing.pack(spark, empty, path).count() == 0
 
 
-def test_exact_dedup(spark, docs, empty):
+@pytest.mark.parametrize("hot", [64, 1000])
+def test_exact_dedup(spark, docs, empty, monkeypatch, hot):
+    monkeypatch.setattr(exact_dedup, "HOT", hot)
+    tables = len(spark.catalog.listTables())
     got = exact_dedup.dedup(spark, docs).collect()
+    assert len(spark.catalog.listTables()) == tables
     groups = defaultdict(list)
     for r in ROWS:
         groups[r[1] or ""].append(r[0])
@@ -205,6 +222,12 @@ def test_digest_index_lasts_over_batches(spark, docs, tmp_path):
     plan = docs.transform(exact_dedup.digests).join(index.table().hint("merge"), "digest")._jdf.queryExecution().toString()
     assert "SortMergeJoin" in plan and "Bucketed: true" in plan
     index.drop()
+    older = exact_dedup.DigestIndex(spark, str(tmp_path / "older"), buckets=2)
+    exact_dedup.dedup(spark, spark.createDataFrame([(1, "a"), (2, "b")], "doc_id long, text string"), older).count()
+    got = exact_dedup.dedup(spark, spark.createDataFrame([(9, "b"), (8, "b"), (8, "c"), (8, "c")], "doc_id long, text string"), older)
+    assert sorted((r.doc_id, r.keep_id, r.group_size, r.kept) for r in got.collect()) == [(8, 8, 2, False), (8, 8, 2, True), (8, 9, 3, False), (9, 9, 3, True)]
+    older.drop()
+    assert not spark.catalog.tableExists(older.name)
 
 
 def test_url_rules(spark):

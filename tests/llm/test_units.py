@@ -69,10 +69,12 @@ def test_gif_round_trips_and_rules():
             assert gif.read_back(gif.decode(gif.encode(payload))) == payload
     data = os.urandom(50_000)
     assert gif.lzw_decode(gif.lzw_encode(data), 8, len(data)) == data
+    whole = gif.encode(gif.pad(b"some text " * 900))
+    for broken in (b"GIF89a", b"no gif", whole[:-200], whole[:900], *(whole.replace(b"\x00\x08", b"\x00" + bytes([size])) for size in (0, 1, 9, 12, 200))):
+        with pytest.raises(ValueError):
+            list(gif.decode(broken))
     with pytest.raises(ValueError):
-        gif.decode(b"GIF89a")
-    with pytest.raises(ValueError):
-        gif.decode(b"no gif")
+        gif.lzw_decode(bytes([0xFF] * 9), 8, 9)
 
 
 def hand_made(frames, size=(2, 2), palette=bytes([0, 0, 0, 255, 0, 0, 0, 255, 0, 0, 0, 255])):
@@ -88,13 +90,17 @@ def hand_made(frames, size=(2, 2), palette=bytes([0, 0, 0, 255, 0, 0, 0, 255, 0,
     return out + b"\x3b"
 
 
+def kept(data):
+    return [f | {"canvas": f["canvas"].copy()} for f in gif.decode(data)]
+
+
 def test_gif_disposal_transparency_interlace_and_times():
-    got = gif.decode(hand_made([([1, 1, 1, 1], 5, 1, None, False), ([2, 0, 0, 2], 7, 3, 0, False), ([0, 3, 0, 0], 1, 2, 0, False), ([0, 0, 0, 3], 1, 1, 0, False)]))
+    got = kept(hand_made([([1, 1, 1, 1], 5, 1, None, False), ([2, 0, 0, 2], 7, 3, 0, False), ([0, 3, 0, 0], 1, 2, 0, False), ([0, 0, 0, 3], 1, 1, 0, False)]))
     look = lambda f: ["".join("-krgb"[0 if p[3] == 0 else 1 + (0 if not p[:3].any() else 1 + int(p[:3].argmax()))] for p in row) for row in f["canvas"]]
     assert [look(f) for f in got] == [["rr", "rr"], ["gr", "rg"], ["rb", "rr"], ["--", "-b"]]
     assert [(f["start"], f["delay"]) for f in got] == [(0, 5), (5, 7), (12, 1), (13, 1)]
     assert gif.histogram(got[3]["canvas"], 2) == [1, 0, 1, 0, 0, 1]
-    woven = gif.decode(hand_made([([0, 1, 2, 3], 0, 0, None, True)], size=(1, 4)))[0]
+    woven = kept(hand_made([([0, 1, 2, 3], 0, 0, None, True)], size=(1, 4)))[0]
     assert woven["samples"].ravel().tolist() == [0, 2, 1, 3]
 
 
@@ -159,8 +165,7 @@ def _components(ids, pairs):
 def test_quality_learns_and_reads_whole_texts():
     clean = [" ".join(RNG.choice(["the", "erre", "tion", "with"]) for _ in range(RNG.randint(5, 200))) for _ in range(300)]
     junk = ["".join(f"{w}%%% " for w in t.split()) for t in clean[:150]]
-    cut = lambda t: t.encode()[:2048]
-    model = quality.fit([(cut(t), 1) for t in clean[:200]] + [(cut(t), 0) for t in junk[:100]])
+    model = quality.fit([(t.encode(), 1) for t in clean[:200]] + [(t.encode(), 0) for t in junk[:100]])
     score = lambda t: float(quality.head(model, quality.pool(model, t.encode())[None])[0])
     assert np.mean([score(t) >= 0.5 for t in clean[200:]]) > 0.9 and np.mean([score(t) < 0.5 for t in junk[100:]]) > 0.9
     assert 0 <= score("") <= 1
@@ -173,12 +178,65 @@ def test_language_backs_off():
     model = language.Model({"de": Counter({"und": 9, "schule": 3, "schön": 2}), "en": Counter({"the": 9, "school": 3, "and": 4})})
     assert model.predict("the school and the", {})[0] == "en" and model.predict("schulen und", {})[0] == "de"
     assert model.predict("schulung", {})[0] == "de"
-    for text in (None, "", "123 !?"):
+    for text in (None, "", "123 !?", "½ ²", "Ⅷ ① ٣"):
         assert model.predict(text, {}) == ("und", 0.0)
+    assert model.predict("½the²and", {}) == model.predict("the and", {})
     assert 0 < model.predict("qqq", {})[1] <= 1
     assert language.Model({}).predict("abc", {}) == ("und", 0.0)
 
 
+def test_language_scores_equal_brute_force():
+    counts = {lang: Counter({"".join(RNG.choice(letters) for _ in range(RNG.randint(1, 7))): RNG.randint(1, 9) for _ in range(40)}) for lang, letters in (("aa", "abcde"), ("bb", "bcdef"), ("cc", "cdefgé"))}
+    model, langs = language.Model(counts), sorted(counts)
+
+    def frequency(tables, item):
+        every = set().union(*tables.values())
+        return [math.log((tables[x].get(item, 0) + 0.5) / (sum(tables[x].values()) + 0.5 * len(every))) for x in langs] if item in every else None
+
+    def grams(n):
+        out = {x: Counter() for x in langs}
+        for x in langs:
+            for word, count in counts[x].items():
+                marked = f"<{word}>"
+                for i in range(max(1, len(marked) - n + 1)):
+                    out[x][marked[i : i + n]] += count
+        return out
+
+    def evidence(word):
+        if found := frequency(counts, word):
+            return found
+        for n in (5, 4, 3, 2, 1):
+            marked = f"<{word}>"
+            cut = [marked[i : i + n] for i in range(max(1, len(marked) - n + 1))]
+            known = [f for g in cut if (f := frequency(grams(n), g))]
+            if known and (2 * len(known) >= len(cut) or n == 1):
+                return [sum(x) / len(known) for x in zip(*known, strict=True)]
+        return [0.0] * 3
+
+    for text in ("abcde bcd", "cé", "zzz", "Defg ab ab fed", "abc " * 30, "beef cafe dead fade"):
+        total = [sum(x) for x in zip(*map(evidence, text.lower().split()), strict=True)]
+        best = max(range(3), key=lambda i: (total[i], -i))
+        scale = min(1.0, 20 / len(text.split()))
+        lang, score = model.predict(text, {})
+        assert lang == langs[best] and score == pytest.approx(1 / sum(math.exp((x - total[best]) * scale) for x in total))
+
+
+def test_quality_pool_equals_brute_force():
+    rng = np.random.default_rng(1)
+    model = quality.fit([]) | {"b": rng.normal(0, 1, quality.FILTERS).astype(np.float32)}
+    for n in (0, 1, 7, 8, 9, 300, 70_000):
+        data = rng.integers(0, 256, n, dtype=np.uint8).tobytes()
+        ids = [*data, *[256] * (4 * max(2, -(-n // 4)) - n)]
+        spans = []
+        for chunk in range(len(ids) // 4 - 1):
+            e = model["emb"][ids[4 * chunk : 4 * chunk + 8]].reshape(2, -1)
+            if chunk % 64 == 0:
+                spans.append([])
+            spans[-1].append(e[0] @ model["w0"] + e[1] @ model["w1"] + model["b"])
+        act = np.array([np.maximum(np.max(s, axis=0), 0) for s in spans])
+        assert np.allclose(quality.pool(model, data), np.concatenate([act.mean(0), act.max(0)]), rtol=1e-3, atol=1e-4)
+
+
 def test_heavy_groups_are_dealt_evenly():
     where, left = sharding.even_targets([50, 10, 10], 160.0, 4)
     assert where == [0, 1, 2] and left[0] == 0 and sum(left) == pytest.approx(90) and max(left) - min(left[1:3]) <= 10.001
