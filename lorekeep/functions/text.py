@@ -46,29 +46,14 @@ def stem(c) -> Column:
     return F.when(n <= 2, w).when(w.endswith("sses"), cut(w, 2)).when(w.endswith("ies"), F.when(n > 4, F.concat(cut(w, 3), F.lit("i"))).otherwise(cut(w, 1))).when(w.endswith("ss"), w).otherwise(ended)
 
 
-#: The stem rules as rewrites of a whole text of space-ended words; a mark after a word keeps later rules off it.
-_REWRITES = (
-    (r"(?<= )(\S{1,2})(?= )", "$1\x01"),
-    (r"sses(?= )", "ss\x01"),
-    (r"(?<=\S\S)ies(?= )", "i\x01"),
-    (r"ies(?= )", "ie\x01"),
-    (r"ss(?= )", "ss\x01"),
-    (r"(?<=\S\S[^su\s])s(?= )", ""),
-    (r"(?<=\S)([^lsz\s])\1ing(?= )", "$1\x01"),
-    (r"(?<=\S{3})ing(?= )", "\x01"),
-    (r"(?<=\S)([^lsz\s])\1ed(?= )", "$1"),
-    (r"(?<=\S{3})ed(?= )", ""),
-    ("\x01", ""),
-)
+def words(c) -> Column:
+    """Ordered words in lower case, without stop words: one pass over the text."""
+    return F.filter(raw_words(c), lambda w: ~w.isin(S.STOPWORDS))
 
 
 def tokens(c) -> Column:
-    """Ordered stems without stop words: a few passes over the text, not a lambda for each word."""
-    out = F.concat(F.lit(" "), F.regexp_replace(F.lower(F.coalesce(col(c), F.lit(""))), r"[^\p{L}\p{N}]+", " "), F.lit(" "))
-    out = F.regexp_replace(out, rf"(?<= )(?:{'|'.join(S.STOPWORDS)})(?= )", "")
-    for pattern, by in _REWRITES:
-        out = F.regexp_replace(out, pattern, by)
-    return F.filter(F.split(out, " +"), lambda w: w != "")
+    """Ordered stems without stop words."""
+    return F.transform(words(c), stem)
 
 
 def field_tokens(fields: list[tuple[str, int]] | None = None) -> Column:
@@ -87,8 +72,9 @@ def contains_phrase(stream, phrase: list[str]) -> Column:
 
 
 def slugify(c) -> Column:
-    """ASCII slug. Input is taken as NFC; a UDF-free form, so combining marks each count as a separator."""
-    s = F.regexp_replace(F.regexp_replace(F.lower(F.coalesce(col(c), F.lit(""))), "[^a-z0-9]+", "-"), "^-+|-+$", "")
+    """ASCII slug; everything that isn't a-z or 0-9 separates, composed or not, but a letter with a combining mark goes whole, as its composed form does."""
+    plain = F.regexp_replace(F.lower(F.coalesce(col(c), F.lit(""))), r"[a-z0-9]\p{Mn}+", "-")
+    s = F.regexp_replace(F.regexp_replace(plain, "[^a-z0-9]+", "-"), "^-+|-+$", "")
     return F.when(s == "", F.lit("untitled")).otherwise(s)
 
 
@@ -274,6 +260,17 @@ def valid_citations(answer, known) -> Column:
     return F.aggregate(F.array_except(cited, col(known)), col(answer), lambda s, i: F.replace(s, F.concat(F.lit("["), i, F.lit("]")), i))
 
 
+#: Suffixes of each kind of upload.
+KINDS = {"pdf": (".pdf",), "markdown": (".md", ".markdown", ".txt"), "wiki": (".zip",)}
+
+
+def kind_matches(path, kind: str) -> Column:
+    """Whether a path has a suffix of this kind; `auto` takes all."""
+    if kind == "auto":
+        return F.lit(True)
+    return F.coalesce(F.lower(F.regexp_extract(leaf(path), r"^.+(\.[^.]+)$", 1)).isin(*KINDS[kind]), F.lit(False))
+
+
 def encode_continuation(offset: int) -> str:
     import base64
     import json

@@ -6,6 +6,8 @@ aggregates; only a query's few terms are literals, and only the top k leave the
 """
 
 from dataclasses import dataclass, field
+from functools import reduce
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -13,6 +15,7 @@ from pyspark.sql import functions as F
 from lorekeep import schema as S
 from lorekeep.functions import temporal as T
 from lorekeep.functions import text as X
+from lorekeep.work import Workspace, small
 
 
 @dataclass
@@ -66,65 +69,83 @@ def parse_query(text: str) -> Query:
     return out
 
 
+def words_of(stem: str) -> list[str]:
+    """Every word that has this stem: stemming takes away at most a plural, an ending and a doubled letter, so few words can."""
+    bases = {stem, stem + stem[-1:], stem[:-1], stem + "e"}
+    ends = {x + e for x in bases for e in ("", "ing", "ed")}
+    return sorted(w for w in {x + p for x in ends for p in ("", "s", "es", "ies")} if w and stem_word(w) == stem)
+
+
+def _words(name: str) -> Column:
+    return X.words(F.array_join("tags", " ") if name == "tags" else name)
+
+
 def postings(concepts: DataFrame, fields=S.FIELD_WEIGHTS, keys: tuple[str, ...] = ("id",)) -> DataFrame:
     """keys, token, tf: weighted counts of each document's stems. Stop words go before stemming."""
-    parts = F.array(*[F.struct(X.tokens(F.array_join("tags", " ") if n == "tags" else n).alias("tokens"), F.lit(w).alias("weight")) for n, w in fields])
-    each = concepts.select(*keys, F.explode(parts).alias("p")).select(*keys, "p.weight", F.explode("p.tokens").alias("token"))
-    return each.groupBy(*keys, "token").agg(F.sum("weight").alias("tf"))
+    parts = F.array(*[F.struct(X.raw_words(F.array_join("tags", " ") if n == "tags" else n).alias("words"), F.lit(w).alias("weight")) for n, w in fields])
+    each = concepts.select(*keys, F.explode(parts).alias("p")).select(*keys, "p.weight", F.explode("p.words").alias("word")).filter(~F.col("word").isin(S.STOPWORDS))
+    return each.select(*keys, X.stem("word").alias("token"), "weight").groupBy(*keys, "token").agg(F.sum("weight").alias("tf"))
 
 
 def build_index(concepts: DataFrame, fields=S.FIELD_WEIGHTS, bundle: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(postings, term statistics, corpus statistics); with `bundle`, statistics are kept for each bundle."""
+    """(postings, term statistics, corpus statistics), written once to work tables; with `bundle`, statistics are kept for each bundle."""
+    ws = Workspace(concepts.sparkSession, "index")
     by = [bundle] if bundle else []
-    rows = postings(concepts, fields, tuple([*by, "id"]))
+    rows = ws.keep(postings(concepts, fields, tuple([*by, "id"])), "postings")
     sizes = concepts.groupBy(*by).agg(F.count(F.lit(1)).alias("n_docs"))
     lengths = rows.groupBy(*by).agg(F.sum("tf").alias("total_len"))
     corpus = (sizes.join(lengths, by, "left") if by else sizes.crossJoin(F.broadcast(lengths))).withColumn("avgdl", F.coalesce("total_len", F.lit(0)) / F.col("n_docs"))
-    terms = rows.groupBy(*by, "token").agg(F.count(F.lit(1)).alias("df"))
-    terms = terms.join(F.broadcast(corpus.select(*by, "n_docs")), by) if by else terms.crossJoin(F.broadcast(corpus.select("n_docs")))
-    return rows, terms.withColumn("idf", F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))), corpus
+    corpus = ws.keep(corpus, "corpus")
+    terms = rows.groupBy(*by, "token").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
+    terms = terms.join(small(corpus.select(*by, "n_docs")), by) if by else terms.crossJoin(F.broadcast(corpus.select("n_docs")))
+    terms = terms.withColumn("idf", F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
+    return rows, ws.keep(terms, "terms"), corpus
 
 
 def bm25(tf: Column, dl: Column, avgdl: Column, idf: Column) -> Column:
     return idf * (tf * (S.BM25_K1 + 1)) / (tf + S.BM25_K1 * (1 - S.BM25_B + S.BM25_B * dl / avgdl))
 
 
-def _count_of(stream: Column, term: str) -> Column:
-    return F.size(F.filter(stream, lambda t: t == term))
-
-
 def score(concepts: DataFrame, query: str | Query, fields=S.FIELD_WEIGHTS, bundle: str | None = None) -> DataFrame:
-    """[bundle,] id, score of every match, unordered: one scan, one row a document and no shuffle but for the statistics.
+    """[bundle,] id, score of every match, unordered: one pass over the texts, one slim row a document.
 
-    A document's stems become a stream once; counts of the query's few terms in it and its length are
-    all that is kept, so neither postings nor texts are shuffled.
+    Texts aren't stemmed: a document's length is its number of words, and a term's frequency the number of words among
+    the few that have the term as their stem. Only lengths and frequencies are kept, in a work table, which serves both the statistics and the scores.
     """
     q = parse_query(query) if isinstance(query, str) else query
     by = [bundle] if bundle else []
     wanted = q.wanted
     if not wanted:
         return concepts.select(*by, "id", F.lit(0.0).alias("score")).limit(0)
+    is_in = lambda term: lambda w: w.isin(words_of(term))
 
-    def measured(stream: Column) -> Column:
-        keep, hit = F.lit(True), F.lit(False)
-        for p in q.phrases:
-            keep &= X.contains_phrase(stream, p)
+    def measured(streams: Column) -> Column:
+        parts = [(F.get(streams, F.lit(i)), weight) for i, (_, weight) in enumerate(fields)]
+        total = lambda f: sum(((f(s) * w) for s, w in parts[1:]), f(parts[0][0]) * parts[0][1])
+        some = lambda term: reduce(or_, [F.exists(s, is_in(term)) for s, _ in parts])
+        keep = F.lit(True)
         for t in q.excluded:
-            keep &= ~F.array_contains(stream, t)
-        for w in wanted:
-            hit |= F.array_contains(stream, w)
-        return F.struct(F.size(stream).alias("dl"), *[_count_of(stream, w).alias(f"tf{i}") for i, w in enumerate(wanted)], (keep & hit).alias("match"))
-
-    # bound to a lambda's variable, so that the stream is made once however often it is looked at
-    rows = concepts.select(*by, "id", F.transform(F.array(X.field_tokens(list(fields))), measured)[0].alias("m")).select(*by, "id", "m.*")
+            keep &= ~some(t)
+        if q.phrases:
+            whole = F.concat(*[F.flatten(F.array_repeat(s, w)) for s, w in parts])
+            for p in q.phrases:
+                # only a document that has all words of a phrase is looked through for it
+                keep &= reduce(and_, [some(t) for t in dict.fromkeys(p)]) & X.contains_phrase(F.transform(whole, X.stem), p)
+        tf = [total(lambda s, t=t: F.size(F.filter(s, is_in(t)))).alias(f"tf{i}") for i, t in enumerate(wanted)]
+        return F.struct(total(F.size).alias("dl"), *tf, keep.alias("keep"))
+
+    # bound to a lambda's variable, so that the streams are made once however often they are looked at
+    rows = concepts.select(*by, "id", F.transform(F.array(F.array(*[_words(n) for n, _ in fields])), measured)[0].alias("m")).select(*by, "id", "m.*")
+    rows = Workspace(concepts.sparkSession, "score").keep(rows, "rows")
     stats = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"), *[F.sum((F.col(f"tf{i}") > 0).cast("long")).alias(f"df{i}") for i in range(len(wanted))])
-    joined = rows.join(F.broadcast(stats), by) if by else rows.crossJoin(F.broadcast(stats))
-    total = F.lit(0.0)
+    hits = rows.filter(reduce(or_, [F.col(f"tf{i}") > 0 for i in range(len(wanted))]) & F.col("keep"))
+    joined = hits.join(small(stats), by) if by else hits.crossJoin(F.broadcast(stats))  # one row without bundles
+    score_ = F.lit(0.0)
     for i in range(len(wanted)):
         tf, df = F.col(f"tf{i}"), F.col(f"df{i}")
         idf = F.log(1 + (F.col("n") - df + 0.5) / (df + 0.5))
-        total = total + F.when(tf > 0, bm25(tf, F.col("dl"), F.col("avgdl"), idf)).otherwise(0.0)
-    return joined.select(*by, "id", F.when(F.col("match"), total).alias("score")).filter("score is not null")
+        score_ = score_ + F.when(tf > 0, bm25(tf, F.col("dl"), F.col("avgdl"), idf)).otherwise(0.0)
+    return joined.select(*by, "id", score_.alias("score"))
 
 
 def score_with_index(index: tuple[DataFrame, DataFrame, DataFrame], terms: DataFrame) -> DataFrame:
@@ -208,3 +229,29 @@ def filter_listing(concepts: DataFrame, type_contains: str | None = None, q: str
 
 def page(df: DataFrame, number: int, size: int, order: str = "id") -> DataFrame:
     return df.orderBy(order).offset((number - 1) * size).limit(size)
+
+
+def get_concept(concepts: DataFrame, statuses: DataFrame, concept_id: str) -> DataFrame:
+    """id, title, tier, temporal_status, superseded_by of one concept; no row if it isn't there."""
+    one = concepts.filter(F.col("id") == concept_id).select("id", F.coalesce("title", "id").alias("title"), T.trust_tier("verified").alias("tier"))
+    return one.join(statuses.select("id", F.col("status").alias("temporal_status"), "superseded_by"), "id")
+
+
+def search_or_fallback(concepts: DataFrame, query: str, limit: int = 10, type_filter: str | None = None, tier_filter: str | None = None) -> DataFrame:
+    """The plain scorer's hits with the filters applied after the cut, for bundles that the index can't take."""
+    hits = substring_rank(concepts, query, limit)
+    return hits.join(facets(concepts, type_filter, tier_filter).select("id"), "id")
+
+
+def coerce_limit(value, default: int, least: int = 0, most: int | None = None) -> int:
+    """A number of results from any input: what isn't a number is the default, and the rest is clamped."""
+    try:
+        got = int(value)
+    except (TypeError, ValueError):
+        got = default
+    return max(got, least) if most is None else min(max(got, least), most)
+
+
+def coerce_bool(value) -> bool:
+    """True for true, for numbers but 0, and for 1, true, yes, y and on in any case."""
+    return value.strip().lower() in ("1", "true", "yes", "y", "on") if isinstance(value, str) else bool(value)
