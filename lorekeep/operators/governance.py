@@ -30,6 +30,8 @@ class Store:
     def _version(self) -> str | None:
         p = self._path(f"{self.root}/_CURRENT")
         if not self._fs.exists(p):
+            if self._fs.exists(self._path(self.root)) and any(s.getPath().getName().startswith("v-") for s in self._fs.listStatus(self._path(self.root))):
+                raise FileNotFoundError(f"{self.root} has versions but no pointer to one")
             return None
         stream = self._fs.open(p)
         try:
@@ -49,10 +51,37 @@ class Store:
         out = self._fs.create(tmp, True)
         out.write(bytearray(v.encode()))
         out.close()
-        self._fs.delete(to, False)
-        self._fs.rename(tmp, to)
+        jvm = self.spark._jvm
+        replace = jvm.java.lang.reflect.Array.newInstance(jvm.java.lang.Class.forName("org.apache.hadoop.fs.Options$Rename"), 1)
+        replace[0] = getattr(jvm.org.apache.hadoop.fs, "Options$Rename").OVERWRITE
+        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(to.toUri() if to.toUri().getScheme() else self._fs.getUri(), self.spark._jsc.hadoopConfiguration())
+        context.rename(self._fs.makeQualified(tmp), self._fs.makeQualified(to), replace)  # readers see the old pointer or the new one
         return v
 
+    def lock(self, owner: str) -> bool:
+        """Take the single writer's lock; False if another holds it."""
+        try:
+            out = self._fs.create(self._path(f"{self.root}/_LOCK"), False)
+        except Exception as e:
+            if "AlreadyExists" in str(e):
+                return False
+            raise
+        out.write(bytearray(owner.encode()))
+        out.close()
+        return True
+
+    def unlock(self) -> None:
+        self._fs.delete(self._path(f"{self.root}/_LOCK"), False)
+
+    def locked_for(self) -> float | None:
+        """Seconds since the lock was taken or touched; None without a lock."""
+        p = self._path(f"{self.root}/_LOCK")
+        return max(0.0, datetime.now(UTC).timestamp() - self._fs.getFileStatus(p).getModificationTime() / 1000) if self._fs.exists(p) else None
+
+    def touch(self) -> None:
+        now = int(datetime.now(UTC).timestamp() * 1000)
+        self._fs.setTimes(self._path(f"{self.root}/_LOCK"), now, now)
+
     def audit(self, actor: str, action: str, concept_id: str, summary: str, ts: str | None = None) -> None:
         row = [(ts or datetime.now(UTC).isoformat(timespec="seconds"), actor, action, concept_id, summary)]
         self.spark.createDataFrame(row, "ts string, actor string, action string, concept_id string, summary string").coalesce(1).write.mode("append").json(f"{self.root}/_audit")
@@ -80,7 +109,16 @@ def new_errors(before: DataFrame, after: DataFrame) -> DataFrame:
 
 
 def governed_update(store: Store, change, actor: str, action: str, concept_id: str, validate, summary: str = "") -> dict:
-    """change: concepts -> concepts. Published and audited only if validation shows no new error; nothing is written for a change that changes nothing."""
+    """change: concepts -> concepts, under the writer's lock. Published and audited only if validation shows no new error; nothing is written for a change that changes nothing."""
+    if not store.lock(actor):
+        return {"written": False, "reason": "locked"}
+    try:
+        return _update(store, change, actor, action, concept_id, validate, summary)
+    finally:
+        store.unlock()
+
+
+def _update(store: Store, change, actor: str, action: str, concept_id: str, validate, summary: str) -> dict:
     before = store.read()
     after = change(before)
     if not diff(before, after).filter("change <> 'unchanged'").limit(1).count():
@@ -106,13 +144,16 @@ def unified_diff(old: str, new: str, name: str) -> str:
     return "".join(difflib.unified_diff(old.splitlines(True), new.splitlines(True), f"a/{name}", f"b/{name}"))
 
 
-def concept_hash():
-    return F.sha2(F.to_json(F.struct("title", "type", "description", "tags", "body", "resource", "status")), 256)
+def concept_hash(names):
+    """Of all that a concept has; columns it hasn't count as null."""
+    return F.sha2(F.to_json(F.struct(*names)), 256)
 
 
 def diff(old: DataFrame, new: DataFrame) -> DataFrame:
-    """id, change: added, removed, changed or unchanged by the hash of what a concept says."""
-    a, b = old.select("id", concept_hash().alias("_old")), new.select("id", concept_hash().alias("_new"))
+    """id, change: added, removed, changed or unchanged by the hash of all that a concept has, but for its own source_digest."""
+    names = sorted({*old.columns, *new.columns} - {"id", "source_digest"})
+    own = lambda df: [F.col(n) if n in df.columns else F.lit(None).cast("string").alias(n) for n in names]
+    a, b = old.select("id", concept_hash(own(old)).alias("_old")), new.select("id", concept_hash(own(new)).alias("_new"))
     change = F.when(F.col("_old").isNull(), "added").when(F.col("_new").isNull(), "removed").when(F.col("_old") != F.col("_new"), "changed").otherwise("unchanged")
     return a.join(b, "id", "full_outer").select("id", change.alias("change"))
 

@@ -1,5 +1,9 @@
 """Incremental sync: the plan of a snapshot against the state, scope, ownership, what applying it does."""
 
+import base64
+import time
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -117,3 +121,63 @@ def changed_fast(listing: DataFrame, state: DataFrame) -> DataFrame:
 def fingerprint(listing: DataFrame) -> DataFrame:
     """One row that changes when any path, size or time does."""
     return listing.agg(F.count(F.lit(1)).alias("files"), F.sum(F.xxhash64("path", "size", "mtime_ns").cast("decimal(38,0)")).alias("fingerprint"))
+
+
+#: Fixed value: how keys of paths that aren't UTF-8 begin.
+KEY_PREFIX = "sync-key-b64:"
+
+
+def encode_key(path: str) -> str:
+    """A path as it stands, or the base64 of its bytes where it holds undecodable ones."""
+    try:
+        path.encode()
+    except UnicodeEncodeError:
+        return KEY_PREFIX + base64.b64encode(path.encode(errors="surrogateescape")).decode()
+    return path
+
+
+def decode_key(key: str) -> str:
+    """The path of a key; what encode_key() doesn't give stands for itself."""
+    if not key.startswith(KEY_PREFIX):
+        return key
+    try:
+        path = base64.b64decode(key.removeprefix(KEY_PREFIX), validate=True).decode(errors="surrogateescape")
+    except ValueError:
+        return key
+    return path if encode_key(path) == key else key
+
+
+def preflight(planned: DataFrame, ingestable: DataFrame) -> DataFrame:
+    """planned with `skipped`: updated files that wouldn't give anything keep their old concepts. ingestable: path, status of what ingesting would do."""
+    state = ingestable.select("path", F.col("status").alias("_status"))
+    skipped = (F.col("change") == "updated") & ~F.coalesce(F.col("_status") == "create", F.lit(False))
+    return planned.join(state, "path", "left").withColumn("skipped", skipped).drop("_status")
+
+
+def run_once(store, current: DataFrame, state: DataFrame, ingest: Callable[[DataFrame], tuple[DataFrame, DataFrame]], ingestable: DataFrame, owner: str, stale_s: float = 3600.0) -> dict:
+    """One sync under the writer's lock: plan, preflight, delete, move, ingest, publish; returns counts and the next state.
+
+    ingest takes the paths to read and gives concepts and (path, concepts); what it fails on keeps its old state. A lock older than stale_s is
+    taken over. Concepts are published in one step at the end, so a lost run leaves the bundle as it was and is simply made again.
+    """
+    held = store.locked_for()
+    if held is not None and held > stale_s:
+        store.unlock()
+    if not store.lock(owner):
+        return {"ran": False, "reason": "locked"}
+    began = time.time()
+    try:
+        planned = preflight(plan(current, state), ingestable)
+        concepts = store.read()
+        todo = planned.filter("change in ('added', 'updated') and not skipped").select("path")
+        fresh, given = ingest(todo)
+        replaced = planned.filter("change = 'updated' and not skipped").select(F.explode("concepts").alias("id"))
+        kept_elsewhere = state.join(todo, "path", "left_anti").select(F.explode("concepts").alias("id"))
+        gone = deletable(planned, state).union(replaced.join(kept_elsewhere, "id", "left_anti")).distinct()
+        moved = rewrite_resources(concepts.join(gone, "id", "left_anti"), planned)
+        new = moved.join(fresh.select("id"), "id", "left_anti").unionByName(fresh.select(*moved.columns))
+        store.touch()
+        version = store.publish(new)
+        return {"ran": True, "version": version, "state": apply(planned, state, given), "changes": {r.change: r.n for r in summary(planned).collect()}, "seconds": round(time.time() - began, 3)}
+    finally:
+        store.unlock()
