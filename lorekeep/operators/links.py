@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lorekeep import schema as S
+from lorekeep.functions import temporal as T
 from lorekeep.functions import text as X
 
 
@@ -129,33 +130,57 @@ def neighbors(links: DataFrame, node: str, wanted: str | None = None) -> DataFra
     return out.union(back.select(F.lit("in"), "pos", "source", "text"))
 
 
-def traverse(links: DataFrame, statuses: DataFrame, start: str, depth: int = 2, wanted: str | None = None) -> DataFrame:
-    """level, id, via, status: breadth first over raw links, at most three levels.
+def walk(links: DataFrame, statuses: DataFrame, start: str, depth: int = 2, wanted: str | None = None) -> DataFrame:
+    """level, id, via, status of all that a traversal visits; status is null for targets that aren't there.
 
-    A target is reached once, by the parent discovered first. Superseded and missing targets count as visited but
-    are neither shown nor expanded. The order of discovery is carried along, since it decides the parent.
+    Breadth first over raw links, at most three levels. A target is visited once, by the parent discovered first, and a
+    parent's targets in the order of their ids. Superseded and missing targets count as visited but aren't expanded.
+    A concept's place in the order of discovery is the ids on the way to it, so nothing has to be numbered.
     """
     depth = max(1, min(depth, S.TRAVERSE_DEPTH))
-    spark = links.sparkSession
     rows = links if wanted is None else links.filter(X.relation_matches("text", "target", wanted))
-    first = rows.groupBy("source", "target").agg(F.min("pos").alias("pos"))
-    front = spark.createDataFrame([(start, 0)], "id string, ord long")
+    first = rows.select("source", "target").distinct()
+    front = links.sparkSession.createDataFrame([(start, [])], "id string, way array<string>")
     seen = front.select("id")
     out = None
     for level in range(1, depth + 1):
-        step = front.join(first, front.id == first.source).select(F.col("target").alias("id"), "ord", "pos", F.col("source").alias("via"))
-        step = step.join(seen, "id", "left_anti")
-        one = F.row_number().over(Window.partitionBy("id").orderBy("ord", "pos"))
-        step = step.withColumn("k", one).filter("k = 1").drop("k")
+        step = front.join(first, F.col("id") == F.col("source")).select(F.col("target").alias("id"), "way", F.col("source").alias("via"))
+        step = step.join(seen, "id", "left_anti").groupBy("id").agg(F.min(F.struct("way", "via")).alias("b")).select("id", F.concat("b.way", F.array("id")).alias("way"), "b.via")
         known = step.join(statuses.select("id", "status"), "id", "left")
-        shown = known.filter("status is not null and status <> 'superseded'")
-        part = shown.select(F.lit(level).alias("level"), "id", "via", "status")
+        part = known.select(F.lit(level).alias("level"), "id", "via", "status")
         out = part if out is None else out.union(part)
         seen = seen.union(step.select("id"))
-        front = shown.select("id", F.row_number().over(Window.orderBy("ord", "pos")).cast("long").alias("ord"))
+        front = known.filter("status is not null and status <> 'superseded'").select("id", "way")
     return out
 
 
+def traverse(links: DataFrame, statuses: DataFrame, start: str, depth: int = 2, wanted: str | None = None) -> DataFrame:
+    """level, id, via, status of what a traversal shows."""
+    return walk(links, statuses, start, depth, wanted).filter("status is not null and status <> 'superseded'")
+
+
+def traverse_counts(links: DataFrame, statuses: DataFrame, start: str, depth: int = 2, wanted: str | None = None) -> DataFrame:
+    """reached, hidden (superseded) and dangling (missing) targets of a traversal, in one row."""
+    return walk(links, statuses, start, depth, wanted).agg(
+        F.count_if(F.col("status").isNotNull() & (F.col("status") != "superseded")).alias("reached"), F.count_if(F.col("status") == "superseded").alias("hidden"), F.count_if(F.col("status").isNull()).alias("dangling")
+    )
+
+
+def graph_stats(nodes_: DataFrame, edges_: DataFrame, dead: DataFrame) -> DataFrame:
+    """nodes, edges, dead_links, non_current, in one row."""
+    counts = nodes_.agg(F.count(F.lit(1)).alias("nodes"), F.count_if(F.coalesce("temporal_status", F.lit("current")) != "current").alias("non_current"))
+    some = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
+    return counts.crossJoin(some(edges_, "edges")).crossJoin(some(dead, "dead_links")).select("nodes", "edges", "dead_links", "non_current")
+
+
+def graph_report(nodes_: DataFrame, edges_: DataFrame, dead: DataFrame, lost: DataFrame) -> DataFrame:
+    """section, line of a graph's text report: counts, concepts that aren't current with their mark, orphans, dead links."""
+    counts = graph_stats(nodes_, edges_, dead).select(F.lit("counts").alias("section"), F.format_string("%d concepts, %d links, %d dead links", "nodes", "edges", "dead_links").alias("line"))
+    other = nodes_.filter(F.coalesce("temporal_status", F.lit("current")) != "current")
+    marked = other.select(F.lit("non-current"), F.concat("id", F.lit(" ("), T.temporal_mark("temporal_status", "superseded_by"), F.lit(")")))
+    return counts.union(marked).union(lost.select(F.lit("orphan"), "id")).union(dead.select(F.lit("dead link"), F.concat_ws(": ", "source", "target")))
+
+
 def mermaid(nodes_: DataFrame, edges_: DataFrame) -> list[str]:
     """Lines of a flowchart; node names are escaped so that no two ids meet. A driver-side formatter over a bounded graph."""
 

@@ -1,14 +1,16 @@
 """Supersession and validity at an instant.
 
 resolve_heads() finds for each concept the deepest valid concept that supersedes it, by relaxing one row a
-node (depth, head) until nothing changes: O(longest chain) joins on edges, never paths. Nodes behind a
-cycle never settle; their part of the graph goes to a depth-first walk in one task for each weak component.
+node (depth, head) until nothing changes: O(longest chain) joins on edges, never paths. What hasn't settled
+after max_rounds lies behind a cycle or on a longer chain; only weak components that hold such a node
+go to a depth-first walk, a component in a task. All others keep what they settled on.
 """
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lorekeep.functions import temporal as T
+from lorekeep.work import Workspace, components, small
 
 
 def edges(concepts: DataFrame) -> DataFrame:
@@ -49,52 +51,36 @@ def _walk(pdf):
 
 def resolve_heads(concepts: DataFrame, at, max_rounds: int = 64) -> DataFrame:
     """id, head: the concept itself where nothing further is valid. Longest path wins, then the smaller id."""
-    spark = concepts.sparkSession
-    valid = window(concepts, at).select("id", (F.col("window") == "current").alias("valid")).cache()
-    links = edges(concepts).select(F.col("dst").alias("old"), F.col("src").alias("new")).cache()
+    ws = Workspace(concepts.sparkSession, "heads")
+    valid = window(concepts, at).select("id", (F.col("window") == "current").alias("valid"))
+    links = ws.keep(edges(concepts).select(F.col("dst").alias("old"), F.col("src").alias("new")), "links")
     on_graph = links.select(F.col("old").alias("id")).union(links.select(F.col("new").alias("id"))).distinct().join(valid, "id")
-    state = on_graph.select("id", F.when(F.col("valid"), F.struct(F.lit(0).alias("depth"), F.col("id").alias("head"))).alias("best"))
-    state = _settle(spark, state)
-    changed = True
-    for _ in range(max_rounds):
+    state = ws.keep(on_graph.select("id", "valid", F.when(F.col("valid"), F.struct(F.lit(0).alias("depth"), F.col("id").alias("head"))).alias("best"), F.lit(False).alias("better")), "state0")
+    for k in range(1, max_rounds + 1):
         step = links.join(state.select(F.col("id").alias("new"), "best").filter("best is not null"), "new").select(F.col("old").alias("id"), F.struct((F.col("best.depth") + 1).alias("depth"), F.col("best.head").alias("head")).alias("cand"))
         best = step.groupBy("id").agg(F.min(F.struct((-F.col("cand.depth")).alias("d"), F.col("cand.head").alias("h"))).alias("c"))
         better = (F.col("best").isNull() & F.col("c").isNotNull()) | (-F.col("c.d") > F.col("best.depth")) | ((-F.col("c.d") == F.col("best.depth")) & (F.col("c.h") < F.col("best.head")))
-        moved = state.join(best, "id", "left").withColumn("better", F.coalesce(better, F.lit(False)))
-        moved = moved.select("id", F.when(F.col("better"), F.struct((-F.col("c.d")).alias("depth"), F.col("c.h").alias("head"))).otherwise(F.col("best")).alias("best"), "better")
-        moved = _settle(spark, moved)
-        changed = bool(moved.filter("better").limit(1).count())
-        state = moved.drop("better")
-        if not changed:
+        moved = state.drop("better").join(best, "id", "left").withColumn("better", F.coalesce(better, F.lit(False)))
+        state = ws.keep(moved.select("id", "valid", F.when(F.col("better"), F.struct((-F.col("c.d")).alias("depth"), F.col("c.h").alias("head"))).otherwise(F.col("best")).alias("best"), "better"), f"state{k}")
+        ws.drop(f"state{k - 1}")
+        if not state.filter("better").limit(1).count():
             break
-    if changed:
-        return _with_walk(concepts, valid, links)
-    return concepts.select("id").join(state.select("id", "best.head"), "id", "left").select("id", F.coalesce("head", "id").alias("head"))
-
-
-def _settle(spark, df: DataFrame) -> DataFrame:
-    """Cut the lineage on the shared folder where the session has one; plans of a few rounds need none."""
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lorekeep-"))
-    return df.checkpoint()
+    heads = state.select("id", "best.head")
+    unsettled = state.filter("better").select("id")
+    if unsettled.limit(1).count():
+        walked = _walked(ws, unsettled, state.select("id", "valid"), links)
+        heads = heads.join(walked.select("id"), "id", "left_anti").unionByName(walked)
+    return concepts.select("id").join(heads, "id", "left").select("id", F.coalesce("head", "id").alias("head"))
 
 
-def _with_walk(concepts: DataFrame, valid: DataFrame, links: DataFrame) -> DataFrame:
-    both = links.union(links.select(F.col("new").alias("old"), F.col("old").alias("new")))
-    comp = both.select(F.col("old").alias("id")).distinct().select("id", F.col("id").alias("comp"))
-    spark = concepts.sparkSession
-    while True:
-        near = both.join(comp.select(F.col("id").alias("new"), "comp"), "new").groupBy(F.col("old").alias("id")).agg(F.min("comp").alias("near"))
-        moved = _settle(spark, comp.join(near, "id").select("id", F.least("comp", "near").alias("comp"), (F.col("near") < F.col("comp")).alias("better")))
-        comp = moved.drop("better")
-        if not moved.filter("better").limit(1).count():
-            break
+def _walked(ws: Workspace, unsettled: DataFrame, valid: DataFrame, links: DataFrame) -> DataFrame:
+    """id, head of the weak components that hold an unsettled node."""
+    comp = components(links.select(F.col("old").alias("a"), F.col("new").alias("b")), ws, "weak").withColumnRenamed("node", "id")
+    own = valid.select("id").join(comp, "id", "left").select("id", F.coalesce("comp", "id").alias("comp"))  # a self-loop is no edge of a component
+    own = own.join(own.join(unsettled, "id").select("comp").distinct(), "comp", "left_semi")
     above = links.groupBy(F.col("old").alias("id")).agg(F.sort_array(F.collect_set("new")).alias("above"))
-    nodes = comp.join(valid, "id").join(above, "id", "left").select("comp", F.col("id").alias("node"), "valid", F.coalesce("above", F.array().cast("array<string>")).alias("above"))
-    heads = nodes.groupBy("comp").applyInPandas(_walk, "id string, head string")
-    return concepts.select("id").join(heads, "id", "left").select("id", F.coalesce("head", "id").alias("head"))
+    nodes = own.join(valid, "id").join(above, "id", "left").select("comp", F.col("id").alias("node"), "valid", F.coalesce("above", F.array().cast("array<string>")).alias("above"))
+    return ws.keep(nodes.groupBy("comp").applyInPandas(_walk, "id string, head string"), "walked")
 
 
 def statuses(concepts: DataFrame, at) -> DataFrame:
@@ -116,14 +102,16 @@ def cycles(concepts: DataFrame, max_rounds: int = 64) -> DataFrame:
     Nodes without a way in or out are peeled off by joins first, so that only what lies on or between
     cycles reaches the walk.
     """
-    spark = concepts.sparkSession
-    live = _settle(spark, edges(concepts))
-    for _ in range(max_rounds):
+    ws = Workspace(concepts.sparkSession, "cycles")
+    live = ws.keep(edges(concepts), "live0")
+    for k in range(1, max_rounds + 1):
         kept = live.join(live.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").join(live.select(F.col("dst").alias("src")).distinct(), "src", "left_semi")
-        kept = _settle(spark, kept.select("src", "dst"))
-        if kept.count() == live.count():
-            break
+        kept = ws.keep(kept.select("src", "dst"), f"live{k}")
+        done = kept.count() == live.count()
+        ws.drop(f"live{k - 1}")
         live = kept
+        if done:
+            break
 
     def walk(batches):
         import pandas as pd
@@ -156,15 +144,9 @@ def cycles(concepts: DataFrame, max_rounds: int = 64) -> DataFrame:
     def grouped(pdf):
         return next(walk([pdf]))
 
-    both = live.union(live.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-    comp = both.groupBy(F.col("src").alias("id")).agg(F.least(F.min("src"), F.min("dst")).alias("comp"))
-    while True:
-        near = both.join(comp.select(F.col("id").alias("dst"), "comp"), "dst").groupBy(F.col("src").alias("id")).agg(F.min("comp").alias("near"))
-        moved = _settle(spark, comp.join(near, "id").select("id", F.least("comp", "near").alias("comp"), (F.col("near") < F.col("comp")).alias("better")))
-        comp = moved.drop("better")
-        if not moved.filter("better").limit(1).count():
-            break
-    return live.join(comp.select(F.col("id").alias("src"), "comp"), "src").groupBy("comp").applyInPandas(grouped, "cycle array<string>")
+    comp = components(live.select(F.col("src").alias("a"), F.col("dst").alias("b")), ws, "weak").withColumnRenamed("node", "src")
+    rows = live.join(small(comp), "src", "left").withColumn("comp", F.coalesce("comp", "src"))
+    return rows.groupBy("comp").applyInPandas(grouped, "cycle array<string>")
 
 
 def carry_over(new: DataFrame, old: DataFrame) -> DataFrame:
