@@ -1,34 +1,36 @@
 """Watching folders: a timer stream whose batches re-list the sources, since a file stream sees neither changes nor deletions."""
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lorekeep import schema as S
 from lorekeep.operators import sync
 from lorekeep.sources import files
 
 
+#: Changed files up to this number are read by their paths; more of them by scanning their folders.
+BY_PATH = 10_000
+
+
 def poll(spark: SparkSession, roots: list[str], state: DataFrame, verify: bool) -> DataFrame:
     """path, sha256 of what is there now: digests are taken again where size or time differ, or everywhere with verify."""
-    lists = [files.listing(spark, r) for r in roots]
-    now = lists[0]
-    for x in lists[1:]:
-        now = now.union(x)
-    now = now.dropDuplicates(["path"])
+    scanned = lambda: reduce(DataFrame.union, [files.scan(spark, r).select("path", "sha256") for r in roots]).dropDuplicates(["path"])
     if verify:
-        hashed = [files.scan(spark, r).select("path", "sha256") for r in roots]
-        out = hashed[0]
-        for x in hashed[1:]:
-            out = out.union(x)
-        return out.dropDuplicates(["path"])
-    changed = sync.changed_fast(now, state)
-    fresh = [files.scan(spark, r).select("path", "sha256") for r in roots]
-    all_ = fresh[0]
-    for x in fresh[1:]:
-        all_ = all_.union(x)
-    rehashed = all_.join(changed.select("path"), "path", "left_semi").dropDuplicates(["path"])
-    kept = now.select("path").join(changed.select("path"), "path", "left_anti").join(state.select("path", "sha256"), "path")
+        return scanned()
+    now = reduce(DataFrame.union, [files.listing(spark, r) for r in roots]).dropDuplicates(["path"])
+    now = now.filter(~F.lower(F.element_at(F.split("path", "/"), -1)).isin(*S.RESERVED))
+    changed = sync.changed_fast(now, state).select("path")
+    few = [r.path for r in changed.limit(BY_PATH + 1).collect()]
+    if len(few) > BY_PATH:
+        rehashed = scanned().join(changed, "path", "left_semi")
+    elif few:
+        rehashed = spark.read.format("binaryFile").load(few).select("path", F.sha2("content", 256).alias("sha256"))
+    else:
+        rehashed = spark.createDataFrame([], "path string, sha256 string")
+    kept = now.select("path").join(changed, "path", "left_anti").join(state.select("path", "sha256"), "path")
     return kept.select("path", "sha256").unionByName(rehashed)
 
 
