@@ -28,7 +28,7 @@ def fn_29_id_targets(spark, sf_dir):
     return linked(spark, sf_dir).select("id", F.array_join(ids, "|").alias("ids"))
 
 
-@query(f"WITH {corpus.SQL}, {tokens_sql('concepts', 'id', FIELDS)} SELECT id, token, CAST(sum(weight) AS BIGINT) AS tf FROM toks WHERE token IN ('thanedble', 'anea', 'en', 'doc') GROUP BY id, token")
+@query(f"WITH {corpus.SQL}, {tokens_sql('concepts', 'id', FIELDS)} SELECT id, token, CAST(sum(weight) AS BIGINT) AS tf FROM toks GROUP BY id, token")
 def agg_01_term_frequency(spark, sf_dir):
     return search.postings(corpus.concepts(spark, sf_dir)).select("id", "token", F.col("tf").cast("long").alias("tf"))
 

@@ -13,9 +13,10 @@ PATH = "d.source || '/doc-' || d.doc_id"
 
 
 def linked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Concepts source/doc-n whose bodies link absolutely, relatively, out of the bundle, to a missing file and to the web."""
+    """Concepts source/doc-n: their whole texts, and links to absolute and relative targets, out of the bundle, to a missing file and to the web."""
     i = F.col("doc_id")
     body = F.concat(
+        "text", F.lit("\n\n"),
         F.lit("See [three](/src"), (i * 3 % 20).cast("string"), F.lit("/doc-"), (i * 3).cast("string"), F.lit(".md) and [next](doc-"), (i + 20).cast("string"), F.lit(' "titled") or [up](../src'), (i % 7).cast("string"), F.lit("/doc-"), ((i % 7) + 20).cast("string"),
         F.lit("#part), ![pic](p.png), [web](https://example.org/x), [out](../../etc), [idx](index.md), [dir](../src1)."),
     )
@@ -71,7 +72,7 @@ def gr_04_viz_links(spark, sf_dir):
 def raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Written links between plain ids: n to 2n, 3n and a missing one."""
     i = F.col("doc_id")
-    body = F.concat(F.lit("[twice]("), (2 * i).cast("string"), F.lit(") [thrice]("), (3 * i).cast("string"), F.lit(") [gone](x"), i.cast("string"), F.lit(")"))
+    body = F.concat("text", F.lit("\n[twice]("), (2 * i).cast("string"), F.lit(") [thrice]("), (3 * i).cast("string"), F.lit(") [gone](x"), i.cast("string"), F.lit(")"))
     return read(spark, sf_dir, "documents").select(i.cast("string").alias("id"), body.alias("body"))
 
 
@@ -81,9 +82,9 @@ def gr_05_neighbors(spark, sf_dir):
 
 
 @query(
-    """WITH l AS (SELECT doc_id AS s, 2 * doc_id AS t, 0 AS pos FROM documents UNION ALL SELECT doc_id, 3 * doc_id, 1 FROM documents), ok AS (SELECT doc_id FROM documents WHERE doc_id % 5 <> 4),
-    l1 AS (SELECT t, pos FROM l WHERE s = 3 AND t <> 3), k1 AS (SELECT t AS id, pos AS ord FROM l1 JOIN ok ON ok.doc_id = t),
-    l2 AS (SELECT l.t, k1.id AS via, row_number() OVER (PARTITION BY l.t ORDER BY k1.ord, l.pos) AS k FROM k1 JOIN l ON l.s = k1.id WHERE l.t NOT IN (SELECT t FROM l1) AND l.t <> 3)
+    """WITH l AS (SELECT doc_id AS s, 2 * doc_id AS t FROM documents UNION ALL SELECT doc_id, 3 * doc_id FROM documents), ok AS (SELECT doc_id FROM documents WHERE doc_id % 5 <> 4),
+    l1 AS (SELECT DISTINCT t FROM l WHERE s = 3 AND t <> 3), k1 AS (SELECT t AS id, CAST(t AS VARCHAR) AS ord FROM l1 JOIN ok ON ok.doc_id = t),
+    l2 AS (SELECT l.t, k1.id AS via, row_number() OVER (PARTITION BY l.t ORDER BY k1.ord) AS k FROM k1 JOIN l ON l.s = k1.id WHERE l.t NOT IN (SELECT t FROM l1) AND l.t <> 3)
     SELECT 1 AS level, CAST(id AS VARCHAR) AS id, '3' AS via, 'current' AS status FROM k1 UNION ALL SELECT 2, CAST(t AS VARCHAR), CAST(via AS VARCHAR), 'current' FROM l2 JOIN ok ON ok.doc_id = t WHERE k = 1"""
 )
 def gr_06_traverse(spark, sf_dir):
@@ -92,6 +93,18 @@ def gr_06_traverse(spark, sf_dir):
     return links.traverse(links.raw_links(c), states, "3", 2)
 
 
+@query(
+    """WITH l AS (SELECT doc_id AS s, CAST(2 * doc_id AS VARCHAR) AS t FROM documents UNION ALL SELECT doc_id, CAST(3 * doc_id AS VARCHAR) FROM documents UNION ALL SELECT doc_id, 'x' || doc_id FROM documents), st AS (SELECT CAST(doc_id AS VARCHAR) AS id, doc_id % 5 = 4 AS gone FROM documents),
+    l1 AS (SELECT DISTINCT t, gone FROM l LEFT JOIN st ON st.id = l.t WHERE s = 1), l2 AS (SELECT DISTINCT l.t, st.gone FROM l1 JOIN l ON CAST(l.s AS VARCHAR) = l1.t AND NOT l1.gone LEFT JOIN st ON st.id = l.t WHERE l.t NOT IN (SELECT t FROM l1)),
+    l3 AS (SELECT DISTINCT l.t, st.gone FROM l2 JOIN l ON CAST(l.s AS VARCHAR) = l2.t AND NOT l2.gone LEFT JOIN st ON st.id = l.t WHERE l.t NOT IN (SELECT t FROM l1 UNION SELECT t FROM l2)), v AS (SELECT * FROM l1 UNION ALL SELECT * FROM l2 UNION ALL SELECT * FROM l3)
+    SELECT count(*) FILTER (WHERE NOT gone) AS reached, count(*) FILTER (WHERE gone) AS hidden, count(*) FILTER (WHERE gone IS NULL) AS dangling FROM v"""
+)
+def agg_15_traverse_counts(spark, sf_dir):
+    c = raw(spark, sf_dir)
+    states = c.select("id", F.when(F.expr("try_cast(id as bigint)") % 5 == 4, "superseded").otherwise("current").alias("status"))
+    return links.traverse_counts(links.raw_links(c), states, "1", 3)
+
+
 @query("SELECT min(cycle) AS cycle FROM (VALUES ('a>b'), ('s')) v(cycle) GROUP BY cycle")
 def tmp_05_cycles(spark, sf_dir):
     rows = [("b", ["a"]), ("a", ["b"]), ("s", ["s"]), ("lonely", []), ("tail", ["a"])]
@@ -171,11 +184,11 @@ def jn_11_not_ingested(spark, sf_dir):
 
 
 @query(
-    f"WITH {corpus.SQL}, {tokens_sql('concepts', 'id, doc_id', [('title', 1)])}, s AS (SELECT id, doc_id, list_distinct(list(token)) AS t FROM toks GROUP BY id, doc_id) SELECT a.id AS a, b.id AS b, {micro('len(list_intersect(a.t, b.t)) * 1.0 / (len(a.t) + len(b.t) - len(list_intersect(a.t, b.t)))')} AS similarity FROM s a, s b WHERE a.doc_id % 2 = 0 AND b.doc_id % 2 = 1 AND len(list_intersect(a.t, b.t)) >= 0.8 * (len(a.t) + len(b.t) - len(list_intersect(a.t, b.t)))"
+    f"WITH {corpus.SQL}, {tokens_sql('concepts', 'id, doc_id', [('title', 1)])}, s AS (SELECT id, doc_id, list_distinct(list(token)) AS t FROM toks GROUP BY id, doc_id) SELECT a.id AS a, b.id AS b, {micro('len(list_intersect(a.t, b.t)) * 1.0 / (len(a.t) + len(b.t) - len(list_intersect(a.t, b.t)))')} AS similarity FROM s a, s b WHERE a.id < b.id AND len(list_intersect(a.t, b.t)) >= 0.8 * (len(a.t) + len(b.t) - len(list_intersect(a.t, b.t)))"
 )
 def jn_09_title_jaccard(spark, sf_dir):
-    c = corpus.concepts(spark, sf_dir).withColumn("i", F.expr("cast(substr(id, 5) as bigint)"))
-    found = entity.jaccard_titles(c.filter("i % 2 = 0"), c.filter("i % 2 = 1"))
+    c = corpus.concepts(spark, sf_dir)
+    found = entity.jaccard_titles(c, c).filter("a < b")
     return found.select("a", "b", (F.floor(F.col("similarity") * 1e6 + 0.5) / 1e6).alias("similarity"))
 
 
@@ -204,9 +217,11 @@ def fn_19_cosine(spark, sf_dir):
 
 
 @query(
-    f"WITH {corpus.SQL}, n AS (SELECT id, ' ' || trim(regexp_replace(lower(title), '[^a-z0-9]+', ' ', 'g')) || ' ' AS t, ' ' || trim(regexp_replace(lower(body), '[^a-z0-9]+', ' ', 'g')) || ' ' AS b FROM concepts) SELECT x.id AS source, y.id AS target FROM n x JOIN n y ON x.id <> y.id AND length(y.t) >= 6 AND len(string_split(trim(y.t), ' ')) <= 12 AND contains(x.b, y.t)"
+    f"WITH {corpus.SQL}, n AS (SELECT id, tier, body, trim(regexp_replace(lower(title), '[^a-z0-9]+', ' ', 'g')) AS t, trim(regexp_replace(lower(title || ' ' || body), '[^a-z0-9]+', ' ', 'g')) AS h FROM concepts) "
+    "SELECT x.id AS source, y.id AS target FROM n x JOIN n y ON x.id <> y.id AND length(y.t) >= 4 AND x.tier <> 'human-reviewed' AND contains(' ' || x.h || ' ', ' ' || y.t || ' ') AND NOT contains(x.body, '](/' || y.id || ')') AND NOT contains(x.body, '](' || replace(y.t, ' ', '-') || ')')"
 )
 def jn_12_backlinks(spark, sf_dir):
+    """Titles of any length, in titles and bodies; concepts that a human has reviewed are never added to."""
     return entity.backlinks(corpus.concepts(spark, sf_dir))
 
 
@@ -233,11 +248,19 @@ def ing_01_sections(spark, sf_dir):
 
 @query("SELECT length(text) < 1000 AS too_small, count(*) AS n, sum(length(text)) AS chars FROM documents GROUP BY 1")
 def agg_11_stub_gate(spark, sf_dir):
-    d = read(spark, sf_dir, "documents").groupBy("doc_id").agg(F.sum(F.length("text")).alias("c"))
-    return d.groupBy((F.col("c") < 1000).alias("too_small")).agg(F.count(F.lit(1)).alias("n"), F.sum("c").alias("chars"))
+    """The gate of sections() on whole documents; characters counted from the texts."""
+    d = read(spark, sf_dir, "documents").select("doc_id", F.lit(1).alias("number"), "text")
+    gate = sections.sections(d).select("doc_id", "too_small").distinct()
+    return d.join(gate, "doc_id").groupBy("too_small").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("chars"))
 
 
-@query(f"WITH {SECTIONS}, w AS (SELECT doc_id, section_no, lead(section_no) OVER o AS nxt, lag(section_no) OVER o AS prv FROM s WINDOW o AS (PARTITION BY doc_id ORDER BY section_no)) SELECT doc_id, section_no, nxt AS target_no, 'next' AS why FROM w WHERE nxt IS NOT NULL UNION ALL SELECT doc_id, section_no, prv, 'previous' FROM w WHERE prv IS NOT NULL")
+@query(
+    f"WITH {SECTIONS}, w AS (SELECT doc_id, section_no, lead(section_no) OVER o AS nxt, lag(section_no) OVER o AS prv FROM s WINDOW o AS (PARTITION BY doc_id ORDER BY section_no)), "
+    r"said AS (SELECT x.doc_id, x.section_no, y.section_no AS target_no, 0 AS kind FROM s x JOIN s y ON x.doc_id = y.doc_id AND x.section_no <> y.section_no AND length(trim(y.title)) >= 4 AND contains(lower(x.text), lower(trim(y.title))) AND regexp_matches(x.text, '(?i)(^|[^\p{L}\p{N}_])' || regexp_escape(trim(y.title)) || '($|[^\p{L}\p{N}_])') "
+    "UNION ALL SELECT doc_id, section_no, nxt, 1 FROM w WHERE nxt IS NOT NULL UNION ALL SELECT doc_id, section_no, prv, 2 FROM w WHERE prv IS NOT NULL), "
+    "b AS (SELECT doc_id, section_no, target_no, min(kind) AS kind FROM said GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY doc_id, section_no ORDER BY kind, target_no) AS pos FROM b) "
+    "SELECT doc_id, section_no, target_no, CASE kind WHEN 0 THEN 'mentioned' WHEN 1 THEN 'next' ELSE 'previous' END AS why FROM k WHERE pos <= 8"
+)
 def jn_13_see_also(spark, sf_dir):
     """Sections that the text mentions by their titles, and neighbouring ones."""
     return sections.see_also(sections.sections(pages(spark, sf_dir))).select("doc_id", F.col("section_no").cast("long").alias("section_no"), F.col("target_no").cast("long").alias("target_no"), "why")
@@ -319,7 +342,7 @@ def jn_18_bundle_diff(spark, sf_dir):
     return governance.diff(c.filter("i % 9 <> 0"), new).select(F.expr("cast(substr(id, 5) as bigint)").alias("doc_id"), "change")
 
 
-@query("SELECT source AS bundle_id, row_number() OVER (PARTITION BY source ORDER BY lower(t), id) AS pos, '* [' || t || '](' || id || '.md)' AS line FROM (SELECT source, 'doc-' || doc_id AS id, CASE WHEN doc_id % 3 = 0 THEN 'doc-' || doc_id ELSE upper(lang) || ' ' || doc_id END AS t FROM documents) WHERE source = 'src1'")
+@query("SELECT source AS bundle_id, row_number() OVER (PARTITION BY source ORDER BY lower(t), id) AS pos, '* [' || t || '](' || id || '.md)' AS line FROM (SELECT source, 'doc-' || doc_id AS id, CASE WHEN doc_id % 3 = 0 THEN 'doc-' || doc_id ELSE upper(lang) || ' ' || doc_id END AS t FROM documents)")
 def snk_04_index_page(spark, sf_dir):
     d = read(spark, sf_dir, "documents")
     c = d.select(F.col("source").alias("bundle_id"), F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("id"), F.when(F.col("doc_id") % 3 != 0, F.concat(F.upper("lang"), F.lit(" "), F.col("doc_id").cast("string"))).alias("title"), F.lit("").alias("description"))
