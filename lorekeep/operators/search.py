@@ -80,6 +80,12 @@ def _words(name: str) -> Column:
     return X.words(F.array_join("tags", " ") if name == "tags" else name)
 
 
+def _holding(phrase: list[str]):
+    """A function of a stream of words: whether words of the phrase's stems stand next to each other somewhere in it."""
+    at = lambda words: lambda i: reduce(and_, [F.get(words, i + k).isin(words_of(t)) for k, t in enumerate(phrase)])
+    return lambda words: F.when(F.size(words) >= len(phrase), F.exists(F.sequence(F.lit(0), F.greatest(F.size(words) - len(phrase), F.lit(0))), at(words))).otherwise(False)
+
+
 def postings(concepts: DataFrame, fields=S.FIELD_WEIGHTS, keys: tuple[str, ...] = ("id",)) -> DataFrame:
     """keys, token, tf: weighted counts of each document's stems. Stop words go before stemming."""
     parts = F.array(*[F.struct(X.raw_words(F.array_join("tags", " ") if n == "tags" else n).alias("words"), F.lit(w).alias("weight")) for n, w in fields])
@@ -130,7 +136,7 @@ def score(concepts: DataFrame, query: str | Query, fields=S.FIELD_WEIGHTS, bundl
             whole = F.concat(*[F.flatten(F.array_repeat(s, w)) for s, w in parts])
             for p in q.phrases:
                 # only a document that has all words of a phrase is looked through for it
-                keep &= reduce(and_, [some(t) for t in dict.fromkeys(p)]) & X.contains_phrase(F.transform(whole, X.stem), p)
+                keep &= reduce(and_, [some(t) for t in dict.fromkeys(p)]) & X.let(whole, _holding(p))
         tf = [total(lambda s, t=t: F.size(F.filter(s, is_in(t)))).alias(f"tf{i}") for i, t in enumerate(wanted)]
         return F.struct(total(F.size).alias("dl"), *tf, keep.alias("keep"))
 
