@@ -131,6 +131,15 @@ def _update(store: Store, change, actor: str, action: str, concept_id: str, vali
     return {"written": True, "version": version}
 
 
+def preview(store: Store, change, validate) -> dict:
+    """What a change would do, with nothing written: ids by kind of change, and the errors it would bring, fifty of each at most."""
+    before = store.read()
+    after = change(before)
+    changes = diff(before, after).filter("change <> 'unchanged'").orderBy("change", "id").limit(50).collect()
+    bad = new_errors(validate(before), validate(after)).orderBy("code", "file").limit(50).collect()
+    return {"changes": [(r.id, r.change) for r in changes], "errors": [r.asDict() for r in bad]}
+
+
 def downgrade(concepts: DataFrame, concept_id: str, **fields) -> DataFrame:
     """Set fields of one concept; its verifications go, since what was verified has changed."""
     here = F.col("id") == concept_id

@@ -171,9 +171,10 @@ def run_once(store, current: DataFrame, state: DataFrame, ingest: Callable[[Data
         concepts = store.read()
         todo = planned.filter("change in ('added', 'updated') and not skipped").select("path")
         fresh, given = ingest(todo)
-        replaced = planned.filter("change = 'updated' and not skipped").select(F.explode("concepts").alias("id"))
-        kept_elsewhere = state.join(todo, "path", "left_anti").select(F.explode("concepts").alias("id"))
-        gone = deletable(planned, state).union(replaced.join(kept_elsewhere, "id", "left_anti")).distinct()
+        gave = planned.filter("change = 'updated'").join(given.select("path"), "path", "left_semi")  # an updated file that gave nothing keeps its concepts
+        leaving = planned.filter("change = 'removed'").select("path", "concepts").union(gave.select("path", "concepts"))
+        staying = planned.join(leaving.select("path"), "path", "left_anti").select(F.explode("concepts").alias("id"))
+        gone = leaving.select(F.explode("concepts").alias("id")).distinct().join(staying, "id", "left_anti")
         moved = rewrite_resources(concepts.join(gone, "id", "left_anti"), planned)
         new = moved.join(fresh.select("id"), "id", "left_anti").unionByName(fresh.select(*moved.columns))
         store.touch()

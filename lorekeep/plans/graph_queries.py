@@ -290,20 +290,55 @@ def ev_03_answer_relevancy(spark, sf_dir):
     return t.select(F.concat_ws("-", "conv_id", "turn").alias("k"), (F.floor(value * 1e6 + 0.5) / 1e6).alias("relevancy"))
 
 
-@query()
-def ev_08_evaluate(spark, sf_dir):
-    """Benchmark passages as questions; scores by question."""
+EVAL = f"""WITH {corpus.SQL}, {tokens_sql('concepts', 'id', [('id', 3), ('title', 3), ('description', 2), ('tags', 2), ('body', 1)])}, q AS (SELECT item_id, text FROM benchmark), {tokens_sql('q', 'item_id', [('text', 1)], 'qw')}, qd AS (SELECT DISTINCT item_id, token FROM qw),
+ lens AS (SELECT id, sum(weight) AS dl FROM toks GROUP BY id), stats AS (SELECT (SELECT count(*) FROM concepts) AS n, sum(dl) * 1.0 / (SELECT count(*) FROM concepts) AS avgdl FROM lens), post AS (SELECT id, token, sum(weight) AS tf FROM toks GROUP BY id, token), dfs AS (SELECT token, count(*) AS df FROM post GROUP BY token),
+ scored AS (SELECT item_id, p.id, {micro("sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * (tf * 2.2) / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl)))")} AS score FROM qd JOIN post p ON p.token = qd.token JOIN dfs d ON d.token = qd.token JOIN lens l ON l.id = p.id JOIN stats ON true GROUP BY item_id, p.id),
+ best AS (SELECT * FROM (SELECT item_id, id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, id) AS rank FROM scored) WHERE rank <= 5),
+ x AS (SELECT id, concat_ws(chr(10), id, title, description, tags, body) AS t, '[' || id || '] ' || coalesce(substr(list_extract(list_filter(list_transform(string_split(body, chr(10)), lambda y: trim(y)), lambda y: y <> '' AND NOT starts_with(y, '#')), 1), 1, 200), '') AS line FROM concepts WHERE id IN (SELECT id FROM best)),
+ {tokens_sql('x', 'id', [('t', 1)], 'xw')}, ctx AS (SELECT DISTINCT item_id, token FROM best JOIN xw ON xw.id = best.id), hit AS (SELECT DISTINCT best.item_id, best.id FROM best JOIN xw ON xw.id = best.id JOIN qd ON qd.item_id = best.item_id AND qd.token = xw.token),
+ ans AS (SELECT item_id, string_agg(line, chr(10) ORDER BY rank) AS answer, string_agg(best.id, ',' ORDER BY rank) AS retrieved, count(*) AS n FROM best JOIN x ON x.id = best.id GROUP BY item_id), {tokens_sql('ans', 'item_id', [('answer', 1)], 'aw')}, ad AS (SELECT DISTINCT item_id, token FROM aw),
+ cut AS (SELECT item_id, string_split(regexp_replace(answer, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)) AS l FROM ans), sent AS (SELECT * FROM (SELECT item_id, generate_subscripts(l, 1) AS i, trim(unnest(l), ' ' || chr(9) || chr(10)) AS said FROM cut) WHERE said <> ''), {tokens_sql('sent', 'item_id, i', [('said', 1)], 'sw')},
+ sup AS (SELECT sw.item_id, sw.i, count(DISTINCT sw.token) AS n, count(DISTINCT ctx.token) AS k FROM sw LEFT JOIN ctx ON ctx.item_id = sw.item_id AND ctx.token = sw.token GROUP BY sw.item_id, sw.i), faith AS (SELECT sent.item_id, sum(CASE WHEN sup.k >= 0.5 * sup.n THEN 1 ELSE 0 END) * 1.0 / count(*) AS f FROM sent LEFT JOIN sup ON sup.item_id = sent.item_id AND sup.i = sent.i GROUP BY sent.item_id),
+ m AS (SELECT CAST(q.item_id AS VARCHAR) AS qid, coalesce((SELECT count(*) FROM hit WHERE hit.item_id = q.item_id) * 1.0 / ans.n, 0) AS context_relevancy, coalesce(f, 0) AS faithfulness, coalesce((SELECT count(*) FROM qd JOIN ad ON ad.item_id = qd.item_id AND ad.token = qd.token WHERE qd.item_id = q.item_id) * 1.0 / nullif((SELECT count(*) FROM qd WHERE qd.item_id = q.item_id), 0), 0) AS answer_relevancy,
+  coalesce((SELECT count(*) FROM qd JOIN ctx ON ctx.item_id = qd.item_id AND ctx.token = qd.token WHERE qd.item_id = q.item_id) * 1.0 / nullif((SELECT count(*) FROM qd WHERE qd.item_id = q.item_id), 0), 1) AS reference_support, coalesce(retrieved, '') AS retrieved FROM q LEFT JOIN ans ON ans.item_id = q.item_id LEFT JOIN faith ON faith.item_id = q.item_id),
+ e AS (SELECT *, (context_relevancy + faithfulness + answer_relevancy) / 3 AS overall, concat_ws(',', CASE WHEN context_relevancy < 0.6 THEN 'context_relevancy' END, CASE WHEN faithfulness < 0.6 THEN 'faithfulness' END, CASE WHEN answer_relevancy < 0.4 THEN 'answer_relevancy' END) AS failing FROM m),
+ d AS (SELECT *, CASE WHEN context_relevancy < 0.6 THEN 'retrieval' WHEN failing <> '' THEN 'generation' ELSE 'ok' END AS diagnosis, failing = '' AS passed FROM e)"""
+MEANS = ("context_relevancy", "faithfulness", "answer_relevancy", "overall")
+
+
+def _micro(*names: str) -> list:
+    return [(F.floor(F.col(n) * 1e6 + 0.5) / 1e6).alias(n) for n in names]
+
+
+def _evaluated(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lorekeep.operators import search
 
     c = corpus.concepts(spark, sf_dir)
     golden = read(spark, sf_dir, "benchmark").select(F.col("item_id").cast("string").alias("id"), F.col("text").alias("question"), F.col("text").alias("expected_answer"), F.lit(None).cast("array<string>").alias("must_cite"))
-    got = evaluate.evaluate(golden, c, search.build_index(c))
-    return got.select("qid", "context_relevancy", "faithfulness", "answer_relevancy", "reference_support", "overall", F.array_join("failing", ",").alias("failing"), "diagnosis", "passed", F.array_join("retrieved", ",").alias("retrieved"))
+    return evaluate.evaluate(golden, c, search.build_index(c))
+
+
+@query(f"{EVAL} SELECT qid, {', '.join(f'{micro(n)} AS {n}' for n in (*MEANS, 'reference_support'))}, failing, diagnosis, passed, retrieved FROM d")
+def ev_08_evaluate(spark, sf_dir):
+    """Benchmark passages as questions; scores by question."""
+    got = _evaluated(spark, sf_dir)
+    return got.select("qid", *_micro(*MEANS, "reference_support"), F.array_join("failing", ",").alias("failing"), "diagnosis", "passed", F.array_join("retrieved", ",").alias("retrieved"))
 
 
-@query()
+@query(f"{EVAL} SELECT {', '.join(f'{micro(f'avg({n})')} AS {n}' for n in MEANS)}, count(*) AS questions, count(*) FILTER (WHERE passed) AS passed, count(*) FILTER (WHERE diagnosis = 'retrieval') AS retrieval, count(*) FILTER (WHERE diagnosis = 'generation') AS generation, CASE WHEN count(*) > 0 AND count(*) FILTER (WHERE passed) = count(*) THEN 'pass' ELSE 'fail' END AS gate FROM d")
 def agg_05_eval_report(spark, sf_dir):
-    return evaluate.report(ev_08_evaluate(spark, sf_dir))
+    return evaluate.report(_evaluated(spark, sf_dir)).select(*_micro(*MEANS), "questions", "passed", "retrieval", "generation", "gate")
+
+
+@query("SELECT CAST(item_id AS VARCHAR) AS qid, CASE WHEN item_id % 2 = 0 THEN 'nowhere' ELSE '' END AS missing, CASE WHEN item_id % 2 = 0 THEN 'retrieval' END AS diagnosis FROM benchmark")
+def jn_22_must_cite(spark, sf_dir):
+    """Every second question has to cite a concept that isn't there."""
+    from lorekeep.operators import search
+
+    c, k = corpus.concepts(spark, sf_dir), F.col("item_id")
+    golden = read(spark, sf_dir, "benchmark").select(k.cast("string").alias("id"), F.col("text").alias("question"), F.lit("").alias("expected_answer"), F.when(k % 2 == 0, F.array(F.lit("nowhere"))).alias("must_cite"))
+    got = evaluate.evaluate(golden, c, search.build_index(c))
+    return got.select("qid", F.array_join("missing", ",").alias("missing"), F.when(F.size("missing") > 0, F.col("diagnosis")).alias("diagnosis"))
 
 
 @query(

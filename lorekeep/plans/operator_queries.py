@@ -10,12 +10,15 @@ from pyspark.sql import functions as F
 
 from lorekeep.functions import temporal as T
 from lorekeep.functions import text as X
-from lorekeep.operators import entity, evaluate, governance, links, search, sections, sync, temporal, validate
+from lorekeep.operators import entity, evaluate, extract, governance, links, search, sections, sync, temporal, validate
 from lorekeep.plans.graph_queries import CURRENT, LINKS, PLAN, SECTIONS, linked, pages, snapshot
 from lorekeep.plans.registry import query
 from lorekeep.plans.search_queries import AT, STATUS_SQL
+from lorekeep.schema import CONCEPT, FINDING
 from lorekeep.sources import corpus, files, frontmatter
 from lorekeep.sources.corpus import read
+from lorekeep.work import Workspace
+
 
 def number():
     return F.col("doc_id")
@@ -542,3 +545,101 @@ def val_structure(spark, sf_dir):
     made = read(spark, sf_dir, "documents").select(F.explode(each).alias("f")).select("f.path", "f.text")
     root = spark.createDataFrame([("index.md", "---\nokf_version: '9.9'\n---\n")], "path string, text string")
     return validate.check(made.union(root), "2026-06-01 00:00:00").filter(F.col("code").isin(*STRUCTURE, "W007")).select("code", "file", "message")
+
+
+# ---- files, states and versions in a work folder
+
+
+def own_columns(df: DataFrame) -> DataFrame:
+    """df with the columns of a stored concept; those it lacks are null."""
+    kinds = df.sparkSession.createDataFrame([], CONCEPT).dtypes
+    return df.select(*[F.col(n) if n in df.columns else F.lit(None).cast(k).alias(n) for n, k in kinds])
+
+
+@query("SELECT n_name AS folder, sha256(n_comment || chr(10)) AS sha256, CAST(strlen(n_comment) + 1 AS BIGINT) AS size, true AS listed FROM (SELECT n_name, 'nation ' || n_nationkey AS n_comment FROM nation)")
+def src_21_scan(spark, sf_dir):
+    """A file in a folder for each nation, found, read and hashed; the listing has the same sizes."""
+    root = Workspace(spark, "scan").path("in")
+    read(spark, sf_dir, "nation").select("n_name", F.concat(F.lit("nation "), _s(F.col("n_nationkey"))).alias("value")).repartition(1).write.partitionBy("n_name").text(root)
+    sizes = files.listing(spark, root, "*.txt").select("path", F.col("size").alias("listed"))
+    got = files.scan(spark, root, "*.txt").join(sizes, "path")
+    return got.select(F.regexp_extract("path", "n_name=([^/]+)/", 1).alias("folder"), "sha256", "size", (F.col("size") == F.col("listed")).alias("listed"))
+
+
+@query("SELECT '/' || source || '/' || doc_id AS path, sha256(text) AS sha256, 'c' || doc_id AS concepts, CAST(length(text) AS BIGINT) AS size FROM documents WHERE doc_id % 20 = 0")
+def src_23_sync_state(spark, sf_dir):
+    """A state of every twentieth document, written as one JSON file and read back."""
+    path = Workspace(spark, "state").path("state.json")
+    d = read(spark, sf_dir, "documents").filter("doc_id % 20 = 0")
+    entry = F.struct(F.sha2("text", 256).alias("sha256"), F.array(F.concat(F.lit("c"), _s(number()))).alias("concepts"), F.length("text").alias("size"), F.lit(1).alias("mtime_ns"))
+    one = d.agg(F.map_from_entries(F.collect_list(F.struct(F.concat(F.lit("/"), "source", F.lit("/"), _s(number())), entry))).alias("sources"))
+    one.select(F.to_json(F.struct(F.lit(1).alias("version"), F.lit(False).alias("incomplete"), "sources")).alias("value")).coalesce(1).write.text(path)
+    return files.sync_state(spark, path).select("path", "sha256", F.array_join("concepts", ",").alias("concepts"), "size")
+
+
+@query("SELECT CAST(item_id AS VARCHAR) AS id, text AS question, 'd' || item_id AS must_cite FROM benchmark")
+def src_22_golden_set(spark, sf_dir):
+    path = Workspace(spark, "golden").path("golden.json")
+    k = _s(F.col("item_id"))
+    item = F.struct(k.alias("id"), F.col("text").alias("question"), F.lit("").alias("expected_answer"), F.array(F.concat(F.lit("d"), k)).alias("must_cite"), F.array(F.lit("t")).alias("tags"))
+    read(spark, sf_dir, "benchmark").agg(F.to_json(F.struct(F.collect_list(item).alias("questions"))).alias("value")).coalesce(1).write.text(path)
+    return files.golden_set(spark, path).select("id", "question", F.array_join("must_cite", ",").alias("must_cite"))
+
+
+@query(f"WITH {PLAN}, o AS (SELECT path, 'c' || (doc_id // 2) AS id FROM old), l AS (SELECT path FROM plan WHERE change IN ('removed', 'updated')), gone AS (SELECT id FROM o WHERE path IN (SELECT path FROM l) EXCEPT SELECT id FROM o WHERE path NOT IN (SELECT path FROM l)) SELECT DISTINCT id FROM o WHERE id NOT IN (SELECT id FROM gone) UNION ALL SELECT 'n' || path FROM plan WHERE change IN ('added', 'updated')")
+def syn_04_sync_run(spark, sf_dir):
+    """The bundle after one locked run: moved and unchanged files keep their concepts, shared ones stay while any file has them."""
+    now, old = snapshot(spark, sf_dir)
+    store = governance.Store(spark, Workspace(spark, "sync").path("kb"))
+    store.publish(own_columns(old.select(F.explode("concepts").alias("id")).distinct()))
+
+    def ingest(todo):
+        name = F.concat(F.lit("n"), "path")
+        return own_columns(todo.select(name.alias("id"))), todo.select("path", F.array(name).alias("concepts"))
+
+    sync.run_once(store, now, old, ingest, now.select("path", F.lit("create").alias("status")), "me")
+    return store.read().select("id")
+
+
+@query("SELECT doc_id, doc_id % 2 = 1 AS reviewed, doc_id = 1 AS updated FROM documents")
+def wb_03_trust_downgrade(spark, sf_dir):
+    """An update of one concept in a stored bundle takes that concept's verifications away, and no other's."""
+    store = governance.Store(spark, Workspace(spark, "writeback").path("kb"))
+    people = F.array(F.struct(F.when(number() % 2 == 1, "human:x").otherwise("bot").alias("by"), F.lit(None).cast("string").alias("at")))
+    store.publish(own_columns(read(spark, sf_dir, "documents").select(_s(number()).alias("id"), F.lit("Note").alias("type"), F.col("text").alias("body"), people.alias("verified"))))
+    none = spark.createDataFrame([], FINDING)
+    governance.governed_update(store, lambda c: governance.downgrade(c, "1", body="new"), "me", "update", "1", lambda c: none)
+    tier = T.trust_tier("verified")
+    return store.read().select(F.col("id").cast("long").alias("doc_id"), ((tier == "human-reviewed") | ((F.col("id") == "1") & (tier == "unverified"))).alias("reviewed"), (F.col("body") == "new").alias("updated"))
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN 'E002' END AS refused FROM documents WHERE doc_id % 5 = 0")
+def wb_01_preview(spark, sf_dir):
+    """What a change of every fifth concept would bring, with nothing written: every tenth would lose its type."""
+    store = governance.Store(spark, Workspace(spark, "preview").path("kb"))
+    store.publish(own_columns(read(spark, sf_dir, "documents").select(_s(number()).alias("id"), F.lit("Note").alias("type"), F.col("text").alias("body"))))
+    at = F.col("id").cast("long")
+    change = lambda c: c.withColumn("type", F.when(at % 10 == 0, "").otherwise(F.col("type"))).withColumn("title", F.when(at % 5 == 0, "T"))
+    judge = lambda c: c.filter("type = ''").select(F.lit("error").alias("severity"), F.lit("E002").alias("code"), F.col("id").alias("file"), F.lit("m").alias("message"))
+    before = store.read()
+    after = change(before)
+    bad = governance.new_errors(judge(before), judge(after)).select(F.col("file").alias("id"), F.col("code").alias("refused"))
+    return governance.diff(before, after).filter("change = 'changed'").join(bad, "id", "left").select(F.col("id").cast("long").alias("doc_id"), "refused")
+
+
+@query("SELECT count(*) AS files, true AS same, false AS moved FROM documents")
+def syn_07_fingerprint(spark, sf_dir):
+    """Equal for the same files in any order, another when one size changes."""
+    d = read(spark, sf_dir, "documents").select(_s(number()).alias("path"), F.length("text").cast("long").alias("size"), number().alias("mtime_ns"))
+    a, b = sync.fingerprint(d), sync.fingerprint(d.repartition(3)).select(F.col("fingerprint").alias("again"))
+    c = sync.fingerprint(d.withColumn("size", F.when(F.col("path") == "1", F.col("size") + 1).otherwise(F.col("size")))).select(F.col("fingerprint").alias("other"))
+    return a.crossJoin(b).crossJoin(c).select("files", (F.col("fingerprint") == F.col("again")).alias("same"), (F.col("fingerprint") == F.col("other")).alias("moved"))  # one row each
+
+
+@query()
+def ing_05_extraction(spark, sf_dir):
+    """Concepts of all sections by a stub model, merged into the bundle of the documents' own concepts; compared by hand on a small bundle in the tests."""
+    old = own_columns(corpus.concepts(spark, sf_dir).filter("cast(substr(id, 5) as bigint) % 10 = 0"))
+    s = sections.sections(pages(spark, sf_dir)).filter("section_no > 0 and text <> ''")
+    found = s.select(F.concat_ws("-", "doc_id", "section_no").alias("section_id"), "title", "text", F.concat(F.lit("/in/"), _s(number())).alias("resource"))
+    return extract.run(old, found, extract.stub_model, "2026-01-01T00:00:00Z").select("id", "title", F.array_join("tags", ",").alias("tags"), F.md5("body").alias("digest"))

@@ -45,6 +45,9 @@ def test_pointer_lock_and_governed_updates(spark, tmp_path):
     none = spark.createDataFrame([], S.FINDING)
     set_end = lambda df: governance.downgrade(df, "a", valid_until="2031-01-01")
     run = lambda change: governance.governed_update(store, change, "me", "update", "a", lambda df: none)
+    judge = lambda df: df.filter("valid_until is not null").selectExpr("'error' severity", "1 rule_seq", "'E9' code", "id file", "'m' message")
+    seen = governance.preview(store, set_end, judge)
+    assert seen["changes"] == [("a", "changed")] and [e["file"] for e in seen["errors"]] == ["a"] and store.read().filter("valid_until is not null").count() == 0
     assert run(set_end)["written"] and run(set_end) == {"written": False, "reason": "no change"}  # a window end alone is a change
     assert run(lambda df: entity.mark_reviewed(df, "a", "ann", "2026-01-01T00:00:00Z"))["written"]
     assert store.lock("other") and run(lambda df: df.limit(1)) == {"written": False, "reason": "locked"}
