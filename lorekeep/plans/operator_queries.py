@@ -143,15 +143,48 @@ def concept_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "documents").select(F.concat("source", F.lit("/d"), _s(number()), F.lit(".md")).alias("path"), F.concat(head, whole_text()).alias("text"))
 
 
-@query(
+CONCEPTS = (
     "SELECT source || '/d' || doc_id AS id, 'Note' AS type, 'Doc ' || doc_id AS title, CASE WHEN doc_id % 2 = 0 THEN lang || ',' || source ELSE lang END AS tags, strftime(DATE '2024-01-01' + CAST(doc_id % 60 AS INTEGER), '%Y-%m-%d') AS valid_from, 'a' || doc_id AS supersedes, 'human:x@2024-01-01T00:00:00Z' AS verified, md5(coalesce(text, '')) AS body FROM documents"
 )
-def src_02_frontmatter(spark, sf_dir):
-    c = frontmatter.typed(frontmatter.parse_files(concept_files(spark, sf_dir)))
+
+
+def shown(c: DataFrame) -> DataFrame:
     by = F.array_join(F.transform("verified", lambda v: F.concat_ws("@", v["by"], v["at"])), ",")
     return c.select("id", "type", "title", F.array_join("tags", ",").alias("tags"), "valid_from", F.array_join("supersedes", ",").alias("supersedes"), by.alias("verified"), F.md5("body").alias("body"))
 
 
+@query(CONCEPTS)
+def src_02_frontmatter(spark, sf_dir):
+    return shown(frontmatter.typed(frontmatter.parse_files(concept_files(spark, sf_dir))))
+
+
+@query(CONCEPTS)
+def snk_02_rendered_files(spark, sf_dir):
+    """Parsed, written as files again, and parsed once more."""
+    made = frontmatter.render(frontmatter.parse_files(concept_files(spark, sf_dir)))
+    return shown(frontmatter.typed(frontmatter.parse_files(made)))
+
+
+@query("SELECT source AS bundle_id, count(*) + 1 AS files FROM documents WHERE source NOT IN ('src1', 'src5') GROUP BY source")
+def src_26_bundles(spark, sf_dir):
+    """Folders with an index of their own; one below another folder doesn't count."""
+    d = read(spark, sf_dir, "documents")
+    every = d.select(F.concat(F.lit("file:/kb/"), "source", F.lit("/deep/doc-"), _s(number()), F.lit(".md")).alias("path"))
+    index = d.select("source").distinct().filter("source <> 'src1'").select(F.concat(F.lit("file:/kb/"), "source", F.when(F.col("source") == "src5", "/deep").otherwise(""), F.lit("/index.md")))
+    return files.bundles(every.union(index), "/kb")
+
+
+@query("SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'unsafe' WHEN 1 THEN 'unsafe' ELSE 'text' END AS found FROM documents")
+def src_14_unsafe_archives(spark, sf_dir):
+    """Members above the archive or at absolute paths make the whole archive an error row."""
+
+    def members(key, text):
+        return [("a.txt", text), (("../up.txt", "/abs.txt", "down/c.csv")[int(key) % 3], "x,y")]
+
+    got = files.parse_files(packed(documents_as_text(spark, sf_dir), members))
+    return got.select(file_number().alias("doc_id"), F.when(F.col("error").contains("unsafe member"), "unsafe").otherwise("text").alias("found")).distinct()
+
+
 # ---- text functions over whole texts
 
 
