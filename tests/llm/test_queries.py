@@ -57,6 +57,16 @@ def test_quality(spark, docs, empty):
     assert {r.score for r in quality.classify(docs, labels.limit(0)).collect()} == {0.5}
 
 
+def test_quality_of_null_and_very_long_texts(spark):
+    rows = [(i, None) for i in range(6)] + [(7, "x" * 300_000), (8, "good text " * 30_000), (9, ""), (10, "é" * 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i > 5), 0) for i in range(11)], "doc_id long, quality int, toxic int")
+    assert any(not held(i) and i in (7, 8) for i in (7, 8))
+    got = {r.doc_id: r.score for r in quality.classify(docs, labels).collect()}
+    assert len(got) == len(rows) and all(0 <= s <= 1 for s in got.values()) and len({got[i] for i in (*range(6), 9)}) == 1
+    assert len({r.score for r in quality.classify(docs.filter("text is null"), labels).collect()}) == 1
+
+
 def test_mixing(spark, docs, empty):
     got = mixing.mix(spark, docs).collect()
     size = lambda t: len((t or "").split())
