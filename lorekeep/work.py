@@ -2,7 +2,7 @@
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A side of a join is broadcast only when a count shows that it has at most this many rows.
@@ -82,3 +82,40 @@ def components(edges: DataFrame, ws: Workspace, name: str) -> DataFrame:
     label = ws.keep(label, f"{name}-l")
     least = small(label.groupBy("top").agg(F.min("node").alias("comp")))
     return ws.keep(label.join(least, "top").select("node", "comp"), f"{name}-c")
+
+
+def numbered(df: DataFrame, order: list, ws: Workspace, name: str, out: str = "n") -> DataFrame:
+    """df in the order of columns, written, with each row's place (out, from 0, gapless).
+
+    Rows are sorted in ranges; each range numbers its own rows, and the ranges before it are added: no
+    group of rows is ordered in one task. Rows equal in all columns of order are told apart by where they were read, so any number of
+    them is cut as well.
+    """
+    rows = df.withColumn("_read", F.monotonically_increasing_id())
+    keys = [*order, F.col("_read")]
+    ranged = rows.repartitionByRange(*keys).sortWithinPartitions(*keys).drop("_read")
+    ranged = ws.keep(ranged.withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)}), name)
+    before, start = [], 0
+    for part, n in sorted((r["_part"], r["count"]) for r in ranged.groupBy("_part").count().collect()):  # a row a range
+        before.append((part, start))
+        start += n
+    firsts = df.sparkSession.createDataFrame(before, "_part int, _before long")
+    return ranged.join(F.broadcast(firsts), "_part").withColumn(out, F.col("_before") + F.col("_at")).drop("_part", "_at", "_before")
+
+
+def running(df: DataFrame, group: list[str], at: str, values: list[str], ws: Workspace, name: str, step: int = 1 << 15) -> DataFrame:
+    """df with each value replaced by its sum over the rows of its group up to this one, in the order of at.
+
+    at is a place from 0 that no two rows of a group share. Blocks of `step` places are summed by themselves, their totals by the same way,
+    so that no window holds more than `step` rows however long a group is. Group columns may not be null.
+    """
+    rows = df.withColumn("_b", F.floor(F.col(at) / step).cast("long"))
+    inside = Window.partitionBy(*group, "_b").orderBy(at)
+    sums = rows.withColumns({v: F.sum(v).over(inside) for v in values})
+    if df.filter(F.col(at) >= step).limit(1).count() == 0:
+        return sums.drop("_b")
+    totals = ws.keep(rows.groupBy(*group, "_b").agg(*[F.sum(v).alias(v) for v in values]), f"{name}-t")
+    upto = running(totals, group, "_b", values, ws, f"{name}-u", step)
+    upto = ws.keep(upto.select(*group, (F.col("_b") + 1).alias("_b"), *[F.col(v).alias(f"_{v}") for v in values]), f"{name}-s")
+    joined = sums.join(small(upto), [*group, "_b"], "left")
+    return joined.withColumns({v: F.col(v) + F.coalesce(F.col(f"_{v}"), F.lit(0)) for v in values}).drop("_b", *[f"_{v}" for v in values])
