@@ -109,13 +109,14 @@ def running(df: DataFrame, group: list[str], at: str, values: list[str], ws: Wor
     at is a place from 0 that no two rows of a group share. Blocks of `step` places are summed by themselves, their totals by the same way,
     so that no window holds more than `step` rows however long a group is. Group columns may not be null.
     """
-    rows = df.withColumn("_b", F.floor(F.col(at) / step).cast("long"))
-    inside = Window.partitionBy(*group, "_b").orderBy(at)
+    block = f"_{at}"
+    rows = df.withColumn(block, F.floor(F.col(at) / step).cast("long"))
+    inside = Window.partitionBy(*group, block).orderBy(at)
     sums = rows.withColumns({v: F.sum(v).over(inside) for v in values})
     if df.filter(F.col(at) >= step).limit(1).count() == 0:
-        return sums.drop("_b")
-    totals = ws.keep(rows.groupBy(*group, "_b").agg(*[F.sum(v).alias(v) for v in values]), f"{name}-t")
-    upto = running(totals, group, "_b", values, ws, f"{name}-u", step)
-    upto = ws.keep(upto.select(*group, (F.col("_b") + 1).alias("_b"), *[F.col(v).alias(f"_{v}") for v in values]), f"{name}-s")
-    joined = sums.join(small(upto), [*group, "_b"], "left")
-    return joined.withColumns({v: F.col(v) + F.coalesce(F.col(f"_{v}"), F.lit(0)) for v in values}).drop("_b", *[f"_{v}" for v in values])
+        return sums.drop(block)
+    totals = ws.keep(rows.groupBy(*group, block).agg(*[F.sum(v).alias(v) for v in values]), f"{name}-t")
+    upto = running(totals, group, block, values, ws, f"{name}-u", step)
+    upto = ws.keep(upto.select(*group, (F.col(block) + 1).alias(block), *[F.col(v).alias(f"_sum_{v}") for v in values]), f"{name}-s")
+    joined = sums.join(small(upto), [*group, block], "left")
+    return joined.withColumns({v: F.col(v) + F.coalesce(F.col(f"_sum_{v}"), F.lit(0)) for v in values}).drop(block, *[f"_sum_{v}" for v in values])
