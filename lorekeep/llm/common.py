@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lorekeep.work import Workspace, components, small  # noqa: F401  the operators take these from here
+from lorekeep.work import Workspace, components, numbered, running, small  # noqa: F401  the operators take these from here
 
 #: Hash buckets of prefix_sum() for each group.
 BUCKETS = 1024

@@ -4,7 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lorekeep.llm import exact_dedup, gif, language, mixing, near_dup, packing, quality, sharding, token_count, url_rules
+from lorekeep.llm import centroids, exact_dedup, fingerprints, gif, language, mixing, near_dup, packing, quality, sharding, token_count, trie, url_rules
 
 
 def tokenizer(name: str) -> str:
@@ -57,9 +57,24 @@ def op10_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gif.digests(_read(spark, sf_dir, "documents"))
 
 
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.conversation_trie(spark, _read(spark, sf_dir, "conversations")).select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
+
+
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(spark, _read(spark, sf_dir, "embeddings"))
+
+
+def op13_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.compare(spark, _read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_quality, op2_mixing, op3_token_counts, op4_language, op5_ngram_join, op6_sharding, op7_packing, op8_exact_dedup, op9_url_filter, op10_gif)
+    for f in (
+        op1_quality, op2_mixing, op3_token_counts, op4_language, op5_ngram_join, op6_sharding, op7_packing, op8_exact_dedup, op9_url_filter, op10_gif, op11_conversation_trie,
+        op12_centroids, op13_fingerprints,
+    )
 }
 
 SQL: dict[str, str] = {
@@ -69,4 +84,6 @@ SQL: dict[str, str] = {
         SELECT d.doc_id, g.keep_id, g.group_size, d.doc_id = g.keep_id AS kept, d.text_sha256 FROM d JOIN g USING (text_sha256)
     """,
     "op9_url_filter": url_rules.ORACLE_SQL,
+    "op11_conversation_trie": trie.ORACLE_SQL,
+    "op12_centroids": centroids.ORACLE_SQL,
 }
