@@ -1,9 +1,10 @@
 """Exact deduplication against a persistent digest index, bucketed and sorted by digest.
 
-Method. Texts are equal when their SHA-256 is. The index is a table bucketed and sorted by digest, so that a
-sort-merge join reads it without a shuffle or a sort. Documents come in batches; a batch's digests that a sort-merge
-anti-join finds missing are appended as new, the others as more of a known group, in the same
-buckets. A group's facts are the maximum and the sum over its rows, which lie in one bucket.
+Method. Texts are equal when their SHA-256 is. The index is two tables bucketed and sorted by digest, so that
+sort-merge joins read them without a shuffle or a sort: entries, one row for each digest ever seen, and updates. Documents come in
+batches. A batch's digests that a sort-merge anti-join doesn't find among the entries are appended to them, with their facts;
+for the others the batch's facts are appended as updates. What is kept of a digest is its entry's facts with its updates'.
+A batch may have an id: sent again, after a failure in between too, it adds what is missing and nothing twice.
 
 Skew. A batch is aggregated before it is shuffled, so a text adds one row a batch however often it is there. When rows get their
 group's facts, groups of over 1 / HOT of all rows (HOT of them at most) are broadcast, and the rest is joined.
@@ -28,43 +29,56 @@ BATCHES, HOT = 2, 64
 
 
 class DigestIndex:
-    """Rows of digest (binary), keep_id, group_size (of one batch) and fresh (whether that batch brought the digest)."""
+    """Tables of digest (binary), keep_id, group_size and batch: <name> has each digest once, <name>_updates what later batches add."""
 
     def __init__(self, spark: SparkSession, path: str, name: str | None = None, buckets: int = BUCKETS):
         self.spark, self.path, self.buckets = spark, path, buckets
         self.name = name or f"digest_index_{uuid.uuid4().hex}"
-        if not spark.catalog.tableExists(self.name):
-            spark.sql(f"CREATE TABLE {self.name} (digest BINARY, keep_id BIGINT, group_size BIGINT, fresh BOOLEAN) USING parquet CLUSTERED BY (digest) SORTED BY (digest) INTO {buckets} BUCKETS LOCATION '{path}'")
+        self.tables = {self.name: f"{path}/entries", f"{self.name}_updates": f"{path}/updates"}
+        for table, place in self.tables.items():
+            if not spark.catalog.tableExists(table):
+                spark.sql(f"CREATE TABLE {table} (digest BINARY, keep_id BIGINT, group_size BIGINT, batch STRING) USING parquet CLUSTERED BY (digest) SORTED BY (digest) INTO {buckets} BUCKETS LOCATION '{place}'")
 
     def table(self) -> DataFrame:
         """Each digest once, with the facts of the batch that brought it."""
-        return self.spark.table(self.name).filter("fresh").drop("fresh")
+        return self.spark.table(self.name)
 
     def facts(self) -> DataFrame:
         """digest, keep_id, group_size over all batches."""
-        return self.spark.table(self.name).groupBy("digest").agg(F.max("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"))
+        later = self.spark.table(f"{self.name}_updates").groupBy("digest").agg(F.max("keep_id").alias("_keep"), F.sum("group_size").alias("_size"))
+        both = self.table().join(later.hint("merge"), "digest", "left")
+        return both.select("digest", F.greatest("keep_id", "_keep").alias("keep_id"), (F.col("group_size") + F.coalesce("_size", F.lit(0))).alias("group_size"))
 
-    def fresh(self, groups: DataFrame) -> DataFrame:
-        """Rows of groups whose digest the index lacks."""
-        return groups.join(self.table().select("digest").hint("merge"), "digest", "left_anti")
+    def fresh(self, groups: DataFrame, batch: str | None = None) -> DataFrame:
+        """Rows of groups whose digest no other batch has brought."""
+        return groups.join(self._others(batch), "digest", "left_anti")
 
-    def append(self, groups: DataFrame) -> DataFrame:
-        """Add a batch's groups in one write; returns those that are new."""
-        ws = Workspace(self.spark, "digest-batch")
-        groups = ws.keep(groups.select("digest", F.col("keep_id").cast("long").alias("keep_id"), F.col("group_size").cast("long").alias("group_size")), "groups")
-        new = ws.keep(self.fresh(groups), "new")
-        more = groups.join(self.table().select("digest").hint("merge"), "digest", "left_semi")
+    def _others(self, batch: str | None) -> DataFrame:
+        entries = self.table() if batch is None else self.table().filter(F.col("batch") != batch)
+        return entries.select("digest").hint("merge")
+
+    def _add(self, table: str, rows: DataFrame, batch: str) -> None:
+        if self.spark.table(table).filter(F.col("batch") == batch).limit(1).count():
+            return  # this batch has been here
         (
-            new.withColumn("fresh", F.lit(True)).union(more.withColumn("fresh", F.lit(False)))
-            .repartition(self.buckets, "digest").sortWithinPartitions("digest")
-            .write.mode("append").format("parquet").bucketBy(self.buckets, "digest").sortBy("digest").option("path", self.path).saveAsTable(self.name)
+            rows.withColumn("batch", F.lit(batch)).repartition(self.buckets, "digest").sortWithinPartitions("digest")
+            .write.mode("append").format("parquet").bucketBy(self.buckets, "digest").sortBy("digest").option("path", self.tables[table]).saveAsTable(table)
         )
-        self.spark.catalog.refreshTable(self.name)
+        self.spark.catalog.refreshTable(table)
+
+    def append(self, groups: DataFrame, batch: str | None = None) -> DataFrame:
+        """Add a batch's groups; returns those that are new. batch: an id that tells batches apart, a new one if none is given."""
+        ws, batch = Workspace(self.spark, "digest-batch"), batch or uuid.uuid4().hex
+        groups = ws.keep(groups.select("digest", F.col("keep_id").cast("long").alias("keep_id"), F.col("group_size").cast("long").alias("group_size")), "groups")
+        new = ws.keep(self.fresh(groups, batch), "new")
+        self._add(self.name, new, batch)
+        self._add(f"{self.name}_updates", groups.join(self._others(batch), "digest", "left_semi"), batch)
         return new
 
     def drop(self) -> None:
-        """Forget the table; its files stay where they are."""
-        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+        """Forget the tables; their files stay where they are."""
+        for table in self.tables:
+            self.spark.sql(f"DROP TABLE IF EXISTS {table}")
 
 
 def digests(documents: DataFrame) -> DataFrame:
@@ -77,9 +91,9 @@ def groups(digested: DataFrame) -> DataFrame:
     return digested.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
 
 
-def add_batch(index: DigestIndex, documents: DataFrame) -> DataFrame:
-    """Add a batch to the index; its documents that stay: doc_id, digest. What the index had already goes."""
-    new = index.append(groups(digests(documents)))
+def add_batch(index: DigestIndex, documents: DataFrame, batch: str | None = None) -> DataFrame:
+    """Add a batch to the index; its documents that stay: doc_id, digest. What other batches had brought goes."""
+    new = index.append(groups(digests(documents)), batch)
     return judged(digests(documents), new).filter("kept").select("doc_id", "digest")
 
 

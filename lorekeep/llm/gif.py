@@ -8,7 +8,7 @@ samples and the composed canvas. A colour histogram of 8 bands a channel is stor
 
 Defined cases. Null text counts as empty; an empty payload becomes 192 spaces. Very long texts become many frames,
 coded and read back one at a time. Equal texts give equal bytes. A broken file raises ValueError in decode(), where the fault is; frames() gives
-the frames before it and one row with the error's text.
+the frames before it and one row with the error's text. A canvas or frame of over SAMPLES samples is such a fault (a parameter; nothing that encode() writes comes near).
 Columns besides doc_id and text are ignored; repeated rows and null ids are kept row by row.
 """
 
@@ -24,8 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 WIDTH, ROWS, DELAY, UNIT, BANDS = 64, 96, 10, 192, 8
-#: Frames sent at once by frames().
-FLUSH = 32
+#: Frames sent at once by frames(). Samples of a canvas or frame that decode() takes on, whatever a file's header asks for.
+FLUSH, SAMPLES = 32, 1 << 26
 CLEAR, END, FULL = 256, 257, 4096
 
 
@@ -183,6 +183,8 @@ def _decode(data: bytes) -> Iterator[dict]:
         n = 2 << (flags & 7)
         common = np.frombuffer(data, np.uint8, 3 * n, at).reshape(n, 3)
         at += 3 * n
+    if wide * high > SAMPLES:
+        raise ValueError(f"a canvas of {wide} x {high}")
     canvas = np.zeros((high, wide, 4), np.uint8)
     start = 0
     delay, disposal, clear = 0, 0, None
@@ -204,6 +206,8 @@ def _decode(data: bytes) -> Iterator[dict]:
             n = 2 << (local & 7)
             palette = np.frombuffer(data, np.uint8, 3 * n, at).reshape(n, 3)
             at += 3 * n
+        if w * h > SAMPLES:
+            raise ValueError(f"a frame of {w} x {h}")
         bits = data[at]
         coded, at = _blocks(data, at + 1)
         raw = lzw_decode(coded, bits, w * h)

@@ -9,7 +9,7 @@ Letters are those of Unicode category L: numerals such as a half, a superscript
 
 Defined cases. Null text, or text without a letter: `und`, score 0. Rows of training data with null
 lang or null text are left out. With no training rows each text is `und`. Ties go to the language first in
-code-point order. Repeated rows get equal results; other columns are ignored, whatever their names.
+code-point order. One id on many rows, or none, is no reason to take or leave them together. Repeated rows get equal results; other columns are ignored, whatever their names.
 """
 
 import math
@@ -21,11 +21,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lorekeep.llm.common import sample_key
+from lorekeep.llm.common import sample_key, small
 
 #: Letters and numerals; pieces() keeps the letters.
 WORDLIKE = re.compile(r"[^\W\d_]+")
-#: The fit reads about this many documents of each language, chosen by a hash of the id, and all words of them.
+#: The fit reads about this many documents of each language, chosen by a hash of id and text, and all words of them.
 TRAIN_DOCS, LONGEST, CACHE = 500, 5, 400_000
 
 
@@ -96,8 +96,8 @@ class Model:
 def train(documents: DataFrame, docs: int = TRAIN_DOCS) -> Model:
     able = documents.filter((sample_key() != 1) & F.col("lang").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang")
     share = able.groupBy("lang").agg((F.lit(float(docs)) / F.count("*")).alias("share"))
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    taken = able.join(F.broadcast(share), "lang").filter(place < F.col("share"))
+    place = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) / float(1 << 30)  # rows of one id are taken or left one by one
+    taken = able.join(small(share), "lang").filter(place < F.col("share"))
     words = taken.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0))).alias("word"))
     counts: dict[str, Counter] = defaultdict(Counter)
     for lang, word, n in words.groupBy("lang", "word").count().toLocalIterator():  # as many as the sample has words

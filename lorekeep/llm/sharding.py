@@ -11,7 +11,7 @@ fills what these leave. Groups of over 1/HEAVY of a shard, which no cut can make
 largest to the emptiest shard, and the leaves' targets are lowered by them. Copies stay together.
 
 Defined cases. A null text has size 1 and crc 0, like an empty one, and is in its group. Null ids, sources and
-languages are points at 0. Repeated rows are documents of their own in their group's shard. One group over
+languages are points at 0; ids may be any longs. Repeated rows are documents of their own in their group's shard. One group over
 a whole shard's share is a shard by itself; the others then share the rest evenly. Slots are gapless in each shard, in hashed order.
 """
 
@@ -41,7 +41,8 @@ def points(rows: DataFrame) -> DataFrame:
         F.sum("size").alias("weight"), F.min("size").alias("one"), F.min("doc_id").alias("id"), F.min("source_at").alias("ax_source"), F.min("lang_at").alias("ax_lang")
     )
     top = grouped.agg(F.max("id").alias("most"), F.min("id").alias("least"))
-    at = (F.col("id") - F.col("least")) / F.greatest(F.lit(1), F.col("most") - F.col("least") + 1)
+    real = lambda c: F.col(c).cast("double")  # noqa: E731  ids may be as far apart as no long says
+    at = (real("id") - real("least")) / F.greatest(F.lit(1.0), real("most") - real("least") + 1)
     return grouped.join(F.broadcast(top)).select("digest", "weight", (F.log2("one") / 64).alias("ax_size"), F.coalesce(at, F.lit(0.0)).alias("ax_id"), "ax_source", "ax_lang")
 
 
