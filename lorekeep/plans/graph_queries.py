@@ -209,6 +209,20 @@ def jn_10_cosine_pairs(spark, sf_dir):
     return entity.cosine_pairs(v, v, 0.35).filter("a < b").select("a", "b")
 
 
+NOISY = "SELECT a.vec_id, list_transform(list_zip(a.embedding, b.embedding), lambda p: p[1]::DOUBLE + (CASE WHEN a.vec_id % 3 = 0 THEN 0.9 ELSE 0.3 END) * p[2]::DOUBLE) AS v FROM embeddings a JOIN embeddings b ON b.vec_id = (a.vec_id * 7 + 1) % (SELECT count(*) FROM embeddings)"
+
+
+@query(f"WITH n AS ({NOISY}), s AS (SELECT a.vec_id AS a, b.vec_id AS b, list_cosine_similarity(a.embedding::DOUBLE[], b.v) AS c FROM embeddings a, n b) SELECT a, min_by(b, (-c, b)) AS b, round(max(c), 6) AS similarity FROM s WHERE c >= 0.87 GROUP BY a")
+def jn_10_nearest(spark, sf_dir):
+    """The most similar of all vectors that have been mixed with others, where it is similar enough to be a duplicate."""
+    v = read(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
+    other = v.select(F.col("vec_id").alias("other"), F.col("embedding").alias("e2"))
+    pairs = v.withColumn("other", (F.col("vec_id") * 7 + 1) % F.lit(v.count())).join(other, "other")
+    part = F.when(F.col("vec_id") % 3 == 0, 0.9).otherwise(0.3)
+    noisy = pairs.select(F.col("vec_id").alias("id"), part.alias("w"), "embedding", "e2").select("id", F.zip_with("embedding", "e2", lambda x, y: x + F.col("w") * y).alias("embedding"))
+    return entity.nearest(v.withColumnRenamed("vec_id", "id"), noisy).select("a", "b", F.round("similarity", 6).alias("similarity"))
+
+
 @query(f"SELECT a.vec_id AS a, b.vec_id AS b, {micro('list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[]))')} AS similarity FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")
 def fn_19_cosine(spark, sf_dir):
     v = read(spark, sf_dir, "embeddings")

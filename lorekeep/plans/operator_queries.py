@@ -671,8 +671,8 @@ def syn_07_fingerprint(spark, sf_dir):
 
 @query()
 def ing_05_extraction(spark, sf_dir):
-    """Concepts of all sections by a stub model, merged into the bundle of the documents' own concepts; compared by hand on a small bundle in the tests."""
-    old = own_columns(corpus.concepts(spark, sf_dir).filter("cast(substr(id, 5) as bigint) % 10 = 0"))
+    """Concepts of all sections by a stub model, folded into the bundle of all documents; a test holds it against a sequential loop over a given table."""
+    old = own_columns(corpus.concepts(spark, sf_dir))
     s = sections.sections(pages(spark, sf_dir)).filter("section_no > 0 and text <> ''")
-    found = s.select(F.concat_ws("-", "doc_id", "section_no").alias("section_id"), "title", "text", F.concat(F.lit("/in/"), _s(number())).alias("resource"))
+    found = s.select(F.format_string("%019d-%09d", F.col("doc_id"), F.col("section_no").cast("int")).alias("section_id"), "title", "text", F.concat(F.lit("/in/"), _s(number())).alias("resource"))
     return extract.run(old, found, extract.stub_model, "2026-01-01T00:00:00Z").select("id", "title", F.array_join("tags", ",").alias("tags"), F.md5("body").alias("digest"))
