@@ -1,6 +1,6 @@
 """BM25 search over concepts: index tables, scoring, phrases, exclusions, facets, temporal partitions.
 
-An index is two tables: postings (id, token, tf, dl) and stats (token, df, idf). Document frequencies count
+An index is three tables: postings (id, dl, token, tf and, for phrases, places), terms (token, df, cf, idf) and corpus statistics. Document frequencies count
 every document, also those that a query's filters leave out. Everything is joins on tokens and partial
 aggregates; only a query's few terms are literals, and only the top k leave the cluster.
 """
@@ -86,21 +86,62 @@ def _holding(phrase: list[str]):
     return lambda words: F.when(F.size(words) >= len(phrase), F.exists(F.sequence(F.lit(0), F.greatest(F.size(words) - len(phrase), F.lit(0))), at(words))).otherwise(False)
 
 
+def _stream(fields, of) -> Column:
+    """The words of all fields in order, each field as often as it weighs."""
+    return F.concat(*[F.flatten(F.array_repeat(of(n), w)) for n, w in fields])
+
+
+def _starts(rows: Column, same) -> Column:
+    """Where runs begin in a sorted array. same: whether two of its elements belong to one run."""
+    return F.filter(F.sequence(F.lit(0), F.size(rows) - 1), lambda i: (i == 0) | ~same(F.get(rows, i), F.get(rows, i - 1)))
+
+
+def _runs(rows: Column, same, make) -> Column:
+    """make(first element, its slice) of every run of a sorted array."""
+    def each(starts):
+        length = lambda i, k: F.coalesce(F.get(starts, k + 1), F.size(rows)) - i
+        return F.transform(starts, lambda i, k: make(F.get(rows, i), F.slice(rows, i + 1, length(i, k))))
+
+    return F.when(F.size(rows) > 0, X.let(_starts(rows, same), each))
+
+
+def _counted(stream: Column) -> Column:
+    """token, tf of a stream of words: words are counted in runs of the sorted stream, and only distinct ones are stemmed."""
+    words = X.let(F.array_sort(stream), lambda s: _runs(s, lambda x, y: x == y, lambda x, part: F.struct(X.let(x, X.stem).alias("token"), F.size(part).alias("tf"))))
+    total = lambda part: F.aggregate(part, F.lit(0), lambda n, r: n + r["tf"])
+    return X.let(F.array_sort(words), lambda s: _runs(s, lambda x, y: x["token"] == y["token"], lambda x, part: F.struct(x["token"].alias("token"), total(part).cast("long").alias("tf"))))
+
+
+def _placed(stream: Column) -> Column:
+    """token, tf, at (its places) of a stream of words."""
+    placed = F.transform(stream, lambda w, i: F.struct(X.stem(w).alias("token"), i.alias("i")))
+    made = lambda x, part: F.struct(x["token"].alias("token"), F.size(part).cast("long").alias("tf"), F.transform(part, lambda r: r["i"]).alias("at"))
+    return X.let(F.array_sort(placed), lambda s: _runs(s, lambda x, y: x["token"] == y["token"], made))
+
+
+def documents(concepts: DataFrame, fields=S.FIELD_WEIGHTS, keys: tuple[str, ...] = ("id",), places: bool = False) -> DataFrame:
+    """keys, dl, terms (token, tf[, at]) of each document, made inside its row: occurrences are never shuffled. Stop words go before stemming."""
+    def row(stream):
+        return F.struct(F.size(stream).cast("long").alias("dl"), (_placed(stream) if places else _counted(stream)).alias("terms"))
+
+    return concepts.select(*keys, X.let(_stream(fields, _words), row).alias("d")).select(*keys, "d.*")
+
+
 def postings(concepts: DataFrame, fields=S.FIELD_WEIGHTS, keys: tuple[str, ...] = ("id",)) -> DataFrame:
-    """keys, token, tf: weighted counts of each document's stems. Stop words go before stemming."""
-    parts = F.array(*[F.struct(X.raw_words(F.array_join("tags", " ") if n == "tags" else n).alias("words"), F.lit(w).alias("weight")) for n, w in fields])
-    each = concepts.select(*keys, F.explode(parts).alias("p")).select(*keys, "p.weight", F.explode("p.words").alias("word")).filter(~F.col("word").isin(S.STOPWORDS))
-    return each.select(*keys, X.stem("word").alias("token"), "weight").groupBy(*keys, "token").agg(F.sum("weight").alias("tf"))
+    """keys, token, tf: weighted counts of each document's stems."""
+    return documents(concepts, fields, keys).select(*keys, F.explode("terms").alias("t")).select(*keys, "t.token", "t.tf")
 
 
-def build_index(concepts: DataFrame, fields=S.FIELD_WEIGHTS, bundle: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(postings, term statistics, corpus statistics), written once to work tables; with `bundle`, statistics are kept for each bundle."""
+def build_index(concepts: DataFrame, fields=S.FIELD_WEIGHTS, bundle: str | None = None, places: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(postings with dl, term statistics, corpus statistics), written once to work tables; with `bundle`, statistics are kept for each bundle.
+
+    With `places` postings hold where a token stands in its document's stream (at), for phrases.
+    """
     ws = Workspace(concepts.sparkSession, "index")
     by = [bundle] if bundle else []
-    rows = ws.keep(postings(concepts, fields, tuple([*by, "id"])), "postings")
-    sizes = concepts.groupBy(*by).agg(F.count(F.lit(1)).alias("n_docs"))
-    lengths = rows.groupBy(*by).agg(F.sum("tf").alias("total_len"))
-    corpus = (sizes.join(lengths, by, "left") if by else sizes.crossJoin(F.broadcast(lengths))).withColumn("avgdl", F.coalesce("total_len", F.lit(0)) / F.col("n_docs"))
+    docs = ws.keep(documents(concepts, fields, tuple([*by, "id"]), places), "documents")
+    rows = docs.select(*by, "id", "dl", F.explode("terms").alias("t")).select(*by, "id", "dl", "t.*")
+    corpus = docs.groupBy(*by).agg(F.count(F.lit(1)).alias("n_docs"), F.sum("dl").alias("total_len")).withColumn("avgdl", F.coalesce(F.try_divide("total_len", "n_docs"), F.lit(0.0)))
     corpus = ws.keep(corpus, "corpus")
     terms = rows.groupBy(*by, "token").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
     terms = terms.join(small(corpus.select(*by, "n_docs")), by) if by else terms.crossJoin(F.broadcast(corpus.select("n_docs")))
@@ -112,13 +153,13 @@ def bm25(tf: Column, dl: Column, avgdl: Column, idf: Column) -> Column:
     return idf * (tf * (S.BM25_K1 + 1)) / (tf + S.BM25_K1 * (1 - S.BM25_B + S.BM25_B * dl / avgdl))
 
 
-def score(concepts: DataFrame, query: str | Query, fields=S.FIELD_WEIGHTS, bundle: str | None = None) -> DataFrame:
+def score(concepts: DataFrame, query: str | Query | None, fields=S.FIELD_WEIGHTS, bundle: str | None = None) -> DataFrame:
     """[bundle,] id, score of every match, unordered: one pass over the texts, one slim row a document.
 
     Texts aren't stemmed: a document's length is its number of words, and a term's frequency the number of words among
     the few that have the term as their stem. Only lengths and frequencies are kept, in a work table, which serves both the statistics and the scores.
     """
-    q = parse_query(query) if isinstance(query, str) else query
+    q = query if isinstance(query, Query) else parse_query(query)
     by = [bundle] if bundle else []
     wanted = q.wanted
     if not wanted:
@@ -155,14 +196,47 @@ def score(concepts: DataFrame, query: str | Query, fields=S.FIELD_WEIGHTS, bundl
 
 
 def score_with_index(index: tuple[DataFrame, DataFrame, DataFrame], terms: DataFrame) -> DataFrame:
-    """query_id, id, score for a table of queries (query_id, token) against a built index: token equi-joins."""
+    """query_id, id, score for a table of queries (query_id, token) against a built index: token equi-joins of the wanted tokens' postings."""
     rows, stats, corpus = index
-    lengths = rows.groupBy("id").agg(F.sum("tf").alias("dl"))
     wanted = terms.select("query_id", "token").distinct()
-    hits = rows.join(wanted, "token").join(stats.select("token", "idf"), "token").join(lengths, "id").crossJoin(F.broadcast(corpus.select("avgdl")))
+    known = stats.select("token", "idf").join(small(wanted.select("token").distinct()), "token", "left_semi")
+    hits = rows.select("id", "dl", "token", "tf").join(small(wanted.join(known, "token")), "token").crossJoin(F.broadcast(corpus.select("avgdl")))  # one row
     return hits.groupBy("query_id", "id").agg(F.sum(bm25(F.col("tf"), F.col("dl"), F.col("avgdl"), F.col("idf"))).alias("score"))
 
 
+def parse_queries(queries: DataFrame) -> DataFrame:
+    """query_id, terms, phrases, excluded of queries (query_id, text), by the rules of parse_query()."""
+    parts = F.split(F.coalesce("text", F.lit("")), '"', -1)
+    inside = F.filter(F.transform(F.filter(parts, lambda p, i: i % 2 == 1), X.tokens), lambda p: F.size(p) > 0)
+    outside = F.flatten(F.transform(F.filter(parts, lambda p, i: i % 2 == 0), lambda p: F.split(X.strip(p), X.SPACE)))
+    of = lambda minus: F.flatten(F.transform(F.filter(outside, lambda w: w.startswith("-") == F.lit(minus)), lambda w: X.tokens(F.regexp_replace(w, "^-", ""))))
+    return queries.select("query_id", of(False).alias("terms"), inside.alias("phrases"), of(True).alias("excluded"))
+
+
+def score_queries(index: tuple[DataFrame, DataFrame, DataFrame], queries: DataFrame) -> DataFrame:
+    """query_id, id, score of queries with phrases and exclusions (query_id, text) against an index with places: no text is read again.
+
+    A phrase is found by intersection: the places of its tokens, each less the token's own place in the phrase, have one in
+    common. A document must have every phrase of a query and no excluded token; those that have one are taken out by an anti-join.
+    """
+    rows = index[0]
+    ws = Workspace(rows.sparkSession, "queries")
+    parsed = ws.keep(parse_queries(queries), "parsed")
+    wanted = parsed.select("query_id", F.explode(F.array_distinct(F.concat("terms", F.flatten("phrases")))).alias("token"))
+    scored = score_with_index(index, wanted)
+    phrases = parsed.select("query_id", F.posexplode("phrases").alias("phrase", "tokens")).withColumn("n", F.size("tokens"))
+    each = phrases.select("query_id", "phrase", "n", F.posexplode("tokens").alias("k", "token"))
+    met = rows.select("id", "token", "at").join(small(each), "token")
+    shifted = met.select("query_id", "phrase", "n", "id", F.transform("at", lambda x: x - F.col("k")).alias("starts"))
+    held = shifted.groupBy("query_id", "phrase", "n", "id").agg(F.collect_list("starts").alias("all"))  # at most a row a token of the phrase
+    common = F.aggregate(F.slice("all", 2, F.greatest(F.size("all") - 1, F.lit(0))), F.get("all", F.lit(0)), F.array_intersect)
+    found = held.filter((F.size("all") == F.col("n")) & (F.size(common) > 0)).groupBy("query_id", "id").agg(F.count(F.lit(1)).alias("found"))
+    needs = small(parsed.select("query_id", F.size("phrases").alias("needs")))
+    kept = scored.join(needs, "query_id").join(found, ["query_id", "id"], "left").filter(F.coalesce("found", F.lit(0)) == F.col("needs"))
+    banned = rows.select("id", "token").join(small(parsed.select("query_id", F.explode(F.array_distinct("excluded")).alias("token"))), "token").select("query_id", "id").distinct()
+    return kept.join(banned, ["query_id", "id"], "left_anti").select("query_id", "id", "score")
+
+
 def rounded(score_column="score") -> Column:
     """Six decimals, the same in any order of summing."""
     return F.floor(F.col(score_column) * 1e6 + 0.5) / 1e6

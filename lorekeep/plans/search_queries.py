@@ -133,6 +133,29 @@ def jn_01_query_table(spark, sf_dir):
     return scored.withColumn("rank", rank).filter("rank <= 3").select(F.col("query_id").alias("item_id"), "id", "score", "rank")
 
 
+WORDS_SQL = "w AS (SELECT item_id, string_split(regexp_replace(lower(text), '[^\\p{L}\\p{N}]+', ' ', 'g'), ' ') AS l FROM benchmark), picked AS (SELECT item_id, l[2] AS one, l[5] || ' ' || l[6] || ' ' || l[7] AS phrase, l[15] AS minus FROM w)"
+
+
+@query(
+    f"""WITH {corpus.SQL}, {WORDS_SQL}, {tokens_sql('concepts', 'id', [('title', 2), ('body', 1)])}, {stream_sql('concepts', 'id', 'body', 'seq')}, {stream_sql('concepts', 'id', 'title', 'tit')},
+    whole AS (SELECT c.id, ' ' || coalesce(t.s || ' ' || t.s || ' ', '') || coalesce(s.s, '') || ' ' AS s FROM concepts c LEFT JOIN tit t ON t.id = c.id LEFT JOIN seq s ON s.id = c.id),
+    {tokens_sql('picked', 'item_id', [('one', 1), ('phrase', 1)], 'qt')}, {tokens_sql('picked', 'item_id', [('minus', 1)], 'mt')}, {stream_sql('picked', 'item_id', 'phrase', 'ph')},
+    lens AS (SELECT id, sum(weight) AS dl FROM toks GROUP BY id), stats AS (SELECT (SELECT count(*) FROM concepts) AS n, sum(dl) * 1.0 / (SELECT count(*) FROM concepts) AS avgdl FROM lens),
+    post AS (SELECT id, token, sum(weight) AS tf FROM toks GROUP BY id, token), dfs AS (SELECT token, count(*) AS df FROM post GROUP BY token),
+    s AS (SELECT item_id, p.id, {micro('sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * (tf * 2.2) / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl)))')} AS score FROM (SELECT DISTINCT item_id, token FROM qt) w JOIN post p ON p.token = w.token JOIN dfs d ON d.token = w.token JOIN lens l ON l.id = p.id JOIN stats ON true GROUP BY item_id, p.id)
+    SELECT s.item_id, s.id, s.score FROM s JOIN whole USING (id) LEFT JOIN ph ON ph.item_id = s.item_id WHERE (ph.s IS NULL OR contains(whole.s, ' ' || ph.s || ' '))
+      AND NOT EXISTS (SELECT 1 FROM mt JOIN post ON post.token = mt.token WHERE mt.item_id = s.item_id AND post.id = s.id)"""
+)
+def fn_03_phrase_table(spark, sf_dir):
+    """A table of queries, each with a quoted phrase and an excluded word of a benchmark passage, against an index with places."""
+    index = search.build_index(corpus.concepts(spark, sf_dir), [("title", 2), ("body", 1)], places=True)
+    l = F.split(F.regexp_replace(F.lower("text"), r"[^\p{L}\p{N}]+", " "), " ")  # noqa: E741
+    at = lambda k: F.coalesce(F.get(l, F.lit(k - 1)), F.lit(""))
+    text = F.concat(F.lit('"'), F.concat_ws(" ", at(5), at(6), at(7)), F.lit('" '), at(2), F.lit(" -"), at(15))
+    asked = corpus.read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), text.alias("text"))
+    return search.score_queries(index, asked).select(F.col("query_id").alias("item_id"), "id", search.rounded().alias("score"))
+
+
 @query(f"WITH {corpus.SQL}, {tokens_sql('concepts', 'id', [('body', 1)])} SELECT id, count(*) AS n_tokens, count(DISTINCT token) AS n_distinct, min(token) AS first_token FROM toks GROUP BY id")
 def fn_01_tokenize(spark, sf_dir):
     t = corpus.concepts(spark, sf_dir).select("id", X.tokens("body").alias("t")).filter(F.size("t") > 0)
