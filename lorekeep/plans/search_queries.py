@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from lorekeep.functions import temporal as T
 from lorekeep.functions import text as X
-from lorekeep.operators import search, temporal
+from lorekeep.operators import replay, search, temporal
 from lorekeep.plans.registry import micro, query, stream_sql, tokens_sql
 from lorekeep.sources import corpus
 
@@ -177,6 +177,19 @@ def tmp_06_snapshot(spark, sf_dir):
     return temporal.snapshot(corpus.concepts(spark, sf_dir), F.lit(AT).cast("timestamp")).groupBy("type").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(
+    f"""WITH {corpus.SQL}, days AS (SELECT unnest(generate_series(TIMESTAMP '2023-12-20', TIMESTAMP '2024-12-18', INTERVAL 13 HOUR)) AS instant),
+    w AS (SELECT instant, id, supersedes, CASE WHEN valid_from > instant THEN 'not_yet_valid' WHEN valid_until + INTERVAL 1 DAY - INTERVAL 1 MICROSECOND < instant THEN 'expired' ELSE 'current' END AS state FROM concepts, days),
+    h AS (SELECT o.instant, o.id, o.state, CASE WHEN n2.state = 'current' THEN n2.id WHEN n1.state = 'current' THEN n1.id END AS head FROM w o LEFT JOIN w n1 ON n1.instant = o.instant AND n1.supersedes = o.id LEFT JOIN w n2 ON n2.instant = o.instant AND n2.supersedes = n1.id)
+    SELECT instant, CASE WHEN state <> 'current' THEN state WHEN head IS NOT NULL THEN 'superseded' ELSE 'current' END AS status, count(*) AS n, count(DISTINCT CASE WHEN state = 'current' THEN head END) AS heads, min(CASE WHEN state = 'current' THEN head END) AS first_head FROM h GROUP BY 1, 2"""
+)
+def tmp_07_replay(spark, sf_dir):
+    """Statuses of all concepts every thirteen hours of a year, from one table of intervals."""
+    instants = spark.sql("SELECT explode(sequence(timestamp'2023-12-20', timestamp'2024-12-18', interval 13 hours)) AS instant")
+    got = replay.statuses_at(replay.status_intervals(corpus.concepts(spark, sf_dir)), instants)
+    return got.groupBy(F.col("instant").cast("timestamp_ntz").alias("instant"), "status").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("superseded_by").alias("heads"), F.min("superseded_by").alias("first_head"))
+
+
 @query(f"WITH {corpus.SQL} SELECT a.id AS src, a.supersedes AS dst FROM concepts a JOIN concepts b ON b.id = a.supersedes")
 def jn_02_supersession_edges(spark, sf_dir):
     return temporal.edges(corpus.concepts(spark, sf_dir))
