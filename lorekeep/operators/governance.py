@@ -131,12 +131,17 @@ def _update(store: Store, change, actor: str, action: str, concept_id: str, vali
     return {"written": True, "version": version}
 
 
+def previewed(before: DataFrame, after: DataFrame, validate) -> tuple[DataFrame, DataFrame]:
+    """(id, change of what a change alters; severity, code, file, message of the errors it brings): all of them, with nothing written."""
+    return diff(before, after).filter("change <> 'unchanged'"), new_errors(validate(before), validate(after))
+
+
 def preview(store: Store, change, validate) -> dict:
-    """What a change would do, with nothing written: ids by kind of change, and the errors it would bring, fifty of each at most."""
+    """What a change would do, with nothing written: ids by kind of change, and the errors it would bring, the first fifty of each."""
     before = store.read()
-    after = change(before)
-    changes = diff(before, after).filter("change <> 'unchanged'").orderBy("change", "id").limit(50).collect()
-    bad = new_errors(validate(before), validate(after)).orderBy("code", "file").limit(50).collect()
+    changes, bad = previewed(before, change(before), validate)
+    changes = changes.orderBy("change", "id").limit(50).collect()
+    bad = bad.orderBy("code", "file").limit(50).collect()
     return {"changes": [(r.id, r.change) for r in changes], "errors": [r.asDict() for r in bad]}
 
 
@@ -177,13 +182,18 @@ def diff_state(concepts: DataFrame, state: DataFrame, current: DataFrame, root:
     return rows.select("id", change.alias("change"), "origin")
 
 
+def provenance_of_all(concepts: DataFrame) -> DataFrame:
+    """id, section, pos, ref, detail: sources, verifications and footnotes of each concept."""
+    one = concepts
+    src = one.select("id", F.lit("source").alias("section"), F.posexplode("sources").alias("pos", "s")).select("id", "section", "pos", F.col("s.id").alias("ref"), F.coalesce("s.resource", F.lit("")).alias("detail"))
+    ver = one.select("id", F.lit("verified").alias("section"), F.posexplode("verified").alias("pos", "v")).select("id", "section", "pos", F.col("v.by"), F.coalesce("v.at", F.lit("")))
+    notes = one.select("id", F.lit("footnote").alias("section"), F.posexplode(X.footnote_refs("body")).alias("pos", "ref"), F.transform(F.coalesce("sources", F.from_json(F.lit("[]"), "array<struct<id:string,resource:string,title:string,author:string,last_modified:string>>")), lambda s: s["id"]).alias("known"))
+    return src.union(ver).union(notes.select("id", "section", "pos", "ref", F.when(F.array_contains("known", F.col("ref")), "resolved").otherwise("unresolved")))
+
+
 def provenance(concepts: DataFrame, concept_id: str) -> DataFrame:
-    """section, pos, ref, detail: sources, verifications and footnotes of one concept."""
-    one = concepts.filter(F.col("id") == concept_id)
-    src = one.select(F.lit("source").alias("section"), F.posexplode("sources").alias("pos", "s")).select("section", "pos", F.col("s.id").alias("ref"), F.coalesce("s.resource", F.lit("")).alias("detail"))
-    ver = one.select(F.lit("verified").alias("section"), F.posexplode("verified").alias("pos", "v")).select("section", "pos", F.col("v.by"), F.coalesce("v.at", F.lit("")))
-    notes = one.select(F.lit("footnote").alias("section"), F.posexplode(X.footnote_refs("body")).alias("pos", "ref"), F.transform(F.coalesce("sources", F.from_json(F.lit("[]"), "array<struct<id:string,resource:string,title:string,author:string,last_modified:string>>")), lambda s: s["id"]).alias("known"))
-    return src.union(ver).union(notes.select("section", "pos", "ref", F.when(F.array_contains("known", F.col("ref")), "resolved").otherwise("unresolved")))
+    """section, pos, ref, detail of one concept."""
+    return provenance_of_all(concepts.filter(F.col("id") == concept_id)).drop("id")
 
 
 def audit_log(raw: DataFrame, limit: int = 20) -> DataFrame:
@@ -192,14 +202,15 @@ def audit_log(raw: DataFrame, limit: int = 20) -> DataFrame:
     return got.orderBy(F.desc("seq")).limit(limit).select("seq", "j.ts", "j.actor", "j.action", "j.concept_id", "j.summary")
 
 
-def activity(log_text: DataFrame, limit: int = 20) -> DataFrame:
-    """log_text: bundle_id, text. Entries `* **Kind**: message` under their day, newest first."""
+def activity(log_text: DataFrame, limit: int | None = 20) -> DataFrame:
+    """log_text: bundle_id, text. Entries `* **Kind**: message` under their day, newest first; without a limit all, in no order."""
     rows = log_text.select("bundle_id", F.posexplode(X.split_lines("text")).alias("pos", "line"))
     day = F.when(F.col("line").rlike(r"^##\s+\d{4}-\d{2}-\d{2}\s*$"), F.regexp_extract("line", r"(\d{4}-\d{2}-\d{2})", 1))
     rows = rows.withColumn("day", F.last(day, ignorenulls=True).over(Window.partitionBy("bundle_id").orderBy("pos")))
     entry = r"^\*\s+\*\*([^*]+)\*\*:\s*(.*)$"
     rows = rows.filter(F.col("line").rlike(entry) & F.col("day").isNotNull())
-    return rows.select("bundle_id", "day", "pos", F.regexp_extract("line", entry, 1).alias("kind"), F.regexp_extract("line", entry, 2).alias("message")).orderBy(F.desc("day"), "bundle_id", "pos").limit(limit)
+    found = rows.select("bundle_id", "day", "pos", F.regexp_extract("line", entry, 1).alias("kind"), F.regexp_extract("line", entry, 2).alias("message"))
+    return found if limit is None else found.orderBy(F.desc("day"), "bundle_id", "pos").limit(limit)
 
 
 def render_log(entries: DataFrame) -> DataFrame:

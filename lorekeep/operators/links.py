@@ -121,13 +121,17 @@ def raw_links(concepts: DataFrame) -> DataFrame:
     return rows.filter(~X.is_external("target")).withColumn("target", F.regexp_replace(X.without_fragment("target"), "^/", "")).filter("target <> ''")
 
 
-def neighbors(links: DataFrame, node: str, wanted: str | None = None) -> DataFrame:
-    """direction, pos, id, text: outgoing in order with duplicates; of each source that links here, its first link."""
+def neighbors_of_all(links: DataFrame, wanted: str | None = None) -> DataFrame:
+    """node, direction, pos, id, text: outgoing in order with duplicates; of each source that links a node, its first link to it."""
     rows = links if wanted is None else links.filter(X.relation_matches("text", "target", wanted))
-    out = rows.filter(F.col("source") == node).select(F.lit("out").alias("direction"), "pos", F.col("target").alias("id"), "text")
-    first = F.row_number().over(Window.partitionBy("source").orderBy("pos"))
-    back = rows.filter(F.col("target") == node).withColumn("k", first).filter("k = 1")
-    return out.union(back.select(F.lit("in"), "pos", "source", "text"))
+    out = rows.select(F.col("source").alias("node"), F.lit("out").alias("direction"), "pos", F.col("target").alias("id"), "text")
+    first = rows.groupBy("target", "source").agg(F.min(F.struct("pos", "text")).alias("m"))
+    return out.union(first.select(F.col("target"), F.lit("in"), "m.pos", "source", "m.text"))
+
+
+def neighbors(links: DataFrame, node: str, wanted: str | None = None) -> DataFrame:
+    """direction, pos, id, text of one node."""
+    return neighbors_of_all(links.filter((F.col("source") == node) | (F.col("target") == node)), wanted).filter(F.col("node") == node).drop("node")
 
 
 def walk(links: DataFrame, statuses: DataFrame, start: str, depth: int = 2, wanted: str | None = None) -> DataFrame:

@@ -318,9 +318,12 @@ def get_concept(concepts: DataFrame, statuses: DataFrame, concept_id: str) -> Da
 
 
 def search_or_fallback(concepts: DataFrame, query: str, limit: int = 10, type_filter: str | None = None, tier_filter: str | None = None) -> DataFrame:
-    """The plain scorer's hits with the filters applied after the cut, for bundles that the index can't take."""
-    hits = substring_rank(concepts, query, limit)
-    return hits.join(facets(concepts, type_filter, tier_filter).select("id"), "id")
+    """id, score: the engine's best that pass the filters; for a query without a term that it takes, the plain scorer's, filtered after the cut."""
+    kept = facets(concepts, type_filter, tier_filter).select("id")
+    parsed = parse_query(query)
+    if parsed.wanted:
+        return top_k(score(concepts, parsed).join(kept, "id"), limit).select("id", "score")
+    return substring_rank(concepts, query, limit).join(kept, "id").withColumn("score", F.col("score").cast("double"))
 
 
 def coerce_limit(value, default: int, least: int = 0, most: int | None = None) -> int:

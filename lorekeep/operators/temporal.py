@@ -19,6 +19,12 @@ def edges(concepts: DataFrame) -> DataFrame:
     return raw.join(concepts.select(F.col("id").alias("dst")), "dst", "left_semi").select("src", "dst")
 
 
+def dangling(concepts: DataFrame) -> DataFrame:
+    """(id, missing): what a concept says to supersede and isn't there."""
+    raw = concepts.select("id", F.explode(T.normalize_supersedes("supersedes")).alias("missing")).distinct()
+    return raw.join(concepts.select(F.col("id").alias("missing")), "missing", "left_anti").select("id", "missing")
+
+
 def window(concepts: DataFrame, at) -> DataFrame:
     return concepts.select("id", T.window_status("valid_from", "valid_until", at).alias("window"), T.has_temporal().alias("has_temporal"))
 

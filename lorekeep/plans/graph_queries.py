@@ -76,9 +76,13 @@ def raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "documents").select(i.cast("string").alias("id"), body.alias("body"))
 
 
-@query("SELECT 'out' AS direction, 0 AS pos, '12' AS id, 'twice' AS text UNION ALL SELECT 'out', 1, '18', 'thrice' UNION ALL SELECT 'out', 2, 'x6', 'gone' UNION ALL SELECT 'in', 0, '3', 'twice' UNION ALL SELECT 'in', 1, '2', 'thrice'")
+@query(
+    """WITH l AS (SELECT doc_id::VARCHAR AS s, 0 AS pos, (2 * doc_id)::VARCHAR AS t, 'twice' AS text FROM documents UNION ALL SELECT doc_id::VARCHAR, 1, (3 * doc_id)::VARCHAR, 'thrice' FROM documents UNION ALL SELECT doc_id::VARCHAR, 2, 'x' || doc_id, 'gone' FROM documents)
+    SELECT s AS node, 'out' AS direction, pos, t AS id, text FROM l UNION ALL SELECT t, 'in', min(pos), s, min_by(text, pos) FROM l GROUP BY t, s"""
+)
 def gr_05_neighbors(spark, sf_dir):
-    return links.neighbors(links.raw_links(raw(spark, sf_dir)), "6")
+    """Neighbours of all nodes, missing ones too."""
+    return links.neighbors_of_all(links.raw_links(raw(spark, sf_dir)))
 
 
 @query(
@@ -105,10 +109,17 @@ def agg_15_traverse_counts(spark, sf_dir):
     return links.traverse_counts(links.raw_links(c), states, "1", 3)
 
 
-@query("SELECT min(cycle) AS cycle FROM (VALUES ('a>b'), ('s')) v(cycle) GROUP BY cycle")
+@query(
+    """WITH d AS (SELECT doc_id, doc_id // 5 AS g, count(*) OVER (PARTITION BY doc_id // 5) AS n FROM documents)
+    SELECT string_agg(printf('%09d', doc_id), '>' ORDER BY doc_id) AS cycle FROM d WHERE g % 3 = 0 AND n = 5 GROUP BY g UNION ALL SELECT printf('%09d', doc_id) FROM d WHERE g % 3 = 1 AND doc_id % 5 = 2"""
+)
 def tmp_05_cycles(spark, sf_dir):
-    rows = [("b", ["a"]), ("a", ["b"]), ("s", ["s"]), ("lonely", []), ("tail", ["a"])]
-    c = spark.createDataFrame(rows, "id string, supersedes array<string>")
+    """Documents in fives: rings of five, fives with one that supersedes itself, and chains whose ends supersede members of the next ring."""
+    i, name = F.col("doc_id"), lambda c: F.format_string("%09d", c)
+    five, last = F.floor(i / 5) % 3, i % 5 == 4
+    ring = F.when(last, F.array(name(i - 4))).otherwise(F.array(name(i + 1)))
+    older = F.when(five == 0, ring).when(five == 1, F.when(i % 5 == 2, F.array(name(i)))).otherwise(F.array(name(i + 1)))
+    c = read(spark, sf_dir, "documents").select(name(i).alias("id"), older.alias("supersedes"))
     return temporal.cycles(c).select(F.array_join("cycle", ">").alias("cycle"))
 
 

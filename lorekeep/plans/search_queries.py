@@ -195,11 +195,12 @@ def jn_02_supersession_edges(spark, sf_dir):
     return temporal.edges(corpus.concepts(spark, sf_dir))
 
 
-@query(f"WITH {corpus.SQL}, part AS (SELECT * FROM concepts WHERE doc_id % 3 <> 0) SELECT id, supersedes AS missing FROM part WHERE supersedes IS NOT NULL AND supersedes NOT IN (SELECT id FROM part)")
+@query(f"WITH {corpus.SQL}, o AS (SELECT id, supersedes AS older FROM concepts WHERE supersedes IS NOT NULL UNION ALL SELECT id, 'gone-' || doc_id % 50 FROM concepts WHERE doc_id % 7 = 0) SELECT id, older AS missing FROM o WHERE older NOT IN (SELECT id FROM concepts)")
 def jn_03_dangling_supersedes(spark, sf_dir):
-    """A bundle that lacks every third document, so that some supersede what isn't there."""
-    c = corpus.concepts(spark, sf_dir).filter("cast(substr(id, 5) as bigint) % 3 <> 0")
-    return c.select("id", F.explode(T.normalize_supersedes("supersedes")).alias("missing")).join(c.select(F.col("id").alias("missing")), "missing", "left_anti").select("id", "missing")
+    """All concepts; every seventh supersedes one that isn't there too."""
+    i = F.expr("cast(substr(id, 5) as bigint)")
+    more = F.when(i % 7 == 0, F.array(F.concat(F.lit("gone-"), (i % 50).cast("string")))).otherwise(F.array().cast("array<string>"))
+    return temporal.dangling(corpus.concepts(spark, sf_dir).withColumn("supersedes", F.concat(F.coalesce("supersedes", F.array().cast("array<string>")), more)))
 
 
 @query(f"WITH {corpus.SQL} SELECT tier, count(*) AS n, CASE tier WHEN 'human-reviewed' THEN 'high' WHEN 'machine-confirmed' THEN 'medium' ELSE 'low' END AS bucket FROM concepts GROUP BY tier")
@@ -208,15 +209,29 @@ def fn_08_trust_tiers(spark, sf_dir):
     return c.groupBy("tier").agg(F.count(F.lit(1)).alias("n")).select("tier", "n", T.trust_bucket("tier").alias("bucket"))
 
 
-STAMPS = ["2026-03-31", "2026-02-30", "2026-13-99", "2026-03-31T10:20:30Z", "2026-03-31T10:20:30+02:00", " 2026-03-31 10:20 ", "2026", "2026-9-8", "yesterday", "", "2024-02-29T23:59:59.123456Z"]
+STAMPS_SQL = "s AS (SELECT doc_id, printf('%04d-%02d-%02d', 2000 + doc_id % 40, doc_id % 14, doc_id % 33) || ['', 'T10:20:30Z', 'T10:20:30+02:00', ' 10:20', 'x', 'T23:59:59.123456Z', ' '][doc_id % 7 + 1] AS v FROM documents)"
+
+
+def stamps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, v: a date of each document, some of which there aren't, in seven forms of which one is none."""
+    i = F.col("doc_id")
+    ends = F.array(*[F.lit(x) for x in ("", "T10:20:30Z", "T10:20:30+02:00", " 10:20", "x", "T23:59:59.123456Z", " ")])
+    return corpus.read(spark, sf_dir, "documents").select("doc_id", F.concat(F.format_string("%04d-%02d-%02d", 2000 + i % 40, i % 14, i % 33), F.get(ends, (i % 7).cast("int"))).alias("v"))
 
 
 @query(
-    "WITH s(v) AS (VALUES " + ", ".join(f"('{v}')" for v in STAMPS) + r") SELECT v, CAST(epoch_us(try_cast(CASE WHEN regexp_matches(trim(v), '^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}(\.\d{1,6})?)?(Z|[+-]\d{2}:\d{2})?)?$') THEN regexp_replace(regexp_replace(trim(v), 'Z$', '+00'), '^(\d{4}-\d{2}-\d{2})[T ](\d{2}:\d{2})$', '\1 \2:00') END AS TIMESTAMPTZ)) AS BIGINT) AS micros FROM s"
+    f"WITH {STAMPS_SQL} " + r"""SELECT doc_id, v, CAST(epoch_us(try_cast(CASE WHEN regexp_matches(trim(v), '^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}(\.\d{1,6})?)?(Z|[+-]\d{2}:\d{2})?)?$') THEN regexp_replace(regexp_replace(trim(v), 'Z$', '+00'), '^(\d{4}-\d{2}-\d{2})[T ](\d{2}:\d{2})$', '\1 \2:00') END AS TIMESTAMPTZ)) AS BIGINT) AS micros FROM s"""
 )
 def fn_10_parse_temporal(spark, sf_dir):
-    rows = spark.createDataFrame([(v,) for v in STAMPS], "v string")
-    return rows.select("v", F.unix_micros(T.parse_temporal("v")).alias("micros"))
+    return stamps(spark, sf_dir).select("doc_id", "v", F.unix_micros(T.parse_temporal("v")).alias("micros"))
+
+
+@query(
+    f"WITH {STAMPS_SQL}, d AS (SELECT doc_id, v, try_cast(trim(v) AS DATE) AS day, regexp_matches(trim(v), '^.{{10}}$') AS date_only FROM s) "
+    "SELECT doc_id, date_only, CASE WHEN date_only THEN day + INTERVAL 1 DAY - INTERVAL 1 MICROSECOND ELSE try_cast(left(v, 10) AS DATE) + CASE doc_id % 7 WHEN 1 THEN INTERVAL 37230 SECOND WHEN 2 THEN INTERVAL 30030 SECOND WHEN 3 THEN INTERVAL 37200 SECOND WHEN 5 THEN INTERVAL 86399123456 MICROSECOND END END AS until FROM d"
+)
+def fn_11_window_end(spark, sf_dir):
+    return stamps(spark, sf_dir).select("doc_id", T.is_date_only("v").alias("date_only"), T.window_end("v").cast("timestamp_ntz").alias("until"))
 
 
 @query(f"WITH {corpus.SQL} SELECT id, type, tier FROM concepts WHERE contains(lower(type), 'd 1') AND contains(lower(body), 'hation') AND tier = 'machine-confirmed' ORDER BY id LIMIT 5 OFFSET 5")

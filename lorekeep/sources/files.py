@@ -257,8 +257,15 @@ def golden_set(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(F.explode(many).alias("q")).select("q.*")
 
 
+def save_sync_state(state: DataFrame, path: str, shards: int = 16) -> None:
+    """Write a state (path, sha256, concepts, size, mtime_ns) as JSON objects of the form that sync_state() reads, one a shard of its paths."""
+    entry = F.struct("sha256", "concepts", "size", "mtime_ns")
+    cut = state.groupBy(F.pmod(F.xxhash64("path"), F.lit(shards)).alias("shard")).agg(F.map_from_entries(F.collect_list(F.struct("path", entry))).alias("sources"))
+    cut.select("shard", F.to_json(F.struct(F.lit(1).alias("version"), F.lit(False).alias("incomplete"), "sources")).alias("value")).repartition(shards, "shard").write.partitionBy("shard").text(path)
+
+
 def sync_state(spark: SparkSession, path: str) -> DataFrame:
-    """path, sha256, concepts, size, mtime_ns of a JSON state; a corrupt one is empty."""
+    """path, sha256, concepts, size, mtime_ns of a JSON state, in one file or many; a corrupt one is empty."""
     kind = "struct<version:int,incomplete:boolean,sources:map<string,struct<sha256:string,concepts:array<string>,size:bigint,mtime_ns:bigint>>>"
     raw = spark.read.option("wholetext", True).text(path).select(F.from_json("value", kind).alias("s"))
     return raw.select(F.explode("s.sources").alias("path", "r")).select("path", "r.*")
