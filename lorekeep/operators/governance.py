@@ -14,9 +14,8 @@ from pyspark.sql import functions as F
 from lorekeep import schema as S
 from lorekeep.functions import temporal as T
 from lorekeep.functions import text as X
+from lorekeep.work import ranked
 
-#: Ranges that _ranked() deals rows to.
-RANGES = 256
 
 
 class Store:
@@ -221,25 +220,6 @@ def render_log(entries: DataFrame) -> DataFrame:
     return per.groupBy("bundle_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("day", block.alias("b"))), asc=False), lambda x: x["b"]), "\n\n").alias("text"))
 
 
-def _ranked(df: DataFrame, group: list[str], order: list[str], out: str) -> DataFrame:
-    """Add column out: the place of each row, from 1, in its group by the order columns.
-
-    A group may hold any share of the rows: rows are dealt to ranges between sampled keys, ranked within a range, and
-    what the ranges before it hold in the group is added. The sample is the keys of least hash, so it is the same in every run.
-    """
-    key = F.struct(*group, *order)
-    sample = df.select(key.alias("k")).distinct().orderBy(F.xxhash64("k"), "k").limit(RANGES - 1)
-    bounds = sample.agg(F.array_sort(F.collect_list("k")).alias("_bounds"))
-    rows = df.crossJoin(F.broadcast(bounds)).withColumn("_range", F.size(F.filter("_bounds", lambda b: b <= key))).drop("_bounds")
-    counts = rows.groupBy(*group, "_range").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(*group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    names = [*group, "_range"]
-    counts = counts.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(names)], F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    inside = Window.partitionBy(*names).orderBy(*order)
-    rows = rows.withColumn("_in", F.row_number().over(inside)).join(counts, [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(names)])
-    return rows.withColumn(out, (F.col("_in") + F.col("_before")).cast("long")).drop("_in", "_before", "_range", *[f"_k{i}" for i in range(len(names))])
-
-
 def index_page(concepts: DataFrame, prefix: str = "", by: tuple[str, ...] = ()) -> DataFrame:
     """pos, id, line of an index file, one of each bundle with `by`: titles in case-folded order, links relative to the prefix."""
     inside = concepts.filter(F.col("id").startswith(prefix)) if prefix else concepts
@@ -247,7 +227,7 @@ def index_page(concepts: DataFrame, prefix: str = "", by: tuple[str, ...] = ())
     title = F.when(X.blank("title"), X.leaf("id")).otherwise(F.col("title"))
     line = F.concat(F.lit("* ["), title, F.lit("]("), rel, F.lit(".md)"), F.when(X.blank("description"), "").otherwise(F.concat(F.lit(" - "), F.col("description"))))
     rows = inside.select(*by, F.lower(title).alias("_t"), "id", line.alias("line"))
-    return _ranked(rows, list(by), ["_t", "id"], "pos").select(*by, "pos", "id", "line")
+    return ranked(rows, list(by), ["_t", "id"], "pos").select(*by, "pos", "id", "line")
 
 
 def paged(units: DataFrame, offset: int = 0, max_chunks: int = S.PAGE_UNITS, max_tokens: int | None = None) -> DataFrame:

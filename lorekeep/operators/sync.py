@@ -4,10 +4,11 @@ import base64
 import time
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lorekeep import schema as S
+from lorekeep.work import Workspace, ranked
 
 
 def plan(current: DataFrame, state: DataFrame) -> DataFrame:
@@ -16,10 +17,10 @@ def plan(current: DataFrame, state: DataFrame) -> DataFrame:
     A file that vanished and one that appeared with the same digest are a rename, nth with nth in path order.
     """
     new, old = current.select("path", "sha256"), state.select("path", F.col("sha256").alias("old_sha256"), "concepts")
-    both = new.join(old, "path", "full_outer")
-    nth = Window.partitionBy("sha").orderBy("path")
-    appeared = both.filter("old_sha256 is null and sha256 is not null").select("path", F.col("sha256").alias("sha")).withColumn("k", F.row_number().over(nth))
-    vanished = both.filter("sha256 is null and old_sha256 is not null").select("path", F.col("old_sha256").alias("sha"), "concepts").withColumn("k", F.row_number().over(nth))
+    both = Workspace(current.sparkSession, "plan").keep(new.join(old, "path", "full_outer"), "both")
+    nth = lambda df: ranked(df, ["sha"], ["path"], "k")  # noqa: E731  any number of files may have one digest, the empty one say
+    appeared = nth(both.filter("old_sha256 is null and sha256 is not null").select("path", F.col("sha256").alias("sha")))
+    vanished = nth(both.filter("sha256 is null and old_sha256 is not null").select("path", F.col("old_sha256").alias("sha"), "concepts"))
     renames = appeared.join(vanished.withColumnRenamed("path", "old_path"), ["sha", "k"]).select("path", "old_path", F.col("sha").alias("_sha"), F.col("concepts").alias("_concepts"))
     rows = both.join(renames, "path", "left").join(renames.select(F.col("old_path").alias("path"), F.lit(True).alias("_moved")), "path", "left").filter("_moved is null")
     change = (
@@ -84,10 +85,58 @@ def rewrite_resources(concepts: DataFrame, planned: DataFrame) -> DataFrame:
 
 def donors(files: DataFrame, manifest: DataFrame, state: DataFrame) -> DataFrame:
     """path, donor: for a file whose digest is known, the recorded path whose concepts it shares; the manifest's entry first."""
-    known = manifest.select("digest", F.col("path").alias("donor"), F.lit(0).alias("rank")).union(state.filter(F.size("concepts") > 0).select("sha256", "path", F.lit(1)))
-    joined = files.join(known, files.sha256 == known.digest).filter("donor <> path")
-    valid = joined.join(state.filter(F.size("concepts") > 0).select(F.col("path").alias("donor")), "donor", "left_semi")
-    return valid.groupBy("path").agg(F.min(F.struct("rank", "donor"))["donor"].alias("donor"))
+    live = state.filter(F.size("concepts") > 0).select(F.col("sha256").alias("digest"), F.col("path").alias("donor"))
+    return _first_donors(files, live.join(manifest.select("digest", F.col("path").alias("donor"), F.lit(0).alias("rank")), ["digest", "donor"], "left"))
+
+
+def _first_donors(files: DataFrame, live: DataFrame) -> DataFrame:
+    """path, donor: the first donor of each file's digest that isn't the file itself. live: digest, donor, rank (0 where the manifest names it).
+
+    Of a digest only the first donor and the next one can be it, so a digest that many files have gives each of them one row.
+    """
+    order = F.struct(F.coalesce("rank", F.lit(1)).alias("rank"), "donor")
+    first = live.groupBy("digest").agg(F.min(order).alias("one"))
+    others = live.join(first, "digest").filter(F.col("donor") != F.col("one.donor")).groupBy("digest").agg(F.min(order).alias("two"))
+    both = files.select("path", F.col("sha256").alias("digest")).join(first.join(others, "digest", "left"), "digest")
+    return both.select("path", F.when(F.col("one.donor") != F.col("path"), F.col("one.donor")).otherwise(F.col("two.donor")).alias("donor")).filter("donor is not null")
+
+
+def resolve(planned: DataFrame, state: DataFrame, concepts: DataFrame, manifest: DataFrame) -> DataFrame:
+    """path, outcome, concepts, by: what becomes of the ownership of each added and removed file of a plan, all at once.
+
+    Added: `adopted` if concepts say that they come from the path and no other entry records them (a sync that was interrupted);
+    else `ingest` if the manifest doesn't know the digest; else `shared` with a recorded file (by) of the same digest, the one the manifest
+    names first; else `stale` (the manifest's entry is to be dropped). Removed, in the order of paths: `kept` while another entry (by, the
+    first) still records one of its concepts, be it that of a file removed later; else `removed` with the concepts that it records, or that
+    say they come from it, and no entry that is left records. manifest: digest, path.
+    """
+    none = F.array().cast("array<string>")
+    claims = state.select("path", F.explode("concepts").alias("id"))
+    from_source = concepts.filter("resource is not null").select(F.col("resource").alias("path"), "id")
+    added = planned.filter("change = 'added'").select("path", "sha256")
+    found = added.join(from_source, "path").join(claims.select("id").distinct(), "id", "left_anti").groupBy("path").agg(F.array_sort(F.collect_set("id")).alias("adopted"))
+    live = state.select(F.col("sha256").alias("digest"), F.col("path").alias("donor"))
+    named = manifest.select("digest", F.col("path").alias("donor"), F.lit(0).alias("rank"))
+    sharing = _first_donors(added, live.join(named, ["digest", "donor"], "left")).join(state.select(F.col("path").alias("donor"), F.col("concepts").alias("theirs")), "donor")
+    known = manifest.select(F.col("digest").alias("sha256"), F.lit(True).alias("known")).distinct()
+    rows = added.join(found, "path", "left").join(known, "sha256", "left").join(sharing, "path", "left")
+    outcome = F.when(F.col("adopted").isNotNull(), "adopted").when(F.col("known").isNull(), "ingest").when(F.col("donor").isNotNull(), "shared").otherwise("stale")
+    theirs = F.when(F.col("outcome") == "adopted", F.col("adopted")).when(F.col("outcome") == "shared", F.col("theirs")).otherwise(none)
+    new = rows.withColumn("outcome", outcome).select("path", "outcome", theirs.alias("concepts"), F.when(F.col("outcome") == "shared", F.col("donor")).alias("by"))
+
+    gone = planned.filter("change = 'removed'").select("path", F.lit(True).alias("gone"))
+    marked = claims.join(gone, "path", "left")
+    # of a concept's entries the first that stays, and the last that goes, decide for all of them
+    per = marked.groupBy("id").agg(F.min(F.when(F.col("gone").isNull(), F.col("path"))).alias("stays"), F.max(F.when(F.col("gone"), F.col("path"))).alias("last"))
+    later = ranked(marked.filter("gone").select("id", "path"), ["id"], ["path"], "k")
+    after = later.select("id", (F.col("k") - 1).alias("k"), F.col("path").alias("next"))
+    mine = later.join(after, ["id", "k"], "left").join(per, "id")
+    firsts = mine.groupBy("path").agg(F.min(F.least("stays", "next")).alias("by"))  # nulls are skipped
+    owned = mine.select("path", "id").union(gone.join(from_source, "path").select("path", "id")).distinct().join(per, "id", "left")
+    free = owned.filter("stays is null and (last is null or last <= path)").groupBy("path").agg(F.array_sort(F.collect_set("id")).alias("freed"))
+    old = gone.join(firsts, "path", "left").join(free, "path", "left")
+    freed = F.when(F.col("by").isNull(), F.coalesce("freed", none)).otherwise(none)
+    return new.unionByName(old.select("path", F.when(F.col("by").isNull(), "removed").otherwise("kept").alias("outcome"), freed.alias("concepts"), "by"))
 
 
 def not_ingested(files: DataFrame, manifest: DataFrame) -> DataFrame:
@@ -96,8 +145,9 @@ def not_ingested(files: DataFrame, manifest: DataFrame) -> DataFrame:
 
 def record(manifest: DataFrame, new: DataFrame) -> DataFrame:
     """Upsert by digest: the latest entry stays."""
-    last = Window.partitionBy("digest").orderBy(F.desc("ingested_at"), F.desc("path"))
-    return manifest.unionByName(new).withColumn("_k", F.row_number().over(last)).filter("_k = 1").drop("_k")
+    rows = manifest.unionByName(new)
+    last = rows.groupBy("digest").agg(F.max_by(F.struct(*rows.columns), F.struct("ingested_at", "path")).alias("r"))
+    return last.select("r.*")
 
 
 def unrecord(manifest: DataFrame, gone: DataFrame) -> DataFrame:

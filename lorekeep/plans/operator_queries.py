@@ -589,6 +589,33 @@ def own_columns(df: DataFrame) -> DataFrame:
     return df.select(*[F.col(n) if n in df.columns else F.lit(None).cast(k).alias(n) for n, k in kinds])
 
 
+@query(
+    """WITH d AS (SELECT doc_id, '/f/' || doc_id AS path, sha256(text) AS sha256 FROM documents),
+    st AS (SELECT path, CASE WHEN doc_id % 2 = 1 THEN 's' ELSE '' END || sha256 AS sha256, CASE doc_id % 4 WHEN 0 THEN ['c' || doc_id // 8] WHEN 1 THEN ['c' || doc_id // 8, 'x' || doc_id] ELSE ['x' || doc_id] END AS concepts, doc_id FROM d WHERE doc_id % 3 <> 0),
+    cl AS (SELECT path, unnest(concepts) AS id FROM st), src AS (SELECT '/f/' || doc_id AS path, 'a' || doc_id AS id FROM documents WHERE doc_id % 5 = 0),
+    gone AS (SELECT path FROM st WHERE doc_id % 2 = 1), ad AS (SELECT path, sha256 FROM d WHERE doc_id % 3 = 0),
+    man AS (SELECT sha256 AS digest, min_by(path, doc_id) AS path FROM d WHERE doc_id % 2 = 0 GROUP BY 1),
+    dn AS (SELECT path, donor FROM (SELECT ad.path, st.path AS donor, row_number() OVER (PARTITION BY ad.path ORDER BY CASE WHEN man.path = st.path THEN 0 ELSE 1 END, st.path) AS k FROM ad JOIN st ON st.sha256 = ad.sha256 AND st.path <> ad.path LEFT JOIN man ON man.digest = ad.sha256) WHERE k = 1),
+    new AS (SELECT ad.path, CASE WHEN src.id IS NOT NULL THEN 'adopted' WHEN man.digest IS NULL THEN 'ingest' WHEN dn.donor IS NOT NULL THEN 'shared' ELSE 'stale' END AS outcome, src.id AS adopted, dn.donor FROM ad LEFT JOIN src ON src.path = ad.path LEFT JOIN man ON man.digest = ad.sha256 LEFT JOIN dn ON dn.path = ad.path),
+    sh AS (SELECT a.path, min(b.path) AS by FROM cl a JOIN gone g ON g.path = a.path JOIN cl b ON b.id = a.id AND b.path <> a.path WHERE b.path NOT IN (SELECT path FROM gone) OR b.path > a.path GROUP BY 1),
+    fr AS (SELECT o.path, string_agg(o.id, ',' ORDER BY o.id) AS ids FROM (SELECT cl.path, id FROM cl JOIN gone USING (path) UNION SELECT src.path, id FROM src JOIN gone USING (path)) o WHERE NOT EXISTS (SELECT 1 FROM cl b WHERE b.id = o.id AND b.path <> o.path AND (b.path NOT IN (SELECT path FROM gone) OR b.path > o.path)) GROUP BY 1)
+    SELECT new.path, outcome, CASE outcome WHEN 'adopted' THEN adopted WHEN 'shared' THEN array_to_string(st.concepts, ',') ELSE '' END AS concepts, CASE WHEN outcome = 'shared' THEN donor END AS by FROM new LEFT JOIN st ON st.path = new.donor
+    UNION ALL SELECT g.path, CASE WHEN sh.by IS NULL THEN 'removed' ELSE 'kept' END, CASE WHEN sh.by IS NULL THEN coalesce(fr.ids, '') ELSE '' END, sh.by FROM gone g LEFT JOIN sh ON sh.path = g.path LEFT JOIN fr ON fr.path = g.path"""
+)
+def syn_02_ownership(spark, sf_dir):
+    """Every third document is new, half of the others are removed; concepts are shared in eights, some say where they come from, and half of the digests are in the manifest."""
+    i, path = number(), F.concat(F.lit("/f/"), _s(number()))
+    d = read(spark, sf_dir, "documents").select("doc_id", path.alias("path"), F.sha2("text", 256).alias("sha256"))
+    own, both = F.concat(F.lit("x"), _s(i)), F.concat(F.lit("c"), _s(F.floor(i / 8)))
+    shared = F.when(i % 4 == 0, F.array(both)).when(i % 4 == 1, F.array(both, own)).otherwise(F.array(own))
+    was = F.concat(F.when(i % 2 == 1, "s").otherwise(""), F.col("sha256"))  # what is gone had other texts, so that nothing is a rename
+    state = d.filter("doc_id % 3 <> 0").select("path", was.alias("sha256"), shared.alias("concepts"))
+    concepts = d.filter("doc_id % 5 = 0").select(F.concat(F.lit("a"), _s(i)).alias("id"), F.col("path").alias("resource"))
+    manifest = d.filter("doc_id % 2 = 0").groupBy(F.col("sha256").alias("digest")).agg(F.min_by("path", "doc_id").alias("path"))
+    planned = sync.plan(d.filter("doc_id % 3 = 0 or doc_id % 2 = 0").select("path", "sha256"), state)
+    return sync.resolve(planned, state, concepts, manifest).select("path", "outcome", F.array_join("concepts", ",").alias("concepts"), "by")
+
+
 @query("SELECT n_name AS folder, sha256(n_comment || chr(10)) AS sha256, CAST(strlen(n_comment) + 1 AS BIGINT) AS size, true AS listed FROM (SELECT n_name, 'nation ' || n_nationkey AS n_comment FROM nation)")
 def src_21_scan(spark, sf_dir):
     """A file in a folder for each nation, found, read and hashed; the listing has the same sizes."""

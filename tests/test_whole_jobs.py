@@ -4,7 +4,8 @@ import random
 import re
 from collections import Counter
 
-from lorekeep.operators import entity, governance, sections
+from lorekeep import work
+from lorekeep.operators import entity, sections
 from lorekeep.plans import fixture_queries, graph_queries
 
 
@@ -81,7 +82,7 @@ def test_term_frequencies_of_all_terms(spark, tmp_path):
 
 def test_index_pages_of_all_bundles(spark, tmp_path, monkeypatch):
     """A hot bundle over many ranges, small ones, a null one, equal titles, no bundle at all and no rows."""
-    monkeypatch.setattr(governance, "RANGES", 9)
+    monkeypatch.setattr(work, "RANGES", 9)
     rng = random.Random(2)
     rows = [(rng.choice(["hot"] * 8 + ["b", None]), f"x/d{k}", rng.choice(["Same", "same", "Title", None, " ", f"T{k % 50}"]), rng.choice(["", "said"])) for k in range(400)] + [("one", "x/only", "Only", None)]
     c = spark.createDataFrame(rows, "bundle_id string, id string, title string, description string")
