@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lorekeep.functions import temporal as T
 from lorekeep.functions import text as X
-from lorekeep.operators import entity, evaluate, extract, governance, links, search, sections, sync, temporal, validate
+from lorekeep.operators import entity, evaluate, extract, governance, hygiene, links, search, sections, sync, temporal, validate
 from lorekeep.plans.graph_queries import CURRENT, LINKS, PLAN, SECTIONS, linked, pages, snapshot
 from lorekeep.plans.registry import query
 from lorekeep.plans.search_queries import AT, STATUS_SQL
@@ -616,6 +616,21 @@ def syn_02_ownership(spark, sf_dir):
     return sync.resolve(planned, state, concepts, manifest).select("path", "outcome", F.array_join("concepts", ",").alias("concepts"), "by")
 
 
+@query(
+    """WITH d AS (SELECT doc_id, lang, source, md5(text) AS m, doc_id % 37 AS n FROM documents)
+    SELECT doc_id AS id, CASE WHEN n > 31 THEN 'too deep' END AS refused,
+      CASE WHEN n <= 31 THEN '{"items":[{"n":' || doc_id || ',"text":"' || m || '"},{"deep":{"lang":"' || lang || '"}},"plain"],"k":' || repeat('[', n::INT) || n || repeat(']', n::INT) || ',"source":"' || source || '"}' END AS cleaned,
+      CASE WHEN n <= 31 THEN 16 + n END AS nodes FROM d"""
+)
+def fn_41_nested_values(spark, sf_dir):
+    """A nested value of each document with marks of trust on three levels, some of them too deep."""
+    n = (number() % 37).cast("int")
+    parts = ['{"source": "', F.col("source"), '", "verified": [{"by": "human:x"}], "items": [{"text": "', F.md5("text"), '", "verified": true, "n": ', _s(number()), '}, {"deep": {"verified": null, "lang": "', F.col("lang"), '"}}, "plain"], "k": ', F.repeat(F.lit("["), n), _s(n), F.repeat(F.lit("]"), n), "}"]
+    value = F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    got = hygiene.clean(read(spark, sf_dir, "documents").select(number().alias("id"), value.alias("value")))
+    return got.select("id", "refused", "cleaned", F.when(F.col("refused").isNull(), F.col("nodes")).alias("nodes"))
+
+
 @query("SELECT n_name AS folder, sha256(n_comment || chr(10)) AS sha256, CAST(strlen(n_comment) + 1 AS BIGINT) AS size, true AS listed FROM (SELECT n_name, 'nation ' || n_nationkey AS n_comment FROM nation)")
 def src_21_scan(spark, sf_dir):
     """A file in a folder for each nation, found, read and hashed; the listing has the same sizes."""
