@@ -79,8 +79,16 @@ def slugify(c) -> Column:
 
 
 def slug_id(c) -> Column:
-    """Slugs of the path's segments, each at most 252 characters."""
-    return F.array_join(F.transform(F.filter(F.split(col(c), "/"), lambda p: strip(p) != ""), lambda p: F.substring(slugify(p), 1, 252)), "/")
+    """Slugs of the path's segments (either slash parts them), each cut so that its file name fits in 255 bytes."""
+    return F.array_join(F.transform(F.split(F.replace(col(c), F.lit("\\"), F.lit("/")), "/"), lambda p: F.substring(slugify(p), 1, S.STEM_MAX)), "/")
+
+
+def suffixed_id(base, n) -> Column:
+    """base-n, the last segment cut so that its file name still fits."""
+    end = F.concat(F.lit("-"), col(n).cast("string"))
+    last = F.regexp_extract(col(base), "[^/]*$", 0)
+    cut = F.substring(last, F.lit(1), S.STEM_MAX - F.length(end))
+    return F.concat(F.substring(col(base), F.lit(1), F.length(col(base)) - F.length(last)), F.when(cut == "", "untitled").otherwise(cut), end)
 
 
 def normalize_title(c) -> Column:

@@ -230,10 +230,14 @@ def fn_23_prefixes_and_citations(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", X.situating_prefix("lang", "source").alias("prefix"), X.valid_citations(answer, F.array(F.concat(F.lit("d"), _s(number())))).alias("answer"))
 
 
-@query("SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'src/x-' || doc_id || '/untitled' ELSE 'src' END AS slug FROM documents")
+@query(
+    "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'src/x-' || doc_id || '/untitled' ELSE 'untitled/untitled/src/untitled' END AS slug, 'k/' || substr(repeat(coalesce(lang, 'xx'), 200), 1, 252) AS long, 'k/' || substr(repeat(coalesce(lang, 'xx'), 200), 1, 252 - length('-' || doc_id)) || '-' || doc_id AS next FROM documents"
+)
 def fn_07_slug_ids(spark, sf_dir):
+    """Slugs of paths, of names that are too long for a file, and of the next id after a taken one."""
     path = F.when(number() % 2 == 0, F.concat(F.lit("Src / X "), _s(number()), F.lit("!/ ***"))).otherwise(F.lit("/ /SRC/"))
-    return read(spark, sf_dir, "documents").select("doc_id", X.slug_id(path).alias("slug"))
+    long = X.slug_id(F.concat(F.lit("K\\"), F.repeat(F.coalesce("lang", F.lit("xx")), F.lit(200))))
+    return read(spark, sf_dir, "documents").select("doc_id", X.slug_id(path).alias("slug"), long.alias("long"), X.suffixed_id(long, "doc_id").alias("next"))
 
 
 @query("SELECT CASE WHEN page_id % 4 = 0 THEN 'a.PDF' WHEN page_id % 4 = 1 THEN 'b/c.markdown' WHEN page_id % 4 = 2 THEN 'x.zip' ELSE '.md' END AS path, page_id % 4 = 0 AS pdf, page_id % 4 = 1 AS markdown, page_id % 4 = 2 AS wiki, true AS auto, count(*) AS n FROM pages GROUP BY ALL")

@@ -156,12 +156,13 @@ def is_export(names: list[str]) -> bool:
 
 
 def export_title(name: str) -> str:
-    return re.sub(r" [0-9a-f]{32}$", "", PurePosixPath(name).stem)
+    stem = PurePosixPath(name).stem
+    return re.sub(r"\s+[0-9a-f]{32}$", "", stem).strip() or stem
 
 
 def export_url(text: str) -> str | None:
-    found = re.search(r"https?://(?:www\.)?notion\.so/\S+", text)
-    return found[0].rstrip(").,;:!?]>\"'") if found else None
+    found = re.search(r"https?://(?:www\.)?notion\.so/[^\s)>\]]+", text)
+    return found[0].rstrip(".,;:!?'\"") if found else None
 
 
 def export_documents(raw: bytes) -> list[dict]:

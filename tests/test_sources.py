@@ -95,3 +95,11 @@ def test_watch_ticks(spark, tmp_path):
     finally:
         q.stop()
     assert seen
+
+
+def test_export_addresses_and_titles():
+    """An address ends where Markdown's brackets do; the suffix of a title may follow any white space."""
+    assert files.export_url("[t](https://notion.so/a)[u](https://notion.so/b)") == "https://notion.so/a"
+    assert files.export_url("<https://www.notion.so/x-1>. See") == "https://www.notion.so/x-1" and files.export_url('at "https://notion.so/y".') == "https://notion.so/y" and files.export_url("none") is None
+    hash_ = "0123456789abcdef" * 2
+    assert files.export_title(f"My Page\t {hash_}.md") == "My Page" and files.export_title(f"a/ {hash_}.md") == f" {hash_}" and files.export_title("plain.md") == "plain"

@@ -66,3 +66,11 @@ def test_time(spark):
     assert [r.s for r in rows.select(T.window_status("f", "u", F.col("at").cast("timestamp")).alias("s")).collect()] == ["current", "current", "not_yet_valid", "expired"]
     many = spark.createDataFrame([([" a ", "", None] + ["b"] * 497,)], "s array<string>").select(T.normalize_supersedes("s").alias("x")).first().x
     assert many == ["a"] + ["b"] * 97
+
+
+def test_names_fit_into_files(spark):
+    rows = [("Notes/Hello World",), ("a\\B//c",), ("x" * 300 + "/" + "y" * 300,), ("",)]
+    got = [r.s for r in spark.createDataFrame(rows, "p string").select(X.slug_id("p").alias("s")).collect()]
+    assert got == ["notes/hello-world", "a/b/untitled/c", "x" * 252 + "/" + "y" * 252, "untitled"]
+    ids = spark.createDataFrame([("n/" + "y" * 252, 12), ("short", 2)], "b string, n int").select(X.suffixed_id("b", "n").alias("s")).collect()
+    assert [r.s for r in ids] == ["n/" + "y" * 249 + "-12", "short-2"]
