@@ -151,12 +151,6 @@ def downgrade(concepts: DataFrame, concept_id: str, **fields) -> DataFrame:
     return out.withColumn("verified", F.when(here, F.lit(None).cast("array<struct<by:string,at:string>>")).otherwise(F.col("verified")))
 
 
-def unified_diff(old: str, new: str, name: str) -> str:
-    import difflib
-
-    return "".join(difflib.unified_diff(old.splitlines(True), new.splitlines(True), f"a/{name}", f"b/{name}"))
-
-
 def concept_hash(names):
     """Of all that a concept has; columns it hasn't count as null."""
     return F.sha2(F.to_json(F.struct(*names)), 256)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lorekeep.functions import temporal as T
 from lorekeep.functions import text as X
-from lorekeep.operators import entity, evaluate, extract, governance, hygiene, links, search, sections, sync, temporal, validate
+from lorekeep.operators import entity, evaluate, extract, governance, hygiene, links, patches, search, sections, sync, temporal, validate
 from lorekeep.plans.graph_queries import CURRENT, LINKS, PLAN, SECTIONS, linked, pages, snapshot
 from lorekeep.plans.registry import query
 from lorekeep.plans.search_queries import AT, STATUS_SQL
@@ -635,6 +635,39 @@ def fn_41_nested_values(spark, sf_dir):
     return got.select("id", "refused", "cleaned", F.when(F.col("refused").isNull(), F.col("nodes")).alias("nodes"))
 
 
+@query(
+    """WITH c AS (SELECT d.doc_id, text, CASE WHEN quality = 1 THEN 'human' WHEN quality = 0 THEN 'machine' END AS tier FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id AND quality IS NOT NULL),
+    o AS (SELECT *, CASE WHEN doc_id % 5 = 3 THEN 'empty' WHEN tier = 'human' AND doc_id % 3 > 0 THEN 'refused' WHEN doc_id % 5 = 2 THEN 'no change' ELSE 'updated' END AS outcome FROM c)
+    SELECT doc_id::VARCHAR AS id, outcome, CASE WHEN outcome <> 'updated' THEN '' WHEN doc_id % 5 = 0 THEN 'body' WHEN doc_id % 5 = 1 THEN 'title' ELSE 'title,body' END AS changed, coalesce(outcome = 'updated' AND (tier = 'human' OR (tier = 'machine' AND doc_id % 5 <> 1)), false) AS lost_trust,
+      md5(CASE WHEN outcome = 'updated' AND doc_id % 5 IN (0, 4) THEN text || chr(10) || 'more' ELSE text END) AS digest FROM o UNION ALL SELECT 'no-' || doc_id, 'missing', '', false, NULL FROM documents"""
+)
+def wb_03_patches(spark, sf_dir):
+    """A patch of each document and of as many that aren't there: bodies, titles, both, neither, blank ones."""
+    d, lab, i = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels").filter("quality is not null"), number()
+    by = F.when(F.col("quality") == 1, "human:x").when(F.col("quality") == 0, "bot")
+    c = d.join(lab.select("doc_id", "quality"), "doc_id", "left").select(_s(i).alias("id"), F.lit("old").alias("title"), F.col("text").alias("body"), F.when(by.isNotNull(), F.array(F.struct(by.alias("by"), F.lit(None).cast("string").alias("at")))).alias("verified"))
+    more = F.concat("text", F.lit("\nmore"))
+    body = F.when(i % 5 == 0, more).when(i % 5 == 2, F.col("text")).when(i % 5 == 3, " \n").when(i % 5 == 4, more)
+    asked = d.select(_s(i).alias("id"), F.when((i % 5).isin(1, 4), "new").alias("title"), body.alias("body"), (i % 3 == 0).alias("downgrade"))
+    asked = asked.unionByName(asked.withColumn("id", F.concat(F.lit("no-"), "id")))
+    return patches.patched(c, asked).select("id", "outcome", F.array_join("changed", ",").alias("changed"), "lost_trust", F.md5("body").alias("digest"))
+
+
+@query(
+    """WITH p AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents), q AS (SELECT doc_id, list_concat(list_concat(['inserted'], l[2:]), ['appended ' || doc_id]) AS n FROM p)
+    SELECT doc_id::VARCHAR AS id, md5(array_to_string(n, chr(10))) AS digest, true AS whole FROM q"""
+)
+def wb_03_hunks(spark, sf_dir):
+    """Each document with another first line and one more at the end: its hunks, applied to the old text, give the new one."""
+    d = read(spark, sf_dir, "documents")
+    l = F.split(F.coalesce("text", F.lit("")), "\n", -1)  # noqa: E741
+    new = F.array_join(F.concat(F.array(F.lit("inserted")), F.slice(l, F.lit(2), F.size(l)), F.array(F.concat(F.lit("appended "), _s(number())))), "\n")
+    pairs = d.select(_s(number()).alias("id"), F.col("text").alias("old"), new.alias("new"))
+    found = Workspace(spark, "hunks").keep(patches.hunks(pairs), "hunks")
+    small = found.groupBy("id").agg((F.sum(F.size("added")) + F.sum(F.size("removed"))).alias("lines"))
+    return patches.rebuilt(pairs, found).join(small, "id").select("id", F.md5("new").alias("digest"), (F.col("lines") <= 3).alias("whole"))
+
+
 @query("SELECT n_name AS folder, sha256(n_comment || chr(10)) AS sha256, CAST(strlen(n_comment) + 1 AS BIGINT) AS size, true AS listed FROM (SELECT n_name, 'nation ' || n_nationkey AS n_comment FROM nation)")
 def src_21_scan(spark, sf_dir):
     """A file in a folder for each nation, found, read and hashed; the listing has the same sizes."""
