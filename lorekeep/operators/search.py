@@ -149,6 +149,38 @@ def build_index(concepts: DataFrame, fields=S.FIELD_WEIGHTS, bundle: str | None
     return rows, ws.keep(terms, "terms"), corpus
 
 
+def update_index(index: tuple[DataFrame, DataFrame, DataFrame], new: DataFrame, gone: DataFrame, fields=S.FIELD_WEIGHTS, places: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The index after a sync: new are concepts that were added or changed, gone the ids (once each) of those that were there and were changed or removed.
+
+    Only new texts are read. Postings are the old ones without the gone ids and the new ones; term and corpus statistics are changed by the
+    difference, a term that no document has any more goes. compact() writes the postings anew when enough such layers lie on them.
+    """
+    rows, terms, corpus = index
+    ws = Workspace(new.sparkSession, "index-delta")
+    fresh = ws.keep(documents(new, fields, ("id",), places), "documents")
+    added = fresh.select("id", "dl", F.explode("terms").alias("t")).select("id", "dl", "t.*")
+    left = ws.keep(rows.join(small(gone.select("id")), "id", "left_semi").select("id", "dl", "token", "tf"), "left")
+    moved = added.select("token", F.lit(1).alias("d"), "tf").union(left.select("token", F.lit(-1), -F.col("tf")))
+    change = moved.groupBy("token").agg(F.sum("d").alias("d_df"), F.sum("tf").alias("d_cf"))
+    old = corpus.first()  # one row
+    n_docs = (old["n_docs"] or 0) - gone.count() + fresh.count()
+    was = left.groupBy("id").agg(F.first("dl").alias("dl")).agg(F.sum("dl")).first()[0] or 0
+    total = (old["total_len"] or 0) - was + (fresh.agg(F.sum("dl")).first()[0] or 0)
+    spark = new.sparkSession
+    sizes = spark.createDataFrame([(n_docs, total, total / n_docs if n_docs else 0.0)], "n_docs long, total_len long, avgdl double")
+    both = terms.select("token", "df", "cf").join(small(change), "token", "full_outer")
+    merged = both.select("token", (F.coalesce("df", F.lit(0)) + F.coalesce("d_df", F.lit(0))).alias("df"), (F.coalesce("cf", F.lit(0)) + F.coalesce("d_cf", F.lit(0))).alias("cf")).filter("df > 0")
+    idf = F.log(1 + (F.lit(n_docs) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    merged = ws.keep(merged.select("token", "df", "cf", F.lit(n_docs).cast("long").alias("n_docs"), idf.alias("idf")), "terms")
+    return rows.join(small(gone.select("id")), "id", "left_anti").select(*added.columns).union(added), merged, sizes
+
+
+def compact(index: tuple[DataFrame, DataFrame, DataFrame]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The same index with its postings written in one table."""
+    rows, terms, corpus = index
+    return Workspace(rows.sparkSession, "index-compact").keep(rows, "postings"), terms, corpus
+
+
 def bm25(tf: Column, dl: Column, avgdl: Column, idf: Column) -> Column:
     return idf * (tf * (S.BM25_K1 + 1)) / (tf + S.BM25_K1 * (1 - S.BM25_B + S.BM25_B * dl / avgdl))
 

@@ -112,6 +112,20 @@ def agg_02_term_statistics(spark, sf_dir):
     return search.build_index(corpus.concepts(spark, sf_dir))[1].select("token", "df", "cf", search.rounded("idf").alias("idf"))
 
 
+@query(
+    f"WITH {corpus.SQL}, bundle AS (SELECT * REPLACE (CASE WHEN doc_id % 6 = 2 THEN body || ' zebra added' ELSE body END AS body) FROM concepts WHERE doc_id % 6 <> 1), {tokens_sql('bundle', 'id', FIELDS)}, p AS (SELECT id, token, sum(weight) AS tf FROM toks GROUP BY id, token), n AS (SELECT count(*) AS n FROM bundle) "
+    f"SELECT token, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf, {micro('ln(1 + ((SELECT n FROM n) - count(*) + 0.5) / (count(*) + 0.5))')} AS idf, (SELECT n FROM n) AS n_docs FROM p GROUP BY token"
+)
+def syn_07_updated_index(spark, sf_dir):
+    """An index of five sixths of the concepts after a sync that added, changed and removed a sixth each: the same as a new one."""
+    i = F.expr("cast(substr(id, 5) as bigint)")
+    c = corpus.concepts(spark, sf_dir)
+    index = search.build_index(c.filter(i % 6 != 0))
+    new = c.filter((i % 6).isin(0, 2)).withColumn("body", F.when(i % 6 == 2, F.concat("body", F.lit(" zebra added"))).otherwise(F.col("body")))
+    updated = search.compact(search.update_index(index, new, c.filter((i % 6).isin(1, 2)).select("id")))
+    return updated[1].select("token", "df", "cf", search.rounded("idf").alias("idf"), "n_docs")
+
+
 @query(f"WITH {corpus.SQL}, {tokens_sql('concepts', 'id', FIELDS)} SELECT count(DISTINCT id) AS docs, CAST(sum(weight) AS BIGINT) AS total_len, {micro('sum(weight) * 1.0 / (SELECT count(*) FROM concepts)')} AS avgdl FROM toks")
 def agg_03_average_length(spark, sf_dir):
     return search.build_index(corpus.concepts(spark, sf_dir))[2].select(F.col("n_docs").alias("docs"), "total_len", search.rounded("avgdl").alias("avgdl"))

@@ -52,3 +52,21 @@ def test_an_empty_bundle_has_an_empty_index(spark, concepts):
     index = search.build_index(concepts.limit(0), places=True)
     assert index[0].count() == index[1].count() == 0 and index[2].first().avgdl == 0
     assert search.score_queries(index, spark.createDataFrame([(1, '"a graph" x')], "query_id int, text string")).count() == 0
+
+
+def test_an_index_kept_up_to_date_is_a_new_one(spark, concepts):
+    i = "cast(substr(id, 2) as int)"
+    changed = concepts.filter(f"{i} % 4 = 1").selectExpr("id", "type", "upper(title) as title", "description", "tags", "concat(coalesce(body, ''), ' fresh words of graphs') as body")
+    base = concepts.select("id", "type", "title", "description", "tags", "body")
+    added = base.filter(f"{i} % 4 = 0")
+    index = search.build_index(base.filter(f"{i} % 4 <> 0"), places=True)
+    gone = base.filter(f"{i} % 4 in (1, 2)").select("id")
+    got = search.compact(search.update_index(index, changed.unionByName(added), gone, places=True))
+    want = search.build_index(base.filter(f"{i} % 4 in (0, 3)").unionByName(changed), places=True)
+    facts = lambda x: ({(r.id, r.token): (r.dl, r.tf, r.at) for r in x[0].collect()}, {r.token: (r.df, r.cf, r.n_docs, round(r.idf, 9)) for r in x[1].collect()}, [(r.n_docs, r.total_len, round(r.avgdl, 9)) for r in x[2].collect()])
+    assert facts(got) == facts(want)
+    table = spark.createDataFrame(list(enumerate(QUERIES)), "query_id int, text string")
+    hits = lambda x: {(r.query_id, r.id): round(r.score, 9) for r in search.score_queries(x, table).collect()}
+    assert hits(got) == hits(want)
+    none = search.update_index(got, base.limit(0), base.filter(f"{i} % 4 <> 2").select("id"), places=True)
+    assert none[0].count() == none[1].count() == 0 and none[2].first().n_docs == 0
