@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from lorekeep import schema as S
 from lorekeep.functions import text as X
+from lorekeep.work import Workspace
 
 
 def concept_text():
@@ -44,8 +45,46 @@ def reference_support(expected, context_tokens):
     return X.let(F.array_distinct(X.tokens(expected)), lambda e: F.when(F.size(e) == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(e, context_tokens)) / F.size(e)))
 
 
-def evaluate(golden: DataFrame, concepts: DataFrame, index, top_k: int = 5, thresholds: dict | None = None) -> DataFrame:
-    """One row a question: scores, their mean, failing, missing citations, diagnosis, verdict."""
+JUDGED = ("context_relevancy", "faithfulness", "answer_relevancy")
+
+
+def judged(rows: DataFrame, model) -> DataFrame:
+    """rows (qid, question, expected_answer, answer, h and the token scores) with a model's scores where its answers can be used, and how each was made.
+
+    The model is asked which of the contexts are relevant, which claims of the answer they support, and how well the answer
+    fits. What isn't the JSON asked for, or has no claim, leaves the token score; so does a question without contexts.
+    """
+    from lorekeep.operators import extract
+
+    ws = Workspace(rows.sparkSession, "judge")
+    rows = ws.keep(rows, "rows")
+    listed = F.array_join(F.transform("h", lambda x: x["line"]), "\n\n")
+    asked = F.concat(F.lit("Question: "), F.coalesce("question", F.lit("")))
+    prompts = {
+        "context_relevancy": F.concat(asked, F.lit("\nExpected answer: "), F.coalesce("expected_answer", F.lit("")), F.lit("\n\nConcepts:\n"), listed, F.lit('\n\nWhich of these ids help to answer? Reply as {"relevant": [ids]}.')),
+        "faithfulness": F.concat(F.lit("Context:\n"), listed, F.lit("\n\nAnswer:\n"), "answer", F.lit('\n\nName the claims of the answer and whether the context supports each. Reply as {"claims": [{"claim": text, "supported": true or false}]}.')),
+        "answer_relevancy": F.concat(asked, F.lit("\nAnswer: "), "answer", F.lit('\n\nHow well does the answer fit the question, from 0 to 1? Reply as {"score": number}.')),
+    }
+    able = {"context_relevancy": F.size("h") > 0, "faithfulness": (F.size("h") > 0) & (F.size(X.sentences("answer")) > 0), "answer_relevancy": F.lit(True)}
+    each = F.explode(F.filter(F.array(*[F.when(able[m], F.struct(F.concat_ws(":", F.lit(m), "qid").alias("id"), p.alias("prompt"))) for m, p in prompts.items()]), lambda p: p.isNotNull()))
+    answers = ws.keep(extract.ask(rows.select(each.alias("p")).select("p.*"), model), "answers")
+    said = answers.select(F.substring_index("id", ":", 1).alias("metric"), F.expr("substring(id, instr(id, ':') + 1)").alias("qid"), F.from_json("answer", "relevant array<string>, claims array<struct<claim:string,supported:boolean>>, score double").alias("j"))
+    per = said.groupBy("qid").agg(*[F.first(F.when(F.col("metric") == m, F.col("j")), ignorenulls=True).alias(f"j_{m}") for m in JUDGED])
+    rows = rows.join(per, "qid", "left")
+    right = F.filter("j_context_relevancy.relevant", lambda i: F.array_contains(F.transform("h", lambda x: x["id"]), i))
+    claims = F.col("j_faithfulness.claims")
+    values = {
+        "context_relevancy": F.when(F.col("j_context_relevancy.relevant").isNotNull(), F.size(right) / F.size("h")),
+        "faithfulness": F.when(F.size(claims) > 0, F.size(F.filter(claims, lambda c: F.coalesce(c["supported"], F.lit(False)))) / F.size(claims)),
+        "answer_relevancy": F.col("j_answer_relevancy.score"),
+    }
+    held = {m: F.when(v.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), v))) for m, v in values.items()}  # these two skip nulls
+    methods = F.struct(*[F.when(v.isNotNull(), "judge").otherwise("tokens").alias(m) for m, v in held.items()])
+    return rows.withColumns({**{m: F.coalesce(v, F.col(m)) for m, v in held.items()}, "methods": methods}).drop(*[f"j_{m}" for m in JUDGED])
+
+
+def evaluate(golden: DataFrame, concepts: DataFrame, index, top_k: int = 5, thresholds: dict | None = None, judge=None) -> DataFrame:
+    """One row a question: scores, their mean, failing, missing citations, diagnosis, verdict. With a judge (a model) its scores stand where they can, and methods says where."""
     limits = S.EVAL_THRESHOLDS | (thresholds or {})
     hits = retrieve(golden, concepts, index, top_k)
     texts = concepts.select("id", X.tokens(concept_text()).alias("tok"), F.concat(F.lit("["), F.col("id"), F.lit("] "), X.snippet(F.when(~X.blank("description"), F.col("description")).otherwise(F.col("body")))).alias("line"))
@@ -58,13 +97,15 @@ def evaluate(golden: DataFrame, concepts: DataFrame, index, top_k: int = 5, thre
         "answer_relevancy": answer_relevancy("question", "answer"), "reference_support": reference_support("expected_answer", F.col("ctx")),
         "retrieved": F.transform("h", lambda x: x["id"]),
     })
+    if judge is not None:
+        rows = judged(rows, judge)
     missing = F.array_except(F.coalesce("must_cite", F.array().cast("array<string>")), "retrieved")
     failing = F.filter(F.array(*[F.when(F.col(m) < t, F.lit(m)) for m, t in limits.items()]), lambda m: m.isNotNull())
     rows = rows.withColumn("missing", missing).withColumn("failing", failing)
     retrieval = (F.size("missing") > 0) | F.array_contains("failing", "context_relevancy")
     diagnosis = F.when(retrieval, "retrieval").when(F.size("failing") > 0, "generation").otherwise("ok")
     mean = (F.col("context_relevancy") + F.col("faithfulness") + F.col("answer_relevancy")) / 3
-    return rows.select("qid", "context_relevancy", "faithfulness", "answer_relevancy", "reference_support", mean.alias("overall"), "failing", "missing", diagnosis.alias("diagnosis"), ((F.size("failing") == 0) & (F.size("missing") == 0)).alias("passed"), "retrieved")
+    return rows.select("qid", "context_relevancy", "faithfulness", "answer_relevancy", "reference_support", mean.alias("overall"), "failing", "missing", diagnosis.alias("diagnosis"), ((F.size("failing") == 0) & (F.size("missing") == 0)).alias("passed"), "retrieved", *(["methods"] if judge is not None else []))
 
 
 def report(results: DataFrame) -> DataFrame:

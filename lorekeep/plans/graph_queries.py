@@ -350,6 +350,30 @@ def ev_08_evaluate(spark, sf_dir):
     return got.select("qid", *_micro(*MEANS, "reference_support"), F.array_join("failing", ",").alias("failing"), "diagnosis", "passed", F.array_join("retrieved", ",").alias("retrieved"))
 
 
+def stub_judge(prompts: list[str]) -> list[str]:
+    """For tests: the first id is relevant and one that isn't there, answers fit by the length of the question, claims are no JSON where the context has an even length."""
+    out = []
+    for p in prompts:
+        if p.startswith("Context:"):
+            out.append("no JSON" if len(p.partition("Answer:\n")[2]) % 2 else '{"claims": [{"claim": "a", "supported": true}, {"claim": "b", "supported": false}, {"claim": "c"}]}')
+        elif "Which of these ids" in p:
+            out.append('{"relevant": ["' + p.partition("Concepts:\n[")[2].partition("]")[0] + '", "nowhere"]}')
+        else:
+            out.append('{"score": ' + str(len(p.partition("Question: ")[2].partition("\nAnswer: ")[0]) % 13 / 10) + "}")
+    return out
+
+
+@query(f"{EVAL}, b AS (SELECT CAST(item_id AS VARCHAR) AS qid, text FROM benchmark) SELECT d.qid, {micro('1.0 / len(string_split(retrieved, chr(44)))')} AS context_relevancy, {micro('least(1.0, length(b.text) % 13 / 10.0)')} AS answer_relevancy, 'judge' AS context_by FROM d JOIN b USING (qid) WHERE retrieved <> ''")
+def ev_10_judged(spark, sf_dir):
+    """Benchmark passages as questions, scored by a stub model with the token scores behind it."""
+    from lorekeep.operators import search
+
+    c = corpus.concepts(spark, sf_dir)
+    golden = read(spark, sf_dir, "benchmark").select(F.col("item_id").cast("string").alias("id"), F.col("text").alias("question"), F.col("text").alias("expected_answer"), F.lit(None).cast("array<string>").alias("must_cite"))
+    got = evaluate.evaluate(golden, c, search.build_index(c), judge=stub_judge)
+    return got.select("qid", *_micro("context_relevancy", "answer_relevancy"), F.col("methods.context_relevancy").alias("context_by"))
+
+
 @query(f"{EVAL} SELECT {', '.join(f'{micro(f'avg({n})')} AS {n}' for n in MEANS)}, count(*) AS questions, count(*) FILTER (WHERE passed) AS passed, count(*) FILTER (WHERE diagnosis = 'retrieval') AS retrieval, count(*) FILTER (WHERE diagnosis = 'generation') AS generation, CASE WHEN count(*) > 0 AND count(*) FILTER (WHERE passed) = count(*) THEN 'pass' ELSE 'fail' END AS gate FROM d")
 def agg_05_eval_report(spark, sf_dir):
     return evaluate.report(_evaluated(spark, sf_dir)).select(*_micro(*MEANS), "questions", "passed", "retrieval", "generation", "gate")

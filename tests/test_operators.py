@@ -149,3 +149,20 @@ def test_paging_edges(spark):
     assert governance.paged(units, 3, 1).first().remaining == 1
     with pytest.raises(ValueError):
         governance.paged(units, 6)
+
+
+def test_a_judge_with_token_scores_behind_it(spark):
+    c = concepts(spark, WORDS)
+    golden = spark.createDataFrame([("q1", "knowledge graph?", "a knowledge graph", None), ("q2", "zyxwvterm", "", None), ("q3", "nothing here", "", None)], "id string, question string, expected_answer string, must_cite array<string>")
+    plain = {r.qid: r for r in evaluate.evaluate(golden, c, search.build_index(c)).collect()}
+
+    def judge(prompts):
+        odd = {"Which of these": '{"relevant": ["alpha", "x"]}', "from 0 to 1": '{"score": 7}'}
+        return [next((a for k, a in odd.items() if k in p), '{"claims": [{"supported": true}, {"supported": false}]}' if "alpha" in p else "[]") for p in prompts]
+
+    got = {r.qid: r for r in evaluate.evaluate(golden, c, search.build_index(c), judge=judge).collect()}
+    assert got["q1"].context_relevancy == pytest.approx(1 / len(got["q1"].retrieved)) and got["q1"].faithfulness == 0.5 and got["q1"].answer_relevancy == 1.0
+    assert got["q2"].faithfulness == plain["q2"].faithfulness and got["q2"].methods.faithfulness == "tokens" and got["q2"].methods.context_relevancy == "judge" and got["q2"].context_relevancy == 0
+    assert got["q3"].retrieved == [] and got["q3"].methods.context_relevancy == "tokens" and got["q3"].context_relevancy == 0 and got["q3"].answer_relevancy == 1.0
+    broken = {r.qid: r for r in evaluate.evaluate(golden, c, search.build_index(c), judge=lambda p: ["{"] * len(p)).collect()}
+    assert all(broken[q][m] == plain[q][m] for q in plain for m in evaluate.JUDGED)
