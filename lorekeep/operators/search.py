@@ -5,10 +5,13 @@ every document, also those that a query's filters leave out. Everything is joins
 aggregates; only a query's few terms are literals, and only the top k leave the cluster.
 """
 
+import re
+from collections import Counter
 from dataclasses import dataclass, field
 from functools import reduce
 from operator import and_, or_
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,6 +21,9 @@ from lorekeep.functions import text as X
 from lorekeep.work import Workspace, small
 
 
+WORD, STOPPED = re.compile(r"[^\W_]+"), frozenset(S.STOPWORDS)
+
+
 @dataclass
 class Query:
     terms: list[str] = field(default_factory=list)
@@ -86,45 +92,65 @@ def _holding(phrase: list[str]):
     return lambda words: F.when(F.size(words) >= len(phrase), F.exists(F.sequence(F.lit(0), F.greatest(F.size(words) - len(phrase), F.lit(0))), at(words))).otherwise(False)
 
 
-def _stream(fields, of) -> Column:
-    """The words of all fields in order, each field as often as it weighs."""
-    return F.concat(*[F.flatten(F.array_repeat(of(n), w)) for n, w in fields])
-
-
-def _starts(rows: Column, same) -> Column:
-    """Where runs begin in a sorted array. same: whether two of its elements belong to one run."""
-    return F.filter(F.sequence(F.lit(0), F.size(rows) - 1), lambda i: (i == 0) | ~same(F.get(rows, i), F.get(rows, i - 1)))
-
-
-def _runs(rows: Column, same, make) -> Column:
-    """make(first element, its slice) of every run of a sorted array."""
-    def each(starts):
-        length = lambda i, k: F.coalesce(F.get(starts, k + 1), F.size(rows)) - i
-        return F.transform(starts, lambda i, k: make(F.get(rows, i), F.slice(rows, i + 1, length(i, k))))
-
-    return F.when(F.size(rows) > 0, X.let(_starts(rows, same), each))
-
-
-def _counted(stream: Column) -> Column:
-    """token, tf of a stream of words: words are counted in runs of the sorted stream, and only distinct ones are stemmed."""
-    words = X.let(F.array_sort(stream), lambda s: _runs(s, lambda x, y: x == y, lambda x, part: F.struct(X.let(x, X.stem).alias("token"), F.size(part).alias("tf"))))
-    total = lambda part: F.aggregate(part, F.lit(0), lambda n, r: n + r["tf"])
-    return X.let(F.array_sort(words), lambda s: _runs(s, lambda x, y: x["token"] == y["token"], lambda x, part: F.struct(x["token"].alias("token"), total(part).cast("long").alias("tf"))))
-
-
-def _placed(stream: Column) -> Column:
-    """token, tf, at (its places) of a stream of words."""
-    placed = F.transform(stream, lambda w, i: F.struct(X.stem(w).alias("token"), i.alias("i")))
-    made = lambda x, part: F.struct(x["token"].alias("token"), F.size(part).cast("long").alias("tf"), F.transform(part, lambda r: r["i"]).alias("at"))
-    return X.let(F.array_sort(placed), lambda s: _runs(s, lambda x, y: x["token"] == y["token"], made))
+#: Stems of words that a task remembers.
+STEMS = 400_000
+
+
+def _count(texts: list[str], weights: list[int], places: bool, seen: dict) -> tuple[int, dict]:
+    """Number of words of a document's stream (each field as often as it weighs), and its tokens with their count or their places."""
+    at, found = 0, {}
+    for text, weight in zip(texts, weights, strict=True):
+        tokens = []
+        for w in WORD.findall(text):
+            t = seen.get(w)
+            if t is None:
+                if len(seen) >= STEMS:
+                    seen.clear()
+                t = seen[w] = "" if w in STOPPED else stem_word(w)
+            if t:
+                tokens.append(t)
+        if places:
+            for _ in range(weight):
+                for t in tokens:
+                    found.setdefault(t, []).append(at)
+                    at += 1
+        else:
+            for t, n in Counter(tokens).items():
+                found[t] = found.get(t, 0) + n * weight
+            at += len(tokens) * weight
+    return at, found
 
 
 def documents(concepts: DataFrame, fields=S.FIELD_WEIGHTS, keys: tuple[str, ...] = ("id",), places: bool = False) -> DataFrame:
-    """keys, dl, terms (token, tf[, at]) of each document, made inside its row: occurrences are never shuffled. Stop words go before stemming."""
-    def row(stream):
-        return F.struct(F.size(stream).cast("long").alias("dl"), (_placed(stream) if places else _counted(stream)).alias("terms"))
-
-    return concepts.select(*keys, X.let(_stream(fields, _words), row).alias("d")).select(*keys, "d.*")
+    """keys, dl, terms (token, tf[, at]) of each document, counted in Arrow batches: occurrences never become rows. Stop words go before stemming."""
+    n, weights = len(keys), [w for _, w in fields]
+
+    def run(batches):
+        seen: dict[str, str] = {}
+        for batch in batches:
+            lengths, cuts, tokens, tf, spots, ends = [], [0], [], [], [], [0]
+            for texts in zip(*[c.to_pylist() for c in batch.columns[n:]], strict=True):
+                dl, found = _count(texts, weights, places, seen)
+                lengths.append(dl)
+                tokens += found
+                if places:
+                    for at in found.values():
+                        tf.append(len(at))
+                        spots += at
+                        ends.append(len(spots))
+                else:
+                    tf += found.values()
+                cuts.append(len(tokens))
+            parts = {"token": pa.array(tokens, pa.string()), "tf": pa.array(tf, pa.int64())}
+            if places:
+                parts["at"] = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(spots, pa.int32()))
+            terms = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.StructArray.from_arrays(list(parts.values()), list(parts)))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(lengths, pa.int64()), terms], [*keys, "dl", "terms"])
+
+    lowered = [F.lower(F.coalesce(F.array_join("tags", " ") if name == "tags" else F.col(name), F.lit(""))).alias(f"f{k}") for k, (name, _) in enumerate(fields)]
+    kinds = dict(concepts.dtypes)
+    shape = ", ".join([*[f"{k} {kinds[k]}" for k in keys], "dl bigint", f"terms array<struct<token:string,tf:bigint{',at:array<int>' if places else ''}>>"])
+    return concepts.select(*keys, *lowered).mapInArrow(run, shape)
 
 
 def postings(concepts: DataFrame, fields=S.FIELD_WEIGHTS, keys: tuple[str, ...] = ("id",)) -> DataFrame:
