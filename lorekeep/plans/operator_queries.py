@@ -418,6 +418,35 @@ def syn_06_changed_files(spark, sf_dir):
     return sync.changed_fast(d, state).select("doc_id", "path")
 
 
+LATER = "CASE WHEN doc_id % 11 = 5 THEN sha256(text || 'x') ELSE sha256(text) END"
+
+
+@query(
+    f"""SELECT '/p/' || doc_id AS path, 'added' AS change, sha256(text) AS sha256, 1000 AS ms FROM documents WHERE doc_id % 17 <> 0
+    UNION ALL SELECT '/p/' || doc_id, 'added', {LATER}, 2000 FROM documents WHERE doc_id % 17 = 0 AND doc_id % 13 <> 3
+    UNION ALL SELECT '/p/' || doc_id, 'updated', {LATER}, 2000 FROM documents WHERE doc_id % 17 <> 0 AND doc_id % 13 <> 3 AND doc_id % 11 = 5
+    UNION ALL SELECT '/p/' || doc_id, 'removed', sha256(text), 2000 FROM documents WHERE doc_id % 17 <> 0 AND doc_id % 13 = 3
+    UNION ALL SELECT '/p/' || doc_id, 'updated', sha256(text || 'y'), 400000 FROM documents WHERE doc_id % 13 <> 3 AND doc_id % 11 = 7"""
+)
+def syn_06_folder_events(spark, sf_dir):
+    """Three listings as a stream: files that come, change, are only touched, go, and that a full verification alone tells apart."""
+    from lorekeep.streaming import folder
+
+    d, i, ws = read(spark, sf_dir, "documents"), F.col("doc_id"), Workspace(spark, "listings")
+    later = F.when(i % 11 == 5, F.concat("text", F.lit("x"))).otherwise(F.col("text"))
+    moved = i.cast("long") + F.when((i % 11).isin(5, 6), 1).otherwise(0)
+    size = F.octet_length("text").cast("long").alias("size")
+    row = lambda text, mtime, ms: [F.concat(F.lit("/p/"), _s(i)).alias("path"), size, mtime.alias("mtime_ns"), F.lit(ms).cast("long").alias("ms"), F.sha2(text, 256).alias("sha256")]
+    verified = F.when(i % 11 == 7, F.concat("text", F.lit("y"))).otherwise(later)
+    ticks = [d.filter(i % 17 != 0).select(*row("text", i.cast("long"), 1_000)), d.filter(i % 13 != 3).select(*row(later, moved, 2_000)), d.filter(i % 13 != 3).select(*row(verified, moved, 400_000))]
+    for tick in ticks:
+        tick.write.mode("append").parquet(ws.path("in"))
+        stream = folder.events(spark.readStream.schema(ticks[0].schema).parquet(ws.path("in")))
+        q = stream.writeStream.option("checkpointLocation", ws.path("checkpoint")).format("parquet").option("path", ws.path("events")).trigger(availableNow=True).start()
+        q.awaitTermination()
+    return spark.read.schema(folder.EVENT).parquet(ws.path("events")).select("path", "change", "sha256", "ms")
+
+
 @query(f"WITH o AS ({CURRENT}) SELECT 'mine' AS owner, count(*) AS n FROM (SELECT DISTINCT doc_id // 2 AS c FROM documents WHERE source = 'src1' AND doc_id % 2 = 0 EXCEPT SELECT DISTINCT doc_id // 2 FROM documents WHERE source <> 'src1')")
 def set_04_owned(spark, sf_dir):
     """Concepts recorded for one path of many, or whose resource it is, and that no other path records."""

@@ -1,6 +1,6 @@
-"""Watching folders: a timer stream whose batches re-list the sources, since a file stream sees neither changes nor deletions."""
+"""Watching folders: polls against a recorded state, streams of changes, and windows of events."""
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,36 +9,46 @@ from pyspark.sql import functions as F
 from lorekeep import schema as S
 from lorekeep.operators import sync
 from lorekeep.sources import files
+from lorekeep.streaming import folder
 
 
-#: Changed files up to this number are read by their paths; more of them by scanning their folders.
-BY_PATH = 10_000
+def _digests(batches: Iterator) -> Iterator:
+    for pdf in batches:
+        yield pdf.assign(sha256=[folder.sha256_of(p) for p in pdf["path"]])[["path", "sha256"]]
 
 
 def poll(spark: SparkSession, roots: list[str], state: DataFrame, verify: bool) -> DataFrame:
-    """path, sha256 of what is there now: digests are taken again where size or time differ, or everywhere with verify."""
-    scanned = lambda: reduce(DataFrame.union, [files.scan(spark, r).select("path", "sha256") for r in roots]).dropDuplicates(["path"])
+    """path, sha256 of what is there now: digests are taken again where size or time differ, or everywhere with verify.
+
+    Changed files are read where their rows are; a file that can't be read any more is left out.
+    """
     if verify:
-        return scanned()
+        return reduce(DataFrame.union, [files.scan(spark, r).select("path", "sha256") for r in roots]).dropDuplicates(["path"])
     now = reduce(DataFrame.union, [files.listing(spark, r) for r in roots]).dropDuplicates(["path"])
     now = now.filter(~F.lower(F.element_at(F.split("path", "/"), -1)).isin(*S.RESERVED))
     changed = sync.changed_fast(now, state).select("path")
-    few = [r.path for r in changed.limit(BY_PATH + 1).collect()]
-    if len(few) > BY_PATH:
-        rehashed = scanned().join(changed, "path", "left_semi")
-    elif few:
-        rehashed = spark.read.format("binaryFile").load(few).select("path", F.sha2("content", 256).alias("sha256"))
-    else:
-        rehashed = spark.createDataFrame([], "path string, sha256 string")
+    rehashed = changed.mapInPandas(_digests, "path string, sha256 string").filter("sha256 is not null")
     kept = now.select("path").join(changed, "path", "left_anti").join(state.select("path", "sha256"), "path")
     return kept.select("path", "sha256").unionByName(rehashed)
 
 
-def watch(spark: SparkSession, run_once: Callable[[int], None], checkpoint: str, every: str = "10 seconds", available_now: bool = False):
-    """A running query that calls run_once(batch id) at each tick; the checkpoint keeps it the only writer of its place."""
-    ticks = spark.readStream.format("rate").option("rowsPerSecond", 1).load()
-    writer = ticks.select(F.max("value").alias("tick")).writeStream.outputMode("complete").option("checkpointLocation", checkpoint).foreachBatch(lambda df, i: run_once(i))
-    return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=every)).start()
+def watch(spark: SparkSession, roots: list[str], on_change: Callable[[DataFrame, int], None], checkpoint: str, every: str = "10 seconds", verify_ms: int = 300_000, exclude: list[str] = []):  # noqa: B006
+    """A running query that calls on_change(events, batch id) after each listing of the roots that shows a change.
+
+    The first batch gives every file as added. A batch that fails is made again from the states before it, so on_change may see an event
+    twice, never not at all; the checkpoint keeps the query the only writer of its place.
+    """
+
+    def batch(changes: DataFrame, i: int) -> None:
+        changes.persist()
+        try:
+            if not changes.isEmpty():
+                on_change(changes, i)
+        finally:
+            changes.unpersist()
+
+    found = folder.events(folder.listings(spark, roots, exclude), verify_ms)
+    return found.writeStream.option("checkpointLocation", checkpoint).foreachBatch(batch).trigger(processingTime=every).start()
 
 
 def event_states(events: DataFrame, late: str = "10 minutes", size: str = "1 hour") -> DataFrame:

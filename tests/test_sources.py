@@ -84,19 +84,6 @@ def test_event_windows_as_a_stream(spark, tmp_path):
     assert {(r.event_type, r.n, r.total) for r in spark.table("windows").collect()} == {("a", 2, 3.0), ("b", 1, 4.0)}
 
 
-def test_watch_ticks(spark, tmp_path):
-    seen = []
-    q = watch.watch(spark, seen.append, str(tmp_path / "cp"), every="1 second")
-    try:
-        for _ in range(60):
-            if seen:
-                break
-            q.awaitTermination(1)
-    finally:
-        q.stop()
-    assert seen
-
-
 def test_export_addresses_and_titles():
     """An address ends where Markdown's brackets do; the suffix of a title may follow any white space."""
     assert files.export_url("[t](https://notion.so/a)[u](https://notion.so/b)") == "https://notion.so/a"
