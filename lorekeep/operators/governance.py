@@ -27,25 +27,38 @@ class Store:
         self._fs = self._path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
 
     def _version(self) -> str | None:
-        p = self._path(f"{self.root}/_CURRENT")
-        if not self._fs.exists(p):
-            if self._fs.exists(self._path(self.root)) and any(s.getPath().getName().startswith("v-") for s in self._fs.listStatus(self._path(self.root))):
-                raise FileNotFoundError(f"{self.root} has versions but no pointer to one")
-            return None
-        stream = self._fs.open(p)
-        try:
-            return bytes(stream.readAllBytes()).decode()
-        finally:
-            stream.close()
+        current = self._text("_CURRENT")
+        if current is None and self._fs.exists(self._path(self.root)) and any(s.getPath().getName().startswith("v-") for s in self._fs.listStatus(self._path(self.root))):
+            raise FileNotFoundError(f"{self.root} has versions but no pointer to one")
+        return current
 
     def read(self) -> DataFrame:
         """The published version; empty before the first."""
         v = self._version()
         return self.spark.read.schema(S.CONCEPT).parquet(f"{self.root}/{v}") if v else self.spark.createDataFrame([], S.CONCEPT)
 
-    def publish(self, concepts: DataFrame) -> str:
-        v = f"v-{uuid.uuid4().hex}"
+    def beside(self, name: str, kind: str) -> DataFrame:
+        """A table that was published with the concepts of the current version; empty if none was. kind: its schema."""
+        v = self._version()
+        there = v and self._fs.exists(self._path(f"{self.root}/{v}/_{name}"))
+        return self.spark.read.schema(kind).parquet(f"{self.root}/{v}/_{name}") if there else self.spark.createDataFrame([], kind)
+
+    def publish(self, concepts: DataFrame, beside: dict | None = None, owner: str | None = None) -> str:
+        """Make concepts the next version, with tables beside them (sync state, index, log): readers see all of it or nothing.
+
+        A table may be a function of the concepts as they were written. Tables that aren't given are taken over from the current version. With owner, nothing is published unless the lock is still its own.
+        """
+        v, old, new = f"v-{uuid.uuid4().hex}", self._version(), beside or {}
         concepts.write.parquet(f"{self.root}/{v}")
+        for name, table in new.items():
+            made = table(self.spark.read.schema(concepts.schema).parquet(f"{self.root}/{v}")) if callable(table) else table
+            made.write.parquet(f"{self.root}/{v}/_{name}")
+        for name in () if old is None else (s.getPath().getName()[1:] for s in self._fs.listStatus(self._path(f"{self.root}/{old}")) if s.isDirectory() and s.getPath().getName().startswith("_")):
+            if name not in new:
+                self.spark.read.parquet(f"{self.root}/{old}/_{name}").write.parquet(f"{self.root}/{v}/_{name}")
+        if owner is not None and self.holder() != owner:
+            self._fs.delete(self._path(f"{self.root}/{v}"), True)
+            raise RuntimeError(f"the lock of {self.root} isn't held by {owner} any more")
         tmp, to = self._path(f"{self.root}/_CURRENT.{v}"), self._path(f"{self.root}/_CURRENT")
         out = self._fs.create(tmp, True)
         out.write(bytearray(v.encode()))
@@ -69,8 +82,31 @@ class Store:
         out.close()
         return True
 
-    def unlock(self) -> None:
-        self._fs.delete(self._path(f"{self.root}/_LOCK"), False)
+    def unlock(self, owner: str | None = None) -> None:
+        """Give the lock back; with owner only if it is its own."""
+        if owner is None or self.holder() == owner:
+            self._fs.delete(self._path(f"{self.root}/_LOCK"), False)
+
+    def holder(self) -> str | None:
+        """Who holds the lock."""
+        return self._text("_LOCK")
+
+    def _text(self, name: str) -> str | None:
+        p = self._path(f"{self.root}/{name}")
+        if not self._fs.exists(p):
+            return None
+        stream = self._fs.open(p)
+        try:
+            return bytes(stream.readAllBytes()).decode()
+        finally:
+            stream.close()
+
+    def mark(self, name: str) -> bool:
+        """Leave a mark that lasts until unmark(); False if it was there already."""
+        return bool(self._fs.createNewFile(self._path(f"{self.root}/_MARK_{name}")))
+
+    def unmark(self, name: str) -> None:
+        self._fs.delete(self._path(f"{self.root}/_MARK_{name}"), False)
 
     def locked_for(self) -> float | None:
         """Seconds since the lock was taken or touched; None without a lock."""

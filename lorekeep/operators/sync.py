@@ -2,12 +2,15 @@
 
 import base64
 import time
+import uuid
 from collections.abc import Callable
+from datetime import UTC, date, datetime
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lorekeep import schema as S
+from lorekeep.operators.governance import index_page
 from lorekeep.work import Workspace, ranked
 
 
@@ -204,31 +207,56 @@ def preflight(planned: DataFrame, ingestable: DataFrame) -> DataFrame:
     return planned.join(state, "path", "left").withColumn("skipped", skipped).drop("_status")
 
 
-def run_once(store, current: DataFrame, state: DataFrame, ingest: Callable[[DataFrame], tuple[DataFrame, DataFrame]], ingestable: DataFrame, owner: str, stale_s: float = 3600.0) -> dict:
-    """One sync under the writer's lock: plan, preflight, delete, move, ingest, publish; returns counts and the next state.
+#: Tables that a sync publishes beside the concepts.
+STATE = "path string, sha256 string, concepts array<string>"
+LOG = "day date, seq long, kind string, message string"
+INDEX = "pos long, id string, line string"
 
-    ingest takes the paths to read and gives concepts and (path, concepts); what it fails on keeps its old state. A lock older than stale_s is
-    taken over. Concepts are published in one step at the end, so a lost run leaves the bundle as it was and is simply made again.
+
+def run_once(store, current: DataFrame, state: DataFrame | None, ingest: Callable[[DataFrame], tuple[DataFrame, DataFrame]], ingestable: DataFrame, owner: str, stale_s: float = 3600.0, roots: DataFrame | None = None, day: str | None = None) -> dict:
+    """One sync under the writer's lock: plan, preflight, delete, move, ingest, publish; returns counts, the next state and whether the last sync was left incomplete.
+
+    state: None for the one the store holds. roots (root): entries outside them are neither planned nor changed. ingest takes the paths to
+    read and gives concepts and (path, concepts); what it fails on keeps its old state. A lock older than stale_s is taken over. Concepts, state,
+    index page and log are published in one step at the end (the pages only where something changed), so a lost run leaves all of them as they
+    were and is simply made again. day: the log's date, today (UTC) if none.
     """
+    token = f"{owner}/{uuid.uuid4().hex}"
     held = store.locked_for()
     if held is not None and held > stale_s:
-        store.unlock()
-    if not store.lock(owner):
+        store.unlock(store.holder())
+    if not store.lock(token):
         return {"ran": False, "reason": "locked"}
     began = time.time()
     try:
-        planned = preflight(plan(current, state), ingestable)
+        resumed = not store.mark("incomplete")
+        known = store.beside("state", STATE) if state is None else state.select("path", "sha256", "concepts")
+        inside = known if roots is None else scoped(known, roots)
+        outside = None if roots is None else known.join(inside.select("path"), "path", "left_anti")
+        ws = Workspace(current.sparkSession, "sync")
+        planned = ws.keep(preflight(plan(current, inside), ingestable), "planned")
         concepts = store.read()
-        todo = planned.filter("change in ('added', 'updated') and not skipped").select("path")
-        fresh, given = ingest(todo)
-        gave = planned.filter("change = 'updated'").join(given.select("path"), "path", "left_semi")  # an updated file that gave nothing keeps its concepts
-        leaving = planned.filter("change = 'removed'").select("path", "concepts").union(gave.select("path", "concepts"))
-        staying = planned.join(leaving.select("path"), "path", "left_anti").select(F.explode("concepts").alias("id"))
-        gone = leaving.select(F.explode("concepts").alias("id")).distinct().join(staying, "id", "left_anti")
+        fresh, given = ingest(planned.filter("change in ('added', 'updated') and not skipped").select("path"))
+        gave = given.select("path", F.lit(True).alias("_gave")).dropDuplicates(["path"])
+        leaves = (F.col("change") == "removed") | ((F.col("change") == "updated") & F.coalesce("_gave", F.lit(False)))  # an updated file that gave nothing keeps its concepts
+        claims = planned.join(gave, "path", "left").select(F.explode("concepts").alias("id"), leaves.alias("leaves"))
+        gone = claims.groupBy("id").agg(F.bool_and("leaves").alias("all_leave")).filter("all_leave").select("id")
+        if outside is not None:
+            gone = gone.join(outside.select(F.explode("concepts").alias("id")), "id", "left_anti")
         moved = rewrite_resources(concepts.join(gone, "id", "left_anti"), planned)
         new = moved.join(fresh.select("id"), "id", "left_anti").unionByName(fresh.select(*moved.columns))
+        changes = {r.change: r.n for r in summary(planned).collect()}
+        then = apply(planned, inside, given)
+        tables = {"state": then if outside is None else then.unionByName(outside)}
+        if any(n for change, n in changes.items() if change != "unchanged"):
+            said = f"Sync: {', '.join(f'{changes[c]} {c}' for c in ('added', 'updated', 'renamed', 'removed'))}."
+            log, today = store.beside("log", LOG), day or datetime.now(UTC).date().isoformat()
+            seq = log.agg(F.coalesce(F.max("seq"), F.lit(0)) + 1).first()[0]
+            entry = log.sparkSession.createDataFrame([(date.fromisoformat(today), seq, "Update", said)], LOG)
+            tables |= {"log": log.unionByName(entry), "index": lambda published: index_page(published).select(F.col("pos").cast("long"), "id", "line")}
         store.touch()
-        version = store.publish(new)
-        return {"ran": True, "version": version, "state": apply(planned, state, given), "changes": {r.change: r.n for r in summary(planned).collect()}, "seconds": round(time.time() - began, 3)}
+        version = store.publish(new, tables, token)
+        store.unmark("incomplete")
+        return {"ran": True, "version": version, "resumed": resumed, "state": store.beside("state", STATE), "changes": changes, "seconds": round(time.time() - began, 3)}
     finally:
-        store.unlock()
+        store.unlock(token)

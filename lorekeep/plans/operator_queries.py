@@ -726,19 +726,41 @@ def src_22_golden_set(spark, sf_dir):
     return files.golden_set(spark, path).select("id", "question", F.array_join("must_cite", ",").alias("must_cite"))
 
 
-@query(f"WITH {PLAN}, o AS (SELECT path, 'c' || (doc_id // 2) AS id FROM old), l AS (SELECT path FROM plan WHERE change IN ('removed', 'updated')), gone AS (SELECT id FROM o WHERE path IN (SELECT path FROM l) EXCEPT SELECT id FROM o WHERE path NOT IN (SELECT path FROM l)) SELECT DISTINCT id FROM o WHERE id NOT IN (SELECT id FROM gone) UNION ALL SELECT 'n' || path FROM plan WHERE change IN ('added', 'updated')")
+BUNDLE = "o AS (SELECT path, 'c' || (doc_id // 2) AS id FROM old), l AS (SELECT path FROM plan WHERE change IN ('removed', 'updated')), gone AS (SELECT id FROM o WHERE path IN (SELECT path FROM l) EXCEPT SELECT id FROM o WHERE path NOT IN (SELECT path FROM l)) SELECT DISTINCT id FROM o WHERE id NOT IN (SELECT id FROM gone) UNION ALL SELECT 'n' || path FROM plan WHERE change IN ('added', 'updated')"
+
+
+@query(f"WITH {PLAN}, {BUNDLE}")
 def syn_04_sync_run(spark, sf_dir):
     """The bundle after one locked run: moved and unchanged files keep their concepts, shared ones stay while any file has them."""
+    return synced(spark, sf_dir).read().select("id")
+
+
+def synced(spark, sf_dir):
     now, old = snapshot(spark, sf_dir)
     store = governance.Store(spark, Workspace(spark, "sync").path("kb"))
-    store.publish(own_columns(old.select(F.explode("concepts").alias("id")).distinct()))
+    store.publish(own_columns(old.select(F.explode("concepts").alias("id")).distinct()), {"state": old})
 
     def ingest(todo):
         name = F.concat(F.lit("n"), "path")
         return own_columns(todo.select(name.alias("id"))), todo.select("path", F.array(name).alias("concepts"))
 
-    sync.run_once(store, now, old, ingest, now.select("path", F.lit("create").alias("status")), "me")
-    return store.read().select("id")
+    sync.run_once(store, now, None, ingest, now.select("path", F.lit("create").alias("status")), "me", day="2026-01-31")
+    return store
+
+
+@query(
+    f"""WITH {PLAN}, ids AS (WITH {BUNDLE}), leaf AS (SELECT id, regexp_extract(id, '[^/]*$') AS t FROM ids)
+    SELECT 'state' AS part, p.path AS name, cur.sha256 AS value, CASE WHEN change IN ('unchanged', 'renamed') THEN 'c' || (old.doc_id // 2) ELSE 'n' || p.path END AS detail FROM plan p JOIN cur ON p.path = cur.path LEFT JOIN old ON old.path = coalesce(p.old_path, p.path)
+    UNION ALL SELECT 'index', id, '* [' || t || '](' || id || '.md)', CAST(row_number() OVER (ORDER BY lower(t), id) AS VARCHAR) FROM leaf
+    UNION ALL SELECT 'log', 'Update', 'Sync: ' || count(*) FILTER (change = 'added') || ' added, ' || count(*) FILTER (change = 'updated') || ' updated, ' || count(*) FILTER (change = 'renamed') || ' renamed, ' || count(*) FILTER (change = 'removed') || ' removed.', '2026-01-31' FROM plan"""
+)
+def syn_04_published_tables(spark, sf_dir):
+    """State, index page and log that one run publishes with the concepts."""
+    store = synced(spark, sf_dir)
+    part = lambda kind, name, value, detail: [F.lit(kind).alias("part"), F.col(name).alias("name"), F.col(value).alias("value"), detail.cast("string").alias("detail")]
+    state = store.beside("state", sync.STATE).select(*part("state", "path", "sha256", F.array_join("concepts", ",")))
+    index = store.beside("index", sync.INDEX).select(*part("index", "id", "line", F.col("pos")))
+    return state.union(index).union(store.beside("log", sync.LOG).select(*part("log", "kind", "message", F.col("day"))))
 
 
 @query("SELECT doc_id, doc_id % 2 = 1 AS reviewed, doc_id = 1 AS updated FROM documents")
