@@ -36,3 +36,19 @@ def test_sets_are_compared_once(spark):
     want = {(a, b) for a, b, _ in brute(rows, rows)}
     key = {i: " ".join(sorted(set(search.stems(t or "")))) for i, t, _ in rows}
     assert {(r.a, r.b) for r in got} == {(key[a], key[b]) for a, b in want}
+
+
+def test_matches_of_copies(spark):
+    """The most similar title, the least id of those that have it."""
+    rows = titles(240)
+    new, old = rows[::2], rows[1::2]
+    norm = lambda t: (t or "").strip().lower()
+    near = {}
+    for a, b, s in sorted(brute(new, old), key=lambda r: (r[0], -r[2], r[1])):
+        near.setdefault(a, b)
+    want = {}
+    for i, t, _ in new:
+        same = [b for b, u, _ in old if norm(t) and norm(u) == norm(t)]
+        want[i] = (min(same), "title") if same else (near[i], "similar_title") if i in near else (None, None)
+    frame = lambda r: spark.createDataFrame(r, "id string, title string, resource string")
+    assert {r.id: (r.match, r.reason) for r in entity.match(frame(new), frame(old)).collect()} == want
