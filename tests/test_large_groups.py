@@ -52,3 +52,13 @@ def test_matches_of_copies(spark):
         want[i] = (min(same), "title") if same else (near[i], "similar_title") if i in near else (None, None)
     frame = lambda r: spark.createDataFrame(r, "id string, title string, resource string")
     assert {r.id: (r.match, r.reason) for r in entity.match(frame(new), frame(old)).collect()} == want
+
+
+def test_backlinks_of_copies_and_links(spark, monkeypatch):
+    """Many sources and targets of one title, some that link a target by id or all of them by slug."""
+    monkeypatch.setattr(entity.blocks, "__defaults__", (8,))
+    rows = [(f"d{k:02}", "Hot title", ["Hot title", "[x](/d03)", "[y](hot-title)", "[z](d05.md)"][k % 4] + " text") for k in range(60)]
+    got = [tuple(r) for r in entity.backlinks(spark.createDataFrame(rows, "id string, title string, body string")).collect()]
+    out = {1: lambda b: b == "d03", 2: lambda b: True, 3: lambda b: b == "d05"}
+    want = {(a, b) for k, (a, _, _) in enumerate(rows) for b, _, _ in rows if a != b and not out.get(k % 4, lambda b: False)(b)}
+    assert len(got) == len(set(got)) and set(got) == want
