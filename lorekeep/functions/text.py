@@ -168,7 +168,7 @@ def sanitize(c) -> Column:
 
 def link_targets(c) -> Column:
     """Raw targets of inline links, in order, each once; titles and angle brackets stripped."""
-    raw = F.regexp_extract_all(F.substring(F.coalesce(col(c), F.lit("")), 1, S.LINK_SCAN_MAX), F.lit(S.LINK), F.lit(2))
+    raw = F.regexp_extract_all(F.coalesce(col(c), F.lit("")), F.lit(S.LINK), F.lit(2))
     bare = F.transform(raw, lambda t: strip(F.regexp_replace(t, r"""\s+("[^"]*"|'[^']*')\s*$""", "")))
     bare = F.transform(bare, lambda t: F.when(t.rlike(r"^<.*>$"), strip(F.substring(t, F.lit(2), F.length(t) - 2))).otherwise(t))
     return F.array_distinct(F.filter(bare, lambda t: t != ""))

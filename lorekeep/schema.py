@@ -19,7 +19,7 @@ FIELD_WEIGHTS = (("id", 3), ("title", 3), ("description", 2), ("tags", 2), ("bod
 MIN_SOURCE_CHARS, PREAMBLE_TITLE, BODY_MAX, DESCRIPTION_MAX, SENTENCE_MIN = 1000, 80, 8000, 200, 20
 SEE_ALSO_MAX, MENTION_MIN, BACKLINK_MIN = 8, 4, 4
 TITLE_THRESHOLD, EMBEDDING_THRESHOLD, EMBED_CHARS = 0.8, 0.87, 4000
-MAX_SUPERSEDES, LINK_SCAN_MAX, TRAVERSE_DEPTH = 100, 1_000_000, 3
+MAX_SUPERSEDES, TRAVERSE_DEPTH = 100, 3
 STEM_MAX = 252  # bytes of a file name before its .md
 PAGE_UNITS, CHUNK_LINES, CHARS_PER_TOKEN, GRAPH_NODES = 50, 50, 4, 2000
 EVAL_THRESHOLDS = {"context_relevancy": 0.6, "faithfulness": 0.6, "answer_relevancy": 0.4}
