@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from lorekeep import schema as S
 from lorekeep.functions import temporal as T
 from lorekeep.functions import text as X
-from lorekeep.work import Workspace, small
+from lorekeep.work import Workspace, slices, small
 
 
 WORD, STOPPED = re.compile(r"[^\W_]+"), frozenset(S.STOPWORDS)
@@ -127,7 +127,7 @@ def documents(concepts: DataFrame, fields=S.FIELD_WEIGHTS, keys: tuple[str, ...]
 
     def run(batches):
         seen: dict[str, str] = {}
-        for batch in batches:
+        for batch in slices(batches):
             lengths, cuts, tokens, tf, spots, ends = [], [0], [], [], [], [0]
             for texts in zip(*[c.to_pylist() for c in batch.columns[n:]], strict=True):
                 dl, found = _count(texts, weights, places, seen)
