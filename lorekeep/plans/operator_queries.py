@@ -17,7 +17,7 @@ from lorekeep.plans.search_queries import AT, STATUS_SQL
 from lorekeep.schema import CONCEPT, FINDING
 from lorekeep.sources import corpus, files, frontmatter
 from lorekeep.sources.corpus import read
-from lorekeep.work import Workspace
+from lorekeep.work import Workspace, slices
 
 
 def number():
@@ -67,7 +67,7 @@ def packed(rows: DataFrame, members) -> DataFrame:
     """path, content of one archive for each row (key, text). members: key, text -> (name, text) pairs."""
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             out = []
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 raw = io.BytesIO()
