@@ -57,6 +57,20 @@ def test_see_also_mentions(spark):
     assert sum(r[:2] == (1, 0) for r in got) == 8 and any(r[4] == "mentioned" for r in got)
 
 
+def test_see_also_makes_no_rows_of_runs_of_words(spark, monkeypatch):
+    """Texts meet their document's titles in place; documents of more titles than an array takes go by rows, with the same result."""
+    titles = ["Alpha beta", "gamma+", "Delta rule of law here", "++++", "Same", "Same"]
+    texts = ["gamma+ and same", "ALPHA BETA, delta rule of law here", "alpha", "++++ same", "a ++++ b", None]
+    rows = [(d, k, t, x) for d in (1, 2) for k, (t, x) in enumerate(zip(titles[: 3 * d], texts[: 3 * d], strict=True))]
+    df = spark.createDataFrame(rows, "doc_id long, section_no int, title string, text string")
+    by_rows, calls = sections._said_by_rows, []
+    monkeypatch.setattr(sections, "_said_by_rows", lambda texts, *more: calls.append(sorted(r[0] for r in texts.select("doc_id").distinct().collect())) or by_rows(texts, *more))
+    for most, want in ((1024, []), (4, [[2]]), (0, [[1, 2]])):
+        calls.clear()
+        monkeypatch.setattr(sections, "TITLES_AT_ONCE", most)
+        assert {tuple(r) for r in sections.see_also(df).collect()} == brute_see_also(rows) and calls == want
+
+
 def test_see_also_query_keeps_titles(spark, tmp_path):
     text = "Top line\nThe gate\nsee rule of law here\nAnd rule of law\nthe gate again, # The gate\n"
     spark.createDataFrame([(1, text)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
