@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from lorekeep.functions import temporal as T
 from lorekeep.operators import temporal
-from lorekeep.work import Workspace, numbered, small
+from lorekeep.work import RANGES, Workspace, numbered, small
 
 #: Before and after all instants.
 FIRST, LAST = -(1 << 62), 1 << 62
@@ -102,7 +102,9 @@ def status_intervals(concepts: DataFrame) -> DataFrame:
 def statuses_at(intervals: DataFrame, instants: DataFrame) -> DataFrame:
     """instant, id, status, superseded_by, has_temporal of every concept at each of the instants (a timestamp column).
 
-    Each concept has one interval an instant, so the join makes as many rows as it is asked for; a small side is broadcast.
+    Each concept has one interval an instant, so the join makes as many rows as it is asked for; a small side is broadcast. Intervals are dealt anew
+    first: a small file of them stands for very many rows.
     """
+    intervals = intervals.repartition(RANGES, "id")
     times = small(instants.select("instant", F.unix_micros("instant").alias("_t")).distinct())
     return intervals.join(times, (F.col("_t") >= F.col("opens")) & (F.col("_t") < F.col("closes"))).select("instant", "id", "status", "superseded_by", "has_temporal")

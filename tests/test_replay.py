@@ -80,3 +80,11 @@ def test_the_best_of_overlapping_intervals(spark):
         for t in range(a, b):
             want[i, t] = min(want.get((i, t), (1, "")), (-d, h))
     assert at == {k: (-d, h) for k, (d, h) in want.items()}
+
+
+def test_instants_are_joined_in_many_tasks(spark, bundle):
+    """A small file of intervals stands for a row a concept and instant, so its few tasks are not those of the join."""
+    times = spark.sql("SELECT explode(sequence(timestamp'2026-01-01', timestamp'2026-01-20', interval 1 day)) AS instant")
+    held = replay.status_intervals(bundle).coalesce(1)
+    got = replay.statuses_at(held, times)
+    assert got.rdd.getNumPartitions() > 1 and got.count() == 20 * held.select("id").distinct().count()
