@@ -1,7 +1,7 @@
-"""Folders as a stream: a data source that lists them at each trigger, and a state a path that turns listings into events.
+"""Folders as a stream: a data source that lists them at each trigger, and states of paths that turn listings into events.
 
 A file stream sees new files only. Here every batch holds a whole listing (path, size, time), and the state of a path
-(size, time, digest, when it was last hashed) decides what happened to it. Contents are read only where size or time differ
+(size, time, digest, when it was last hashed, when it was last listed), kept with those of its bucket's other paths, decides what happened to it. Contents are read only where size or time differ
 from the state, or where the last hash is older than the full verification allows. The time of the listings is event time: a path
 is removed once the watermark, which is the newest listing of the batches before, has passed the last listing that held it. So no
 pause, repeated batch or batch without rows looks like deletions, and a folder that can't be listed stops the batch instead.
@@ -21,7 +21,9 @@ from lorekeep import schema as S
 
 LISTING = "path string, size long, mtime_ns long, ms long"
 EVENT = "path string, change string, sha256 string, size long, mtime_ns long, ms long"
-STATE = "size long, mtime_ns long, sha256 string, hashed_ms long"
+STATE = "path array<string>, size array<long>, mtime_ns array<long>, sha256 array<string>, hashed_ms array<long>, seen_ms array<long>"
+#: Buckets that paths are dealt to by a hash. A call of Python takes a bucket's paths, not one path. It is part of a checkpoint.
+BUCKETS = 1024
 
 
 def _place(path: str):
@@ -115,38 +117,48 @@ def listings(spark: SparkSession, roots: list[str], exclude: list[str] = [], tas
     return spark.readStream.format("folder_listing").option("roots", json.dumps(roots)).option("exclude", json.dumps(exclude)).option("tasks", str(tasks)).load()
 
 
-def events(listed: DataFrame, verify_ms: int = 300_000) -> DataFrame:
+def events(listed: DataFrame, verify_ms: int = 300_000, buckets: int = BUCKETS) -> DataFrame:
     """path, change (added, updated, removed), sha256, size, mtime_ns, ms: what a stream of whole listings says happened.
 
     listed: LISTING, and optionally `sha256` where digests come with the listing; else the file is read when it has to be hashed.
     A path listed twice in a batch counts once, with its latest time. A new time or size with the same digest is no event. A file that
     can't be read keeps its state until it can. Removed paths have the digest, size and time they had, and the listing's time that showed it.
-    Listings need times that grow from batch to batch.
+    Listings need times that grow from batch to batch. A checkpoint holds for one number of buckets.
     """
     given = "sha256" in listed.columns
 
     def step(key, batches, state):
         import pandas as pd
 
-        path = key[0]
-        old = tuple(state.get) if state.exists else None
-        if state.hasTimedOut:
+        known = {path: row for path, *row in zip(*state.get, strict=True)} if state.exists else {}
+        watermark, latest, found = state.getCurrentWatermarkMs(), {}, []
+        if not state.hasTimedOut:
+            for pdf in batches:
+                digests = pdf["sha256"].tolist() if given else [None] * len(pdf)
+                for path, size, mtime, ms, digest in zip(pdf["path"].tolist(), pdf["size"].tolist(), pdf["mtime_ns"].tolist(), pdf["ms"].tolist(), digests, strict=True):
+                    if path not in latest or (mtime, size) > latest[path][:2]:
+                        latest[path] = (mtime, size, ms, digest)
+        for path, (mtime, size, ms, digest) in latest.items():
+            old = known.get(path)
+            same = old is not None and (old[0], old[1]) == (size, mtime) and ms - old[3] < verify_ms
+            digest = old[2] if same else digest if given else sha256_of(path)
+            if digest is None:
+                if old is not None:
+                    old[4] = ms
+                continue
+            if old is None or digest != old[2]:
+                found.append((path, "added" if old is None else "updated", digest, size, mtime, ms))
+            known[path] = [size, mtime, digest, old[3] if same else ms, ms]
+        for path in [p for p, row in known.items() if row[4] + 1 < watermark and p not in latest]:
+            size, mtime, digest, *_ = known.pop(path)
+            found.append((path, "removed", digest, size, mtime, watermark))
+        if known:
+            state.update(tuple(list(column) for column in zip(*[(path, *row) for path, row in known.items()], strict=True)))
+            state.setTimeoutTimestamp(min(row[4] for row in known.values()) + 1)  # of the bucket's paths, the one that may be gone first
+        elif state.exists:
             state.remove()
-            yield pd.DataFrame({"path": [path], "change": ["removed"], "sha256": [old[2]], "size": [old[0]], "mtime_ns": [old[1]], "ms": [state.getCurrentWatermarkMs()]})
-            return
-        rows = [r for pdf in batches for r in pdf.to_dict("records")]
-        now = max(rows, key=lambda r: (r["mtime_ns"], r["size"]))
-        size, mtime, ms = int(now["size"]), int(now["mtime_ns"]), int(now["ms"])
-        same = old is not None and old[:2] == (size, mtime) and ms - old[3] < verify_ms
-        digest = old[2] if same else (now["sha256"] if given else sha256_of(path))
-        change = None
-        if digest is not None:
-            change = "added" if old is None else "updated" if digest != old[2] else None
-            state.update((size, mtime, digest, old[3] if same else ms))
-        if state.exists:
-            state.setTimeoutTimestamp(ms + 1)
-        if change:
-            yield pd.DataFrame({"path": [path], "change": [change], "sha256": [digest], "size": [size], "mtime_ns": [mtime], "ms": [ms]})
-
-    timed = listed.withColumn("_at", F.timestamp_millis("ms")).withWatermark("_at", "0 seconds")
-    return timed.groupBy("path").applyInPandasWithState(step, EVENT, STATE, "append", "EventTimeTimeout")
+        if found:
+            yield pd.DataFrame(found, columns=["path", "change", "sha256", "size", "mtime_ns", "ms"])
+
+    timed = listed.withColumns({"_at": F.timestamp_millis("ms"), "_bucket": F.pmod(F.xxhash64("path"), F.lit(buckets))}).withWatermark("_at", "0 seconds")
+    return timed.groupBy("_bucket").applyInPandasWithState(step, EVENT, STATE, "append", "EventTimeTimeout")

@@ -96,3 +96,25 @@ def test_watch_calls_only_on_changes(spark, tmp_path):
         q.stop()
     one = lambda s: spark.range(1).select(F.sha2(F.lit(s), 256)).first()[0]
     assert calls == [[("added", one("a"))], [("added", one("b"))]]
+
+
+def test_paths_of_a_bucket_keep_their_own_states(spark, tmp_path):
+    """All paths in two buckets: those that go while others stay, go later, come back, or can't be read."""
+    kind = "path string, size long, mtime_ns long, ms long, sha256 string"
+    runs = [
+        [(f"p{k}", 1, 1, 10, f"a{k}") for k in range(8)],
+        [(f"p{k}", 1, 2, 20, f"b{k}") for k in range(6)] + [("p6", 2, 2, 20, None)],
+        [(f"p{k}", 1, 2, 30, "not read") for k in range(4)] + [("p6", 2, 2, 30, None), ("p7", 1, 1, 30, "a7")],
+        [(f"p{k}", 1, 2, 40, "not read") for k in range(4)],
+    ]
+    got: list[set] = []
+    for rows in runs:
+        spark.createDataFrame(rows, kind).write.mode("append").parquet(str(tmp_path / "in"))
+        found = folder.events(spark.readStream.schema(kind).parquet(str(tmp_path / "in")), buckets=2)
+        q = found.writeStream.option("checkpointLocation", str(tmp_path / "cp")).format("parquet").option("path", str(tmp_path / "out")).trigger(availableNow=True).start()
+        q.awaitTermination()
+        got.append({(r.path, r.change, r.sha256) for r in spark.read.schema(folder.EVENT).parquet(str(tmp_path / "out")).collect()} - set().union(*got))
+    assert got[0] == {(f"p{k}", "added", f"a{k}") for k in range(8)}
+    assert got[1] == {(f"p{k}", "updated", f"b{k}") for k in range(6)} | {("p7", "removed", "a7")}
+    assert got[2] == {("p4", "removed", "b4"), ("p5", "removed", "b5")}  # p7 is back with what it had
+    assert got[3] == {("p6", "removed", "a6"), ("p7", "removed", "a7")} - got[1]
