@@ -7,7 +7,8 @@ from itertools import accumulate
 import pytest
 from pyspark.sql import functions as F
 
-from lorekeep.work import Workspace, numbered, running
+from lorekeep import work
+from lorekeep.work import Workspace, numbered, ranked, running
 
 
 def test_numbered_places_every_row_once(spark):
@@ -26,3 +27,12 @@ def test_running_sums_in_blocks_of_blocks(spark, step):
     for g in range(3):
         mine = sorted((r.i, r.x, r.one) for r in got if r.g == g)
         assert [x for _, x, _ in mine] == list(accumulate(x for h, _, x, _ in rows if h == g)) and [o for *_, o in mine] == list(range(1, len(mine) + 1))
+
+
+@pytest.mark.parametrize(("size", "by_ranges"), [(1, True), (5, True), (1000, False)])
+def test_ranks_of_small_groups_need_no_ranges(spark, monkeypatch, size, by_ranges):
+    rows = [(g, f"k{i:02}") for g, n in (("a", 40), ("b", 5), (None, 7), ("c", 1)) for i in range(n)]
+    inner, calls = work._ranked_by_ranges, []
+    monkeypatch.setattr(work, "_ranked_by_ranges", lambda *a: calls.append(1) or inner(*a))
+    got = ranked(spark.createDataFrame(rows, "g string, k string").repartition(3), ["g"], ["k"], "n", size).collect()
+    assert sorted((r.g or "", r.k, r.n) for r in got) == sorted((g or "", k, int(k[1:]) + 1) for g, k in rows) and bool(calls) == by_ranges
