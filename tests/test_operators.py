@@ -125,6 +125,25 @@ def test_evaluation_runs(spark):
     assert evaluate.report(evaluate.evaluate(golden, c, search.build_index(c))).first().gate == "pass"
 
 
+def test_evaluation_takes_apart_what_was_found_only(spark):
+    """Texts of concepts that no question found are not cut into tokens, and each task ranks its own rows first."""
+    c = concepts(spark, [{"id": f"c{k}", "title": "Refunds" if k < 9 else "Parcels", "body": f"word{k}"} for k in range(30)])
+    golden = spark.createDataFrame([("q", "refunds word3", "Refunds", None)], "id string, question string, expected_answer string, must_cite array<string>")
+    index = search.build_index(c)
+    got = evaluate.evaluate(golden, c, index, 3)
+    assert "LeftSemi" in got._jdf.queryExecution().optimizedPlan().toString()
+    assert "WindowGroupLimit" in evaluate.retrieve(golden, c, index, 3)._jdf.queryExecution().optimizedPlan().toString()
+    assert got.first().retrieved == ["c3", "c0", "c1"]
+
+
+def test_drafts_cut_sections_once(spark):
+    """What the ids and the rows are made of is written once, so documents are not cut again for each."""
+    text = "intro\n# One\nbody one\n# One\nbody two\n"
+    got = sections.draft(spark.createDataFrame([("d", 1, text)], "doc_id string, number int, text string"), spark.createDataFrame([("d", "F.md")], "doc_id string, path string"), spark.createDataFrame([], "id string"), 1)
+    assert "Generate" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted((r.id, r.body, r.displaced) for r in got.collect()) == [("f/intro", "intro", None), ("f/one", "body one", None), ("f/one-2", "body two", "f/one")]
+
+
 def test_governed_writes(spark, tmp_path):
     store = governance.Store(spark, str(tmp_path / "bundle"))
     assert store.read().count() == 0
