@@ -44,3 +44,13 @@ def test_values_without_markers_and_their_sizes(spark):
         else:
             assert got[k].cleaned is None
     assert hygiene.clean(spark.createDataFrame([], "id long, value string")).count() == 0
+
+
+def test_values_are_put_together_at_once(spark, monkeypatch):
+    """No table a level on the way back; marked keys stand first, between others, alone and in each other."""
+    kept, keep = [], hygiene.Workspace.keep
+    monkeypatch.setattr(hygiene.Workspace, "keep", lambda self, df, name: kept.append(name) or keep(self, df, name))
+    rows = [{"verified": 1, "x": [], "y": {}}, {"verified": {"a": 1}}, {"a": {"verified": [1, {"verified": 2}], "w": '"\\'}, "verified": 0, "z": [None, {"verified": 1}, [{"verified": 3, "w": 1}]]}, [[[["verified"]]]], "verified", 7]
+    got = {r.id: r.cleaned for r in hygiene.clean(spark.createDataFrame([(k, json.dumps(v)) for k, v in enumerate(rows)], "id long, value string")).collect()}
+    assert {k: json.loads(v) for k, v in got.items()} == {k: strip(v) for k, v in enumerate(rows)}
+    assert not [name for name in kept if name.startswith("built")]
