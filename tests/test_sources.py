@@ -90,3 +90,25 @@ def test_export_addresses_and_titles():
     assert files.export_url("<https://www.notion.so/x-1>. See") == "https://www.notion.so/x-1" and files.export_url('at "https://notion.so/y".') == "https://notion.so/y" and files.export_url("none") is None
     hash_ = "0123456789abcdef" * 2
     assert files.export_title(f"My Page\t {hash_}.md") == "My Page" and files.export_title(f"a/ {hash_}.md") == f" {hash_}" and files.export_title("plain.md") == "plain"
+
+
+def test_plain_blocks_are_read_as_by_the_python_scanner():
+    """Blocks without signs of their own go to the scanner in C; it gives the same values and refuses the same blocks."""
+    import random
+
+    import yaml
+
+    from lorekeep.sources import frontmatter
+
+    rng = random.Random(7)
+    bits = ["a: ", "b:", "- ", "\n", "  ", "key: v", "'", "''", "2024-01-01", "2026-13-99", "1:30", "---", "...", " :", "null", "yes", "12.5e3", "x: y: z", "\n- s: 1\n  t: 2", "\nq:\n- a\n", "07", ".inf"]
+
+    def got(text, plain):
+        try:
+            return repr(yaml.load(text, frontmatter._loader(plain)))  # noqa: S506
+        except (yaml.YAMLError, ValueError):
+            return None
+
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randint(1, 9))) for _ in range(3000)]
+    assert all(frontmatter._PLAIN.fullmatch(t) for t in texts) and not any(frontmatter._PLAIN.fullmatch(t) for t in ("a: [b]", "a: \t", "a: é", "a: #", "a: &x b", 'a: "b"', "a: |"))
+    assert [got(t, True) for t in texts] == [got(t, False) for t in texts]
