@@ -163,6 +163,8 @@ def ranked(df: DataFrame, group: list[str], order: list[str], out: str, size: in
     many = many.select(*[F.col(c).alias(f"_g{i}") for i, c in enumerate(group)])
     if not many.limit(1).count():
         return df.withColumn(out, place(group).cast("long"))
+    if not group:  # all rows are one group, and there is no key to join by
+        return _ranked_by_ranges(df, group, order, out)
     many, same = small(many), [F.col(c).eqNullSafe(F.col(f"_g{i}")) for i, c in enumerate(group)]
     few = df.join(many, same, "left_anti").withColumn(out, place(group).cast("long"))
     return few.unionByName(_ranked_by_ranges(df.join(many, same, "left_semi"), group, order, out))

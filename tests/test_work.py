@@ -36,3 +36,11 @@ def test_ranks_of_small_groups_need_no_ranges(spark, monkeypatch, size, by_range
     monkeypatch.setattr(work, "_ranked_by_ranges", lambda *a: calls.append(1) or inner(*a))
     got = ranked(spark.createDataFrame(rows, "g string, k string").repartition(3), ["g"], ["k"], "n", size).collect()
     assert sorted((r.g or "", r.k, r.n) for r in got) == sorted((g or "", k, int(k[1:]) + 1) for g, k in rows) and bool(calls) == by_ranges
+
+
+@pytest.mark.parametrize("size", [1, 5])
+def test_ranks_of_all_rows_as_one_group(spark, size):
+    """Without a group there is no key to join by; more rows than `size` go by ranges all the same."""
+    rows = [(f"k{i // 2:03}", i % 2) for i in range(700)]
+    got = ranked(spark.createDataFrame(rows, "k string, i int").repartition(3), [], ["k", "i"], "n", size).collect()
+    assert sorted((r.n, r.k, r.i) for r in got) == [(n, k, i) for n, (k, i) in enumerate(rows, 1)]
