@@ -62,3 +62,18 @@ def test_backlinks_of_copies_and_links(spark, monkeypatch):
     out = {1: lambda b: b == "d03", 2: lambda b: True, 3: lambda b: b == "d05"}
     want = {(a, b) for k, (a, _, _) in enumerate(rows) for b, _, _ in rows if a != b and not out.get(k % 4, lambda b: False)(b)}
     assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_runs_of_long_titles_become_no_rows(spark, monkeypatch):
+    """Titles of one resource that hold another: only runs that begin a title are exploded, and beginnings come in blocks."""
+    cut, inner = [], work.blocks
+    monkeypatch.setattr(entity, "blocks", lambda df, key, values, out: cut.append(1) or inner(df, key, values, out, size=4))
+    rng = random.Random(9)
+    words = [f"w{k}" for k in range(60)]
+    some = [" ".join(rng.choice(words) for _ in range(n)) for n in (1, 1, 2, 2, 3, 5, 8, 300, 900)] + ["a", "ab", "abc", "abcdefghi", ""]
+    rows = [(k, f"/r{k % 2}" if k % 7 else "", some[k % len(some)] if k % 3 else f"{some[(k + 5) % len(some)]} {some[k % len(some)]}".strip()) for k in range(56)]
+    x, y = (spark.createDataFrame(rows, f"{p}_id int, {p}_res string, {p}_title string").repartition(3) for p in "xy")
+    found = entity.contained(x, y)
+    got = [(r.x_id, r.y_id) for r in found.collect()]
+    want = {(a, b) for a, ra, ta in rows for b, rb, tb in rows if ra and ra == rb and ta and tb and (ta in tb or tb in ta)}
+    assert cut and len(got) == len(set(got)) and set(got) == want and len(want) > 60
